@@ -6,10 +6,15 @@ from importlib import import_module
 
 #: query -> module
 QUERIES = {
+    "op1_training_order": "training_order",
+    "op2_url_rules": "url_rules",
+    "op3_embedding_dedup": "embed_dedup",
     "op4_byte_bpe": "bpe",
     "op5_exact_dedup": "exact_dedup",
+    "op6_language_id": "language_id",
     "op7_mixing": "mixing",
     "op8_simhash": "simhash",
+    "op9_quality": "quality",
     "op10_toxicity": "toxicity",
 }
 SQL = {"op5_exact_dedup": ("exact_dedup", "OP5_SQL")}

@@ -3,51 +3,15 @@ Arrow batches cut at key boundaries, and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session (tests) gets a temporary folder; on a cluster
-    that would lose files with a machine, so it is an error there.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="millrace-")
-        atexit.register(__import__("shutil").rmtree, _OWN[app], True)
-    return _OWN[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Lineage ends there and a lost executor costs only the tasks it was running.  The
-    table stays until the folder is cleaned, as a lazily read result may still need it.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..operators.graph import components, materialise, new_path, shared_dir
 
+__all__ = ["components", "forest", "materialise", "new_path", "run_bounds", "shared_dir", "table", "two_sided_forest", "whole_groups"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -110,32 +74,28 @@ def forest(nodes: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return ranked[far], ranked[label[far]]
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """Connected components: ``edges(a, b)`` long -> ``(node, root)``, root the smallest node.
+def two_sided_forest(left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for links between two lists of nodes (a boolean matrix, rows by columns)."""
+    row_left, col_left = np.ones(len(left), bool), np.ones(len(right), bool)
+    a: list[np.ndarray] = []
+    b: list[np.ndarray] = []
+    for i in range(len(left)):
+        if not row_left[i]:
+            continue
+        row_left[i] = False
+        front, members = np.array([i]), [left[i : i + 1]]
+        while len(front):
+            cols = np.flatnonzero(linked[front].any(0) & col_left)
+            col_left[cols] = False
+            members.append(right[cols])
+            front = np.flatnonzero(linked[:, cols].any(1) & row_left)
+            row_left[front] = False
+            members.append(left[front])
+        own = np.concatenate(members)
+        low = own.min()
+        a.append(own[own != low])
+        b.append(np.full(len(a[-1]), low))
+    empty = [np.empty(0, left.dtype)]
+    return np.concatenate(a or empty), np.concatenate(b or empty)
+
 
-    Alternating large-star and small-star steps, after Kiveris et al., "Connected
-    Components in MapReduce and Beyond" (2014).  Each step moves every node's
-    neighbours to its smallest one, so edges never outnumber those given, no group of
-    neighbours is gathered in one place, and the number of rounds grows with the
-    logarithm of the largest component.  Every round is written to the shared folder.
-    Nodes without an edge do not appear.
-    """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialise(e, name)
-    seen = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        # a large-star edge points at a smaller node already
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    )
