@@ -73,10 +73,10 @@ ABROAD = (
     "south africa|brazil|mexico"
 )
 
-# Formats in which dates are read, in the order they are tried.
+# Formats in which dates are read (a day's name before them is dropped), in the order they are tried.
 DATE_FORMATS = [
     "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy-M-d", "d/M/yyyy", "d-M-yyyy", "M/d/yyyy",
-    "EEE, d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXX", "yyyy-MM-dd'T'HH:mm:ss'Z'",
+    "d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXX", "yyyy-MM-dd'T'HH:mm:ss'Z'",
 ]
 
 # Categories in the order in which ties are settled, with their weights and keys.

@@ -67,8 +67,9 @@ def parse_date(c: Column, as_of: Column) -> Column:
     n, unit = F.regexp_extract(t, ago, 1).try_cast("int"), F.lower(F.regexp_extract(t, ago, 2))
     days = F.when(unit.startswith("day"), n).when(unit.startswith("hour"), F.lit(0)).otherwise(n * 7)
     head = F.initcap(F.lower(F.trim(F.substring(t, 1, 40))))
+    head = F.regexp_replace(head, "^(Mon|Tue|Wed|Thu|Fri|Sat|Sun), ", "")
     head = F.regexp_replace(head, "^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})t([0-9:]+)(z?)", "$1T$2$3")
-    exact = F.coalesce(*[F.to_date(F.try_to_timestamp(F.upper(head) if "'T'" in f else head, F.lit(f))) for f in fixed.DATE_FORMATS])
+    exact = F.coalesce(*[F.to_date(F.try_to_timestamp(head, F.lit(f))) for f in fixed.DATE_FORMATS])
     loose = r"(\d{1,2})[\s/-]([A-Za-z]{3,9}|\d{1,2})[\s/-](\d{4})"
     found = F.initcap(F.lower(F.concat_ws(" ", *[F.regexp_extract(t, loose, k) for k in (1, 2, 3)])))
     inside = F.coalesce(*[F.to_date(F.try_to_timestamp(found, F.lit(f))) for f in ("d MMM yyyy", "d MMMM yyyy", "d M yyyy")])
