@@ -43,6 +43,10 @@ SECTIONS = [
     ("duties", r"responsibilit(?:y|ies)|duties|what you(?:'ll| will)?(?: be)? (?:do|doing)|role|key tasks|job (?:description|summary|highlights|context)|summary|scope|day to day|activities|overview|highlights|opportunity"),
 ]
 PLAIN_LABELS = r"(?i)^(location|employment(?: type| status)?|vacanc(?:y|ies)|no\.? of vacanc\w+|salary|deadline|application deadline|age|gender|department|job nature|job type|headquarters|url|category|posted|published|apply(?: before| by)?|workplace|working (?:days|hours))$"
+# Whole-line headings written as sentences; statements of equal opportunity; lines that read as headings (patterns).
+PHRASES = r"(?i)^(?:what (?:you(?:'ll| will)?(?: be)? (?:need|bring|do|doing)|we(?:'re| are) looking for)|who you are|about you|your (?:profile|background|skills)|(?:the )?(?:role|job|position)|(?:nice|good) to have|bonus points?|must[- ]haves?|responsibilities|requirements|qualifications|key skills|how we work|why (?:join|work)\b.*)\??$"
+EQUAL = r"(?i)equal (?:employment )?opportunity|non-?discriminat|without regard to|protected (?:class|status|veteran)|affirmative action|reasonable accommodations?"
+HEADING_LIKE = "^[A-Z][^.!?,;:]{0,58}$"
 CUE_NICE = r"(?i)\b(prefer(?:red|ably)?|nice to have|good to have|a plus|plus point|bonus|advantage|desirable|optional|an asset|not mandatory)\b"
 CUE_MUST = r"(?i)\b(must|required|requirement|mandatory|essential|minimum|need(?:s|ed)? to|should have|proficien(?:t|cy)|strong (?:knowledge|understanding|experience|command|background)|hands[- ]on|expert(?:ise)?|solid (?:knowledge|understanding|experience))\b"
 YEARS = r"(?i)(\d+)\s*(?:\+|[–—-]\s*\d+|to\s*\d+)?\s*(?:years?|yrs?)\b"
@@ -103,7 +107,10 @@ def heading(segment: Column, has_skill: Column) -> Column:
     none, no = F.lit(None).cast("string"), F.lit(False)
     labelled = F.when(label.rlike(PLAIN_LABELS), make(none, F.lit(""), no, True)).when(section_type(label).isNotNull(), make(section_type(label), rest, rest != "", False))
     titled = F.when(about, make(F.lit("ignore"), F.lit(""), no, False)).when(section_type(t).isNotNull(), make(section_type(t), F.lit(""), no, False))
-    return F.when(segment.rlike("^[^:]{2,60}?:"), labelled).when(short, titled)
+    phrase = ~has_skill & (F.size(F.split(t, r"\s+")) <= 6) & t.rlike(PHRASES)
+    kind = F.when(t.rlike("(?i)^(?:how we work|why )"), "ignore").otherwise(section_type(t))
+    said = F.when(kind.isNotNull(), make(kind, F.lit(""), no, False))
+    return F.when(segment.rlike("^[^:]{2,60}?:"), labelled).when(phrase, said).when(short, titled)
 
 
 def hits(segs: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -124,8 +131,9 @@ def governed(segs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """
     known = hits(segs, lexicon).select("doc_id", "seg").distinct().withColumn("_hit", F.lit(True))
     h = segs.join(known, ["doc_id", "seg"], "left").withColumn("h", heading(F.col("segment"), F.col("_hit").isNotNull()))
-    plain = F.col("_hit").isNull() & F.col("segment").rlike(r"^[A-Z][A-Za-z' ]{2,47}$") & (F.size(F.split("segment", r"\s+")) <= 6)
-    event = F.when(F.col("h").isNull() & plain, "leave").when(F.col("h.type").isNotNull() & ~F.col("h.inline"), F.col("h.type")).otherwise("")
+    plain = F.col("_hit").isNull() & F.col("segment").rlike(HEADING_LIKE) & (F.size(F.split("segment", r"\s+")) <= 6)
+    equal = F.col("segment").rlike(EQUAL)
+    event = F.when(equal, "ignore").when(F.col("h").isNull() & plain, "leave").when(F.col("h.type").isNotNull() & ~F.col("h.inline"), F.col("h.type")).otherwise("")
     w = Window.partitionBy("doc_id").orderBy("seg")
     # "leave" counts only in an ignored section: the state after each event is that of the last event that
     # is no "leave", unless that one is "ignore" and a "leave" came later
@@ -134,7 +142,7 @@ def governed(segs: DataFrame, lexicon: DataFrame) -> DataFrame:
     state = F.when((F.col("set.ev") == "ignore") & (F.col("left") > F.col("set.seg")), "other").otherwise(F.coalesce("set.ev", F.lit("other")))
     ev = ev.withColumn("section", F.when(F.col("h.inline"), F.col("h.type")).otherwise(state))
     body = F.when(F.col("h").isNotNull(), F.col("h.rest")).otherwise(F.col("segment"))
-    gone = F.coalesce(F.col("h.skip"), F.lit(False)) | ((F.col("ev") == "leave") & (F.col("set.ev") == "ignore"))
+    gone = equal | F.coalesce(F.col("h.skip"), F.lit(False)) | ((F.col("ev") == "leave") & (F.col("set.ev") == "ignore"))
     return ev.where(~gone).select("doc_id", "seg", body.alias("segment"), "section").where("segment <> '' AND section <> 'ignore'")
 
 

@@ -1,7 +1,5 @@
 """Operators on small tables whose answers are stated."""
 
-import datetime
-
 from pyspark.sql import functions as F
 
 from millrace.operators import dedupe, graph, keywords, scoring, state, versions
@@ -126,6 +124,11 @@ def test_tiers(spark):
     assert (c["found"], c["total"], c["mustFound"], c["mustTotal"], c["missing"]) == (2, 3, 1, 1, ["Kubernetes"])
 
 
+def test_equal_opportunity_ends_the_post(spark):
+    d = spark.createDataFrame([(1, "Requirements\nPython\nWe are an equal opportunity employer.\nDocker\nHow we work\nSQL\nWhat you'll need\nExcel")], "doc_id long, text string")
+    assert {r["key"] for r in keywords.extract(d, keywords.lexicon_table(spark)).collect()} == {"python", "excel"}
+
+
 def test_java_is_not_javascript(spark):
     d = spark.createDataFrame([(1, "JavaScript only"), (2, "Java, MySQL")], "doc_id long, text string")
     got = {(r["doc_id"], r["key"]) for r in keywords.extract(d, keywords.lexicon_table(spark)).collect()}
@@ -134,4 +137,3 @@ def test_java_is_not_javascript(spark):
 
 def test_catalogue_has_sql_for_most():
     assert len(catalogue.queries()) > 40 and set(catalogue.oracle_sql()) <= set(catalogue.queries())
-    assert isinstance(datetime.date.today(), datetime.date)
