@@ -104,10 +104,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 def mixed_texts(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the rows of ``docs``, whole ones as often as taken, and the words
     taken in part as a shorter text.  ``docs`` must have unique doc_ids."""
-    m = mix(docs, **how).where("taken > 0").select(F.col("doc_id").alias("_id"), "times", "size", "to_word")
-    m = m.withColumn("_words", F.explode(F.expr("concat(array_repeat(size, cast(times AS int)), filter(array(to_word), x -> x > 0))")))
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.when(F.col("_words") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), "")).otherwise(F.col("text"))
+    m = mix(docs, **how).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("times").alias("_times"), F.col("size").alias("_size"), F.col("to_word").alias("_part"))
+    m = m.withColumn("_words", F.explode(F.expr("concat(array_repeat(_size, cast(_times AS int)), filter(array(_part), x -> x > 0))")))
+    words = F.regexp_extract_all(docs["text"], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.when(F.col("_words") < F.col("_size"), F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), "")).otherwise(docs["text"])
     out = docs.join(m, docs["doc_id"].eqNullSafe(m["_id"]))
     return out.select(*(cut.alias("text") if c == "text" else docs[c] for c in docs.columns))
 
