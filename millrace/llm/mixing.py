@@ -114,3 +114,31 @@ def mixed_texts(docs: DataFrame, **how) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _seats_sql(rows: str, by: str, weight: str, total: str, key: str) -> str:
+    around = lambda sign: f"CASE WHEN sum({weight}) OVER g > 0 THEN floor({weight} * greatest(0.0::DOUBLE, {total} + {sign} * (count(*) OVER g) / 2.0::DOUBLE) / (sum({weight}) OVER g)::DOUBLE + 0.5::DOUBLE) ELSE 0 END"
+    return f"""(WITH r0 AS (SELECT *, greatest(0, {around(-1)} - 1)::BIGINT AS lo, {around(1)} AS hi0 FROM {rows} WINDOW g AS (PARTITION BY {by})),
+ r AS (SELECT *, greatest(lo, hi0 + 1)::BIGINT AS hi, {total} - sum(lo) OVER (PARTITION BY {by}) AS open FROM r0),
+ q AS (SELECT {by} AS g, {key} AS k, open, {weight}::DOUBLE / (2 * unnest(range(lo + 1, hi + 2)) - 1) AS q FROM r WHERE {weight} > 0),
+ won AS (SELECT g, k, count(*) FILTER (n <= open) AS won FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY q DESC, k) AS n FROM q) GROUP BY g, k)
+ SELECT r.* EXCLUDE (lo, hi, hi0, open), r.lo + coalesce(won.won, 0) AS seats FROM r LEFT JOIN won ON r.{by} = won.g AND r.{key} = won.k)"""
+
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS draw FROM documents),
+s1 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s2 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS s FROM s1),
+s3 AS (SELECT *, [{', '.join(map(str, WEIGHTS))}][(s - 1) % {len(WEIGHTS)} + 1] AS w, source_size * {MOST} AS cap FROM s2),
+s4 AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * {SHARE}::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE) / (sum(w) OVER (ORDER BY cap::DOUBLE / w, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM s3),
+s5 AS (SELECT *, max(CASE WHEN cap > level * w THEN level END) OVER () AS water FROM s4),
+s6 AS (SELECT s, source, source_size, CASE WHEN cap <= level * w THEN cap::DOUBLE ELSE water * w END AS target FROM s5),
+b AS (SELECT coalesce(least({BLOCK_BOUNDS[1]}, greatest({BLOCK_BOUNDS[0]}, floor(min(CASE WHEN target > 0 THEN target END) / {BLOCK_PART}))), {BLOCK_BOUNDS[0]})::BIGINT AS block, sum(target) AS total FROM s6),
+s7 AS (SELECT s6.*, b.block, 0 AS one, round(b.total / b.block)::BIGINT AS blocks FROM s6, b),
+s8 AS (SELECT * EXCLUDE (seats), least(seats, floor(source_size * {MOST}::DOUBLE / block))::BIGINT AS quota FROM {_seats_sql('s7', 'one', 'target', 'blocks', 's')}),
+e AS (SELECT d.*, s8.s, source_size, target, block, quota, ('0x' || substr(draw, 1, 8))::BIGINT % greatest(1, ceil(source_size::DOUBLE / {SHARD_WORDS}))::BIGINT AS shard FROM d JOIN s8 ON d.source IS NOT DISTINCT FROM s8.source),
+h1 AS (SELECT s, shard, sum(size)::BIGINT AS shard_size, any_value(quota) AS quota, any_value(block) AS block FROM e GROUP BY s, shard),
+h2 AS (SELECT s, shard, shard_size, least(seats * block, shard_size * {MOST}) AS words FROM {_seats_sql('h1', 's', 'shard_size', 'quota', 'shard')}),
+t AS (SELECT e.*, shard_size, words, sum(size) OVER (PARTITION BY e.s, e.shard ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS at_word, CASE WHEN shard_size > 0 THEN floor(words::DOUBLE / shard_size)::BIGINT ELSE 0 END AS times FROM e JOIN h2 ON e.s = h2.s AND e.shard = h2.shard)
+SELECT doc_id, size, source_size, target, (times * size + greatest(0, least(size, words - times * shard_size - at_word)))::BIGINT AS taken FROM t
+"""

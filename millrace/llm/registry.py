@@ -17,7 +17,11 @@ QUERIES = {
     "op9_quality": "quality",
     "op10_toxicity": "toxicity",
 }
-SQL = {"op5_exact_dedup": ("exact_dedup", "OP5_SQL")}
+SQL = {
+    "op3_embedding_dedup": ("embed_dedup", "OP3_SQL"),
+    "op5_exact_dedup": ("exact_dedup", "OP5_SQL"),
+    "op7_mixing": ("mixing", "OP7_SQL"),
+}
 
 
 def _module(name: str):
