@@ -1,13 +1,12 @@
 """Entity resolution: one row for postings that different boards carry.
 
 Edges come from equal keys (each row to the first of its key) and from near copies within
-one company.  Near copies share a title token, so candidates are an equality join on
-(company, token); the first shared token alone makes the pair, so each is made once.
+one company, found by equality joins on rare title tokens and on bands of signatures.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -59,19 +58,32 @@ def key_edges(keyed: DataFrame, key: str, node: str = "seq") -> DataFrame:
 def near_edges(keyed: DataFrame, threshold: float = fixed.TITLE_JACCARD, distance: int = fixed.SIMHASH_DISTANCE) -> DataFrame:
     """Pairs of one company with close titles, or with close texts and a shared title token.
 
-    Rows alike in company, tokens and signature are compared once, by their first row.
+    Rows alike in company, tokens and signature are compared once, by their first row.  Titles
+    at or over the threshold share one of their rarest tokens (as many as may be missing, and
+    one), so only those are joined on; signatures within the distance share one of
+    ``distance + 1`` bands.  Neither join meets on common tokens.
     """
     alike = keyed.groupBy("norm_company", F.array_sort("title_tokens").alias("tokens"), "sim").agg(F.min("seq").alias("seq"))
-    t = alike.select("seq", "norm_company", "tokens", "sim", F.explode("tokens").alias("token"))
-    u = t.select(*[F.col(c).alias(f"{c}2") for c in t.columns])
-    both = t.join(u, (F.col("norm_company") == F.col("norm_company2")) & (F.col("token") == F.col("token2")) & (F.col("seq") < F.col("seq2")))
-    once = F.col("token") == F.array_min(F.array_intersect("tokens", "tokens2"))
-    body = (F.col("sim") != 0) & (F.col("sim2") != 0) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("sim2"))) <= distance)
-    pairs = both.where(once & (body | (jaccard(F.col("tokens"), F.col("tokens2")) >= threshold))).select(F.col("seq").alias("a"), F.col("seq2").alias("b"))
-    # equal titles with tokens are close; equal signatures need a shared token, which equal titles have
-    same = keyed.where(F.size("title_tokens") > 0).join(alike.select("norm_company", "tokens", "sim", F.col("seq").alias("b")), ["norm_company", "sim"])
-    same = same.where(F.array_sort("title_tokens") == F.col("tokens")).select(F.col("seq").alias("a"), "b").where("a <> b")
-    return pairs.unionByName(same)
+    alike = materialise(alike.where(F.size("tokens") > 0), "alike")
+    each = alike.select("seq", F.explode("tokens").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("n"))
+    rare = each.join(often, "token").groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("r"))  # a title's tokens
+    need = F.size("r") - F.ceil(F.size("r") * F.lit(threshold) - 1e-9) + 1
+    prefix = alike.join(rare, "seq").select("seq", "norm_company", "tokens", F.explode(F.slice("r", F.lit(1), need.cast("int"))["token"]).alias("key"))
+    cuts = [64 * i // (distance + 1) for i in range(distance + 2)]
+    bands = [F.concat_ws(":", F.lit(i), F.shiftrightunsigned("sim", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).cast("string")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    banded = alike.where("sim <> 0").select("seq", "norm_company", "tokens", "sim", F.explode(F.array(*bands)).alias("key"))
+
+    def met(t: DataFrame, fits: Column) -> DataFrame:
+        u = t.select(*[F.col(c).alias(f"{c}2") for c in t.columns])
+        same = (F.col("norm_company") == F.col("norm_company2")) & (F.col("key") == F.col("key2")) & (F.col("seq") < F.col("seq2"))
+        return t.join(u, same & fits).select(F.col("seq").alias("a"), F.col("seq2").alias("b"))
+
+    titles = met(prefix, jaccard(F.col("tokens"), F.col("tokens2")) >= threshold)
+    texts = met(banded, (F.bit_count(F.col("sim").bitwiseXOR(F.col("sim2"))) <= distance) & F.arrays_overlap("tokens", "tokens2"))
+    first = alike.select(F.col("norm_company").alias("_c"), F.col("tokens").alias("_t"), F.col("sim").alias("_s"), F.col("seq").alias("b"))
+    copies = keyed.join(first, (F.col("norm_company") == F.col("_c")) & (F.col("sim") == F.col("_s")) & (F.array_sort("title_tokens") == F.col("_t"))).select(F.col("seq").alias("a"), "b").where("a <> b")
+    return titles.unionByName(texts).unionByName(copies).distinct()
 
 
 def groups(keyed: DataFrame) -> DataFrame:

@@ -41,6 +41,38 @@ def test_deduplicate(spark):
     assert len(got[2]["sources"]) == 2
 
 
+def test_near_edges_against_all_pairs(spark):
+    import itertools
+    import random
+
+    rng = random.Random(8)
+    words = "audit build cloud data email finance graph hotel image journal".split()
+    posts = []
+    for i in range(120):
+        title = " ".join(rng.sample(words, rng.randint(1, 6)))
+        text = " ".join(rng.choice(words) for _ in range(12)) if i % 3 else "same long text about careful daily testing of web systems " + rng.choice(words)
+        posts.append(post(i, title, rng.choice(["Acme", "Bolt"]), f"https://x.example/{i}", text))
+    keyed = dedupe.canonical(rows(spark, posts)).cache()
+    k = keyed.select("seq", "norm_company", "title_tokens", "sim").collect()
+
+    def near(p, q):
+        a, b = set(p["title_tokens"]), set(q["title_tokens"])
+        close = a and b and len(a & b) / len(a | b) >= 0.72
+        body = p["sim"] and q["sim"] and ((p["sim"] ^ q["sim"]) & ((1 << 64) - 1)).bit_count() <= 6
+        return p["norm_company"] == q["norm_company"] and (close or (body and a & b))
+
+    def roots(edges):
+        root = {r["seq"]: r["seq"] for r in k}
+        for _ in range(len(k)):
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    want = [(p["seq"], q["seq"]) for p, q in itertools.combinations(k, 2) if near(p, q)]
+    got = [(r["a"], r["b"]) for r in dedupe.near_edges(keyed).collect()]
+    assert {tuple(sorted(e)) for e in got} <= {tuple(sorted(e)) for e in want} and roots(got) == roots(want)
+
+
 def test_simhash_of_few_words(spark):
     df = spark.createDataFrame([("",), ("ab",), ("alpha beta",), ("alpha beta gamma delta",)], "t string")
     got = [r[0] for r in df.select(dedupe.simhash(F.col("t"))).collect()]
