@@ -543,9 +543,15 @@ def o2_8_summary_line(spark, sf_dir):
     return scored_parts(spark, sf_dir).withColumn("salaryText", F.lit("")).select("seq", state.summary_line().alias("line"))
 
 
+def _all() -> None:
+    from . import stated  # noqa: F401  registers its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(SQL)
