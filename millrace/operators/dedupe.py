@@ -27,11 +27,11 @@ def simhash(text: Column) -> Column:
     hashes = F.transform(F.transform(F.array(w), shingles)[0], lambda x: F.conv(F.substring(F.md5(x), 17, 16), 16, -10).cast("bigint"))
 
     def vote(h: Column) -> Column:
-        bit = lambda i: F.aggregate(h, F.lit(0), lambda a, x: a + F.when(F.shiftrightunsigned(x, i).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1))
-        total = F.lit(0).cast("bigint")
-        for i in range(64):
-            total = total.bitwiseOR(F.when(bit(i) > 0, F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-        return total
+        def bit(acc: Column, i: Column) -> Column:
+            ones = F.aggregate(h, F.lit(0).cast("bigint"), lambda a, x: a + F.call_function("shiftrightunsigned", x, i).bitwiseAND(F.lit(1)))
+            return acc.bitwiseOR(F.when(ones * 2 > F.size(h), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), bit)
 
     return F.when(F.size(w) == 0, F.lit(0).cast("bigint")).otherwise(F.transform(F.array(hashes), vote)[0])
 
@@ -96,10 +96,10 @@ def groups(keyed: DataFrame) -> DataFrame:
 def merge_groups(grouped: DataFrame) -> DataFrame:
     """One row a group: the richest posting, its blanks filled from the others in order, all
     sightings kept.  Groups are summed with ordered minima, never gathered."""
-    has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    has = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
     first = lambda value, ok: F.min(F.when(ok, F.struct("seq", value)))
     size = lambda c: F.length(F.coalesce(F.col(c), F.lit("")))
-    base = F.max(F.struct(size("description").alias("n"), size("requiredSkills").alias("m"), (-F.col("seq")).alias("first"), F.struct(*[F.col(c) for c in grouped.columns]).alias("row")))
+    base = F.max_by(F.struct(*grouped.columns), F.struct(size("description"), size("requiredSkills"), -F.col("seq")))
     pay = F.struct("salaryMin", "salaryMax", "salaryText")
     agg = grouped.groupBy("group_id").agg(
         base.alias("base"),
@@ -110,8 +110,8 @@ def merge_groups(grouped: DataFrame) -> DataFrame:
         first(F.struct("area", "distanceKm").alias("v"), has("area")).alias("place"),
         F.min(F.when(has("postedAt"), F.col("postedAt"))).alias("posted"),
     )
-    r = F.col("base.row")
-    keep = lambda c: F.coalesce(F.when(r[c] != "", r[c]), F.col(f"f_{c}.v"), r[c])
+    r = F.col("base")
+    keep = lambda c: F.coalesce(F.when(r[c].cast("string") != "", r[c]), F.col(f"f_{c}.v"), r[c])
     own = F.coalesce(r["area"], F.lit("")) != ""
     fill = {c: keep(c) for c in ("deadline", "employmentType", "experienceText", "requiredSkills")}
     stated = r["salaryMin"].isNotNull()
@@ -126,7 +126,7 @@ def merge_groups(grouped: DataFrame) -> DataFrame:
         "distanceKm": F.when(own | F.col("place").isNull(), r["distanceKm"]).otherwise(F.col("place.v.distanceKm")),
         "postedAt": F.coalesce("posted", r["postedAt"]),
     }
-    out = agg.select("group_id", "n_merged", *[fill.get(c, r[c]).alias(c) for c in grouped.columns if c not in ("group_id", "source")])
+    out = agg.select("group_id", "n_merged", *[fill.get(c, r[c]).alias(c) for c in grouped.columns if c not in ("group_id", "source", "sources")])
     return out.join(sightings(grouped), "group_id")
 
 
