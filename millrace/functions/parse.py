@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import clean_ws, normalize_title, slug, text_or_empty, words
+from .text import clean_ws, let, normalize_title, slug, text_or_empty, words
 
 _NUM = r"(\d[\d,\.]*)"
 _CUR, _UNIT = rf"(?:{fixed.CURRENCY})", rf"({fixed.UNIT})?"
@@ -19,32 +19,40 @@ YEARS = r"(?i)(\d+)\s*(?:\+|[–—-]\s*\d+|to\s*\d+)?\s*(?:years?|yrs?)\b"
 
 def amount(number: Column, unit: Column) -> Column:
     """Digits and unit to whole currency; under 1000 counts as thousands; halves to even."""
-    v = F.translate(number, ",", "").try_cast("double")
     u = F.lower(text_or_empty(unit))
-    v = F.when(u.isin("k", "thousand"), v * 1000).when(u.isin("lakh", "lac"), v * 100000).otherwise(v)
-    return F.bround(F.when(v < 1000, v * 1000).otherwise(v), 0).cast("int")
+    times = F.when(u.isin("k", "thousand"), 1000).when(u.isin("lakh", "lac"), 100000).otherwise(1)
+    return let(F.translate(number, ",", "").try_cast("double") * times, lambda v: F.bround(F.when(v < 1000, v * 1000).otherwise(v), 0).cast("int"))
 
 
 def parse_salary(c: Column) -> Column:
     """struct(lo int, hi int, text): a range, else one amount with currency, else "Negotiable", else blank."""
-    t = clean_ws(c)
-    g = lambda p, k: F.regexp_extract(t, p, k)
-    a, b = amount(g(RANGE, 1), g(RANGE, 2)), amount(g(RANGE, 3), g(RANGE, 4))
-    both = (a != 0) & (b != 0)
-    lo, hi = F.when(both, F.least(a, b)).otherwise(a), F.when(both, F.greatest(a, b)).otherwise(b)
-    money = lambda x: F.format_number(x, 0)
-    ranged = F.concat(F.lit("Tk "), money(lo), F.when(hi != 0, F.concat(F.lit(" - "), money(hi))).otherwise(""))
     none = F.lit(None).cast("int")
+    money = lambda x: F.format_number(x, 0)
     out = lambda x, y, s: F.struct(x.alias("lo"), y.alias("hi"), s.alias("text"))
-    one = lambda p: amount(g(p, 1), g(p, 2))
-    single = lambda p: out(one(p), none, F.concat(F.lit("Tk "), money(one(p))))
-    return (
-        F.when((g(RANGE, 1) != "") & (lo != 0), out(lo, hi, ranged))
-        .when((g(PREFIXED, 1) != "") & (one(PREFIXED) != 0), single(PREFIXED))
-        .when((g(SUFFIXED, 1) != "") & (one(SUFFIXED) != 0), single(SUFFIXED))
-        .when(t.rlike(f"(?i){fixed.NEGOTIABLE}"), out(none, none, F.lit("Negotiable")))
-        .otherwise(out(none, none, F.lit("")))
-    )
+
+    def ordered(v: Column) -> Column:
+        a, b = v["a"], v["b"]
+        both = (a != 0) & (b != 0)
+        return F.struct(F.when(both, F.least(a, b)).otherwise(a).alias("lo"), F.when(both, F.greatest(a, b)).otherwise(b).alias("hi"))
+
+    def choose(v: Column) -> Column:
+        r = v["r"]
+        ranged = F.concat(F.lit("Tk "), money(r["lo"]), F.when(r["hi"] != 0, F.concat(F.lit(" - "), money(r["hi"]))).otherwise(""))
+        single = lambda x: out(x, none, F.concat(F.lit("Tk "), money(x)))
+        return (
+            F.when(r["lo"] != 0, out(r["lo"], r["hi"], ranged))
+            .when(v["p"] != 0, single(v["p"]))
+            .when(v["s"] != 0, single(v["s"]))
+            .when(v["t"].rlike(f"(?i){fixed.NEGOTIABLE}"), out(none, none, F.lit("Negotiable")))
+            .otherwise(out(none, none, F.lit("")))
+        )
+
+    def found(t: Column) -> Column:
+        at = lambda p, k: amount(F.regexp_extract(t, p, k), F.regexp_extract(t, p, k + 1))  # noqa: E731  no match: null
+        both = let(F.struct(at(RANGE, 1).alias("a"), at(RANGE, 3).alias("b")), ordered)
+        return let(F.struct(t.alias("t"), both.alias("r"), at(PREFIXED, 1).alias("p"), at(SUFFIXED, 1).alias("s")), choose)
+
+    return let(clean_ws(c), found)
 
 
 def pay_text(c: Column) -> Column:
@@ -62,18 +70,21 @@ def monthly_pay(value: Column, unit: Column, currency: Column, home: str = "BDT"
 
 def parse_date(c: Column, as_of: Column) -> Column:
     """Date in any of the known formats, or relative to ``as_of``; null where none fits."""
-    t = F.trim(F.replace(F.replace(clean_ws(c), F.lit("Deadline:"), F.lit("")), F.lit("Published:"), F.lit("")))
     ago = r"(?i)(\d+)\s*(day|days|hour|hours|week|weeks)\s*ago"
-    n, unit = F.regexp_extract(t, ago, 1).try_cast("int"), F.lower(F.regexp_extract(t, ago, 2))
-    days = F.when(unit.startswith("day"), n).when(unit.startswith("hour"), F.lit(0)).otherwise(n * 7)
-    head = F.initcap(F.lower(F.trim(F.substring(t, 1, 40))))
-    head = F.regexp_replace(head, "^(Mon|Tue|Wed|Thu|Fri|Sat|Sun), ", "")
-    head = F.regexp_replace(head, "^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})t([0-9:]+)(z?)", "$1T$2$3")
-    exact = F.coalesce(*[F.to_date(F.try_to_timestamp(head, F.lit(f))) for f in fixed.DATE_FORMATS])
     loose = r"(\d{1,2})[\s/-]([A-Za-z]{3,9}|\d{1,2})[\s/-](\d{4})"
-    found = F.initcap(F.lower(F.concat_ws(" ", *[F.regexp_extract(t, loose, k) for k in (1, 2, 3)])))
-    inside = F.coalesce(*[F.to_date(F.try_to_timestamp(found, F.lit(f))) for f in ("d MMM yyyy", "d MMMM yyyy", "d M yyyy")])
-    return F.when(t.rlike(ago), F.date_sub(as_of, days)).when(t.rlike(r"(?i)\btoday\b"), as_of).otherwise(F.coalesce(exact, inside))
+    first = lambda v, formats: F.coalesce(*[F.to_date(F.try_to_timestamp(v, F.lit(f))) for f in formats])
+
+    def read(t: Column) -> Column:
+        n, unit = F.regexp_extract(t, ago, 1).try_cast("int"), F.lower(F.regexp_extract(t, ago, 2))
+        days = F.when(unit.startswith("day"), n).when(unit.startswith("hour"), F.lit(0)).otherwise(n * 7)
+        head = F.initcap(F.lower(F.trim(F.substring(t, 1, 40))))
+        head = F.regexp_replace(head, "^(Mon|Tue|Wed|Thu|Fri|Sat|Sun), ", "")
+        head = F.regexp_replace(head, "^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})t([0-9:]+)(z?)", "$1T$2$3")
+        found = F.initcap(F.lower(F.concat_ws(" ", *[F.regexp_extract(t, loose, k) for k in (1, 2, 3)])))
+        dated = F.coalesce(let(head, lambda v: first(v, fixed.DATE_FORMATS)), let(found, lambda v: first(v, ("d MMM yyyy", "d MMMM yyyy", "d M yyyy"))))
+        return F.when(t.rlike(ago), F.date_sub(as_of, days)).when(t.rlike(r"(?i)\btoday\b"), as_of).otherwise(dated)
+
+    return let(F.trim(F.replace(F.replace(clean_ws(c), F.lit("Deadline:"), F.lit("")), F.lit("Published:"), F.lit(""))), read)
 
 
 def years_required(c: Column) -> Column:
@@ -99,11 +110,16 @@ def resolve_area(location: Column, description: Column, areas: dict = fixed.AREA
     hay = F.concat(F.lit(" "), slug(location), F.lit(" "))
     hay2 = F.concat(F.lit(" "), slug(start), F.lit(" "))
     first = lambda h: F.get(F.filter(names, lambda n: F.contains(h, F.concat(F.lit(" "), n, F.lit(" ")))), F.lit(0))
-    name = F.coalesce(first(hay), first(hay2))
     remote = F.concat_ws(" ", text_or_empty(location), start).rlike(rf"(?i)\b({fixed.REMOTE})\b")
-    km = haversine_km(F.lit(home[0]), F.lit(home[1]), F.try_element_at(lat, name), F.try_element_at(lon, name))
-    area = F.when(name.isNotNull(), F.initcap(name)).when(remote, F.lit("Remote")).when(F.contains(hay, F.lit("dhaka")), F.lit("Dhaka (area not stated)")).otherwise("")
-    return F.struct(area.alias("area"), F.when(name.isNotNull(), km).when(remote, F.lit(0.0)).alias("km"), remote.alias("remote"))
+
+    def build(v: Column) -> Column:
+        name = v["name"]
+        km = haversine_km(F.lit(home[0]), F.lit(home[1]), F.try_element_at(lat, name), F.try_element_at(lon, name))
+        area = F.when(name.isNotNull(), F.initcap(name)).when(v["remote"], F.lit("Remote")).when(v["capital"], F.lit("Dhaka (area not stated)")).otherwise("")
+        return F.struct(area.alias("area"), F.when(name.isNotNull(), km).when(v["remote"], F.lit(0.0)).alias("km"), v["remote"].alias("remote"))
+
+    name = F.coalesce(let(hay, first), let(hay2, first))
+    return let(F.struct(name.alias("name"), remote.alias("remote"), F.contains(hay, F.lit("dhaka")).alias("capital")), build)
 
 
 def foreign_country(location: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -27,6 +28,11 @@ def accent_table() -> tuple[str, str]:
     return "".join(marked), "".join(plain)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, where an expression needs it often."""
+    return F.transform(F.array(value), lambda x: use(x))[0]
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -85,7 +91,7 @@ def normalize_company(c: Column) -> Column:
     s = F.regexp_replace(s, r"\b([a-z])\.\s*(?=[a-z]\.)", "$1")
     s = without_words(F.translate(s, "./", "  "), fixed.COMPANY_NOISE)
     s = collapse(F.regexp_replace(s, r"\bthe\b", " "))
-    return F.when(s != "", s).otherwise(slug(c))
+    return let(s, lambda x: F.when(x != "", x).otherwise(slug(c)))
 
 
 def normalize_title(c: Column, drop_seniority: bool = False) -> Column:
@@ -134,19 +140,22 @@ def first_email(c: Column) -> Column:
 def canonical_url(c: Column) -> Column:
     """Lower-case url whose query has neither tracking nor blank parameters, sorted, without
     fragment and slashes at the end of the path."""
-    u = F.lower(F.trim(text_or_empty(c)))
-    part = lambda k: F.regexp_extract(u, r"^(?:([a-z][a-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?", k)
-    pairs = F.transform(F.split(part(4), "&"), lambda p: F.struct(F.split(p, "=", 2)[0].alias("k"), F.coalesce(F.get(F.split(p, "=", 2), F.lit(1)), F.lit("")).alias("v")))
-    kept = F.array_sort(F.filter(pairs, lambda p: (p["v"] != "") & ~p["k"].rlike(f"^({fixed.TRACKING})")))
     plain = lambda x: F.url_encode(F.coalesce(F.try_url_decode(x), x))
-    query = F.array_join(F.transform(kept, lambda p: F.concat(plain(p["k"]), F.lit("="), plain(p["v"]))), "&")
-    out = F.concat(
-        F.when(part(1) != "", F.concat(part(1), F.lit(":"))).otherwise(""),
-        F.when(part(2) != "", F.concat(F.lit("//"), part(2))).otherwise(""),
-        F.regexp_replace(part(3), "/+$", ""),
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-    )
-    return F.when(u == "", F.lit("")).otherwise(out)
+
+    def build(u: Column) -> Column:
+        part = lambda k: F.regexp_extract(u, r"^(?:([a-z][a-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?", k)
+        pairs = F.transform(F.split(part(4), "&"), lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.regexp_extract(p, "^[^=]*=(.*)$", 1).alias("v")))
+        kept = F.array_sort(F.filter(pairs, lambda p: (p["v"] != "") & ~p["k"].rlike(f"^({fixed.TRACKING})")))
+        query = F.array_join(F.transform(kept, lambda p: F.concat(plain(p["k"]), F.lit("="), plain(p["v"]))), "&")
+        out = F.concat(
+            F.when(part(1) != "", F.concat(part(1), F.lit(":"))).otherwise(""),
+            F.when(part(2) != "", F.concat(F.lit("//"), part(2))).otherwise(""),
+            F.regexp_replace(part(3), "/+$", ""),
+            let(query, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")),
+        )
+        return F.when(u == "", F.lit("")).otherwise(out)
+
+    return let(F.lower(F.trim(text_or_empty(c))), build)
 
 
 def fingerprint(company: Column, title: Column, area: Column) -> Column:
