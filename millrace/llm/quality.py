@@ -153,11 +153,25 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(a * np.log(e / (1 - e)) + b, -30, 30)))
 
 
+def _batches(texts: list[bytes], most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about ``most`` bytes together; a longer text is alone."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) < most):
+            size += len(texts[end])
+            end += 1
+        yield at, end
+        at = end
+
+
 def fit(texts: list[bytes], labels: np.ndarray) -> Field | float:
     """A field from labelled texts; only a share where there is one class or none."""
     if len(set(labels.tolist())) < 2:
         return float(labels.mean()) if len(labels) else 0.5
-    x, _, per_text = line_features([t[: FIT_BYTES + (t[FIT_BYTES:] + b"\n").find(b"\n")] for t in texts])
+    starts = [t[: FIT_BYTES + (t[FIT_BYTES:] + b"\n").find(b"\n")] for t in texts]
+    parts = [line_features(starts[a:b]) for a, b in _batches(starts, BATCH_BYTES // 4)]
+    x, per_text = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
     y = np.repeat(labels, per_text).astype(float)
     mean, spread = x.mean(0), x.std(0)
     mean[0], spread[0] = 0, 1
@@ -178,8 +192,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Field | float:
             v[k] = 0.999 * v[k] + 0.001 * grad**2
             value += 0.1 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
     field = Field(w, trans, mean, spread)
-    parts = [field.evidence(texts[i : i + 500]) for i in range(0, len(texts), 500)]
-    e = np.clip(np.concatenate(parts), 1e-6, 1 - 1e-6)
+    e = np.clip(np.concatenate([field.evidence(texts[a:b]) for a, b in _batches(texts, BATCH_BYTES // 4)]), 1e-6, 1 - 1e-6)
     odds = np.log(e / (1 - e))
     order = np.argsort(odds)
     s, good = odds[order], labels[order] == 1
@@ -209,15 +222,8 @@ def score(docs: DataFrame, field: Field | float, text: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = [(t or "").encode() for t in batch.column(text).to_pylist()]
-            out, at = [np.empty(0)], 0
-            while at < len(cells):
-                end, size = at, 0
-                while end < len(cells) and (end == at or size + len(cells[end]) < BATCH_BYTES):
-                    size += len(cells[end])
-                    end += 1
-                out.append(np.full(end - at, field) if isinstance(field, float) else field.score(cells[at:end]))
-                at = end
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], [*batch.schema.names, "quality_score"])
+            out = [np.full(b - a, field) if isinstance(field, float) else field.score(cells[a:b]) for a, b in _batches(cells)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.empty(0), *out]))], [*batch.schema.names, "quality_score"])
 
     docs = docs.drop("quality_score")
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
