@@ -62,3 +62,13 @@ def test_sinks(spark, tmp_path):
 
 def test_queries_keep_first_spelling(spark):
     assert landed.build_queries(spark, ["QA  Engineer", "qa engineer", "Dev"], []) == ["QA Engineer", "Dev"]
+
+
+def test_listing_stops_at_a_short_page(spark, tmp_path):
+    from millrace.sources import datasource
+
+    for name, n in (("1", 2), ("2", 1), ("3", 2)):
+        (tmp_path / f"{name}.json").write_text(json.dumps([{"id": i, "link": f"https://b.example/{name}{i}", "title": {"rendered": f"T{name}{i} | Acme"}} for i in range(n)]))
+    datasource.register(spark)
+    pages = spark.read.format("landed_listing").option("path", str(tmp_path)).option("per_page", 2).load()
+    assert sorted(r["title"] for r in landed.wordpress(pages, day()).collect()) == ["T10", "T11", "T20"]
