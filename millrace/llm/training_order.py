@@ -116,15 +116,13 @@ def _walk_steps(n: int, bits: int) -> int:
 
 def ordered(docs: DataFrame, ranks: str, length: int = LENGTH, shard_slots: int = SHARD_SLOTS, key: str = KEY) -> DataFrame:
     """(slot, shard, seq, doc_id, part, n_tokens, ids), dealt by shard and sorted by slot."""
-    spark = docs.sparkSession
     seqs = materialise(sequences(docs, ranks, length), "sequences")
     n = seqs.count()
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = numbered(seqs)
     rows = slots(rows, n, key).withColumn("shard", F.floor(F.col("slot") / shard_slots))
     rows = rows.withColumn("slot", F.when(F.col("slot") < n, F.col("slot")).otherwise(F.raise_error(F.lit("a slot lies outside; raise the steps of the walk"))))
     rows = rows.select("slot", "shard", "seq", "doc_id", "part", "n_tokens", "ids")
-    return rows.repartitionByRange(max(1, min(tasks, -(-n // shard_slots))), "shard").sortWithinPartitions("slot")
+    return rows.repartitionByRange(max(1, -(-n // shard_slots)), "shard").sortWithinPartitions("slot")
 
 
 def write_shards(rows: DataFrame, path: str) -> None:
