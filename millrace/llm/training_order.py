@@ -109,42 +109,77 @@ def slots(rows: DataFrame, n: int, key: str = KEY, seq: str = "seq") -> DataFram
 
 def _walk_steps(n: int, bits: int) -> int:
     size = 1 << (2 * bits)
-    if size <= n:
+    if n == 0 or size <= n:
         return 1
     return min(size, int(np.ceil(np.log(1e-18 / n) / np.log(1 - n / size))) + 1)
 
 
-def ordered(docs: DataFrame, ranks: str, length: int = LENGTH, shard_slots: int = SHARD_SLOTS, key: str = KEY) -> DataFrame:
-    """(slot, shard, seq, doc_id, part, n_tokens, ids), dealt by shard and sorted by slot."""
-    seqs = materialise(sequences(docs, ranks, length), "sequences")
+def placed(docs: DataFrame, ranks: str, length: int = LENGTH, shard_slots: int = SHARD_SLOTS, key: str = KEY, path: str | None = None) -> tuple[DataFrame, int]:
+    """(slot, shard, seq, doc_id, part, n_tokens, ids) in no order, and the number of shards.
+    ``path``: the folder of the table of sequences."""
+    seqs, path = sequences(docs, ranks, length), path or new_path(docs.sparkSession, "sequences")
+    seqs.write.option("compression", "zstd").parquet(path)
+    seqs = docs.sparkSession.read.schema(seqs.schema).parquet(path)
     n = seqs.count()
     rows = numbered(seqs)
     rows = slots(rows, n, key).withColumn("shard", F.floor(F.col("slot") / shard_slots))
     rows = rows.withColumn("slot", F.when(F.col("slot") < n, F.col("slot")).otherwise(F.raise_error(F.lit("a slot lies outside; raise the steps of the walk"))))
-    rows = rows.select("slot", "shard", "seq", "doc_id", "part", "n_tokens", "ids")
-    return rows.repartitionByRange(max(1, -(-n // shard_slots)), "shard").sortWithinPartitions("slot")
+    return rows.select("slot", "shard", "seq", "doc_id", "part", "n_tokens", "ids"), max(1, -(-n // shard_slots))
+
+
+def dealt(rows: DataFrame, shards: int) -> DataFrame:
+    """One shard a partition, sorted by slot."""
+    return rows.repartitionByRange(shards, "shard").sortWithinPartitions("slot")
+
+
+def ordered(docs: DataFrame, ranks: str, length: int = LENGTH, shard_slots: int = SHARD_SLOTS, key: str = KEY) -> DataFrame:
+    """(slot, shard, seq, doc_id, part, n_tokens, ids), dealt by shard and sorted by slot."""
+    return dealt(*placed(docs, ranks, length, shard_slots, key))
 
 
 def write_shards(rows: DataFrame, path: str) -> None:
-    """Write records as raw files ``path/shard=<k>/part-*``: ids, then two zero bytes."""
+    """Write records as raw files ``path/shard=<k>/part-*``: ids, then two zero bytes.
+
+    The writer asks for rows sorted by shard and, where they are not, sorts by it alone, and
+    a sort by slot before that is optimised away; so the sort here begins with shard.
+    """
+    rows = rows.sortWithinPartitions("shard", "slot")
     rows.select("shard", F.col("ids").cast("string").alias("value")).write.option("lineSep", END_MARK).partitionBy("shard").text(path)
 
 
 def read_shards(spark: SparkSession, path: str, stride: int, shard_slots: int = SHARD_SLOTS, start: int = 0) -> DataFrame:
     """(slot, ids) from slot ``start`` on; shards before it are not read."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("shard").cast("bigint").alias("shard"), "content", "length")
-    files = files.where(F.col("shard") >= start // shard_slots)
-    rec = files.select("shard", "content", F.explode(F.expr(f"sequence(0L, length div {stride} - 1)")).alias("k"))
-    out = rec.select((F.col("shard") * shard_slots + F.col("k")).alias("slot"), F.expr(f"substring(content, cast(k * {stride} + 1 AS int), {stride - len(END_MARK)})").alias("ids"))
-    return out.where(F.col("slot") >= start)
+    files = spark.read.format("binaryFile").load(path)
+    if "shard" not in files.columns:  # no sequence, no file
+        return spark.createDataFrame([], "slot bigint, ids binary")
+    files = files.select(F.col("shard").cast("bigint").alias("shard"), "content").where(F.col("shard") >= start // shard_slots)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
+                data = np.frombuffer(content.as_buffer(), np.uint8)
+                if len(data) % stride:
+                    raise ValueError(f"shard {shard}: {len(data)} bytes are no records of {stride}")
+                ids = np.ascontiguousarray(data.reshape(-1, stride)[:, : stride - len(END_MARK)])
+                at = np.arange(len(ids) + 1, dtype=np.int32) * ids.shape[1]
+                records = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(at), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([pa.array(shard * shard_slots + np.arange(len(ids))), records], ["slot", "ids"])
+
+    return files.mapInArrow(cut, "slot bigint, ids binary").where(F.col("slot") >= start)
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each sequence of ``documents`` with its slot, its place in the shards and a digest of
-    its record; rows lie in slot order within range partitions."""
-    rows = ordered(table(spark, sf_dir, "documents"), rank_file())
+    """Write the shards of ``documents``; each sequence with its slot, its place in the shards
+    and a digest of the record that the files hold there (null if they hold none)."""
+    own, path = new_path(spark, "sequences"), new_path(spark, "shards")
+    rows, shards = placed(table(spark, sf_dir, "documents"), rank_file(), path=own)
+    places = materialise(rows.drop("ids"), "places")
+    write_shards(dealt(rows, shards), path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(own)  # the shards hold the ids now, and places the rest
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     stride = LENGTH * 2 + len(END_MARK)
-    return rows.select("slot", "shard", ((F.col("slot") % SHARD_SLOTS) * stride).alias("byte_offset"), "doc_id", "part", "n_tokens", F.md5("ids").alias("record_md5"))
+    records = read_shards(spark, path, stride).select("slot", F.md5("ids").alias("record_md5"))
+    return places.join(records, "slot", "left").select("slot", "shard", ((F.col("slot") % SHARD_SLOTS) * stride).alias("byte_offset"), "doc_id", "part", "n_tokens", "record_md5")
 
 
 def materialise_order(docs: DataFrame, ranks: str, path: str | None = None, **how) -> str:

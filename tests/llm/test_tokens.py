@@ -1,5 +1,6 @@
 """BPE and training order: equal to the public library, exact round trips, permutations."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -91,3 +92,31 @@ def test_shards_round_trip_and_resume(spark, tmp_path, public):
     assert sorted(r["slot"] for r in tail.collect()) == list(range(n - 5, n))
     assert training_order.ordered(df.where("false"), bpe.rank_file()).count() == 0
     assert rows.where(F.col("shard") != F.floor(F.col("slot") / 8)).count() == 0
+
+
+def test_written_shards_lie_in_slot_order_without_a_cache(spark, tmp_path):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("text"), F.col("id")).alias("text"))
+    rows = training_order.ordered(df, bpe.rank_file(), length=16, shard_slots=500)
+    training_order.write_shards(rows, str(tmp_path / "shards"))
+    back = {r["slot"]: bytes(r["ids"]) for r in training_order.read_shards(spark, str(tmp_path / "shards"), 34, 500).collect()}
+    assert back == {r["slot"]: bytes(r["ids"]) for r in rows.collect()} and len(back) == 3000
+    # materialise_order: each document holds its number, so equal tables of one partition are numbered alike
+    df = df.where("doc_id < 400").coalesce(1)
+    want = {r["slot"]: bytes(r["ids"]) for r in training_order.ordered(df, bpe.rank_file(), length=16, shard_slots=100).collect()}
+    path = training_order.materialise_order(df, bpe.rank_file(), length=16, shard_slots=100)
+    assert {r["slot"]: bytes(r["ids"]) for r in training_order.read_shards(spark, path, 34, 100).collect()} == want
+
+
+def test_op1_writes_shards_and_digests_what_they_hold(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(training_order, "SHARD_SLOTS", 64)
+    monkeypatch.setattr(training_order, "new_path", lambda s, name, make=training_order.new_path: written.append(make(s, name)) or written[-1])
+    monkeypatch.setattr(training_order.read_shards, "__defaults__", (64, 0))
+    monkeypatch.setattr(training_order.placed, "__defaults__", (training_order.LENGTH, 64, training_order.KEY, None))
+    rows = training_order.op1_training_order(spark, "/root/testdata/sf0.001").collect()
+    stride = training_order.LENGTH * 2 + 2
+    files = {int(r["shard"]): bytes(r["content"]) for r in spark.read.format("binaryFile").load(next(p for p in written if "/shards-" in p)).collect()}
+    assert len(files) == -(-len(rows) // 64) and sum(map(len, files.values())) == len(rows) * stride
+    for r in rows:
+        at = r["byte_offset"]
+        assert r["record_md5"] == hashlib.md5(files[r["shard"]][at : at + stride - 2]).hexdigest()
