@@ -149,8 +149,10 @@ def exact_groups(docs: DataFrame, normalise: Callable[[Column], Column] | None =
 
 def drop_copies(docs: DataFrame, normalise: Callable[[Column], Column] | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
-    gone = exact_groups(docs, normalise).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    gone = exact_groups(docs, normalise).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha"))
+    # a doc_id, or null, may stand for several texts: only those of the text that is a copy go
+    same = docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.sha2(_normalised(docs["text"], normalise), 256) == gone["_sha"])
+    return docs.join(gone, same, "left_anti")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

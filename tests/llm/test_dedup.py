@@ -43,6 +43,17 @@ def test_exact(spark):
     assert exact_dedup.exact_groups(df.where("false")).count() == 0
 
 
+def test_drop_copies_keeps_other_texts_of_a_dropped_id(spark):
+    rows = [(7, "b"), (None, "b"), (None, "lone"), (8, "c"), (8, "c"), (9, "b"), (7, "only here"), (None, None), (3, "")] + [(100 + i, "hot") for i in range(30)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], DOCS + ", keep_id string")
+    kept = {(i, sha) for i, _, _, keep, sha in brute_exact(rows) if keep}
+    # a row whose id is null stays only where its text has no other
+    want = [(i, t, "x") for i, t in rows if (i, hashlib.sha256((t or "").encode()).hexdigest()) in kept]
+    assert sorted(map(tuple, exact_dedup.drop_copies(df).collect()), key=repr) == sorted(want, key=repr)
+    df = spark.createDataFrame([(1, "A"), (2, "a"), (1, "B")], DOCS)
+    assert sorted(map(tuple, exact_dedup.drop_copies(df, F.lower).collect())) == [(1, "B"), (2, "a")]
+
+
 def test_exact_normalised(spark):
     df = spark.createDataFrame([(1, "A b"), (2, "a  B")], DOCS)
     got = exact_dedup.exact_groups(df, lambda c: F.lower(F.regexp_replace(c, " +", " "))).collect()
