@@ -7,9 +7,10 @@ good or bad; forward-backward gives each line's probability of being good, and t
 weighted by length, is the document's evidence, which a logistic curve turns into a score.
 
 Training: lines take the label of their document.  At most ``FIT_ROWS`` labelled rows are
-used (half of each class, drawn by hash of doc_id), of each the lines that begin in its
-first ``FIT_BYTES``; scoring uses whole texts.  Weights are found by gradient ascent on the
-penalised likelihood, the curve on the same rows so that the best cut lies at ``CUT``.
+used (half of each class, drawn by hash of doc_id), with their whole texts, as in scoring.
+Their lines' features lie in a temporary file of the driver; each round adds the gradients
+of batches of whole texts up.  Weights are found by gradient ascent on the penalised
+likelihood, the curve on the same rows so that the best cut lies at ``CUT``.
 
 Null and empty texts are one empty line; a null doc_id is scored and not learned from;
 repeated rows score alike; with no labels, or labels of one class, every score is that
@@ -18,7 +19,8 @@ class's share (one half without any).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,8 +31,10 @@ from pyspark.sql import types as T
 
 from .shared import materialise, table
 
-FIT_ROWS, FIT_BYTES, ROUNDS, PENALTY, CUT = 6_000, 50_000, 200, 1e-3, 0.7
+FIT_ROWS, ROUNDS, PENALTY, CUT = 6_000, 200, 1e-3, 0.7
 BATCH_BYTES = 4_000_000
+#: Lines of a batch in fitting; a longer text is alone.
+BATCH_LINES = 100_000
 TEST_FOLD = (4, 2)
 
 _UPPER, _LOWER, _DIGIT, _SPACE, _STOP, _SIGN, _WIDE = range(7)
@@ -165,34 +169,81 @@ def _batches(texts: list[bytes], most: int = BATCH_BYTES) -> Iterator[tuple[int,
         at = end
 
 
-def fit(texts: list[bytes], labels: np.ndarray) -> Field | float:
+def _spool(texts: Iterable[bytes], file) -> tuple[np.ndarray, np.ndarray]:
+    """Write the features of all lines to ``file``; lengths of the lines, lines of each text."""
+    sizes, lines = [np.empty(0)], [np.empty(0, int)]
+
+    def flush(held: list[bytes]) -> None:
+        x, size, per_text = line_features(held)
+        x.tofile(file)
+        sizes.append(size)
+        lines.append(per_text)
+
+    held, held_bytes = [], 0
+    for t in texts:
+        if held and held_bytes + len(t) >= BATCH_BYTES // 4:
+            flush(held)
+            held, held_bytes = [], 0
+        held.append(t)
+        held_bytes += len(t)
+    if held:
+        flush(held)
+    file.flush()
+    return np.concatenate(sizes), np.concatenate(lines)
+
+
+def _line_batches(per_text: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Bounds of batches of whole texts: texts from and to, lines from and to."""
+    end, out, at = np.cumsum(per_text), [], 0
+    while at < len(per_text):
+        before = int(end[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(end, before + BATCH_LINES, "right")))
+        out.append((at, stop, before, int(end[stop - 1])))
+        at = stop
+    return out
+
+
+def fit(texts: Iterable[bytes], labels: np.ndarray) -> Field | float:
     """A field from labelled texts; only a share where there is one class or none."""
     if len(set(labels.tolist())) < 2:
         return float(labels.mean()) if len(labels) else 0.5
-    starts = [t[: FIT_BYTES + (t[FIT_BYTES:] + b"\n").find(b"\n")] for t in texts]
-    parts = [line_features(starts[a:b]) for a, b in _batches(starts, BATCH_BYTES // 4)]
-    x, per_text = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
+    with tempfile.TemporaryFile() as file:
+        size, per_text = _spool(texts, file)
+        return _fit(np.memmap(file, float, "r").reshape(len(size), -1), size, per_text, labels)
+
+
+def _fit(x: np.ndarray, size: np.ndarray, per_text: np.ndarray, labels: np.ndarray) -> Field:
+    cuts = _line_batches(per_text)
     y = np.repeat(labels, per_text).astype(float)
-    mean, spread = x.mean(0), x.std(0)
+    mean = sum(x[lo:hi].sum(0) for _, _, lo, hi in cuts) / len(y)
+    spread = np.sqrt(sum(((x[lo:hi] - mean) ** 2).sum(0) for _, _, lo, hi in cuts) / len(y))
     mean[0], spread[0] = 0, 1
     spread[spread < 1e-9] = 1
-    z = (x - mean) / spread
     inside = np.ones(len(y), bool)
     inside[np.cumsum(per_text) - per_text] = False
     prev = np.flatnonzero(inside) - 1
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[prev].astype(int), y[prev + 1].astype(int)), 1)
-    w, trans = np.zeros(z.shape[1]), np.zeros((2, 2))
+    w, trans = np.zeros(x.shape[1]), np.zeros((2, 2))
     m = [np.zeros_like(w), np.zeros_like(trans)]
     v = [np.zeros_like(w), np.zeros_like(trans)]
     for step in range(1, ROUNDS + 1):  # Adam on the whole sample
-        p, pair, _ = forward_backward(z @ w, per_text, trans)
-        for k, (value, grad) in enumerate(((w, z.T @ (y - p) / len(y) - PENALTY * w), (trans, (seen - pair) / len(y) - PENALTY * trans))):
+        rise, pair = np.zeros_like(w), np.zeros_like(trans)
+        for a, b, lo, hi in cuts:
+            z = (x[lo:hi] - mean) / spread
+            p, own, _ = forward_backward(z @ w, per_text[a:b], trans)
+            rise += z.T @ (y[lo:hi] - p)
+            pair += own
+        for k, (value, grad) in enumerate(((w, rise / len(y) - PENALTY * w), (trans, (seen - pair) / len(y) - PENALTY * trans))):
             m[k] = 0.9 * m[k] + 0.1 * grad
             v[k] = 0.999 * v[k] + 0.001 * grad**2
             value += 0.1 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
     field = Field(w, trans, mean, spread)
-    e = np.clip(np.concatenate([field.evidence(texts[a:b]) for a, b in _batches(texts, BATCH_BYTES // 4)]), 1e-6, 1 - 1e-6)
+    parts = []
+    for a, b, lo, hi in cuts:
+        own = np.repeat(np.arange(b - a), per_text[a:b])
+        parts.append(np.bincount(own, field.good_lines(x[lo:hi], per_text[a:b]) * size[lo:hi], b - a) / np.bincount(own, size[lo:hi], b - a))
+    e = np.clip(np.concatenate(parts), 1e-6, 1 - 1e-6)
     odds = np.log(e / (1 - e))
     order = np.argsort(odds)
     s, good = odds[order], labels[order] == 1
@@ -210,10 +261,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Field | float:
     some = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("d", F.xxhash64("doc_id"))
     some = some.where("quality = 1").orderBy("d").limit(FIT_ROWS // 2).unionByName(some.where("quality = 0").orderBy("d").limit(FIT_ROWS // 2))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(some), "doc_id")  # FIT_ROWS at most
-    # a text's use in fitting is bounded, so the sample is too
-    rows = rows.select("quality", "doc_id", F.substring("text", 1, 2 * FIT_BYTES).alias("text"))
-    got = sorted(materialise(rows, "quality-sample").collect(), key=lambda r: (r["doc_id"], r["text"]))
-    return fit([bytes(r["text"]) for r in got], np.array([r["quality"] for r in got], int))
+    rows = materialise(rows, "quality-sample")
+    quality = [r["quality"] for r in sorted(rows.select("doc_id", "quality").collect())]
+    texts = (bytes(r["text"]) for r in rows.orderBy("doc_id", "text").select("text").toLocalIterator())  # a partition at a time
+    return fit(texts, np.array(quality, int))
 
 
 def score(docs: DataFrame, field: Field | float, text: str = "text") -> DataFrame:

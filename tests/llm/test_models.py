@@ -83,6 +83,30 @@ def test_quality(spark):
     assert {r["quality_score"] for r in quality.score(df, 0.5).collect()} == {0.5}
 
 
+def test_quality_learns_from_whole_texts(spark):
+    rng = random.Random(2)
+    line = lambda: " ".join(rng.choice(["the", "small", "river", "runs", "quietly"]) for _ in range(200)).capitalize() + "."
+    good = lambda: [line() for _ in range(110)]
+    junk = lambda: [x.upper().replace(" ", "!! ") for x in good()]
+    texts = [(i, "\n".join(good() + (good() if i % 2 else junk()))) for i in range(12)]
+    assert all("!!" not in t[:100_000] for _, t in texts)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["quality_score"] for r in quality.score(docs, quality.learn(docs, labels)).collect()}
+    assert all((got[i] >= quality.CUT) == bool(i % 2) for i in got) and len(got) == 12
+
+
+def test_quality_fit_is_the_same_in_batches(monkeypatch):
+    rng = random.Random(3)
+    texts = ["\n".join("".join(rng.choice("abC !1") for _ in range(30)) for _ in range(rng.randint(1, 9))).encode() for _ in range(40)]
+    labels = np.array([i % 2 for i in range(40)])
+    one = quality.fit(texts, labels)
+    monkeypatch.setattr(quality, "BATCH_LINES", 10)
+    many = quality.fit(iter(texts), labels)
+    assert len(quality._line_batches(quality.line_features(texts)[2])) > 10
+    assert np.allclose(one.trans, many.trans, atol=1e-6) and np.allclose(one.score(texts), many.score(texts), atol=1e-6)
+
+
 def test_languages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("id"), "text", "lang")
     langs, model = language_id.train(docs.where("id % 2 = 0"))
