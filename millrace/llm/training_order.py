@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,20 +73,24 @@ def numbered(seqs: DataFrame) -> DataFrame:
 
 
 def round_keys(key: str, rounds: int = ROUNDS) -> list[int]:
-    raw = hashlib.sha256(key.encode()).digest()
-    return [struct.unpack_from("<q", raw, 8 * (i % 4))[0] ^ i for i in range(rounds)]
+    return [struct.unpack_from("<q", hashlib.sha256(f"{i}:{key}".encode()).digest())[0] for i in range(rounds)]
 
 
 def half_bits(n: int) -> int:
     return max(1, (max(1, n - 1).bit_length() + 1) // 2)
 
 
+def _round(k: int, mask: int) -> Callable[[Column], Column]:
+    """One round under key ``k``.  It takes one parameter: Spark gives a second one the index."""
+    return lambda p: F.struct(p["r"].alias("l"), p["l"].bitwiseXOR(F.xxhash64(p["r"], F.lit(k)).bitwiseAND(F.lit(mask))).alias("r"))
+
+
 def _feistel(x: Column, bits: int, keys: list[int]) -> Column:
     """One pass over a domain of 2 * bits bits."""
     mask = (1 << bits) - 1
     pair = F.struct(F.shiftright(x, bits).alias("l"), x.bitwiseAND(F.lit(mask)).alias("r"))
     for k in keys:  # a lambda's variable keeps each round's halves from being computed twice
-        pair = F.transform(F.array(pair), lambda p, k=k: F.struct(p["r"].alias("l"), p["l"].bitwiseXOR(F.xxhash64(p["r"], F.lit(k)).bitwiseAND(F.lit(mask))).alias("r")))[0]
+        pair = F.transform(F.array(pair), _round(k, mask))[0]
     return F.transform(F.array(pair), lambda p: F.shiftleft(p["l"], bits).bitwiseOR(p["r"]))[0]
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, training_order
@@ -58,6 +59,21 @@ def test_encode_frame(spark, public):
     assert bpe.encode(df.where("false"), bpe.rank_file()).count() == 0
 
 
+def plain_slot(x, n, key):
+    """The permutation by its definition, one value at a time."""
+    bits = training_order.half_bits(n)
+    mask = (1 << bits) - 1
+    while True:
+        left, right = x >> bits, x & mask
+        for k in training_order.round_keys(key):
+            h = xxhash.xxh64_intdigest(right.to_bytes(8, "little"), 42)
+            h = xxhash.xxh64_intdigest(k.to_bytes(8, "little", signed=True), h)
+            left, right = right, left ^ (h & mask)
+        x = left << bits | right
+        if x < n:
+            return x
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 64, 65, 1000])
 def test_slots_are_a_permutation(spark, n):
     df = spark.range(n).withColumnRenamed("id", "seq")
@@ -66,6 +82,8 @@ def test_slots_are_a_permutation(spark, n):
     if n >= 64:
         b = [r["slot"] for r in training_order.slots(df, n, "k2").orderBy("seq").collect()]
         assert a != b and a != list(range(n))
+        for key, got in (("k1", a), ("k2", b)):
+            assert got == [plain_slot(i, n, key) for i in range(n)]
 
 
 def test_shards_round_trip_and_resume(spark, tmp_path, public):
