@@ -4,11 +4,17 @@ Texts are cut into pieces as the public split pattern cuts them (class runs foun
 whole batches of code points).  Distinct pieces not met before are encoded together:
 grouped by length in padded numpy matrices, where every row merges its leftmost pair
 of least rank each round.  Pairs are looked up in an open hash table; merged rows are
-compacted and finished rows leave the matrix.  A bounded store keeps the ids of pieces
-already met, so memory does not grow with the corpus.
+compacted and finished rows leave the matrix.  In pieces of over ``LONG_PIECE`` bytes a round
+merges all places of the least pair from the left, which is the same.  A store bounded in
+bytes keeps the ids of pieces already met, so memory does not grow with the corpus; pieces are
+told apart by two 64-bit hashes.
 
 The general interface is :class:`ByteBPE` (``encode_batch``, ``decode``) and
-:func:`encode` on DataFrames.  Null and empty texts have no ids.
+:func:`encode` on DataFrames.  Null and empty texts have no ids.  Texts are taken whole
+however long, a longer one alone; equal texts and repeated rows get equal ids; rows are never
+dropped, and null doc_ids are kept.  Of a tie of ranks the leftmost pair goes first, as in the
+public library.  An empty table gives an empty one.  Columns of the input with the name of
+one made here are replaced, others kept.
 """
 
 from __future__ import annotations
@@ -32,13 +38,12 @@ CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 
 LETTER, NUMBER, OTHER, SPACE, END = range(5)
 _MULT = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio
-#: Pieces kept in a worker, code points hashed together, length from which a piece is
-#: kept by its text instead of hashes, and length from which merges use a heap.
-KEEP_PIECES, BATCH_CHARS, SHORT, LONG_PIECE = 1_000_000, 1_000_000, 64, 4_000
+#: Bytes of known pieces kept in a worker, code points of texts taken together, and the bytes
+#: from which a piece's rounds merge all places of its least pair.
+STORE_BYTES, BATCH_CHARS, LONG_PIECE = 96_000_000, 250_000, 8_000
 NO_RANK = np.iinfo(np.int32).max
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _VALUES = _RANDOM.integers(1 << 63, size=2, dtype=np.uint64)
-_PLACES = _RANDOM.integers(1 << 63, size=(2, SHORT + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def code_point_classes() -> np.ndarray:
@@ -145,18 +150,28 @@ class PairTable:
 
 def piece_hashes(cp: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes of each piece: sums of random values of its code
-    points times random multipliers of their places (128 bits together).  Those of
-    pieces over SHORT code points are not used."""
-    place = np.minimum(np.arange(len(cp)) - np.repeat(begin, size), SHORT)
+    points times random multipliers of their places (128 bits together)."""
+    place = np.arange(len(cp)) - np.repeat(begin, size)
     out = []
-    for value, by_place in zip(_VALUES, _PLACES, strict=True):
+    for value in _VALUES:
+        by_place = _spread(np.arange(int(size.max())), value ^ _MULT) | np.uint64(1)
         out.append(np.add.reduceat(_spread(cp, value) * by_place[place], begin))
     return out[0], out[1]
 
 
 def _spread(cp: np.ndarray, salt: np.uint64) -> np.ndarray:
     x = (cp.astype(np.uint64) + salt) * _MULT
-    return x ^ (x >> np.uint64(29))
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _roomy(a: np.ndarray, used: int, wanted: int) -> np.ndarray:
+    """``a`` if it has room, else a copy of its used part in an array twice as long as wanted."""
+    if wanted <= len(a):
+        return a
+    out = np.zeros(2 * wanted, a.dtype)
+    out[:used] = a[:used]
+    return out
 
 
 class PieceStore:
@@ -232,10 +247,13 @@ class ByteBPE:
 
     def clear(self) -> None:
         """Forget the pieces met so far."""
-        self.short = PieceStore()
-        self.long: dict[str, int] = {}
-        self.flat = np.empty(0, np.int32)
-        self.offset = np.zeros(1, np.int64)
+        self.known = PieceStore()
+        self.flat = np.empty(1 << 16, np.int32)  # ids of known pieces; doubled when full
+        self.offset = np.zeros(1 << 16, np.int64)
+        self.pieces = 0
+
+    def stored_bytes(self) -> int:
+        return self.flat.nbytes + self.offset.nbytes + 24 * len(self.known.number)
 
     # -- pieces -> ids ---------------------------------------------------------
 
@@ -263,8 +281,8 @@ class ByteBPE:
 
     def _merge_bucket(self, rows: list[bytes], which: np.ndarray, n: np.ndarray, done: list) -> None:
         width = int(n.max())
-        if width > LONG_PIECE:  # a round for each merge would be quadratic there
-            for i in which:
+        if width > LONG_PIECE:
+            for i in which.tolist():
                 ids = self._merge_long(rows[i])
                 done.append((np.array([i]), np.array([len(ids)]), ids))
             return
@@ -304,49 +322,56 @@ class ByteBPE:
             rank[r, best] = found[1]
 
     def _merge_long(self, piece: bytes) -> np.ndarray:
-        """A single very long piece: the same merges, ordered by a heap over a linked list."""
-        import heapq
-
-        ids = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        nxt, prv = [*range(1, n), -1], [-1, *range(n - 1)]
-        tok = self.token_list
-        heap: list[tuple[int, int, int, int]] = []
-
-        def push(i: int) -> None:
-            j = nxt[i]
-            if j >= 0 and (r := self.ranks.get(tok[ids[i]] + tok[ids[j]])) is not None:
-                heapq.heappush(heap, (r, i, ids[i], ids[j]))
-
-        for i in range(n):
-            push(i)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = nxt[i] if ids[i] == a else -1
-            if j < 0 or ids[j] != b:
-                continue
-            ids[i], ids[j] = r, -1
-            nxt[i] = nxt[j]
-            if nxt[i] >= 0:
-                prv[nxt[i]] = i
-            if prv[i] >= 0:
-                push(prv[i])
-            push(i)
-        return np.array([x for x in ids if x >= 0], np.int32)
+        """One long piece: a round merges the places of the least pair from the left, up to
+        the first that makes a pair of no greater rank, which comes next.
+
+        The same as a round for each place: a place's merge changes nothing else before the
+        next place of that rank is the leftmost least pair.
+        """
+        ids = self.byte_id[np.frombuffer(piece, np.uint8)]
+        rank = self._ranks(ids[:-1], ids[1:])
+        while len(rank) and (least := rank.min()) < NO_RANK:
+            at = np.flatnonzero(rank == least)
+            # places one after another overlap: of each run every second one counts
+            run = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+            new = np.full(len(at), least, ids.dtype)
+            left = np.where(np.diff(at, prepend=-2) == 2, least, ids[at - 1])
+            left[at == 0] = -1
+            right = np.append(ids, [-1, -1]).astype(ids.dtype)[at + 2]
+            early = (self._ranks(left, new) <= least) | (self._ranks(new, right) <= least)
+            if early.any():
+                at = at[: int(early.argmax()) + 1]
+            ids[at] = least
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, rank = ids[keep], np.append(rank, NO_RANK).astype(rank.dtype)[keep][:-1]
+            now = at - np.arange(len(at))  # where the merged ids have come to lie
+            for place in (now[now > 0] - 1, now[now < len(rank)]):
+                rank[place] = self._ranks(ids[place], ids[place + 1])
+        return ids
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        found = self.pairs.find(left, right)
+        found[found < 0] = NO_RANK
+        return found
 
     def _learn(self, pieces: list[str]) -> np.ndarray:
         """Encode pieces that are not known yet; their numbers."""
         flat, count = self.merge([p.encode("utf-8") for p in pieces])
-        first = len(self.offset) - 1
-        self.flat = np.concatenate([self.flat, flat])
-        self.offset = np.concatenate([self.offset, self.offset[-1] + np.cumsum(count)])
-        return np.arange(first, first + len(pieces))
+        first, used = self.pieces, int(self.offset[self.pieces])
+        self.pieces += len(pieces)
+        self.flat = _roomy(self.flat, used, used + len(flat))
+        self.offset = _roomy(self.offset, first + 1, self.pieces + 1)
+        self.flat[used : used + len(flat)] = flat
+        self.offset[first + 1 : self.pieces + 1] = used + np.cumsum(count)
+        return np.arange(first, self.pieces)
 
     # -- texts -----------------------------------------------------------------
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's ids begin (one bound more than texts)."""
-        if len(self.offset) > KEEP_PIECES:
+        if self.stored_bytes() > STORE_BYTES:
             self.clear()
         joined = "\0".join(["", *texts, ""])
         cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
@@ -360,13 +385,7 @@ class ByteBPE:
         first, second = piece_hashes(cp, begin, stop - begin)
         begin, stop, first, second = begin[real], stop[real], first[real], second[real]
         bound = np.searchsorted(begin, ends)  # pieces before each separator
-        ix = self.short.find(first, second)
-        long = np.flatnonzero(stop - begin > SHORT)
-        for i in long.tolist():
-            piece = joined[begin[i] : stop[i]]
-            if piece not in self.long:
-                self.long[piece] = int(self._learn([piece])[0])
-            ix[i] = self.long[piece]
+        ix = self.known.find(first, second)
         miss = np.flatnonzero(ix < 0)
         if len(miss):
             # equal pieces lie together in this order, whatever their hashes
@@ -375,7 +394,7 @@ class ByteBPE:
             new[1:] = (first[order[1:]] != first[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
             lead = order[new]
             number = self._learn([joined[a:b] for a, b in zip(begin[lead].tolist(), stop[lead].tolist(), strict=True)])
-            self.short.add(first[lead], second[lead], number)
+            self.known.add(first[lead], second[lead], number)
             ix[order] = number[np.cumsum(new) - 1]
         count = self.offset[ix + 1] - self.offset[ix]
         total = np.concatenate([[0], np.cumsum(count)])

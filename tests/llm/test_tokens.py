@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -39,18 +40,31 @@ def test_equals_public_library(own, public):
 def test_long_pieces_and_full_store(own, public, monkeypatch):
     for t in ("a" * 9_000, "xy" * 3_000, "中" * 3_000, "!" * 500):
         assert own.encode_batch([t])[0].tolist() == public.encode_ordinary(t)
-    monkeypatch.setattr(bpe, "KEEP_PIECES", 3)
+    monkeypatch.setattr(bpe, "STORE_BYTES", 3)
     for t in ("one two three four", "five six one two"):
         assert own.encode_batch([t])[0].tolist() == public.encode_ordinary(t)
 
 
-def test_heap_and_matrix_merge_alike(own):
+def test_long_and_short_rounds_merge_alike(own):
     rng = random.Random(2)
-    for _ in range(50):
-        p = "".join(rng.choice("theranding ") for _ in range(60)).encode()
+    for k in range(600):
+        p = "".join(rng.choice("aab" if k % 3 else "theranding isbo"[: 4 + k % 12]) for _ in range(rng.randint(1, 90))).encode()
         assert own._merge_long(p).tolist() == own.merge([p])[0].tolist()
 
 
+def test_many_pieces_over_64_letters(own, public):
+    rng = random.Random(7)
+    pieces = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(80)) for _ in range(3000)]
+    text = " ".join(pieces + pieces[:50])
+    began = time.process_time()
+    assert own.encode_batch([text])[0].tolist() == public.encode_ordinary(text)
+    assert time.process_time() - began < 30
+    # places beyond any fixed table still tell pieces apart
+    alike = [("x" * 5000) + c + ("y" * k) for c in "ab" for k in (10, 11)]
+    for t in alike + alike:
+        assert own.encode_batch([t])[0].tolist() == public.encode_ordinary(t)
+
+
 def test_encode_frame(spark, public):
     df = spark.createDataFrame([(1, "the cat", 7), (2, None, 8), (2, "", 9), (None, "x" * 200_000, 1)], "doc_id long, text string, n_tokens int")
     got = bpe.encode(df, bpe.rank_file(), ids=True).collect()
