@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from .bpe import chunks, encoder, rank_file
 from .shared import materialise, new_path, table
 
 LENGTH, SHARD_SLOTS, ROUNDS, KEY = 512, 16_384, 4, "epoch-0"
+#: The shards are written in so many runs one after another, each shuffling its part of the ids.
+WAVES = 4
 END_MARK = "\0\0"
 
 
@@ -122,7 +125,8 @@ def placed(docs: DataFrame, ranks: str, length: int = LENGTH, shard_slots: int =
     """(slot, shard, seq, doc_id, part, n_tokens, ids) in no order, and the number of shards.
     ``path``: the folder of the table of sequences."""
     seqs, path = sequences(docs, ranks, length), path or new_path(docs.sparkSession, "sequences")
-    seqs.write.option("compression", "zstd").parquet(path)
+    # small row groups: a task holds one while it writes
+    seqs.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     seqs = docs.sparkSession.read.schema(seqs.schema).parquet(path)
     n = seqs.count()
     rows = numbered(seqs)
@@ -131,9 +135,10 @@ def placed(docs: DataFrame, ranks: str, length: int = LENGTH, shard_slots: int =
     return rows.select("slot", "shard", "seq", "doc_id", "part", "n_tokens", "ids"), max(1, -(-n // shard_slots))
 
 
-def dealt(rows: DataFrame, shards: int) -> DataFrame:
-    """One shard a partition, sorted by slot."""
-    return rows.repartitionByRange(shards, "shard").sortWithinPartitions("slot")
+def dealt(rows: DataFrame, shards: int, first: int = 0) -> DataFrame:
+    """One shard a partition, from shard ``first`` on, sorted by slot.  The bounds of the
+    ranges are known, so nothing is sampled for them."""
+    return rows.repartitionById(shards, (F.col("shard") - first).cast("int")).sortWithinPartitions("slot")
 
 
 def ordered(docs: DataFrame, ranks: str, length: int = LENGTH, shard_slots: int = SHARD_SLOTS, key: str = KEY) -> DataFrame:
@@ -141,14 +146,37 @@ def ordered(docs: DataFrame, ranks: str, length: int = LENGTH, shard_slots: int
     return dealt(*placed(docs, ranks, length, shard_slots, key))
 
 
-def write_shards(rows: DataFrame, path: str) -> None:
+def write_shards(rows: DataFrame, path: str, mode: str = "error") -> None:
     """Write records as raw files ``path/shard=<k>/part-*``: ids, then two zero bytes.
 
     The writer asks for rows sorted by shard and, where they are not, sorts by it alone, and
     a sort by slot before that is optimised away; so the sort here begins with shard.
     """
     rows = rows.sortWithinPartitions("shard", "slot")
-    rows.select("shard", F.col("ids").cast("string").alias("value")).write.option("lineSep", END_MARK).partitionBy("shard").text(path)
+    rows.select("shard", F.col("ids").cast("string").alias("value")).write.mode(mode).option("lineSep", END_MARK).partitionBy("shard").text(path)
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run inside are deleted as soon as it has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def write_in_waves(rows: DataFrame, shards: int, path: str, waves: int = WAVES) -> None:
+    """Write ``shards`` shards of ``rows`` (in no order) in ``waves`` runs, so that the disk
+    holds the shuffled ids of one run at a time beside ``rows`` and the shards."""
+    with _shuffles_removed(rows.sparkSession):
+        bounds = [-(-shards * w // waves) for w in range(waves + 1)]
+        for first, end in zip(bounds, bounds[1:], strict=False):
+            if first < end:
+                part = rows.where(F.floor(F.col("shard") * waves / shards) == first * waves // shards)
+                write_shards(dealt(part, end - first, first), path, "append" if first else "error")
 
 
 def read_shards(spark: SparkSession, path: str, stride: int, shard_slots: int = SHARD_SLOTS, start: int = 0) -> DataFrame:
@@ -178,7 +206,7 @@ def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, path = new_path(spark, "sequences"), new_path(spark, "shards")
     rows, shards = placed(table(spark, sf_dir, "documents"), rank_file(), path=own)
     places = materialise(rows.drop("ids"), "places")
-    write_shards(dealt(rows, shards), path)
+    write_in_waves(rows, shards, path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(own)  # the shards hold the ids now, and places the rest
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     stride = LENGTH * 2 + len(END_MARK)
@@ -189,5 +217,5 @@ def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def materialise_order(docs: DataFrame, ranks: str, path: str | None = None, **how) -> str:
     """Write the shards of ``docs``; the folder they lie in."""
     path = path or new_path(docs.sparkSession, "shards")
-    write_shards(ordered(docs, ranks, **how), path)
+    write_in_waves(*placed(docs, ranks, **how), path)
     return path
