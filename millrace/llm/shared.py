@@ -8,15 +8,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.graph import components, materialise, new_path, shared_dir
 
-__all__ = ["components", "forest", "materialise", "new_path", "run_bounds", "shared_dir", "table", "two_sided_forest", "whole_groups"]
+__all__ = ["components", "forest", "materialise", "new_path", "run_bounds", "shared_dir", "spread_join", "table", "two_sided_forest", "whole_groups"]
+
+#: A key is hot from this number of rows on, and so many keys are hot at most.
+HOT_ROWS, HOT_KEYS = 10_000, 100_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_join(rows: DataFrame, values: DataFrame, key: str, n: str, keys: int = HOT_KEYS) -> DataFrame:
+    """``rows`` left-joined by ``key`` with ``values`` (written; one row a key; ``n`` is the number
+    of rows that have it), without ``n``.
+
+    Hot keys stay where they are and get their values by broadcast.  A key counts as hot from
+    a share of 1 / ``keys`` of all rows on, so there are never more than ``keys`` of them.
+    """
+    total = values.agg(F.sum(n)).first()[0] or 0
+    hot = values.where(F.col(n) >= max(HOT_ROWS, -(-total // keys))).drop(n)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(values.drop(n), key, "left")
+    return rest.unionByName(rows.join(F.broadcast(hot), key))
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Regroup sorted batches so that no run of equal keys is cut.
 
