@@ -101,8 +101,9 @@ def test_simhash_of_texts(spark):
     assert simhash.near_groups(df.where("false")).count() == 0
 
 
-def test_simhash_links_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 8)  # many blocks in the hot keys
+@pytest.mark.parametrize("block", [8, 1024])
+def test_simhash_links_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)  # at 8 many keys are hot and cut into blocks
     rng = random.Random(5)
     fps = {0, (1 << 64) - 1}
     for _ in range(30):
@@ -115,19 +116,58 @@ def test_simhash_links_against_all_pairs(spark, monkeypatch):
     fps |= {hot ^ (i & 15) << 40 ^ (i >> 4) << 3 for i in range(64)}
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    df = spark.createDataFrame(list(enumerate(signed)), "node long, fp long")
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
     from millrace.llm.shared import components
 
     got = {r["node"]: r["root"] for r in components(simhash.link_edges(df)).collect()}
-    comp = components_of(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
-    assert [got.get(i, i) for i in range(len(fps))] == comp
+    order = sorted(range(len(fps)), key=lambda i: signed[i])  # roots are the smallest signed values
+    comp = components_of(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[order[i]] ^ fps[order[j]]).bit_count() <= 3])
+    assert [got.get(signed[order[i]], signed[order[i]]) for i in range(len(fps))] == [signed[order[c]] for c in comp]
 
 
-def test_simhash_null_ids(spark):
-    df = spark.createDataFrame([(None, "a b c"), (3, "a b c"), (None, "unlike anything else here")], DOCS)
-    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_groups(df).collect()}
+def test_simhash_null_and_repeated_ids(spark):
+    rows = [(None, "a b c"), (3, "a b c"), (None, "unlike anything else here"), (None, "unlike anything else here")]
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_groups(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {(None, 3), (3, 3), (None, None)}
-    assert simhash.drop_near_copies(df).count() == 3
+    rows += [(2, "t t t"), (5, "t t t"), (5, "quite another text"), (7, "only here it stands")] + [(9, f"number {i} stands alone {i * i}") for i in range(1000)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], DOCS + ", component_id string")
+    kept = [(r["doc_id"], r["text"]) for r in simhash.drop_near_copies(df).collect()]
+    # one document a group: (text, doc_id) is the document, null ids come after all others
+    fps = [brute_fingerprint(t) for _, t in rows]
+    comp = components_of(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
+    groups = {}
+    for i, c in enumerate(comp):
+        groups.setdefault(c, []).append(i)
+    for own in groups.values():
+        low = min((rows[i][0] is None, rows[i][0]) for i in own)
+        stay = {kept_row for kept_row in kept if kept_row in {rows[i] for i in own}}
+        assert len({t for _, t in stay}) == 1 and all((i is None, i) == low for i, _ in stay)
+    assert len(kept) == sum(sum(rows[i] == k for i in range(len(rows))) for k in set(kept))
+    assert simhash.drop_near_copies(df).columns == df.columns and simhash.drop_near_copies(df.where("false")).count() == 0
+
+
+def test_rows_that_link_through_one_without_id(spark, monkeypatch):
+    # the fingerprints of 1 and 2 differ in five bits, both are within three of that between them
+    table = {"one": 0, "between": 0b111, "two": 0b11111, "far": 1 << 40 | 1 << 50 | 1 << 60 | 1 << 20}
+    rows = [(1, "one"), (None, "between"), (2, "two"), (4, "far")]
+    fps = spark.createDataFrame([(i, table[t], hash(t) % 1000) for i, t in rows], "doc_id long, fp long, h long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: fps)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: 1, None: 1, 2: 1, 4: 4}
+
+
+def test_tile_against_whole_products(monkeypatch):
+    monkeypatch.setattr(embed_dedup, "STRIP", 50)
+    monkeypatch.setattr(embed_dedup, "PAIR_CELLS", 100)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(150, 24)) * np.linspace(3, 0.1, 24)
+    x[60:90] = x[:30] + rng.normal(scale=0.3, size=(30, 24))
+    x[90:] = x[90] + rng.normal(scale=0.05, size=(60, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rot = x @ np.linalg.eigh(x.T @ x)[1][:, ::-1]
+    for few in (0.0, 0.02, 1.0):
+        monkeypatch.setattr(embed_dedup, "FEW_PAIRS", few)
+        assert (embed_dedup._tile(x, rot, x[40:], rot[40:], 0.9) == (x @ x[40:].T >= 0.9)).all()
 
 
 def test_embeddings_against_all_pairs(spark):
@@ -139,7 +179,7 @@ def test_embeddings_against_all_pairs(spark):
     rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
     rows += [(500, None), (501, [float("nan")] * 16), (502, [1.0] * 15 + [None]), (503, [float("inf")] * 16), (504, [1e30] * 16), (505, [1e-30] * 16), (506, [1.0, 2.0]), (507, [2.0, 4.0]), (508, []), (None, [1.0] * 16)]
     df = spark.createDataFrame([(*r, 1, "q") for r in rows], "vec_id long, embedding array<float>, label int, unit string")
-    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
+    good = [(i, np.array(v, float)) for i, v in rows if v and None not in v and np.isfinite(v).all() and np.any(v)]
     u = [(i, v / np.abs(v).max() / np.linalg.norm(v / np.abs(v).max())) for i, v in good]
     links = [(a, b) for a in range(len(u)) for b in range(a) if len(u[a][1]) == len(u[b][1]) and u[a][1] @ u[b][1] >= 0.9]
     comp = components_of(len(u), links)
@@ -147,8 +187,11 @@ def test_embeddings_against_all_pairs(spark):
     for a, b in links:
         n[a] += 1
         n[b] += 1
-    want = {i: (0, i, True) for i, _ in rows if i is not None} | {u[k][0]: (n[k], u[comp[k]][0], comp[k] == k) for k in range(len(u))}
-    for block in (4096, 64):
+    want = {i: (0, i, True) for i, _ in rows} | {u[k][0]: (n[k], u[comp[k]][0], comp[k] == k) for k in range(len(u))}
+    for block in (None, 64):
         got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_groups(df, block=block).collect()}
         assert got == want
     assert embed_dedup.near_groups(df.where("false")).count() == 0
+    pair = spark.createDataFrame([(None, [1.0, 0.0]), (None, [1.0, 0.1]), (4, [1.0, 0.0]), (None, [0.0, 1.0]), (9, [-1.0, 0.0]), (9, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, embed_dedup.near_groups(pair).collect()), key=repr)
+    assert got == sorted([(None, 2, 4, False), (None, 2, 4, False), (4, 2, 4, True), (None, 0, None, True), (9, 1, 9, True), (9, 1, 9, True)], key=repr)
