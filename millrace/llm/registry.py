@@ -18,6 +18,7 @@ QUERIES = {
     "op10_toxicity": "toxicity",
 }
 SQL = {
+    "op2_url_rules": ("url_rules", "OP2_SQL"),
     "op3_embedding_dedup": ("embed_dedup", "OP3_SQL"),
     "op5_exact_dedup": ("exact_dedup", "OP5_SQL"),
     "op7_mixing": ("mixing", "OP7_SQL"),

@@ -1,10 +1,9 @@
 """URL filters: fixed host rules, and association rules mined by FP-growth.
 
-Mining: every labelled page is a basket of the tokens of its url (parts of the host with
-their place, host suffixes, path segments and words, names of query fields) and of the item
-``bad`` where its label says so.  FP-growth finds token combinations; of those that imply
-``bad``, the ones with enough support, confidence and lift remain, and a rule is pruned when
-a shorter one inside it is at least as confident.
+Mining: every labelled page is a basket of the tokens of its url (:func:`tokens_of`) that
+enough bad pages have, and of the item ``bad`` where its label says so.  FP-growth finds token
+combinations; of those that imply ``bad``, the ones with enough support, confidence and lift
+remain, and a rule is pruned when a shorter one inside it is at least as confident.
 
 Matching: each rule is filed once, under its rarest token (an inverted index).  Tokens of
 the distinct urls meet the index by an equality join, and the candidate rule's other tokens
@@ -12,13 +11,18 @@ are verified against the url's.  Fixed rules (host and path start) come first: t
 that fits decides; without one the url is blocked if a mined rule matches, else allowed.
 
 A page's label is the row of ``labels`` whose doc_id is its page_id.  A null url, or one
-without ``://``, has empty host and path, no tokens, and is allowed.  Repeated pages give
-equal rows; without labels, or without bad ones, no rule is mined.  All of it is DataFrame
-functions and Spark's FP-growth.
+without ``://``, has empty host and path, no tokens, and is allowed; urls of any length are read
+whole.  Repeated pages and pages without id are judged like others; of several mined rules that
+match, the surest one's confidence is told (ties are equal); of fixed rules of one length the
+last in the alphabet decides.  Extra columns are ignored.  No pages give no rows; without
+labels, or without bad ones, no rule is mined.  All of it is DataFrame functions and Spark's
+FP-growth.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,22 +50,27 @@ def path_of(url: Column) -> Column:
 
 
 def tokens_of(url: Column) -> Column:
-    """Distinct tokens of a url, sorted: an empty array where there is no host."""
+    """Distinct tokens of a url, sorted: an empty array where there is no host.
+
+    ``host:`` the host, ``end:`` its last label, ``name:`` the words of its other labels,
+    ``part:`` the segments of the path (digits as 0), ``word:`` the words of segments that are
+    not one word, ``field:`` the names of query fields.  None is implied by each other one's
+    spelling but ``host:``, so combinations do not say one thing several times.
+    """
     host, path = host_of(url), ascii_lower(path_of(url))
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels))),
-        lambda i: F.concat(F.lit("host:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")),
-    )
+    words_in = lambda c: F.filter(F.split(c, r"[^\p{L}]+"), lambda x: F.length(x) > 1)
     segments = F.filter(F.split(path, "/"), lambda x: x != "")
-    words = F.filter(F.split(path, r"[^\p{L}]+"), lambda x: F.length(x) > 1)
+    mixed = F.filter(segments, lambda x: F.rlike(x, F.lit(r"[^\p{L}]")))
     fields = F.regexp_extract_all(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit(r"(?:^|&)([^=&]+)"), F.lit(1))
+    named = lambda kind, c: F.transform(c, lambda x: F.concat(F.lit(f"{kind}:"), x))
     every = F.concat(
-        suffixes,
-        F.transform(labels, lambda x: F.concat(F.lit("label:"), x)),
-        F.transform(segments, lambda x: F.concat(F.lit("segment:"), F.regexp_replace(x, r"\d+", "0"))),
-        F.transform(words, lambda x: F.concat(F.lit("word:"), x)),
-        F.transform(fields, lambda x: F.concat(F.lit("field:"), ascii_lower(x))),
+        named("host", F.array(host)),
+        named("end", F.slice(labels, F.greatest(F.lit(1), F.size(labels)), F.lit(1))),
+        named("name", words_in(F.array_join(F.slice(labels, F.lit(1), F.greatest(F.lit(0), F.size(labels) - 1)), "."))),
+        named("part", F.transform(segments, lambda x: F.regexp_replace(x, r"\d+", "0"))),
+        named("word", words_in(F.array_join(mixed, "/"))),
+        named("field", F.transform(fields, ascii_lower)),
     )
     return F.when((host == "") | url.isNull(), F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(every)))
 
@@ -69,20 +78,32 @@ def tokens_of(url: Column) -> Column:
 def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, least_pages: int = LEAST_PAGES) -> DataFrame:
     """Rules (rule long, items array, confidence, support): urls with all items tend to be bad.
 
-    ``pages`` (page_id, url), ``labels`` (page_id, bad boolean).
+    ``pages`` (page_id, url), ``labels`` (page_id, bad boolean).  A page is bad if any of its
+    labels says so; rows of ``pages`` that repeat are pages of their own.
     """
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = labels.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
     rows = pages.where("url IS NOT NULL").select("page_id", "url").join(known, "page_id")
-    baskets = rows.select(F.concat(tokens_of(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    baskets = materialise(baskets.where(F.size("items") > 0), "baskets")
-    n = baskets.count()
+    rows = materialise(rows.select("bad", tokens_of(F.col("url")).alias("tokens")).where(F.size("tokens") > 0).repartition(tasks), "url-tokens")
+    n = rows.count()
     empty = pages.sparkSession.createDataFrame([], "rule bigint, items array<string>, confidence double, support double")
     if not n:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, least_pages / n), minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where(F.array_contains("consequent", BAD)).where(F.col("lift") >= min_lift)
-    found = found.select(F.array_sort("antecedent").alias("items"), "confidence", "support")
-    # a rule is needless when a part of it is as confident; parts of a rule are found by its subsets' size and a join on one item
+    least = math.ceil(max(min_support * n, least_pages))
+    # a token of too few bad pages is in no rule; baskets keep the others
+    often = rows.where("bad").select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    each = rows.withColumn("page", F.monotonically_increasing_id()).select("page", "bad", F.explode("tokens").alias("token"))
+    baskets = each.join(often.select("token"), "token").groupBy("page").agg(F.max("bad").alias("bad"), F.collect_set("token").alias("items"))  # one url's tokens
+    baskets = baskets.select(F.concat("items", F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    baskets = materialise(baskets, "baskets")
+    kept = baskets.count()
+    if not kept:
+        return empty
+    base = rows.where("bad").count() / n
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / kept), minConfidence=min_confidence, numPartitions=tasks).fit(baskets.repartition(tasks))
+    found = model.associationRules.where(F.array_contains("consequent", BAD)).where(F.col("confidence") >= min_lift * base)
+    found = found.select(F.array_sort("antecedent").alias("items"), "confidence", (F.col("support") * (kept / n)).alias("support"))
+    # a rule is needless when a part of it is as confident; parts of a rule are found by a join on their first item
     found = materialise(found.withColumn("rule", F.xxhash64("items")), "rules")
     short = found.select(F.col("items").alias("part"), F.col("confidence").alias("part_confidence"), F.element_at("items", 1).alias("first"))
     long = found.select("rule", "items", "confidence", F.explode("items").alias("first"))
@@ -129,3 +150,32 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     rules = materialise(mine(pages, labels), "url-rules")
     return judge(pages, rules)
+
+
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORDS = r"list_filter(regexp_split_to_array({}, '[^\p{{L}}]+'), lambda x: len(x) > 1)"
+_MIXED = r"array_to_string(list_filter(segments, lambda x: regexp_matches(x, '[^\p{L}]')), '/')"
+_FITS = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
+_FIXED = sorted(((*r.partition("/")[::2], r, what) for r, what in FIXED_RULES), key=lambda x: (-len(x[2]), x[2]))
+
+#: Mining by counting every combination of every labelled page's tokens; for tables small enough.
+OP2_SQL = rf"""
+WITH p AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {_LOWER}), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+c AS (SELECT *, list_filter(string_split(host, '.'), lambda x: x <> '') AS labels, list_filter(string_split(translate(path, {_LOWER}), '/'), lambda x: x <> '') AS segments FROM p),
+t AS (SELECT page_id, url, host, path, CASE WHEN host = '' THEN [] ELSE list_sort(list_distinct(list_concat(['host:' || host], list_transform(labels[-1:], lambda x: 'end:' || x),
+  list_transform({_WORDS.format("array_to_string(labels[:-2], '.')")}, lambda x: 'name:' || x),
+  list_transform(segments, lambda x: 'part:' || regexp_replace(x, '\d+', '0', 'g')),
+  list_transform({_WORDS.format(_MIXED)}, lambda x: 'word:' || x),
+  list_transform(regexp_extract_all(regexp_extract(url, '\?([^#]*)', 1), '(?:^|&)([^=&]+)', 1), lambda x: 'field:' || translate(x, {_LOWER}))))) END AS tokens FROM c),
+known AS (SELECT doc_id, bool_or(bad) AS bad FROM (SELECT doc_id, quality = 0 OR toxic = 1 AS bad FROM labels) WHERE doc_id IS NOT NULL AND bad IS NOT NULL GROUP BY doc_id),
+rows AS (SELECT bad, tokens FROM t JOIN known ON page_id = doc_id WHERE len(tokens) > 0),
+n AS (SELECT greatest({MIN_SUPPORT} * count(*), {LEAST_PAGES}) AS least, greatest({MIN_CONFIDENCE}, {MIN_LIFT} * avg(bad::INT)) AS sure FROM rows),
+often AS (SELECT token FROM (SELECT unnest(tokens) AS token FROM rows WHERE bad) GROUP BY token HAVING count(*) >= (SELECT least FROM n)),
+baskets AS (SELECT bad, list_intersect(tokens, (SELECT coalesce(list(token), []) FROM often)) AS items FROM rows),
+sets AS (SELECT bad, list_filter(list_sort(items), lambda x, i: (mask >> (i - 1)) & 1 = 1) AS items FROM (SELECT bad, items, unnest(range(1, 1 << len(items))) AS mask FROM baskets)),
+found AS (SELECT items, avg(bad::INT) AS confidence FROM sets GROUP BY items HAVING sum(bad::INT) >= (SELECT least FROM n) AND avg(bad::INT) >= (SELECT sure FROM n)),
+rules AS (SELECT * FROM found r WHERE NOT EXISTS (SELECT 1 FROM found o WHERE len(o.items) < len(r.items) AND list_has_all(r.items, o.items) AND o.confidence >= r.confidence)),
+hit AS (SELECT url, max(confidence) AS confidence FROM (SELECT DISTINCT url, tokens FROM t WHERE url IS NOT NULL) JOIN rules ON list_has_all(tokens, items) GROUP BY url),
+j AS (SELECT page_id, host, path, confidence, CASE {" ".join(f"WHEN {_FITS.format(h, '/' + s)} THEN '{r}'" for h, s, r, _ in _FIXED)} END AS rule FROM t LEFT JOIN hit ON t.url = hit.url)
+SELECT page_id, host, path, rule, CASE rule {" ".join(f"WHEN '{r}' THEN '{w}'" for _, _, r, w in _FIXED)} ELSE CASE WHEN confidence IS NULL THEN 'allow' ELSE 'block' END END AS verdict, confidence FROM j
+"""

@@ -1,5 +1,8 @@
 """The corpus pipeline against its stages run one by one, and the registry."""
 
+import duckdb
+import pytest
+
 import corpus_pipeline
 from millrace.llm import bpe, registry
 
@@ -24,3 +27,21 @@ def test_pipeline(spark):
 def test_registry(spark):
     assert [q.split("_")[0] for q in registry.queries()] == [f"op{n}" for n in range(1, 11)]
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def plain(v):
+    return round(v, 6) if isinstance(v, float) else v
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = registry.queries()[name](spark, SF)
+    cols = sorted(df.columns)
+    cur = con.execute(registry.oracle_sql()[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(names) == cols
+    want = sorted(repr([plain(dict(zip(names, r, strict=True))[c]) for c in cols]) for r in cur.fetchall())
+    assert sorted(repr([plain(r[c]) for c in cols]) for r in df.collect()) == want
