@@ -6,16 +6,18 @@
 2. The mix is counted in blocks of equal numbers of words.  Blocks are seats: each goes to
    the source with the highest quotient target / (2k - 1).  Seats that any divisor near the
    final one would give are counted at once; only the quotients around it are ranked.
-3. A source's seats go in the same way to its shards (hash of doc_id, of bounded size, so
+3. A source's seats go in the same way to its shards (hash of the draw, of bounded size, so
    a source with a third of all rows is many shards): integer quotas.
 4. A shard lays its documents in an order drawn by seed and takes its quota's first blocks,
    after whole passes over the shard where the quota exceeds it.  A document at the edge is
    taken in part.
 
-Sizes are words (runs without ASCII white space; null: 0).  A null source is a source of
-its own, last in order.  The order hangs on seed and doc_id alone, so reruns agree;
-repeated rows of one doc_id lie next to each other.  An empty table gives an empty mix.
-All of it is DataFrame functions.
+Sizes are words (runs without ASCII white space; null: 0), whole texts however long.  A null
+source is a source of its own, last in order; ties of quotients go to the first source or
+shard.  The draw hangs on seed, doc_id, source and text alone, so reruns agree; rows without
+doc_id are drawn like others, and rows that repeat in all three lie next to each other.  Extra
+columns are ignored by :func:`mix` and kept by :func:`mixed_texts`.  An empty table gives an
+empty mix.  All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from .shared import materialise, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, "mix-1"
-SHARD_WORDS = 2_000_000
+SHARD_WORDS, LEVELS = 2_000_000, 4096
 #: A block is this part of the smallest target, within the bounds.
 BLOCK_PART, BLOCK_BOUNDS = 200, (1, 1024)
 
@@ -36,18 +38,29 @@ def seats(rows: DataFrame, by: str, weight: str, total: str, key: str) -> DataFr
     """Add ``seats``: ``total`` (of each ``by``) dealt by Sainte-Laguë to the rows by ``weight``.
 
     A row's seats are floor(w / d + 1/2) for the divisor d that makes them add up; d lies
-    between W / (S + n/2) and W / (S - n/2), so all but about n quotients are settled.
+    between W / (S + n/2) and W / (S - n/2), so all but about n quotients are settled.  Of
+    these, the level at which the seats run out is found by counts of ``LEVELS`` levels, and
+    only the quotients of that level are ranked.  ``rows`` should be a written table.
     """
-    w = Window.partitionBy(by)
-    r = rows.withColumn("_w", F.sum(weight).over(w).cast("double")).withColumn("_n", F.count("*").over(w))
+    whole = rows.groupBy(by).agg(F.sum(weight).cast("double").alias("_w"), F.count("*").alias("_n"))
+    r = rows.join(whole, by)
     around = lambda sign: F.when(F.col("_w") > 0, F.floor(F.col(weight) * F.greatest(F.lit(0.0), F.col(total) + sign * F.col("_n") / 2) / F.col("_w") + 0.5)).otherwise(F.lit(0))
     r = r.withColumn("_low", F.greatest(F.lit(0).cast("bigint"), around(-1) - 1)).withColumn("_high", F.greatest(F.col("_low"), around(1) + 1))
-    r = r.withColumn("_open", F.col(total) - F.sum("_low").over(w))
-    rest = r.select(by, key, weight, "_open", F.explode(F.expr("sequence(_low + 1, _high + 1)")).alias("_k"))
-    rest = rest.where(F.col(weight) > 0).withColumn("_q", F.col(weight) / (F.col("_k") * 2 - 1))
-    rest = rest.withColumn("_rank", F.row_number().over(w.orderBy(F.desc("_q"), F.col(key))))
-    won = rest.groupBy(by, key).agg(F.count(F.when(F.col("_rank") <= F.col("_open"), 1)).alias("_won"))
-    return r.join(won, [by, key], "left").withColumn("seats", F.col("_low") + F.coalesce("_won", F.lit(0))).drop("_w", "_n", "_low", "_high", "_open", "_won")
+    r = materialise(r.drop("_w", "_n"), "mix-quotients")
+    rest = r.where(F.col(weight) > 0).select(by, key, weight, F.explode(F.expr("sequence(_low + 1, _high + 1)")).alias("_k"))
+    rest = rest.select(by, key, (F.col(weight) / (F.col("_k") * 2 - 1)).alias("_q"))
+    span = rest.groupBy(by).agg(F.max("_q").alias("_top"), (F.max("_q") - F.min("_q")).alias("_span"))
+    open_ = r.groupBy(by).agg((F.max(total) - F.sum("_low")).alias("_open")).join(span, by)
+    level = F.when(F.col("_span") > 0, F.floor((F.col("_top") - F.col("_q")) / F.col("_span") * LEVELS)).otherwise(F.lit(0))
+    rest = rest.join(open_, by).withColumn("_level", level)
+    counts = rest.groupBy(by, "_level").agg(F.max("_open").alias("_open"), F.count("*").alias("_here"))  # LEVELS + 1 a group
+    higher = F.sum("_here").over(Window.partitionBy(by).orderBy("_level")) - F.col("_here")
+    at = counts.withColumn("_higher", higher).where("_higher < _open").groupBy(by).agg(F.max("_level").alias("_last"), F.max("_higher").alias("_settled"))
+    rest = rest.join(at, by).where("_level <= _last")
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("_q"), F.col(key)))
+    ranked = rest.where("_level = _last").withColumn("_rank", rank).where("_rank <= _open - _settled")
+    won = rest.where("_level < _last").select(by, key).unionByName(ranked.select(by, key)).groupBy(by, key).agg(F.count("*").alias("_won"))
+    return r.join(won, [by, key], "left").withColumn("seats", F.col("_low") + F.coalesce("_won", F.lit(0))).drop("_low", "_high", "_won")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -67,14 +80,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return w.withColumn("target", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("water") * F.col("w"))).select("s", "source", "source_size", "target")
 
 
-def _draw(doc_id: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def _draw(docs: DataFrame, seed: str) -> Column:
+    """Place of a row in the drawn order: a hash of seed, doc_id, source and text."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), part(docs["doc_id"]), F.lit(":"), part(docs["source"]), F.lit(":"), F.md5(F.coalesce(docs["text"], F.lit("")))))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, taken, and how it is taken:
     ``times`` whole and ``from_word`` to ``to_word`` once more."""
-    d = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size"))
+    d = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size"), _draw(docs, seed).alias("draw"))
     d = materialise(d, "mix-sizes")
     src = materialise(targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
     low, high = BLOCK_BOUNDS
@@ -84,32 +99,39 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
             F.sum("target").alias("_total"),
         ))
     ).withColumn("all", F.lit(0)).withColumn("_seats", F.round(F.col("_total") / F.col("block")).cast("bigint"))
-    src = seats(dealt, "all", "target", "_seats", "s").select("s", "source", "source_size", "target", "block", F.least(F.col("seats"), F.floor(F.col("source_size") * most / F.col("block"))).alias("source_seats"))
+    src = seats(materialise(dealt, "mix-blocks"), "all", "target", "_seats", "s").select("s", "source", "source_size", "target", "block", F.least(F.col("seats"), F.floor(F.col("source_size") * most / F.col("block"))).alias("source_seats"))
     src = materialise(src, "mix-seats")
 
-    d = d.withColumn("draw", _draw(F.col("doc_id"), seed))
     d = d.join(src.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))
     d = d.withColumn("shard", F.conv(F.substring("draw", 1, 8), 16, 10).cast("bigint") % shards)
     own = d.groupBy("s", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_seats").alias("_seats"), F.first("block").alias("block"))
+    own = materialise(own, "mix-shards")
     quota = seats(own, "s", "shard_size", "_seats", "shard").select(F.col("s").alias("_s"), F.col("shard").alias("_shard"), "shard_size", F.least(F.col("seats") * F.col("block"), F.col("shard_size") * most).alias("words"))
     d = d.drop("block").join(materialise(quota, "mix-quotas"), (F.col("s") == F.col("_s")) & (F.col("shard") == F.col("_shard")))
     w = Window.partitionBy("s", "shard").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("at", F.sum("size").over(w) - F.col("size"))
     d = d.withColumn("times", F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(F.lit(0)).cast("bigint"))
     d = d.withColumn("to_word", F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - F.col("times") * F.col("shard_size") - F.col("at"))))
-    return d.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size") + F.col("to_word")).alias("taken"), "times", F.lit(0).cast("bigint").alias("from_word"), "to_word", "source", "s", "shard")
+    return d.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size") + F.col("to_word")).alias("taken"), "times", F.lit(0).cast("bigint").alias("from_word"), "to_word", "source", "s", "shard", "draw")
 
 
-def mixed_texts(docs: DataFrame, **how) -> DataFrame:
+def mixed_texts(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """The mix itself: the rows of ``docs``, whole ones as often as taken, and the words
-    taken in part as a shorter text.  ``docs`` must have unique doc_ids."""
-    m = mix(docs, **how).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("times").alias("_times"), F.col("size").alias("_size"), F.col("to_word").alias("_part"))
-    m = m.withColumn("_words", F.explode(F.expr("concat(array_repeat(_size, cast(_times AS int)), filter(array(_part), x -> x > 0))")))
-    words = F.regexp_extract_all(docs["text"], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.when(F.col("_words") < F.col("_size"), F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), "")).otherwise(docs["text"])
-    out = docs.join(m, docs["doc_id"].eqNullSafe(m["_id"]))
-    return out.select(*(cut.alias("text") if c == "text" else docs[c] for c in docs.columns))
+    taken in part as a shorter text.
+
+    Rows meet what is taken of them by their draw.  Rows alike in doc_id, source and text have
+    one draw; together they are taken as ``mix`` says, one after another.
+    """
+    m = mix(docs, seed=seed, **how).where("taken > 0").groupBy(F.col("draw").alias("_draw"))
+    m = m.agg(F.max("times").alias("_times"), F.max("size").alias("_size"), F.sum("to_word").alias("_words"))
+    d = docs.withColumn("_draw", _draw(docs, seed))
+    d = d.withColumn("_nth", F.row_number().over(Window.partitionBy("_draw").orderBy("_draw")))
+    d = d.join(m, "_draw").withColumn("_part", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_words") - (F.col("_nth") - 1) * F.col("_size"))))
+    d = d.withColumn("_take", F.explode(F.expr("concat(array_repeat(_size, cast(_times AS int)), filter(array(_part), x -> x > 0))")))
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.when(F.col("_take") < F.col("_size"), F.array_join(F.slice(words, F.lit(1), F.col("_take").cast("int")), "")).otherwise(F.col("text"))
+    return d.withColumn("text", cut).select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +148,7 @@ def _seats_sql(rows: str, by: str, weight: str, total: str, key: str) -> str:
 
 
 OP7_SQL = f"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS draw FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('{SEED}:' || coalesce('=' || doc_id::VARCHAR, 'null') || ':' || coalesce('=' || source, 'null') || ':' || md5(coalesce(text, ''))) AS draw FROM documents),
 s1 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s2 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS s FROM s1),
 s3 AS (SELECT *, [{', '.join(map(str, WEIGHTS))}][(s - 1) % {len(WEIGHTS)} + 1] AS w, source_size * {MOST} AS cap FROM s2),
