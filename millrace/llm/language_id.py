@@ -4,17 +4,19 @@ Four kinds of evidence are multiplied: the text's likelihood under character-n-g
 how likely each language's pages are to declare the markup language the page declares, how
 likely they are to lie under its address suffix, and the host's prior.
 
-Models are trained on texts with a known language: at most ``FIT_ROWS`` rows, drawn by hash
-of their id, equally from each language.  The declared language and the suffix are weighed by
-tables of smoothed counts, and a host's prior is smoothed towards that of its domain, this one
-towards its suffix, and that one towards all pages: all of them are sums, grouped, of the
-texts' own posteriors over all pages.  A page's own part is taken out of the counts of
-its host, so that it does not vouch for itself.
-
-Null and empty pages have no text evidence (a flat likelihood) and are named by the rest; a
-page without any evidence gets the language of most pages.  Pages without id are named too,
-repeated pages alike.  Languages are those of the training table, at most ``MOST_LANGUAGES``;
-without training rows every language is null.
+Models are trained on texts with a known language: at most ``FIT_ROWS`` rows (one of each
+language at least), drawn by hash of their id, equally from each language.  The declared
+language and the suffix are weighed by tables of smoothed counts, and a host's prior is
+smoothed towards that of its domain, this one towards its suffix, and that one towards all
+pages: all of them are sums, grouped, of the texts' own posteriors over all pages.  A page's own
+part is taken out of the sums at every level and in both tables, so that it never vouches for
+itself.
+
+Null and empty pages have no text evidence (a flat likelihood) and are named by the rest; very
+long ones are read whole.  Pages without id are named too, repeated pages alike.  Of languages
+that tie the first in the alphabet is named.  Extra columns are ignored.  Languages are all
+those of the training table, and the model holds ``BUCKETS`` numbers for each; without training
+rows every language is null.  No pages give no rows.
 """
 
 from __future__ import annotations
@@ -24,15 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, table
+from .shared import materialise, spread_join, table
 
-FIT_ROWS, MOST_LANGUAGES, BUCKETS = 4_000, 64, 1 << 16
+FIT_ROWS, BUCKETS = 4_000, 1 << 16
 #: n-grams are far from independent: the log-likelihood is tempered to so many of them.
 EFFECTIVE = 40
 SMOOTH_TABLE, SMOOTH_HOST = 1.0, 20.0
+#: Hosts this common (a share of 1 / HOT_HOSTS of all pages) get their sums by broadcast.
+HOT_HOSTS = 1_000
 
 _DROP = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
 _ENTITY = re.compile(r"&(?:#\w+|\w+);")
@@ -65,16 +69,15 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def train(texts: DataFrame) -> tuple[list[str], np.ndarray | None]:
     """(id, text, lang) -> the languages and their log-probabilities by bucket."""
-    known = texts.where("lang IS NOT NULL AND lang <> '' AND text IS NOT NULL").select(F.xxhash64("id").alias("d"), "id", "lang", "text")
-    langs = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
+    known = texts.where("lang IS NOT NULL AND lang <> '' AND text IS NOT NULL").select("id", "lang", "text", F.xxhash64("id", "text").alias("d"))
+    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())  # one row a language
     if not langs:
         return [], None
-    each = FIT_ROWS // len(langs)
-    picked = [known.where(F.col("lang") == x).select("d", "id", "lang").orderBy("d").limit(each) for x in langs]
-    some = picked[0]
-    for p in picked[1:]:
-        some = some.unionByName(p)
-    rows = known.join(F.broadcast(some.select(F.col("id").alias("_id")).distinct()), F.col("id") == F.col("_id")).select("lang", "text")  # FIT_ROWS at most
+    each = max(1, FIT_ROWS // len(langs))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("d", "id"))  # tasks keep the first rows before the shuffle
+    some = known.select("d", "id", "lang").withColumn("_n", place).where(F.col("_n") <= each).select(F.col("d").alias("_d"), F.col("lang").alias("_lang")).distinct()
+    rows = known.join(F.broadcast(some), (F.col("d") == F.col("_d")) & (F.col("lang") == F.col("_lang"))).drop("_d", "_lang")
+    rows = rows.withColumn("_n", place).where(F.col("_n") <= each).select("lang", "text")  # rows that repeat count here
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {x: np.zeros(BUCKETS) for x in langs}
@@ -89,7 +92,7 @@ def train(texts: DataFrame) -> tuple[list[str], np.ndarray | None]:
 
     sums = rows.mapInArrow(count, "lang string, bucket bigint, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     model = np.full((len(langs), BUCKETS), 1e-3)
-    got = sums.toPandas()  # MOST_LANGUAGES x BUCKETS numbers at most
+    got = sums.toPandas()  # BUCKETS numbers a language at most
     model[[langs.index(x) for x in got["lang"]], got["bucket"]] += got["n"]
     return langs, np.log(model / model.sum(1, keepdims=True))
 
@@ -113,46 +116,61 @@ def text_posteriors(pages: DataFrame, langs: list[str], model: np.ndarray) -> Da
     return p.mapInArrow(run, "page_id bigint, url string, declared string, post array<double>")
 
 
-def _summed(rows: DataFrame, by: list[str], n: int, name: str) -> DataFrame:
-    return rows.groupBy(*by).agg(F.array(*[F.sum(F.element_at("post", i + 1)) for i in range(n)]).alias(name))
+def _summed(rows: DataFrame, by: list[str], n: int, what: str, name: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.array(*[F.sum(F.element_at(what, i + 1)) for i in range(n)]).alias(name), F.count("*").alias("pages"))
 
 
-def _given_language(key: str, rows: DataFrame, n: int, name: str) -> DataFrame:
-    """log P(value of ``key`` | language), for each value: smoothed shares of each language's sum."""
-    own = _summed(rows, [key], n, "c")
-    total = own.agg(F.array(*[F.sum(F.element_at("c", i + 1)) for i in range(n)]).alias("t"), F.count("*").alias("m"))
-    logs = F.zip_with("c", "t", lambda c, t: F.log((c + SMOOTH_TABLE) / (t + SMOOTH_TABLE * (F.col("m") + 1))))
-    return own.crossJoin(F.broadcast(total)).select(F.col(key).alias(f"_{key}"), logs.alias(name))  # one row
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+
+
+def _share(x: np.ndarray) -> np.ndarray:
+    x = np.maximum(x, 0)
+    return x / (x.sum(1, keepdims=True) + 1e-12)
+
+
+def fused_logs(post: np.ndarray, host: np.ndarray, domain: np.ndarray, suffix: np.ndarray, declared: np.ndarray, total: np.ndarray, suffixes: int, declarations: int) -> np.ndarray:
+    """Log evidence of pages (rows) for languages (columns): ``post`` from the texts, sums of it
+    over each page's host, domain, suffix and declared language, and over all pages."""
+    prior = _share(total - post + 1)
+    for sums in (suffix, domain, host):
+        prior = _share(np.maximum(sums - post, 0) + SMOOTH_HOST * prior)
+    logs = np.log(post + 1e-12) + np.log(prior + 1e-12)
+    for sums, kinds in ((declared, declarations), (suffix, suffixes)):
+        logs += np.log((np.maximum(sums - post, 0) + SMOOTH_TABLE) / (np.maximum(total - post, 0) + SMOOTH_TABLE * (kinds + 1)))
+    return logs
 
 
 def fuse(post: DataFrame, langs: list[str]) -> DataFrame:
     """One row a page: page_id, lang, confidence, text_lang, declared, suffix, host."""
     n = len(langs)
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[^:]*://([^/?#:@]*)", 1), F.lit("")))
-    rows = post.withColumn("host", host)
-    rows = rows.withColumn("suffix", F.element_at(F.split("host", r"\."), -1)).withColumn("domain", F.substring_index("host", ".", -2)).withColumn("declared", F.coalesce("declared", F.lit("")))
+    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[^:]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+    rows = post.withColumn("host", host).withColumn("declared", F.coalesce("declared", F.lit(""))).drop("url")
     rows = materialise(rows, "language-text")
-    blend = lambda own, parent: F.zip_with(own, parent, lambda a, b: a + SMOOTH_HOST * b)
-    share = lambda c: F.transform(c, lambda x: x / F.aggregate(c, F.lit(1e-12), lambda a, v: a + v))
-    top = rows.agg(F.array(*[F.coalesce(F.sum(F.element_at("post", i + 1)), F.lit(0.0)) + 1 for i in range(n)]).alias("_all")).select(share(F.col("_all")).alias("p_all"))
-    suffix = _summed(rows, ["suffix"], n, "c").crossJoin(F.broadcast(top)).select("suffix", share(blend("c", "p_all")).alias("p_suffix"))  # one row
-    domain = _summed(rows, ["suffix", "domain"], n, "c").join(suffix, "suffix").select("domain", share(blend("c", "p_suffix")).alias("p_domain"))
-    hosts = _summed(rows, ["domain", "host"], n, "n_host").join(domain, "domain").select(F.col("host").alias("_host"), "n_host", "p_domain")
-    out = rows.join(hosts, F.col("host") == F.col("_host"))
-    out = out.join(_given_language("declared", rows, n, "l_declared"), F.col("declared") == F.col("_declared"))
-    out = out.join(_given_language("suffix", rows, n, "l_suffix"), F.col("suffix") == F.col("_suffix"))
-    others = F.zip_with("n_host", "post", lambda a, b: F.greatest(a - b, F.lit(0.0)))
-    prior = share(blend(others, "p_domain"))
-    logs: Column = F.zip_with(F.zip_with("post", prior, lambda a, b: F.log(a + 1e-12) + F.log(b + 1e-12)), F.zip_with("l_declared", "l_suffix", lambda a, b: a + b), lambda a, b: a + b)
-    out = out.withColumn("logs", logs).withColumn("best", F.array_max("logs"))
-    names = F.array(*map(F.lit, langs))
-    return out.select(
-        "page_id",
-        F.element_at(names, F.array_position("logs", F.col("best")).cast("int")).alias("lang"),
-        (1 / F.aggregate("logs", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("best")))).alias("confidence"),
-        F.element_at(names, F.array_position("post", F.array_max("post")).cast("int")).alias("text_lang"),
-        "declared", "suffix", "host",
-    )
+    hosts = _summed(rows, ["host"], n, "post", "n_host")
+    hosts = hosts.withColumn("suffix", F.element_at(F.split("host", r"\."), -1)).withColumn("domain", F.substring_index("host", ".", -2))
+    hosts = materialise(hosts, "language-hosts")
+    domains = _summed(hosts, ["domain"], n, "n_host", "n_domain").drop("pages")
+    suffixes = materialise(_summed(hosts, ["suffix"], n, "n_host", "n_suffix").drop("pages"), "language-suffixes")
+    hosts = materialise(hosts.join(domains, "domain").join(suffixes, "suffix").select("host", "suffix", "n_host", "n_domain", "n_suffix", "pages"), "language-sums")
+    declared = materialise(_summed(rows, ["declared"], n, "post", "n_declared").drop("pages"), "language-declared")
+    kinds = (suffixes.count(), declared.count())
+    total = suffixes.agg(*[F.sum(F.element_at("n_suffix", i + 1)) for i in range(n)]).first()  # a number a language
+    total = np.array([x or 0.0 for x in total])
+    out = spread_join(rows, hosts, "host", "pages", HOT_HOSTS).join(F.broadcast(declared), "declared")  # codes of two or three letters: 18,253 at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, *sums = (_matrix(batch.column(c), n) for c in ("post", "n_host", "n_domain", "n_suffix", "n_declared"))
+            logs = fused_logs(own, *sums, total, *kinds)
+            best = logs.argmax(1)
+            sure = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
+            named = [pa.array([langs[i] for i in at]) for at in (best, own.argmax(1))]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), named[0], pa.array(sure), named[1], *(batch.column(c) for c in ("declared", "suffix", "host"))], ["page_id", "lang", "confidence", "text_lang", "declared", "suffix", "host"])
+
+    return out.mapInArrow(run, "page_id bigint, lang string, confidence double, text_lang string, declared string, suffix string, host string")
 
 
 def identify(pages: DataFrame, texts: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialise, table
+from .shared import labelled_sample, table
 
 FIT_ROWS, ROUNDS, PENALTY, CUT = 6_000, 200, 1e-3, 0.7
 BATCH_BYTES = 4_000_000
@@ -258,11 +258,8 @@ def _fit(x: np.ndarray, size: np.ndarray, per_text: np.ndarray, labels: np.ndarr
 
 def learn(docs: DataFrame, labels: DataFrame) -> Field | float:
     """Fit on at most FIT_ROWS rows of ``docs`` (doc_id, text) with ``labels`` (doc_id, quality)."""
-    some = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("d", F.xxhash64("doc_id"))
-    some = some.where("quality = 1").orderBy("d").limit(FIT_ROWS // 2).unionByName(some.where("quality = 0").orderBy("d").limit(FIT_ROWS // 2))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(some), "doc_id")  # FIT_ROWS at most
-    rows = materialise(rows, "quality-sample")
-    quality = [r["quality"] for r in sorted(rows.select("doc_id", "quality").collect())]
+    rows = labelled_sample(docs, labels, "quality", FIT_ROWS).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "quality")
+    quality = [r["quality"] for r in rows.orderBy("doc_id", "text").select("quality").collect()]
     texts = (bytes(r["text"]) for r in rows.orderBy("doc_id", "text").select("text").toLocalIterator())  # a partition at a time
     return fit(texts, np.array(quality, int))
 

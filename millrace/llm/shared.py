@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components, materialise, new_path, shared_dir
 
-__all__ = ["components", "forest", "materialise", "new_path", "run_bounds", "shared_dir", "spread_join", "table", "two_sided_forest", "whole_groups"]
+__all__ = ["components", "forest", "labelled_sample", "materialise", "new_path", "run_bounds", "shared_dir", "spread_join", "table", "two_sided_forest", "whole_groups"]
 
 #: A key is hot from this number of rows on, and so many keys are hot at most.
 HOT_ROWS, HOT_KEYS = 10_000, 100_000
@@ -22,6 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """(doc_id, text, <label>), written: at most ``most`` rows, half of them of each class (0, 1).
+
+    Rows are drawn by hash of doc_id, a doc_id's label is its largest.  A doc_id may have
+    several rows; all are candidates, and the bound is on rows.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
+    first = lambda *by: F.row_number().over(Window.partitionBy(label).orderBy(*by))
+    known = known.withColumn("_d", F.xxhash64("doc_id")).withColumn("_n", first("_d", "doc_id")).where(F.col("_n") <= most // 2)
+    rows = docs.select("doc_id", "text").join(F.broadcast(known.drop("_n")), "doc_id")  # ``most`` ids
+    rows = rows.withColumn("_h", F.xxhash64("text")).withColumn("_n", first("_d", "doc_id", "_h")).where(F.col("_n") <= most // 2)
+    return materialise(rows.select("doc_id", "text", label), f"sample-{label}")
+
+
 def spread_join(rows: DataFrame, values: DataFrame, key: str, n: str, keys: int = HOT_KEYS) -> DataFrame:
     """``rows`` left-joined by ``key`` with ``values`` (written; one row a key; ``n`` is the number
     of rows that have it), without ``n``.

@@ -35,9 +35,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialise, table
+from .shared import labelled_sample, materialise, table
 
-FIT_ROWS, MOST_ENTRIES, LEAST_DOCS, LEAST_ODDS = 8_000, 4_000, 6, 4.0
+FIT_ROWS, LEAST_DOCS, LEAST_ODDS = 8_000, 6, 4.0
 STEM_LENGTHS = (4, 5, 6, 8)
 PER_WORDS, LEAST_WORDS = 100, 20
 
@@ -51,7 +51,7 @@ LOOKALIKES = {
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t", "€": "e"}
 #: Seed entries with their weights, and seed exceptions.
 SEED_WORDS = {"idiot": 2.0, "idiots": 2.0, "moron": 2.0, "morons": 2.0, "scum": 2.0, "loser": 1.5, "losers": 1.5, "worthless": 1.5, "pathetic": 1.5, "disgusting": 1.5, "stupid": 1.5}
-SEED_EXCEPTIONS = ["idiot proof", "sore loser award", "worthless check", "stupid question amnesty"]
+SEED_EXCEPTIONS = ["idiot proof"]
 
 _ZERO_WIDTH = {chr(c) for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
 _LOOKS = {c: latin for latin, group in LOOKALIKES.items() for c in group}
@@ -150,12 +150,7 @@ def in_fold(doc_id: str, of: int, left_out: int) -> bool:
 def learn(docs: DataFrame, labels: DataFrame, seed_words: dict[str, float] | None = None) -> Lexicon:
     """A lexicon from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     lex = Lexicon(words=dict(SEED_WORDS if seed_words is None else seed_words))
-    some = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # both classes have half of the places; the draw hangs on doc_id alone
-    some = some.withColumn("d", F.xxhash64("doc_id"))
-    some = some.where("toxic = 1").orderBy("d").limit(FIT_ROWS // 2).unionByName(some.where("toxic = 0").orderBy("d").limit(FIT_ROWS // 2))
-    rows = docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id", "toxic")), "doc_id")  # FIT_ROWS at most
-    rows = materialise(rows, "labelled")
+    rows = labelled_sample(docs, labels, "toxic", FIT_ROWS)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
@@ -181,7 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame, seed_words: dict[str, float] | Non
         return lex
     odds = F.log((F.col("bad") + 0.5) / (n["bad"] + 1.0)) - F.log((F.col("good") + 0.5) / (n["good"] + 1.0))
     top = counted.where(F.col("gram") != "").withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    top = top.orderBy(F.desc("bad"), "gram").limit(MOST_ENTRIES).collect()
+    top = top.orderBy(F.desc("bad"), "gram").collect()  # of FIT_ROWS texts, each in LEAST_DOCS of them
     # a stem is kept when no shorter one covers it, a word when no stem does
     for r in sorted((r for r in top if not r["gram"].endswith(" ")), key=lambda r: (len(r["gram"]), r["gram"])):
         stem = r["gram"].strip()
@@ -199,44 +194,44 @@ def learn(docs: DataFrame, labels: DataFrame, seed_words: dict[str, float] | Non
     return lex
 
 
+def neighbours(automaton, folded: str) -> set[str]:
+    """The phrases of two words that hits form with the word before and the word after them."""
+    out = set()
+    for s, e, _ in hits(automaton, folded):
+        e = folded.index(" ", max(s + 1, e - 1))
+        before, after = folded[:s].rpartition(" ")[2], folded[e + 1 :].partition(" ")[0]
+        out |= {f"{before}{folded[s:e]}" if before else "", f"{folded[s + 1 : e]} {after}" if after else ""} - {""}
+    return out
+
+
 def calibrate(lex: Lexicon, rows: DataFrame) -> None:
-    """Set exceptions and the slope from the training rows (bounded by FIT_ROWS)."""
-    plain = Lexicon(lex.words, lex.stems, lex.exceptions)
+    """Set exceptions, then the slope of the lexicon that has them, from the training rows
+    (bounded by FIT_ROWS)."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = lex.automaton()
+        for batch in batches:
+            own = [sorted(neighbours(a, fold(t or "", lex.words))) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, pa.list_(pa.string()))], ["y", "near"])
+
+    kind = dict(rows.dtypes)["toxic"]
+    phrases = rows.select("text", "toxic").mapInArrow(near, f"y {kind}, near array<string>").select("y", F.explode("near").alias("phrase"))
+    phrases = phrases.groupBy("phrase").agg(F.sum("y").alias("bad"), F.count("*").alias("n")).where((F.col("bad") == 0) & (F.col("n") >= LEAST_DOCS))
+    lex.exceptions = sorted({*lex.exceptions, *(r["phrase"] for r in phrases.collect())})
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = plain.automaton()
+        a = lex.automaton()
         for batch in batches:
-            out = [[], [], []]
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                folded = fold(text or "", plain.words)
-                near = set()
-                for s, e, _ in hits(a, folded):
-                    e = folded.index(" ", max(s + 1, e - 1))
-                    before, after = folded[:s].rpartition(" ")[2], folded[e + 1 :].partition(" ")[0]
-                    near |= {f"{before}{folded[s:e]}".strip() if before else "", f"{folded[s:e]} {after}".strip() if after else ""} - {""}
-                out[0].append(y)
-                out[1].append(density(a, text, plain.words))
-                out[2].append(sorted(near))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.list_(pa.string()))], ["y", "density", "near"])
-
-    seen = rows.select("text", "toxic").mapInArrow(measure, "y int, density double, near array<string>")
-    got = seen.collect()
-    in_good: dict[str, int] = {}
-    in_bad: set[str] = set()
-    for r in got:
-        for p in r["near"]:
-            if r["y"]:
-                in_bad.add(p)
-            else:
-                in_good[p] = in_good.get(p, 0) + 1
-    lex.exceptions += sorted(p for p, n in in_good.items() if n >= LEAST_DOCS and p not in in_bad)[:MOST_ENTRIES]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([density(a, t, lex.words) for t in batch.column("text").to_pylist()], pa.float64())], ["y", "density"])
+
+    got = rows.select("text", "toxic").mapInArrow(measure, f"y {kind}, density double").collect()  # two numbers a row
     y = np.array([r["y"] for r in got])
     d = np.array([r["density"] for r in got])
     order = np.argsort(d)
     d, y = d[order], y[order]
     # errors with the threshold below each density; the middle of the best gap
     wrong = np.concatenate([[0], np.cumsum(y)]) + ((y == 0).sum() - np.concatenate([[0], np.cumsum(y == 0)]))
-    k = int(np.flatnonzero(wrong == wrong.min())[-1])
+    k = int(np.median(np.flatnonzero(wrong == wrong.min())))
     low, high = (d[k - 1] if k else 0.0), (d[k] if k < len(d) else d[-1] * 2)
     cut = max(1e-6, (low + high) / 2 if low > 0 else high / 4)
     lex.slope = float(np.log(2) / cut)

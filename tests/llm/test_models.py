@@ -1,14 +1,16 @@
 """Toxicity, quality, languages, URL rules, mixing and the pipeline on small tables."""
 
+import itertools
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import language_id, mixing, quality, toxicity, url_rules
+from millrace.llm import language_id, mixing, quality, shared, toxicity, url_rules
 
-SF = "/root/testdata/sf0.01"
+SF, DOCS = "/root/testdata/sf0.01", "doc_id long, text string"
 
 
 def test_folding():
@@ -27,6 +29,68 @@ def test_lexicon_and_exceptions():
     assert toxicity.density(a, None) == 0 and toxicity.density(a, "idiot") > toxicity.density(a, "idiot " + "word " * 200) > 0
 
 
+def plain_density(lex, text):
+    """Entries looked for at every word, one by one."""
+    words = toxicity.fold(text, lex.words).split()
+    at = {i: words[i : i + 2] for i in range(len(words))}
+    spared = {j for i, two in at.items() for j in (i, i + 1) if " ".join(two) in lex.exceptions}
+    weights = []
+    for i, w in enumerate(words):
+        own = [(len(w) + 2, lex.words[w])] if w in lex.words else []
+        own += [(len(s) + 1, x) for s, x in lex.stems.items() if w.startswith(s)]
+        if own and i not in spared:
+            weights.append(max(own)[1])
+    return sum(weights) * toxicity.PER_WORDS / max(toxicity.LEAST_WORDS, len(words)) if weights else 0.0
+
+
+def test_density_against_looking_up_each_word():
+    rng = random.Random(8)
+    lex = toxicity.Lexicon(words={"idiot": 2.0, "moron": 1.5, "low": 1.0}, stems={"idio": 0.5, "grub": 3.0}, exceptions=["idiot proof", "no moron"])
+    a = lex.automaton()
+    pool = ["idiot", "1d10t", "Idiotic", "moron", "mor​on", "low", "lower", "grubby", "grub", "proof", "no", "a", "ídiot", "idiot-proof", "x!", ""]
+    for _ in range(500):
+        t = rng.choice([" ", "\n", ", "]).join(rng.choice(pool) for _ in range(rng.randint(0, 40)))
+        assert toxicity.density(a, t, lex.words) == pytest.approx(plain_density(lex, t)), t
+
+
+def test_learned_entries_against_counting(spark):
+    rng = random.Random(6)
+    common = [f"w{c}{d}" for c in "abcdefgh" for d in "xyzuv"]
+    rows = []
+    for i in range(300):
+        t = [rng.choice(common) for _ in range(30)]
+        if i % 3 == 0:
+            t[rng.randrange(30)] = rng.choice(["vilest", "grubberish", "grubbering", "grubbery", "grubbest"])
+        if i % 3 == 1 and i % 2:
+            t[3:5] = ["not", "vilest"]
+        rows.append((i, " ".join(t)))
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    lex = toxicity.learn(docs, labels, {})
+    n = {1: 100, 0: 200}
+    count = {}
+    for i, t in rows:
+        own = {(w, False) for w in t.split()} | {(w[:k], True) for w in t.split() for k in toxicity.STEM_LENGTHS if len(w) > k}
+        for g in own:
+            count.setdefault(g, {0: 0, 1: 0})[int(i % 3 == 0)] += 1
+    odds = {g: np.log((c[1] + 0.5) / (n[1] + 1)) - np.log((c[0] + 0.5) / (n[0] + 1)) for g, c in count.items() if c[1] >= toxicity.LEAST_DOCS}
+    odds = {g: x for g, x in odds.items() if x >= toxicity.LEAST_ODDS}
+    stems = {g for g, is_stem in odds if is_stem}
+    least = {s for s in stems if not any(s != o and s.startswith(o) for o in stems)}
+    assert set(lex.stems) <= least and all(lex.stems[s] == pytest.approx(odds[s, True]) for s in lex.stems)
+    assert lex.stems and set(lex.words) == {w for w, is_stem in odds if not is_stem and not any(w.startswith(s) for s in lex.stems)}
+    assert all(x == pytest.approx(odds[w, False]) for w, x in lex.words.items())
+    scores = {r["doc_id"]: r["tox_score"] for r in toxicity.score(docs, lex).collect()}
+    assert all(scores[i] == pytest.approx(1 - np.exp(-plain_density(lex, t) * lex.slope)) for i, t in rows)
+
+
+def test_samples_are_bounded_in_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "same")] * 50 + [(i, "x") for i in range(3, 40)] + [(None, "y")], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)] + [(None, 1)], "doc_id long, toxic int")
+    rows = shared.labelled_sample(docs, labels, "toxic", 20).collect()
+    assert sorted(r["toxic"] for r in rows) == [0] * 10 + [1] * 10 and all(r["doc_id"] % 2 == r["toxic"] for r in rows)
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, shared.labelled_sample(docs.repartition(3), labels, "toxic", 20).collect()))
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(300)]
@@ -96,6 +160,50 @@ def test_quality_learns_from_whole_texts(spark):
     assert all((got[i] >= quality.CUT) == bool(i % 2) for i in got) and len(got) == 12
 
 
+def plain_line(line, before):
+    """Features of one line by loops."""
+    upper, lower, digit = (sum(a <= c <= b for c in line) for a, b in ((65, 90), (97, 122), (48, 57)))
+    space, wide = sum(c in (*range(9, 14), 32) for c in line), sum(c > 127 for c in line)
+    stops = sum(chr(c) in ".,;:'\"?-()" for c in line)
+    sign = len(line) - upper - lower - digit - space - wide - stops
+    words = line.split()
+    signed = sum(not (w[-1:].isalnum() or w[-1] > 127 or chr(w[-1]) in ".,;:'\"?-()") for w in words)
+    n, w, letters = max(1, len(line)), max(1, len(words)), max(1, upper + lower + wide)
+    again, again2 = (sum(words[i] == words[i - k] for i in range(k, len(words))) for k in (1, 2))
+    return [
+        upper / letters, float(upper / letters > 0.5), (sign / n) ** 0.5, min(1, 8 * sign / n), digit / n, space / n, min(1, 10 * stops / n), signed / w,
+        again / w, again2 / w, float(before is not None and line.split() == before.split() and len(line) > 0), np.log1p(len(line)) / 8, min(3, len(line) / w / 8), float(not line),
+    ]
+
+
+def test_evidence_against_plain_lines():
+    rng = random.Random(12)
+    texts = [b"\n".join(" ".join(rng.choice(["Word", "a", "b!", "SHOUT", "9", "ab, c", "café", ""]) for _ in range(rng.randint(0, 6))).encode() for _ in range(rng.randint(1, 5))) for _ in range(40)]
+    x, size, per_text = quality.line_features(texts)
+    at = 0
+    for t, n in zip(texts, per_text, strict=True):
+        lines = t.split(b"\n")
+        assert len(lines) == n and size[at : at + n].tolist() == [max(1, len(y)) for y in lines]
+        for k, y in enumerate(lines):
+            own = x[at + k, 1 : 1 + quality.N_BASE]
+            want = plain_line(y, lines[k - 1] if k else None)
+            skip = {8, 9, 10} if k == 0 else set()  # words before a text's first line are another text's
+            assert all(own[i] == pytest.approx(want[i]) for i in range(quality.N_BASE) if i not in {8, 9} | skip), (y, own, want)
+            assert (x[at + k, 1 + quality.N_BASE : 1 + 2 * quality.N_BASE] == (x[at + k - 1, 1 : 1 + quality.N_BASE] if k else 0)).all()
+        at += n
+    rng = np.random.default_rng(4)
+    field = quality.Field(rng.normal(size=x.shape[1]), rng.normal(size=(2, 2)), np.zeros(x.shape[1]), np.ones(x.shape[1]), (1.5, 0.2))
+    got, at = field.evidence(texts), 0
+    for i, n in enumerate(per_text):
+        node, weight = x[at : at + n] @ field.weights, size[at : at + n]
+        total, marg = 0.0, np.zeros(n)
+        for y in itertools.product((0, 1), repeat=int(n)):
+            s = np.exp(sum(node[k] * y[k] for k in range(n)) + sum(field.trans[a, b] for a, b in itertools.pairwise(y)))
+            total, marg = total + s, marg + s * np.array(y)
+        assert got[i] == pytest.approx((marg / total * weight).sum() / weight.sum())
+        at += n
+
+
 def test_quality_fit_is_the_same_in_batches(monkeypatch):
     rng = random.Random(3)
     texts = ["\n".join("".join(rng.choice("abC !1") for _ in range(30)) for _ in range(rng.randint(1, 9))).encode() for _ in range(40)]
@@ -121,6 +229,37 @@ def test_languages(spark):
     assert language_id.fuse(language_id.text_posteriors(pages.where("false"), langs, model), langs).count() == 0
 
 
+def test_fusion_against_plain_sums(spark):
+    rng = np.random.default_rng(3)
+    langs = ["aa", "bb", "cc"]
+    urls = [None, "none", "http://one.x.de/a", "http://u@two.x.de:80/", "http://x.de?q", "https://solo.org/", "http://a.b.fr#z", "HTTP://A.B.FR/"]
+    rows = [(i, urls[rng.integers(len(urls))], ["", "aa", "zz", None][rng.integers(4)], rng.dirichlet([0.3] * 3).tolist()) for i in range(60)] + [(60, "http://once.only/", "bb", [0.2, 0.5, 0.3])]
+    df = spark.createDataFrame(rows, "page_id long, url string, declared string, post array<double>")
+    got = {r["page_id"]: r for r in language_id.fuse(df, langs).collect()}
+    host = {None: "", "none": "", "http://one.x.de/a": "one.x.de", "http://u@two.x.de:80/": "two.x.de", "http://x.de?q": "x.de", "https://solo.org/": "solo.org", "http://a.b.fr#z": "a.b.fr", "HTTP://A.B.FR/": "a.b.fr", "http://once.only/": "once.only"}
+    keys = lambda i: (host[rows[i][1]], ".".join(host[rows[i][1]].split(".")[-2:]), host[rows[i][1]].split(".")[-1], rows[i][2] or "")
+    share = lambda x: x / (x.sum() + 1e-12)
+    for i, (_, _, _, post) in enumerate(rows):
+        others = [j for j in range(len(rows)) if j != i]  # a page never counts for itself
+        sums = lambda k: sum((np.array(rows[j][3]) for j in others if keys(j)[k] == keys(i)[k]), np.zeros(3))  # noqa: B023, E731
+        total = sum(np.array(rows[j][3]) for j in others)
+        prior = share(total + 1)
+        for k in (2, 1, 0):
+            prior = share(sums(k) + language_id.SMOOTH_HOST * prior)
+        logs = np.log(np.array(post) + 1e-12) + np.log(prior + 1e-12)
+        for k in (3, 2):
+            kinds = len({keys(j)[k] for j in range(len(rows))})
+            logs += np.log((sums(k) + 1) / (total + kinds + 1))
+        p = np.exp(logs - logs.max())
+        assert got[i]["lang"] == langs[int(p.argmax())] and got[i]["confidence"] == pytest.approx(p.max() / p.sum(), abs=1e-6) and got[i]["host"] == keys(i)[0]
+
+
+def test_every_language_is_kept(spark):
+    docs = spark.createDataFrame([(i, chr(0x4E00 + i) * 30, f"l{i:03}") for i in range(80)] + [(i % 3, "again " * 9, "l000") for i in range(200)], "id long, text string, lang string")
+    langs, model = language_id.train(docs)
+    assert len(langs) == 80 and model.shape == (80, language_id.BUCKETS)
+
+
 def test_url_parts_and_fixed_rules(spark):
     urls = [("HTTP://WWW.Example.NET/en/x?q#f", "block"), ("https://example.com/de/", "block"), ("https://a.example.com/dex", "allow"), ("x.org/fr/", "allow"), ("https://b.org/fr/1", "allow"), ("https://notexample.net", "allow"), ("https://notexample.net/", "block"), (None, "allow"), ("a://b://c/d", "allow")]
     df = spark.createDataFrame([(i, u, "z") for i, (u, _) in enumerate(urls)], "page_id long, url string, host string")
@@ -144,11 +283,33 @@ def test_mined_rules_against_brute_force(spark):
     rules = url_rules.mine(pages, labels)
     rules.cache()
     found = [set(r["items"]) for r in rules.collect()]
-    assert any({"word:casino", "word:win"} >= f or {"segment:casino", "segment:win"} >= f for f in found)
+    assert {"part:casino", "part:win"} in found
     toks = {r["page_id"]: set(r["t"]) for r in pages.select("page_id", url_rules.tokens_of(F.col("url")).alias("t")).collect()}
+    assert toks[0] == {"end:test", "name:example", *(t for t in toks[0] if t[:5] in ("host:", "part:"))} and len(toks[0]) == 6
+    # every combination by counting: enough support and confidence, no part as confident
+    bad = {i for i, _, b in rows if b}
+    least, base, support, good = max(url_rules.MIN_SUPPORT * 600, url_rules.LEAST_PAGES), len(bad) / 600, {}, {}
+    for i, t in toks.items():
+        for k in range(1, len(t) + 1):
+            for c in itertools.combinations(sorted(t), k):
+                support.setdefault(c, [0, 0])[i in bad] += 1
+    for c, (no, yes) in support.items():
+        if yes >= least and yes / (yes + no) >= max(url_rules.MIN_CONFIDENCE, url_rules.MIN_LIFT * base):
+            good[frozenset(c)] = yes / (yes + no)
+    want = {c for c, p in good.items() if not any(d < c and q >= p for d, q in good.items())}
+    assert {frozenset(f) for f in found} == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT * FROM (SELECT unnest(?) AS page_id, unnest(?) AS url)", [[a for a, _, _ in rows], [b for _, b, _ in rows]])
+    con.execute("CREATE TABLE labels AS SELECT * FROM (SELECT unnest(?) AS doc_id, unnest(?) AS quality, 0 AS toxic)", [[a for a, _, _ in rows], [int(not c) for _, _, c in rows]])
+    by_sql = {a: (b, round(c or 0, 9)) for a, b, c in con.execute(f"SELECT page_id, verdict, confidence FROM ({url_rules.OP2_SQL})").fetchall()}
+    judged = {r["page_id"]: (r["verdict"], round(r["confidence"] or 0, 9)) for r in url_rules.judge(pages, rules).collect()}
+    assert judged == by_sql and {"block", "allow"} == {v for v, _ in judged.values()}
     got = {r["page_id"]: r["verdict"] for r in url_rules.judge(pages, rules, []).collect()}
     assert got == {i: "block" if any(f <= toks[i] for f in found) else "allow" for i in toks}
     assert url_rules.mine(pages, labels.where("false")).count() == 0 and url_rules.mine(pages.where("false"), labels).count() == 0
+    assert url_rules.judge(pages.where("false"), rules).count() == 0
+    long = spark.createDataFrame([(None, "https://h1.example.test/casino/win/" + "x" * 200_000, "c"), (1, "https://h1.example.test/casino/win/9", "c"), (1, "https://h1.example.test/casino/win/9", "c")], "page_id long, url string, rule string")
+    assert [r["verdict"] for r in url_rules.judge(long, rules, []).collect()] == ["block"] * 3
 
 
 def brute_seats(weights, total):
@@ -199,8 +360,27 @@ def test_mix(spark):
         by.setdefault(r["source"], [0, r["target"]])[0] += r["taken"]
     assert all(abs(t - want) <= 0.05 * want + 2 for t, want in by.values())
     assert sorted(map(tuple, a), key=repr) == sorted(map(tuple, mixing.mix(df.repartition(7), shard_words=2000).collect()), key=repr)
-    texts = mixing.mixed_texts(df.where("doc_id IS NOT NULL AND doc_id <> 7"))
+    texts = mixing.mixed_texts(df)
     assert texts.columns == df.columns
     assert mixing.mix(df.where("false")).count() == 0
-    got = mixing.mixed_texts(df.where("doc_id < 200 AND doc_id <> 7")).select(F.sum(F.size(F.filter(F.split("text", " "), lambda x: x != "")))).first()[0]
-    assert got == mixing.mix(df.where("doc_id < 200 AND doc_id <> 7")).agg(F.sum("taken")).first()[0]
+    # what is taken of a row, and how it comes out: whole as often as it goes, a part at most once
+    for some in (df, df.where("doc_id < 200"), df.unionByName(df.where("doc_id < 20"))):
+        want, got = {}, {}
+        for r in mixing.mix(some).collect():
+            want[r["doc_id"], r["source"]] = want.get((r["doc_id"], r["source"]), 0) + r["taken"]
+        for r in mixing.mixed_texts(some).collect():
+            got[r["doc_id"], r["source"]] = got.get((r["doc_id"], r["source"]), 0) + len((r["text"] or "").split())
+        assert {k: v for k, v in want.items() if v} == got
+
+
+def test_mixed_texts_with_one_id_for_all(spark):
+    rng = random.Random(5)
+    for ids in ([None] * 1000, [7] * 1000):
+        df = spark.createDataFrame([(i, f"n{k} " + "w " * rng.randint(0, 9), rng.choice("ab")) for k, i in enumerate(ids)], "doc_id long, text string, source string")
+        taken = mixing.mix(df).agg(F.sum("taken")).first()[0]
+        out = [r["text"] for r in mixing.mixed_texts(df).collect()]
+        assert sum(len(t.split()) for t in out) == taken and max(out.count(t) for t in set(out)) <= 2
+    same = spark.createDataFrame([(7, "one two three", "a")] * 30 + [(8, "x " * 50, "b")], "doc_id long, text string, source string")
+    taken = {r["source"]: r["t"] for r in mixing.mix(same).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    out = mixing.mixed_texts(same).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("t")).collect()
+    assert {r["source"]: r["t"] for r in out} == {k: v for k, v in taken.items() if v}
