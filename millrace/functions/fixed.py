@@ -82,15 +82,65 @@ DATE_FORMATS = [
 # Categories in the order in which ties are settled, with their weights and keys.
 DEFAULT_CATEGORY = "Information Technology"
 CATEGORY_RULES = [
-    ("Software Development", 3, "software engineer|software developer|software development|web developer|php developer|full stack|frontend|front end|backend|back end|application developer|programmer|java developer|python developer|laravel|node.js|.net|react developer|android developer|flutter|mobile app developer"),
-    ("Management & Business", 2, "management trainee|trainee officer|business development|marketing executive|operations executive|project coordinator|sales executive|relationship officer|relationship manager|supply chain|human resource|hr executive|mba"),
-    ("Software Quality Assurance", 3, "quality assurance|sqa|software tester|test engineer|qa engineer|qa analyst|test case|manual testing|automation testing|selenium|test automation|bug tracking|regression testing|sdet|qc engineer"),
-    ("MIS", 3, "mis|management information system|management information systems|mis executive|mis officer|reporting officer|data entry|record keeping"),
-    ("Information Systems", 2, "information systems|systems analyst|system analyst|erp|system design|requirement analysis|business systems"),
-    ("Data & Reporting", 2, "data analyst|data operations|data engineer|business intelligence|reporting analyst|power bi|tableau|dashboard|sql report|data visualisation|data visualization|analytics"),
-    ("Business Analysis", 2, "business analyst|requirement gathering|brd|srs|stakeholder|process improvement|gap analysis"),
-    ("Application Support", 2, "application support|technical support|service desk|helpdesk|help desk|l1 support|l2 support|support engineer|troubleshoot"),
-    ("Information Technology", 1, "it officer|it executive|it support|network|hardware|server|system admin|database administrator|it operations|infrastructure"),
+    ("Software Development", 3, ["software engineer", "software developer", "software development", "web developer", "php developer", "full stack", "frontend", "front end", "backend", "back end", "application developer", "programmer", "java developer", "python developer", "laravel", "node.js", ".net", "react developer", "android developer", "flutter", "mobile app developer"]),
+    ("Management & Business", 2, ["management trainee", "trainee officer", "business development", "marketing executive", "operations executive", "project coordinator", "sales executive", "relationship officer", "relationship manager", "supply chain", "human resource", "hr executive", "mba"]),
+    ("Software Quality Assurance", 3, ["quality assurance", "sqa", "software tester", "test engineer", "qa engineer", "qa analyst", "test case", "manual testing", "automation testing", "selenium", "test automation", "bug tracking", "regression testing", "sdet", "qc engineer"]),
+    ("MIS", 3, ["mis", "management information system", "management information systems", "mis executive", "mis officer", "reporting officer", "data entry", "record keeping"]),
+    ("Information Systems", 2, ["information systems", "systems analyst", "system analyst", "erp", "system design", "requirement analysis", "business systems"]),
+    ("Data & Reporting", 2, ["data analyst", "data operations", "data engineer", "business intelligence", "reporting analyst", "power bi", "tableau", "dashboard", "sql report", "data visualisation", "data visualization", "analytics"]),
+    ("Business Analysis", 2, ["business analyst", "requirement gathering", "brd", "srs", "stakeholder", "process improvement", "gap analysis"]),
+    ("Application Support", 2, ["application support", "technical support", "service desk", "helpdesk", "help desk", "l1 support", "l2 support", "support engineer", "troubleshoot"]),
+    ("Information Technology", 1, ["it officer", "it executive", "it support", "network", "hardware", "server", "system admin", "database administrator", "it operations", "infrastructure"]),
+]
+
+# Cues and headings that set a line's section or tier (patterns, first match wins).
+SECTIONS = [
+    ("preferred", r"prefer(?:red|ably)?|nice to have|good to have|bonus|desirable|advantage|plus points?|added advantage"),
+    ("ignore", r"about (?:us|the (?:company|organi[sz]ation|opportunity)|our (?:company|team))|who we are|our (?:story|culture|values|mission)|life at|company (?:overview|profile|description)|benefits?|perks|compensation|what we offer|why join|how to apply|to apply|equal opportunity|contact|application (?:deadline|process|procedure)|deadline"),
+    ("required", r"requirements?|qualifications?|skills?|competenc(?:y|ies)|must[- ]haves?|what you(?:'ll| will)? (?:need|bring)|looking for|who you are|about you|your profile|eligibility|education(?:al)?|experience|technical|expertise|proficienc(?:y|ies)"),
+    ("duties", r"responsibilit(?:y|ies)|duties|what you(?:'ll| will)?(?: be)? (?:do|doing)|role|key tasks|job (?:description|summary|highlights|context)|summary|scope|day to day|activities|overview|highlights|opportunity"),
+]
+PLAIN_LABELS = r"(?i)^(location|employment(?: type| status)?|vacanc(?:y|ies)|no\.? of vacanc\w+|salary|deadline|application deadline|age|gender|department|job nature|job type|headquarters|url|category|posted|published|apply(?: before| by)?|workplace|working (?:days|hours))$"
+# Whole-line headings written as sentences; statements of equal opportunity; lines that read as headings (patterns).
+PHRASES = r"(?i)^(?:what (?:you(?:'ll| will)?(?: be)? (?:need|bring|do|doing)|we(?:'re| are) looking for)|who you are|about you|your (?:profile|background|skills)|(?:the )?(?:role|job|position)|(?:nice|good) to have|bonus points?|must[- ]haves?|responsibilities|requirements|qualifications|key skills|how we work|why (?:join|work)\b.*)\??$"
+EQUAL = r"(?i)equal (?:employment )?opportunity|non-?discriminat|without regard to|protected (?:class|status|veteran)|affirmative action|reasonable accommodations?"
+HEADING_LIKE = "^[A-Z][^.!?,;:]{0,58}$"
+# Cues of wishes and of musts; years asked, and ages, which are none (patterns).
+CUE_NICE = r"(?i)\b(prefer(?:red|ably)?|nice to have|good to have|a plus|plus point|bonus|advantage|desirable|optional|an asset|not mandatory)\b"
+CUE_MUST = r"(?i)\b(must|required|requirement|mandatory|essential|minimum|need(?:s|ed)? to|should have|proficien(?:t|cy)|strong (?:knowledge|understanding|experience|command|background)|hands[- ]on|expert(?:ise)?|solid (?:knowledge|understanding|experience))\b"
+YEARS = r"(?i)(\d+)\s*(?:\+|[–—-]\s*\d+|to\s*\d+)?\s*(?:years?|yrs?)\b"
+AGE = r"(?i)\bage(?:d)?\b|\byears?\s+old\b"
+
+# Where a line is cut into phrases, how a line points at a skill, how sentences begin, endings of things (patterns).
+PHRASE_BREAK = r"""[,;:()\[\]{}"|!?•–—/]|\s[&+]\s|\.(?:\s|$)"""
+LEAD_IN = (
+    r"(?i)^(?:(?:strong|good|solid|excellent|basic|working|hands[- ]on|proven|demonstrated|in[- ]depth|thorough|sound|advanced|practical|prior|relevant|deep|fluent|proficient|extensive|previous)\s+)*"
+    r"(?:knowledge|understanding|experience|proficiency|expertise|skills?|familiarity|command|background|exposure|competenc(?:y|ies)|ability|capabilit(?:y|ies))\s+(?:of|in|with|on|using|around)\s+"
+)
+SENTENCE_START = r"(?i)^(?:the|our|we|you|your|it|they|this|that|these|those|he|she|there|as|if|when|while|for|i)\b"
+NOUN_ENDING = r"(?i)(tion|sion|ment|ance|ence|ity|ing|ship|ology|ics|ism|ure|age|ery|ory|ist|ware)s?$"
+# Acronyms and place words that are no skills.
+PLAIN_ACRONYMS = (
+    "USA UK UAE BD BDT TK CV PDF MD AM PM ASAP FAQ PLC LTD LLC INC CEO CFO CTO COO HQ NYSE ARR YOY EMEA APAC US EU ID OK NO YES II III IV SR JR EEO CGPA GPA NID HR OR AND THE FOR NOT ALL "
+    "ANY BSC MSC PHD SSC HSC MT MTO GM AGM DGM VP SVP EVP CA&C P&C"
+).split()
+PLACE_WORDS = (
+    "dhaka dhanmondi gulshan banani uttara mirpur mohakhali motijheel tejgaon badda gazipur narayanganj savar chattogram chittagong khulna rajshahi sylhet barishal barisal rangpur mymensingh "
+    "comilla cumilla bogura bogra jashore jessore cox bazar bangladesh mirsarai nsez beza epz asia europe america africa london singapore malaysia india pakistan usa"
+).split()
+
+# Documents a post may ask for: key, name, and the pattern that shows it.
+DOCUMENTS = [
+    ("cv", "Resume / CV", r"\b(resume|cv|curriculum vitae)\b"),
+    ("cover", "Cover letter", r"\b(cover(?:ing)? letter|motivation letter|letter of interest)\b"),
+    ("photo", "Recent photograph", r"\b(photograph|passport[- ]size (?:photo|picture)|recent photo)\b"),
+    ("nid", "National ID / passport copy", r"\b(national id|nid\b|passport copy|copy of (?:your )?passport)"),
+    ("academic", "Academic certificates / transcripts", r"\b(academic (?:certificate|transcript)s?|transcripts?|mark ?sheets?|educational certificates?|testimonials?)\b"),
+    ("experience", "Experience certificate", r"\bexperience (?:certificate|letter)s?\b"),
+    ("expsalary", "Expected salary stated in the application", r"\b(expected salary|salary expectation|expected pay)\b"),
+    ("cursalary", "Current salary stated in the application", r"\b(current salary|present salary)\b"),
+    ("portfolio", "Portfolio / work samples / GitHub", r"\b(portfolio|work samples?|github)\b"),
+    ("refs", "References", r"\b(references?|referees?)\b"),
 ]
 
 # Places with latitude and longitude.

@@ -14,7 +14,6 @@ _AFTER = r"(?:(?:tk|bdt|taka)\b|৳)"
 RANGE = rf"(?i)(?:{_CUR})?\.?\s*{_NUM}\s*{_UNIT}\s*{_AFTER}?\s*(?:-|to|–|—)\s*(?:{_CUR})?\.?\s*{_NUM}\s*{_UNIT}"
 PREFIXED = rf"(?i){_CUR}\.?\s*{_NUM}\s*{_UNIT}"
 SUFFIXED = rf"(?i){_NUM}\s*{_UNIT}\s*{_AFTER}"
-YEARS = r"(?i)(\d+)\s*(?:\+|[–—-]\s*\d+|to\s*\d+)?\s*(?:years?|yrs?)\b"
 
 
 def amount(number: Column, unit: Column) -> Column:
@@ -89,7 +88,7 @@ def parse_date(c: Column, as_of: Column) -> Column:
 
 def years_required(c: Column) -> Column:
     """First number of years in text, null where there is none."""
-    return F.regexp_extract(text_or_empty(c), YEARS, 1).try_cast("int")
+    return F.regexp_extract(text_or_empty(c), fixed.YEARS, 1).try_cast("int")
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -134,7 +133,7 @@ def infer_category(title: Column, description: Column, rules: list = fixed.CATEG
     hay = F.concat(F.lit(" "), normalize_title(title), F.lit(" "))
     body = F.concat(F.lit(" "), F.substring(slug(description), 1, 4000), F.lit(" "))
 
-    def points(h: Column, b: Column, keys: str, weight: int) -> Column:
+    def points(h: Column, b: Column, keys: list[str], weight: int) -> Column:
         def one(k: str) -> Column:
             in_title = F.contains(h, F.lit(f" {k} "))
             if len(k) > 4:
@@ -142,7 +141,7 @@ def infer_category(title: Column, description: Column, rules: list = fixed.CATEG
             return F.when(in_title, 3 * weight).when(F.contains(b, F.lit(f" {k} " if len(k) <= 4 else f" {k}")), weight).otherwise(0)
 
         total = F.lit(0)
-        for k in keys.split("|"):
+        for k in keys:
             total = total + one(k)
         return total
 

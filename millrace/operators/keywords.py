@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.text import text_or_empty
 
 #: key -> (kind, group, tag, aliases); the first alias is the name.
@@ -35,22 +36,7 @@ LEXICON: dict[str, tuple[str, str, str | None, list[str]]] = {
 }
 
 EDGE = "[A-Za-z0-9+#]"
-# Cues and headings that set a line's section or tier (patterns, first match wins).
-SECTIONS = [
-    ("preferred", r"prefer(?:red|ably)?|nice to have|good to have|bonus|desirable|advantage|plus points?|added advantage"),
-    ("ignore", r"about (?:us|the (?:company|organi[sz]ation|opportunity)|our (?:company|team))|who we are|our (?:story|culture|values|mission)|life at|company (?:overview|profile|description)|benefits?|perks|compensation|what we offer|why join|how to apply|to apply|equal opportunity|contact|application (?:deadline|process|procedure)|deadline"),
-    ("required", r"requirements?|qualifications?|skills?|competenc(?:y|ies)|must[- ]haves?|what you(?:'ll| will)? (?:need|bring)|looking for|who you are|about you|your profile|eligibility|education(?:al)?|experience|technical|expertise|proficienc(?:y|ies)"),
-    ("duties", r"responsibilit(?:y|ies)|duties|what you(?:'ll| will)?(?: be)? (?:do|doing)|role|key tasks|job (?:description|summary|highlights|context)|summary|scope|day to day|activities|overview|highlights|opportunity"),
-]
-PLAIN_LABELS = r"(?i)^(location|employment(?: type| status)?|vacanc(?:y|ies)|no\.? of vacanc\w+|salary|deadline|application deadline|age|gender|department|job nature|job type|headquarters|url|category|posted|published|apply(?: before| by)?|workplace|working (?:days|hours))$"
-# Whole-line headings written as sentences; statements of equal opportunity; lines that read as headings (patterns).
-PHRASES = r"(?i)^(?:what (?:you(?:'ll| will)?(?: be)? (?:need|bring|do|doing)|we(?:'re| are) looking for)|who you are|about you|your (?:profile|background|skills)|(?:the )?(?:role|job|position)|(?:nice|good) to have|bonus points?|must[- ]haves?|responsibilities|requirements|qualifications|key skills|how we work|why (?:join|work)\b.*)\??$"
-EQUAL = r"(?i)equal (?:employment )?opportunity|non-?discriminat|without regard to|protected (?:class|status|veteran)|affirmative action|reasonable accommodations?"
-HEADING_LIKE = "^[A-Z][^.!?,;:]{0,58}$"
-CUE_NICE = r"(?i)\b(prefer(?:red|ably)?|nice to have|good to have|a plus|plus point|bonus|advantage|desirable|optional|an asset|not mandatory)\b"
-CUE_MUST = r"(?i)\b(must|required|requirement|mandatory|essential|minimum|need(?:s|ed)? to|should have|proficien(?:t|cy)|strong (?:knowledge|understanding|experience|command|background)|hands[- ]on|expert(?:ise)?|solid (?:knowledge|understanding|experience))\b"
-YEARS = r"(?i)(\d+)\s*(?:\+|[–—-]\s*\d+|to\s*\d+)?\s*(?:years?|yrs?)\b"
-AGE = r"(?i)\bage(?:d)?\b|\byears?\s+old\b"
+#: The original reads so many characters of a post; ``most_chars`` sets such a bound.
 MOST_CHARS = 60_000
 
 
@@ -65,24 +51,52 @@ def plain_norm(s: str) -> str:
     return re.sub(r"[\s\-‐-―_]+", " ", s).strip()
 
 
-def phrase_pattern(phrase: str) -> str:
+def phrase_pattern(phrase: str, case: bool = False) -> str:
     """Whole words, with an optional plural where the phrase ends in a letter."""
     plural = "(?:s|es)?" if phrase[-1:].isalpha() else ""
-    return rf"(?i)(?<!{EDGE}){re.escape(plain_norm(phrase))}{plural}(?!{EDGE})"
+    return rf"(?<!{EDGE})(?{'' if case else 'i'}:{re.escape(plain_norm(phrase))}{plural})(?!{EDGE})"
+
+
+def parse_lexicon(lines: list[str]) -> dict[str, tuple[str, str, str | None, list[str]]]:
+    """A lexicon from text: an entry a line, its wordings parted by ``|``, ``=`` before one that
+    counts in its own case only, ``!cert``, ``!domain`` or ``!lang`` at the end for a tag.
+    ``#!group NAME`` and ``#!KIND`` hold for the lines that follow; other ``#`` lines are remarks."""
+    kind, group, out = "tech", "General", {}
+    for line in map(str.strip, lines):
+        order, _, name = line.partition("#!")[2].partition(" ")
+        if order == "group":
+            group = name.strip()
+        elif order and line.startswith("#!"):
+            kind = line[2:].strip()
+        elif line and not line.startswith("#"):
+            body, tag = next(((line.removesuffix(f"!{t}"), t) for t in ("cert", "domain", "lang") if line.endswith(f"!{t}")), (line, None))
+            wordings = [w.strip() for w in body.split("|") if w.strip()]
+            out[wordings[0].lstrip("=").lower()] = (kind, group, tag, wordings)
+    return out
+
+
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """The lexicon of a text file (:func:`parse_lexicon`), from any store Spark reads."""
+    lines = [r["value"] for r in spark.read.text(path, wholetext=True).collect()]  # one file, one row
+    return lexicon_table(spark, parse_lexicon("\n".join(lines).splitlines()))
 
 
 def lexicon_table(spark: SparkSession, lexicon: dict = LEXICON) -> DataFrame:
-    """(key, name, kind, grp, tag, alias, rank, first, pattern): one row an alias, longest first."""
+    """(key, name, kind, grp, tag, entry, alias, rank, first, pattern, any_case): one row an alias,
+    longest first.  Joins leave it to Spark to broadcast it where it is small."""
     rows = []
-    for key, (kind, group, tag, aliases) in lexicon.items():
-        for rank, a in enumerate(sorted(aliases, key=lambda x: -len(plain_norm(x)))):
-            rows.append((key, aliases[0], kind, group, tag, a, rank, re.match(r"[a-z0-9+#]*", plain_norm(a).lower())[0], phrase_pattern(a)))
-    return spark.createDataFrame(rows, "key string, name string, kind string, grp string, tag string, alias string, rank int, first string, pattern string")
+    for entry, (key, (kind, group, tag, aliases)) in enumerate(lexicon.items()):
+        shown = [(a.removeprefix("="), a.startswith("=")) for a in aliases]
+        for rank, (a, case) in enumerate(sorted(shown, key=lambda x: -len(plain_norm(x[0])))):
+            rows.append((key, shown[0][0], kind, group, tag, entry, a, rank, re.match(r"[a-z0-9+#]*", plain_norm(a).lower())[0], phrase_pattern(a, case), phrase_pattern(a)))
+    return spark.createDataFrame(rows, "key string, name string, kind string, grp string, tag string, entry int, alias string, rank int, first string, pattern string, any_case string")
 
 
-def segments(docs: DataFrame, text: str = "text") -> DataFrame:
+def segments(docs: DataFrame, text: str = "text", most_chars: int | None = None) -> DataFrame:
     """(doc_id, seg long, segment): lines and bullets; those over 180 characters cut at sentence ends."""
-    lines = F.split(F.regexp_replace(F.regexp_replace(F.substring(text_or_empty(F.col(text)), 1, MOST_CHARS), "\r", ""), "[‘’]", "'"), "\n")
+    whole = text_or_empty(F.col(text))
+    whole = whole if most_chars is None else F.substring(whole, 1, most_chars)
+    lines = F.split(F.regexp_replace(F.regexp_replace(whole, "\r", ""), "[‘’]", "'"), "\n")
     parts = F.flatten(F.transform(lines, lambda x: F.split(x, r"\s*[•▪◦●·]\s*")))
     parts = F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"^[\s*\-–—]+", ""))), lambda p: p != "")
     parts = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) > 180, F.split(p, r"(?<=[.!?;])\s+(?=[A-Z0-9(])")).otherwise(F.array(p))))
@@ -91,7 +105,7 @@ def segments(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def section_type(c: Column) -> Column:
     out = F.lit(None).cast("string")
-    for name, pattern in reversed(SECTIONS):
+    for name, pattern in reversed(fixed.SECTIONS):
         out = F.when(c.rlike(rf"(?i)\b({pattern})\b"), name).otherwise(out)
     return out
 
@@ -105,9 +119,9 @@ def heading(segment: Column, has_skill: Column) -> Column:
     about = t.rlike(r"^About\s") & ~t.rlike("(?i)^About (?:you|the (?:role|job|position)|this (?:role|job|position))$")
     make = lambda kind, r, inline, skip: F.struct(kind.alias("type"), r.alias("rest"), inline.alias("inline"), F.lit(skip).alias("skip"))
     none, no = F.lit(None).cast("string"), F.lit(False)
-    labelled = F.when(label.rlike(PLAIN_LABELS), make(none, F.lit(""), no, True)).when(section_type(label).isNotNull(), make(section_type(label), rest, rest != "", False))
+    labelled = F.when(label.rlike(fixed.PLAIN_LABELS), make(none, F.lit(""), no, True)).when(section_type(label).isNotNull(), make(section_type(label), rest, rest != "", False))
     titled = F.when(about, make(F.lit("ignore"), F.lit(""), no, False)).when(section_type(t).isNotNull(), make(section_type(t), F.lit(""), no, False))
-    phrase = ~has_skill & (F.size(F.split(t, r"\s+")) <= 6) & t.rlike(PHRASES)
+    phrase = ~has_skill & (F.size(F.split(t, r"\s+")) <= 6) & t.rlike(fixed.PHRASES)
     kind = F.when(t.rlike("(?i)^(?:how we work|why )"), "ignore").otherwise(section_type(t))
     said = F.when(kind.isNotNull(), make(kind, F.lit(""), no, False))
     return F.when(segment.rlike("^[^:]{2,60}?:"), labelled).when(phrase, said).when(short, titled)
@@ -118,7 +132,7 @@ def hits(segs: DataFrame, lexicon: DataFrame) -> DataFrame:
     s = segs.select("doc_id", "seg", norm(F.col("segment")).alias("n"))
     words = s.withColumn("first", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("n"), F.lit("[a-z0-9+#]+"), F.lit(0)))))
     stems = words.withColumn("first", F.explode(F.array_distinct(F.array(F.col("first"), F.regexp_replace("first", "s$", ""), F.regexp_replace("first", "es$", "")))))
-    found = stems.join(F.broadcast(lexicon.select("key", "alias", "rank", "first", "pattern")), "first").where(F.rlike("n", F.col("pattern")))  # a dimension
+    found = stems.join(lexicon.select("key", "alias", "rank", "first", "pattern"), "first").where(F.rlike("n", F.col("pattern")))
     return found.groupBy("doc_id", "seg", "key").agg(F.min_by("alias", "rank").alias("alias"))
 
 
@@ -127,12 +141,12 @@ def governed(segs: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     A heading governs what follows, ``Label: rest`` its own line; a heading-like line without a
     known section or skill ends an ignored section.  Read in order by a fold over a document's
-    events; the document's text is bounded by MOST_CHARS.
+    events.
     """
     known = hits(segs, lexicon).select("doc_id", "seg").distinct().withColumn("_hit", F.lit(True))
     h = segs.join(known, ["doc_id", "seg"], "left").withColumn("h", heading(F.col("segment"), F.col("_hit").isNotNull()))
-    plain = F.col("_hit").isNull() & F.col("segment").rlike(HEADING_LIKE) & (F.size(F.split("segment", r"\s+")) <= 6)
-    equal = F.col("segment").rlike(EQUAL)
+    plain = F.col("_hit").isNull() & F.col("segment").rlike(fixed.HEADING_LIKE) & (F.size(F.split("segment", r"\s+")) <= 6)
+    equal = F.col("segment").rlike(fixed.EQUAL)
     event = F.when(equal, "ignore").when(F.col("h").isNull() & plain, "leave").when(F.col("h.type").isNotNull() & ~F.col("h.inline"), F.col("h.type")).otherwise("")
     w = Window.partitionBy("doc_id").orderBy("seg")
     # "leave" counts only in an ignored section: the state after each event is that of the last event that
@@ -147,14 +161,14 @@ def governed(segs: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def years_near(c: Column) -> Column:
-    n = F.regexp_extract(c, YEARS, 1).try_cast("int")
-    return F.when(~c.rlike(AGE) & n.between(1, 25), n)
+    n = F.regexp_extract(c, fixed.YEARS, 1).try_cast("int")
+    return F.when(~c.rlike(fixed.AGE) & n.between(1, 25), n)
 
 
 def tiered(lines: DataFrame) -> DataFrame:
     """Add tier and weight by cues first, then the section; and years asked near."""
-    nice = F.col("segment").rlike(CUE_NICE) | (F.col("section") == "preferred")
-    must = F.col("segment").rlike(CUE_MUST) | (F.col("section") == "required")
+    nice = F.col("segment").rlike(fixed.CUE_NICE) | (F.col("section") == "preferred")
+    must = F.col("segment").rlike(fixed.CUE_MUST) | (F.col("section") == "required")
     tier = F.when(nice, "nice").when(must, "must").otherwise("important")
     weight = F.when(nice, 1).when(must, 3).when(F.col("section") == "duties", 2).otherwise(1)
     return lines.withColumns({"tier": tier, "weight": weight, "years": years_near(F.col("segment"))})
@@ -164,10 +178,10 @@ def tier_rank(c: Column) -> Column:
     return F.when(c == "must", 0).when(c == "important", 1).otherwise(2)
 
 
-def extract(docs: DataFrame, lexicon: DataFrame, title: str = "title", text: str = "text") -> DataFrame:
+def extract(docs: DataFrame, lexicon: DataFrame, title: str = "title", text: str = "text", most_chars: int | None = None) -> DataFrame:
     """Lexicon keywords of each document: key, display, count, score (the first three weights,
     and 3 once for the title), tier, inTitle, yearsRequired."""
-    lines = tiered(governed(segments(docs, text), lexicon))
+    lines = tiered(governed(segments(docs, text, most_chars), lexicon))
     body = hits(lines, lexicon).join(lines, ["doc_id", "seg"]).select("doc_id", "key", "alias", F.col("seg").cast("long").alias("at"), "weight", "tier", "years", F.lit(False).alias("t"))
     head = docs.select("doc_id", F.lit(-1).alias("seg"), F.col(title).alias("segment")) if title in docs.columns else None
     if head is not None:
@@ -180,30 +194,46 @@ def extract(docs: DataFrame, lexicon: DataFrame, title: str = "title", text: str
         F.min(tier_rank(F.col("tier"))).alias("r"),
         F.bool_or("t").alias("inTitle"),
         F.max("years").alias("yearsRequired"),
+        F.min("at").alias("at"),
     )
     tier = F.element_at(F.array(*map(F.lit, ("must", "important", "nice"))), F.col("r") + 1)
-    dim = lexicon.where("rank = 0").select("key", "name", "kind", "grp", "tag")
-    return out.withColumn("tier", tier).drop("r").join(F.broadcast(dim), "key")  # a dimension
+    dim = lexicon.where("rank = 0").select("key", "name", "kind", "grp", "tag", "entry")
+    return out.withColumn("tier", tier).drop("r").join(dim, "key")
 
 
 def ranked(keywords: DataFrame) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), tier_rank(F.col("tier")), "key")
+    """By score, then tier, then the place where a keyword was first found."""
+    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), tier_rank(F.col("tier")), "at", "entry")
     return keywords.withColumn("rank", F.row_number().over(w))
 
 
 def evidence(keywords: DataFrame, lexicon: DataFrame, skills: str, prose: str) -> DataFrame:
-    """Add ``evidence``: skills, prose or none, by the entry's aliases in the profile's texts."""
-    in_text = lambda t: F.bool_or(F.rlike(F.lit(plain_norm(t)), F.col("pattern")))
-    grade = lexicon.groupBy("key").agg(F.when(in_text(skills), "skills").when(in_text(prose), "prose").otherwise("none").alias("evidence"))
-    return keywords.join(F.broadcast(grade), "key", "left").withColumn("have", F.col("evidence") != "none")  # a dimension
+    """Add ``evidence``: skills, prose or none, by the entry's aliases (in any case) in the
+    profile's texts; a mined term's by its own wording."""
+    in_text = lambda t: F.bool_or(F.rlike(F.lit(plain_norm(t)), F.col("any_case")))
+    grade = lexicon.groupBy("key").agg(F.when(in_text(skills), "skills").when(in_text(prose), "prose").otherwise("none").alias("_grade"))
+    own = lambda t: F.rlike(F.lit(plain_norm(t)), whole_word(F.col("display")))
+    said = F.when(own(skills), "skills").when(own(prose), "prose").otherwise("none")
+    out = keywords.join(grade, "key", "left").withColumn("evidence", F.coalesce("_grade", said)).drop("_grade")
+    return out.withColumn("have", F.col("evidence") != "none")
+
+
+def whole_word(phrase: Column) -> Column:
+    """The pattern of a phrase in a column, as :func:`phrase_pattern` makes it."""
+    plural = F.when(phrase.rlike("[A-Za-z]$"), F.lit("(?:s|es)?")).otherwise("")
+    return F.concat(F.lit(rf"(?i)(?<!{EDGE})"), F.regexp_replace(norm(phrase), r"([.*+?^${}()|\[\]\\])", r"\\$1"), plural, F.lit(rf"(?!{EDGE})"))
+
+
+def keyword_hits(text: Column, keywords: list[str]) -> Column:
+    """How many of the phrases a text holds as whole words."""
+    n = norm(text)
+    return sum((n.rlike(phrase_pattern(k)).cast("int") for k in keywords), F.lit(0))
 
 
 def coverage(keywords: DataFrame, text: str) -> DataFrame:
     """Per document: found, total, mustFound, mustTotal and the missing, by the post's own wording."""
     k = keywords.where("kind <> 'degree'")
-    plural = F.when(F.col("display").rlike("[A-Za-z]$"), F.lit("(?:s|es)?")).otherwise("")
-    pattern = F.concat(F.lit(rf"(?i)(?<!{EDGE})"), F.regexp_replace(norm(F.col("display")), r"([.*+?^${}()|\[\]\\])", r"\\$1"), plural, F.lit(rf"(?!{EDGE})"))
-    k = k.withColumn("hit", F.rlike(F.lit(plain_norm(text)), pattern))
+    k = k.withColumn("hit", F.rlike(F.lit(plain_norm(text)), whole_word(F.col("display"))))
     must = F.col("tier") == "must"
     return k.groupBy("doc_id").agg(
         F.count_if("hit").alias("found"), F.count("*").alias("total"), F.count_if(F.col("hit") & must).alias("mustFound"), F.count_if(must).alias("mustTotal"),
@@ -242,7 +272,7 @@ def labelled_line(segs: DataFrame, label: str) -> DataFrame:
 
 def compare_years(text: Column, have: int) -> Column:
     """match, gap or unknown, by the years a text asks for."""
-    need = F.when(~text_or_empty(text).rlike(AGE), F.regexp_extract(text_or_empty(text), YEARS, 1).try_cast("int"))
+    need = F.when(~text_or_empty(text).rlike(fixed.AGE), F.regexp_extract(text_or_empty(text), fixed.YEARS, 1).try_cast("int"))
     return F.when(need.isNull(), F.when(text.rlike("(?i)fresher"), "match").otherwise("unknown")).when(need <= have, "match").otherwise("gap")
 
 
