@@ -133,3 +133,45 @@ def summary_line() -> Column:
     pay = F.coalesce(F.nullif("salaryText", F.lit("")), F.lit("pay not stated"))
     where = F.coalesce(F.nullif("area", F.lit("")), "location")
     return F.format_string("%s - %s (%s, %s) [%s%%]", "title", "company", where, pay, F.col("matchScore").cast("string"))
+
+
+def visible(feed: DataFrame, show: str = "all", query: str = "", pending: str = "Awaiting Review") -> DataFrame:
+    """A review list: all, "pending" ones, priority "A", or those "flagged" by a note; and of these
+    the rows whose title, company, area, location or category hold the query."""
+    only = {"all": F.lit(True), "pending": F.col("status") == pending, "A": F.col("priority") == "A", "flagged": F.coalesce(F.size("gateNotes"), F.lit(0)) > 0}[show]
+    hay = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "company", "area", "location", "category")]))
+    return feed.where(only & F.contains(hay, F.lit(query.strip().lower())))
+
+
+def dashboard_order(feed: DataFrame, by: str, tie: str = "fingerprint") -> DataFrame:
+    """The feed by best match, priority, newest, soonest deadline or highest pay; unknown values last."""
+    if by == "priority":
+        return feed_order(feed, tie)
+    first = {
+        "match": F.desc_nulls_last("matchScore"), "newest": F.desc_nulls_last("postedAt"),
+        "deadline": F.asc_nulls_last("deadline"), "salary": F.desc_nulls_last(F.coalesce("salaryMax", "salaryMin")),
+    }
+    return feed.orderBy(first[by], tie)
+
+
+def fact_line() -> Column:
+    """Facts of a posting, in order, those that are known."""
+    place = F.coalesce(F.nullif("area", F.lit("")), F.nullif("location", F.lit("")))
+    far = F.when(F.col("distanceKm").isNotNull(), F.concat(place, F.lit(", "), F.col("distanceKm").cast("string"), F.lit(" km away"))).otherwise(place)
+    said = lambda prefix, c: F.concat(F.lit(prefix), F.nullif(F.col(c).cast("string"), F.lit("")))
+    return F.array_compact(F.array(F.nullif("category", F.lit("")), far, F.coalesce(F.nullif("salaryText", F.lit("")), F.lit("pay not stated")), said("closes ", "deadline"), said("found on ", "source")))
+
+
+def without(items: Column, others: Column) -> Column:
+    """Distinct elements of a list that another does not hold, in their order."""
+    return F.array_except(items, others)
+
+
+def terms_not_in(terms: Column, text: str) -> Column:
+    """Distinct terms that are no part of a text."""
+    return F.array_distinct(F.filter(terms, lambda t: ~F.contains(F.lit(text), t)))
+
+
+def most_common(rows: DataFrame, value: Column, n: int, name: str = "value") -> DataFrame:
+    """The ``n`` commonest values with their counts; of equals the first in order."""
+    return rows.groupBy(value.alias(name)).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name).limit(n)
