@@ -143,6 +143,12 @@ DOCUMENTS = [
     ("refs", "References", r"\b(references?|referees?)\b"),
 ]
 
+# Codes of employment and what they are called.
+EMPLOYMENT = {"FULL_TIME": "Full time", "PART_TIME": "Part time", "CONTRACTOR": "Contract", "TEMPORARY": "Temporary", "INTERN": "Internship", "VOLUNTEER": "Volunteer"}
+# What an address says where it says nothing; lines of alert mails that are no titles (pattern).
+PLACEHOLDERS = ["-", "n/a", "na", "none", "null", "not specified", "unspecified", "not mentioned"]
+MAIL_NOISE = r"(?i)^(view job|apply now|see all jobs|unsubscribe|see more jobs|view all|easy apply|be an early applicant|actively recruiting|\d+ new jobs?)$"
+
 # Places with latitude and longitude.
 AREAS = {
     "tejgaon": (23.7639, 90.3931), "tejgaon industrial area": (23.7660, 90.3990), "nakhalpara": (23.7700, 90.3930),

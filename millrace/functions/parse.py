@@ -61,10 +61,11 @@ def pay_text(c: Column) -> Column:
 
 
 def monthly_pay(value: Column, unit: Column, currency: Column, home: str = "BDT") -> Column:
-    """Stated pay as a monthly whole number: years by twelve, months as they are, else null; 0 is not stated."""
+    """Stated pay as a monthly whole number: years by twelve, months as they are, else null; 0 is not
+    stated.  A currency that is not stated is the home one."""
     u = F.upper(text_or_empty(unit))
     v = F.when(u == "YEAR", value / 12).when(u.isin("MONTH", ""), value)
-    return F.when((F.upper(text_or_empty(currency)) == home) & (v != 0), F.bround(v, 0).cast("int"))
+    return F.when(F.upper(text_or_empty(currency)).isin(home, "") & (v != 0), F.bround(v, 0).cast("int"))
 
 
 def parse_date(c: Column, as_of: Column) -> Column:

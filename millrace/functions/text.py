@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,33 +43,69 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[\s ]+", " "))
 
 
-def clean_ws(c: Column) -> Column:
-    """White space collapsed in each line; blank lines go."""
+def by_arrow(function: Callable[[str], str]) -> Callable[[Column], Column]:
+    """A function of texts, run in Arrow batches: for what built-in functions cannot say.  Null stays null."""
+
+    def use(c: Column) -> Column:
+        @F.pandas_udf("string")
+        def run(s):
+            return s.map(function, na_action="ignore")
+
+        return run(c)
+
+    return use
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility forms composed, as Unicode has them."""
+    return by_arrow(partial(unicodedata.normalize, "NFKC"))(c)
+
+
+def unescape_all(c: Column) -> Column:
+    """Every named and numeric entity decoded."""
+    return by_arrow(html.unescape)(c)
+
+
+def _unmarked(s: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", s) if not unicodedata.combining(x))
+
+
+def strip_all_accents(c: Column) -> Column:
+    """Letters of any script without marks (NFKD)."""
+    return by_arrow(_unmarked)(c)
+
+
+def clean_ws(c: Column, full: bool = False) -> Column:
+    """White space collapsed in each line; blank lines go.  ``full``: after NFKC."""
+    c = nfkc(text_or_empty(c)) if full else c
     lines = F.transform(F.split(text_or_empty(c), "\n"), collapse)
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
 def unescape(c: Column) -> Column:
-    """Common named entities; others stay (``sources.html.unescape_all`` decodes every one)."""
+    """Common named entities; others stay (:func:`unescape_all` decodes every one)."""
     for entity, char in ENTITIES.items():
         c = F.replace(c, F.lit(entity), F.lit(char))
     return c
 
 
-def strip_html(c: Column) -> Column:
-    """Text of markup: scripts and styles go, ends of blocks are line breaks, other tags spaces."""
+def strip_html(c: Column, full: bool = False) -> Column:
+    """Text of markup: scripts and styles go, ends of blocks are line breaks, other tags spaces.
+    ``full``: every entity decoded and NFKC, in Arrow batches; else the common ones, built in."""
     c = F.regexp_replace(text_or_empty(c), r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
     c = F.regexp_replace(c, BLOCK_END, "\n")
-    return clean_ws(unescape(F.regexp_replace(c, r"<[^>]+>", " ")))
+    c = F.regexp_replace(c, r"<[^>]+>", " ")
+    return clean_ws(unescape_all(c), True) if full else clean_ws(unescape(c))
 
 
 def strip_accents(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, *accent_table()), "[̀-ͯ]", "")
 
 
-def slug(c: Column) -> Column:
-    """Lower case without marks; only ``a-z 0-9 + # . /`` and single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(strip_accents(F.lower(text_or_empty(c))), "[^a-z0-9+#./ ]", " "), " +", " "))
+def slug(c: Column, full: bool = False) -> Column:
+    """Lower case without marks (``full``: of any script); only ``a-z 0-9 + # . /`` and single spaces."""
+    bare = (strip_all_accents if full else strip_accents)(F.lower(text_or_empty(c)))
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, "[^a-z0-9+#./ ]", " "), " +", " "))
 
 
 def lookup(table: dict[str, str], c: Column) -> Column:
@@ -162,3 +199,13 @@ def fingerprint(company: Column, title: Column, area: Column) -> Column:
     """First 16 hex digits of the SHA-1 of ``company|title|area``, with area "unknown" where it is blank."""
     place = F.coalesce(F.nullif(area, F.lit("")), F.lit("unknown"))
     return F.substring(F.sha1(F.concat_ws("|", company, title, place)), 1, 16)
+
+
+def truncated(c: Column, n: int) -> Column:
+    """The first ``n`` code points."""
+    return F.substring(c, 1, n)
+
+
+def has_iso_date(c: Column) -> Column:
+    """Whether a text begins with a date as year-month-day."""
+    return text_or_empty(c).rlike(r"^\d{4}-\d{2}-\d{2}")

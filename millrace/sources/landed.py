@@ -69,6 +69,21 @@ def local_json(spark: SparkSession, path: str, as_of: Column, label: str = "Loca
     )
 
 
+def local_problems(spark: SparkSession, path: str) -> DataFrame:
+    """(file, error) of the local files that do not parse, and of entries without title or company."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+    item = F.coalesce(F.expr("try_variant_get(v, '$.jobs', 'array<variant>')"), F.expr("try_variant_get(v, '$', 'array<variant>')"), F.array("v"))
+    get = lambda k: F.coalesce(F.trim(F.expr(f"try_variant_get(v, '$.{k}', 'string')")), F.lit(""))
+    entries = raw.where("v IS NOT NULL").select("file", F.explode(item).alias("v")).where((get("title") == "") | (get("company") == ""))
+    return raw.where("v IS NULL").select("file", F.lit("does not parse").alias("error")).unionByName(entries.select("file", F.lit("entry without title or company").alias("error")))
+
+
+def rss_raw(payloads: DataFrame) -> int:
+    """How many items the feeds served, before any filter."""
+    n = payloads.agg(F.sum(F.regexp_count("body", F.lit(r"<(?:item|entry)\b")))).first()[0]
+    return int(n or 0)
+
+
 @register("rss")
 def rss(payloads: DataFrame, as_of: Column, label: str = "RSS", regions: list[str] | None = None, queries: list[str] | None = None, title_format: str = "") -> DataFrame:
     """RSS items and Atom entries: (url, body) -> postings.
@@ -135,14 +150,14 @@ def ld_location(v: Column) -> Column:
     """Street, locality and region of an address, parts inside earlier ones left out; "Remote" for telework."""
     j = lambda p: F.coalesce(F.get_json_object(v, p), F.lit(""))
     first = lambda p: F.coalesce(F.nullif(j(f"$.jobLocation{p}"), F.lit("")), j(f"$.jobLocation[0]{p}"))
-    parts = F.filter(F.array(*[F.trim(first(f".address.{k}")) for k in ("streetAddress", "addressLocality", "addressRegion")]), lambda x: (x != "") & ~F.lower(x).isin("n/a", "na", "none", "null", "-"))
+    parts = F.filter(F.array(*[F.trim(first(f".address.{k}")) for k in ("streetAddress", "addressLocality", "addressRegion")]), lambda x: (x != "") & ~F.lower(x).isin(fixed.PLACEHOLDERS))
     kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(F.exists(a, lambda y: F.contains(F.lower(y), F.lower(x))), a).otherwise(F.concat(a, F.array(x))))
     place = F.when(F.size(kept) > 0, F.array_join(kept, ", ")).otherwise(F.when(~first("").rlike(r"^\s*[\[{]"), first("")).otherwise(""))
     return F.when(j("$.jobLocationType") == "TELECOMMUTE", F.when(place == "", "Remote").otherwise(F.concat(F.lit("Remote, "), place))).otherwise(place)
 
 
 @register("jsonld")
-def jsonld(payloads: DataFrame, as_of: Column, label: str = "Web", queries: list[str] | None = None, max_age_days: int | None = None) -> DataFrame:
+def jsonld(payloads: DataFrame, as_of: Column, label: str = "Web", queries: list[str] | None = None, max_age_days: int | None = None, place: str = "Dhaka, Bangladesh", ignore_deadline: bool = False) -> DataFrame:
     """JobPosting items of pages; an item without url takes the page's where it is the only one."""
     items = ld_blocks(payloads)
     single = items.groupBy(F.col("url").alias("page")).agg(F.count("*").alias("n"))
@@ -154,8 +169,9 @@ def jsonld(payloads: DataFrame, as_of: Column, label: str = "Web", queries: list
     unit, money = j("$.baseSalary.value.unitText"), j("$.baseSalary.currency")
     low = monthly_pay(F.coalesce(amount("minValue"), amount("value"), F.get_json_object("item", "$.baseSalary.value").try_cast("double")), unit, money)
     high = monthly_pay(amount("maxValue"), unit, money)
-    kind = F.regexp_extract_all(F.upper(j("$.employmentType")), F.lit("[A-Z_]+"), F.lit(0))
-    named = F.transform(kind, lambda x: F.initcap(F.replace(F.replace(x, F.lit("INTERN"), F.lit("INTERNSHIP")), F.lit("_"), F.lit(" "))))
+    kinds = F.from_json(F.when(j("$.employmentType").startswith("["), j("$.employmentType")).otherwise(F.to_json(F.array(j("$.employmentType")))), "array<string>")
+    codes = F.create_map(*[F.lit(x) for kv in fixed.EMPLOYMENT.items() for x in kv])
+    named = F.transform(F.filter(kinds, lambda x: F.coalesce(x, F.lit("")) != ""), lambda x: F.coalesce(F.try_element_at(codes, F.upper(x)), F.initcap(F.replace(x, F.lit("_"), F.lit(" ")))))
     r = r.select(own.alias("link"), strip_html(j("$.title")).alias("title"), strip_html(firm).alias("company"), strip_html(F.when(j("$.description").contains("&lt;"), strip_html(j("$.description"))).otherwise(j("$.description"))).alias("description"), ld_location(F.col("item")).alias("location"), F.array_join(named, ", ").alias("kind"), F.substring(j("$.datePosted"), 1, 10).try_cast("date").alias("posted"), F.substring(j("$.validThrough"), 1, 10).try_cast("date").alias("until"), low.alias("low"), high.alias("high"))
     r = r.where("link IS NOT NULL")
     if max_age_days is not None:
@@ -163,8 +179,8 @@ def jsonld(payloads: DataFrame, as_of: Column, label: str = "Web", queries: list
     if queries:
         r = r.where(is_relevant(F.col("title"), queries))
     r = r.withColumn("pay", parse_salary(pay_text(F.col("description"))))
-    stated = F.col("low").isNotNull()
-    r = posting(r, "jsonld", as_of, title=F.col("title"), company=F.col("company"), description=F.col("description"), url=F.col("link"), source=F.lit(label), location=F.coalesce(F.nullif("location", F.lit("")), F.lit("Dhaka, Bangladesh")), employmentType=F.col("kind"), category=infer_category(F.col("title"), F.col("description")), postedAt=F.col("posted"), deadline=F.when(F.col("until") >= "2000-01-01", F.col("until")), salaryMin=F.when(stated, F.col("low")).otherwise(F.col("pay.lo")), salaryMax=F.when(stated, F.when(F.col("high") >= F.col("low"), F.col("high"))).otherwise(F.col("pay.hi")), salaryText=F.when(stated, F.concat(F.lit("Tk "), F.format_number("low", 0))).otherwise(F.col("pay.text")))
+    stated, top = F.col("low").isNotNull(), F.when(F.col("high") >= F.col("low"), F.col("high"))
+    r = posting(r, "jsonld", as_of, title=F.col("title"), company=F.col("company"), description=F.col("description"), url=F.col("link"), source=F.lit(label), location=F.coalesce(F.nullif("location", F.lit("")), F.lit(place)), employmentType=F.col("kind"), category=infer_category(F.col("title"), F.col("description")), postedAt=F.col("posted"), deadline=F.when(F.lit(not ignore_deadline) & (F.col("until") >= "2000-01-01"), F.col("until")), salaryMin=F.when(stated, F.col("low")).otherwise(F.col("pay.lo")), salaryMax=F.when(stated, top).otherwise(F.col("pay.hi")), salaryText=F.when(stated, F.concat(F.lit("Tk "), F.format_number("low", 0), F.coalesce(F.concat(F.lit(" - "), F.format_number(top, 0)), F.lit("")))).otherwise(F.col("pay.text")))
     return r.dropDuplicates(["url", "title"])
 
 
@@ -273,10 +289,20 @@ def mail_parts(mails: DataFrame) -> DataFrame:
 
 
 @register("mail")
-def mail_alerts(mails: DataFrame, as_of: Column, pattern: str, label: str = "Mail alert") -> DataFrame:
-    """Job links in alert mails; company and place are the lines after the link's text."""
-    body = mail_parts(mails).select(F.col("path").alias("url"), F.col("body").alias("html"), F.split(strip_html(F.col("body")), "\n").alias("lines"))
-    a = anchors(body).where(F.col("href").rlike(pattern)).join(body.select("url", "lines"), "url")
+def mail_alerts(mails: DataFrame, as_of: Column, pattern: str, label: str = "Mail alert", lookback_days: int | None = None, most_messages: int | None = None, noise: str = fixed.MAIL_NOISE) -> DataFrame:
+    """Job links in alert mails; company and place are the lines after the link's text.
+
+    ``lookback_days``: mails sent before are left out; ``most_messages``: so many of the newest are
+    read (a mailbox query, as the original asks it).  Lines of ``noise`` are no titles.
+    """
+    parts = mail_parts(mails)
+    sent = F.to_date(F.try_to_timestamp(F.regexp_extract("sent", r"(\d{1,2} [A-Za-z]{3} \d{4})", 1), F.lit("d MMM yyyy")))
+    if lookback_days is not None:
+        parts = parts.where(sent >= F.date_sub(as_of, lookback_days))
+    if most_messages is not None:
+        parts = parts.orderBy(F.desc_nulls_last(sent), F.desc("path")).limit(most_messages)
+    body = parts.select(F.col("path").alias("url"), F.col("body").alias("html"), F.filter(F.split(strip_html(F.col("body")), "\n"), lambda x: ~x.rlike(noise)).alias("lines"))
+    a = anchors(body).where(F.col("href").rlike(pattern) & ~F.col("text").rlike(noise) & (F.length("text") >= 4)).join(body.select("url", "lines"), "url")
     at = F.array_position("lines", F.col("text"))
     a = a.withColumns({"company": F.coalesce(F.get("lines", at.cast("int")), F.lit("Unknown company")), "place": F.coalesce(F.get(F.filter(F.slice("lines", at.cast("int") + 2, 2), lambda x: x.rlike(r"(?i)dhaka|bangladesh|remote|,")), F.lit(0)), F.lit(""))}).where("text <> ''")
     a = a.withColumn("link", F.regexp_replace("href", r"\?.*$", "")).dropDuplicates(["link"])
