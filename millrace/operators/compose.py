@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_accents, text_or_empty, word_count
+from ..functions import fixed
+from ..functions.text import strip_accents, text_or_empty
 
 MOST_LETTER_WORDS, LEAST_LETTER_WORDS, MOST_NOTE_CHARS = 180, 120, 300
-# Documents a post may ask for, by the pattern that shows it.
-DOCUMENTS = [
-    ("CV", r"\b(cv|resume|curriculum vitae)\b"), ("Cover letter", r"\bcover(?:ing)? letter\b"), ("Photograph", r"\bphoto(?:graph)?s?\b"), ("Certificates", r"\b(certificates?|transcripts?|mark ?sheets?)\b"),
-    ("Portfolio", r"\bportfolio\b"), ("National ID", r"\b(nid|national id)\b"), ("References", r"\breferences?\b"),
-]
+LABEL_STOP = "and the for with into onto from your our this that these those".split()
+DOCUMENTS = fixed.DOCUMENTS
 
 
 def listed(items: Column) -> Column:
@@ -51,32 +49,6 @@ def first_within(variants: list[Column], fits) -> Column:
     return F.coalesce(*[F.when(fits(v), v) for v in variants], variants[-1])
 
 
-def letter(company: Column, title: Column, opening: Column, achievements: Column, skills: Column, name: Column) -> Column:
-    """A letter of at most 180 words: achievements and skills are left out, last first, until it fits."""
-    firm = F.when(text_or_empty(company).isin("", "Unknown company"), "your company").otherwise(company)
-
-    def build(n_done: int, n_skills: int) -> Column:
-        done = F.array_join(F.transform(F.slice(achievements, 1, n_done), with_stop), " ")
-        known = F.slice(skills, 1, n_skills)
-        body = F.concat_ws("\n\n", F.concat(F.lit("Dear Hiring Team at "), firm, F.lit(",")), F.concat(F.lit("I am applying for the "), title, F.lit(" position. "), with_stop(opening)), F.nullif(done, F.lit("")), F.when(F.size(known) > 0, F.concat(F.lit("I work with "), listed(known), F.lit("."))), F.concat(F.lit("Sincerely,\n"), name))
-        return body
-
-    steps = [(2, 6), (2, 4), (2, 3), (1, 3), (1, 2), (0, 2), (0, 0)]
-    return first_within([build(*s) for s in steps], lambda c: word_count(c) <= MOST_LETTER_WORDS)
-
-
-def letter_notes(c: Column) -> Column:
-    n = word_count(c)
-    return F.when(n < LEAST_LETTER_WORDS, "short").when(n > MOST_LETTER_WORDS, "long").otherwise("fits")
-
-
-def recruiter_note(company: Column, title: Column, skills: Column, name: Column) -> Column:
-    """The fullest of four variants within 300 characters."""
-    hello = F.concat(F.lit("Hello, I saw the "), title, F.lit(" role at "), company, F.lit("."))
-    variants = [F.concat_ws(" ", hello, F.when(F.size(skills) > 0, F.concat(F.lit("I work with "), listed(F.slice(skills, 1, k)), F.lit("."))) if k else None, F.concat(F.lit("Best, "), name)) if k else F.concat_ws(" ", hello, F.concat(F.lit("Best, "), name)) for k in (5, 3, 1, 0)]
-    return first_within(variants, lambda c: F.length(c) <= MOST_NOTE_CHARS)
-
-
 def file_slug(c: Column, otherwise: str) -> Column:
     s = F.trim(F.regexp_replace(F.lower(strip_accents(text_or_empty(c))), "[^a-z0-9]+", " "))
     return F.when(s == "", otherwise).otherwise(F.replace(s, F.lit(" "), F.lit("-")))
@@ -86,39 +58,42 @@ def file_name(company: Column, title: Column, day: Column, kind: str = "resume",
     return F.concat(F.concat_ws("_", F.lit(kind), file_slug(company, "company"), file_slug(title, "role"), F.date_format(day, "yyyy-MM-dd")), F.lit(f".{suffix}"))
 
 
-def required_documents(c: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(text_or_empty(c).rlike(f"(?i){p}"), F.lit(name)) for name, p in DOCUMENTS]))
-
-
 def shown_day(day: Column) -> Column:
     return F.date_format(day, "d MMM yyyy")
 
 
-def checklist(deadline: Column, documents: Column, as_of: Column) -> Column:
-    """Open tasks with the days left."""
-    left = F.date_diff(deadline, as_of)
-    due = F.when(deadline.isNull(), "No deadline stated").when(left < 0, "Deadline has passed").otherwise(F.concat(left.cast("string"), F.lit(" days left")))
-    return F.concat(F.array(due), F.transform(documents, lambda d: F.concat(F.lit("Attach "), lower_first(d))))
-
-
-def ranked_bullets(bullets: DataFrame, keywords: DataFrame, n: int = 2) -> DataFrame:
-    """(id, pos, bullet) and (key, pattern, added): the ``n`` bullets of each id with most keywords;
-    a keyword counts three times, five times where it was added."""
-    hit = bullets.join(F.broadcast(keywords), F.rlike("bullet", F.col("pattern")), "left")  # keywords of one post
-    score = F.sum(F.when(F.col("key").isNotNull(), 3 + F.when(F.col("added"), 2).otherwise(0)).otherwise(0))
-    s = hit.groupBy("id", "pos", "bullet").agg(score.alias("score"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "pos"))).where(F.col("rank") <= n)
-
-
-def placed(categories: list[str], keywords: DataFrame) -> DataFrame:
-    """(key, display, grp) in order of ``pos`` -> category: the one sharing most label words with the
-    group, the first of equals; a group without one becomes a category of its own."""
-    stem = lambda c: F.transform(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: (F.length(w) >= 3) & ~w.isin("and", "the", "for", "with")), lambda w: F.regexp_replace(F.regexp_replace(w, "ies$", "y"), "([^s])s$", "$1"))
-    scored = F.array(*[F.struct(F.size(F.array_intersect(F.array_distinct(stem(F.lit(c))), F.array_distinct(stem(F.col("grp"))))).alias("n"), F.lit(-i).alias("first"), F.lit(c).alias("c")) for i, c in enumerate(categories)]) if categories else None
-    if scored is None:
-        return keywords.withColumn("category", F.col("grp"))
-    best = F.array_max(scored)
-    return keywords.withColumn("category", F.when(best["n"] > 0, best["c"]).otherwise(F.coalesce("grp", F.lit("Additional Skills"))))
+def label_words(c: Column) -> Column:
+    """Distinct words of a label over two letters that are no grammar, singular."""
+    words = F.filter(F.split(F.lower(text_or_empty(c)), "[^a-z0-9]+"), lambda w: (F.length(w) >= 3) & ~w.isin(*LABEL_STOP))
+    return F.array_distinct(F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(w, "ies$", "y"), "([^s])s$", "$1")))
+
+
+def placed(categories: list[tuple[str, list[str]]], keywords: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """(doc_id, rank, key, display, grp) and the profile's categories with their items -> (doc_id,
+    category, items) of each document, in order.
+
+    Keywords are placed by rank, one after another: one that stands in some category under any of
+    its wordings stays there; else it joins the category that shares most label words with its
+    group, the first of equals; else its group becomes a category, which later ones may join."""
+    wordings: DataFrame | None = lexicon and lexicon.groupBy("key").agg(F.collect_list(F.lower(F.regexp_replace("alias", r"[\s_-]+", " "))).alias("words"))
+    k = keywords.join(wordings, "key", "left") if wordings is not None else keywords.withColumn("words", F.lit(None).cast("array<string>"))
+    group = F.coalesce("grp", F.lit("Additional Skills"))
+    k = k.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "display", group.alias("grp"), label_words(group).alias("label"), F.coalesce("words", F.array().cast("array<string>")).alias("words")))).alias("ks"))  # one post's
+    plain = lambda x: F.lower(F.regexp_replace(F.trim(x), r"[\s_-]+", " "))
+    kind = "array<struct<category string, label array<string>, items array<string>>>"
+    start = F.array(*[F.struct(F.lit(c).alias("category"), label_words(F.lit(c)).alias("label"), F.array(*map(F.lit, items)).cast("array<string>").alias("items")) for c, items in categories]).cast(kind) if categories else F.array().cast(kind)
+
+    def step(at: Column, k: Column) -> Column:
+        here = F.exists(at, lambda g: F.exists(g["items"], lambda i: (plain(i) == plain(k["display"])) | F.array_contains(k["words"], plain(i))))
+        shared = F.transform(at, lambda g: F.size(F.array_intersect(g["label"], k["label"])))
+        best = F.array_max(shared)
+        into = F.array_position(shared, best).cast("int") - 1  # the first of equals
+        joined = F.transform(at, lambda g, i: F.struct(g["category"].alias("category"), g["label"].alias("label"), F.when(i == into, F.array_append(g["items"], k["display"])).otherwise(g["items"]).alias("items")))
+        more = F.array_append(at, F.struct(k["grp"].alias("category"), k["label"].alias("label"), F.array(k["display"]).alias("items")))
+        return F.when(here, at).when(F.coalesce(best, F.lit(0)) > 0, joined).otherwise(more)
+
+    out = k.select("doc_id", F.posexplode(F.aggregate("ks", start, step)).alias("pos", "g"))
+    return out.select("doc_id", "pos", "g.category", "g.items")
 
 
 def resume_text(headline: Column, sections: Column) -> Column:

@@ -13,21 +13,8 @@ def one(spark, *cols):
 
 def test_names_and_lists(spark):
     day = F.lit(datetime.date(2026, 9, 24))
-    r = one(spark, compose.file_name(F.lit("Zorblax Ltd."), F.lit("QA Engineer"), day), compose.file_name(F.lit(""), F.lit(None).cast("string"), day), compose.file_slug(F.lit("Ünïcode & Co."), "x"), compose.listed(F.array(*map(F.lit, "abc"))), compose.shown_day(day))
-    assert tuple(r) == ("resume_zorblax-ltd_qa-engineer_2026-09-24.pdf", "resume_company_role_2026-09-24.pdf", "unicode-co", "a, b and c", "24 Sep 2026")
-
-
-def test_letter_and_note_fit(spark):
-    long = F.array(*[F.lit("I did " + "much work " * 40) for _ in range(3)])
-    skills = F.array(*[F.lit(f"a rather long skill name number {i} of many") for i in range(8)])
-    r = one(spark, compose.letter(F.lit("Acme"), F.lit("Tester"), F.lit("I test"), long, skills, F.lit("N")).alias("l"), compose.recruiter_note(F.lit("Acme"), F.lit("Tester"), skills, F.lit("N")).alias("n"))
-    assert len(r["l"].split()) <= 180 and len(r["n"]) <= 300 and "Acme" in r["l"]
-
-
-def test_documents_and_checklist(spark):
-    docs = compose.required_documents(F.lit("Send your CV and two photographs"))
-    r = one(spark, docs.alias("d"), compose.checklist(F.lit(datetime.date(2026, 10, 12)), docs, F.lit(datetime.date(2026, 10, 10))).alias("c"))
-    assert r["d"] == ["CV", "Photograph"] and r["c"] == ["2 days left", "Attach CV", "Attach photograph"]
+    r = one(spark, compose.file_name(F.lit("Quux Ltd."), F.lit("QA Engineer"), day), compose.file_name(F.lit(""), F.lit(None).cast("string"), day), compose.file_slug(F.lit("Ünïcode & Co."), "x"), compose.listed(F.array(*map(F.lit, "abc"))), compose.shown_day(day))
+    assert tuple(r) == ("resume_quux-ltd_qa-engineer_2026-09-24.pdf", "resume_company_role_2026-09-24.pdf", "unicode-co", "a, b and c", "24 Sep 2026")
 
 
 def test_clipping_and_resume(spark):
@@ -36,10 +23,33 @@ def test_clipping_and_resume(spark):
     assert tuple(r) == ("We built it", "abc…", "Name\n\nSKILLS\nSQL", "SQL work", "a | b")
 
 
-def test_bullets_and_placement(spark):
-    b = spark.createDataFrame([(1, 0, "wrote reports"), (1, 1, "Python and SQL"), (1, 2, "SQL")], "id int, pos int, bullet string")
-    k = spark.createDataFrame([("python", "(?i)python", True), ("sql", "(?i)sql", False)], "key string, pattern string, added boolean")
-    assert [(r["pos"], r["score"]) for r in compose.ranked_bullets(b, k).orderBy("rank").collect()] == [(1, 8), (2, 3)]
-    p = spark.createDataFrame([("x", "Web Hosting & Domains"), ("y", "Cooking")], "key string, grp string")
-    got = {r["key"]: r["category"] for r in compose.placed(["Programming and Web", "Web and Hosting"], p).collect()}
-    assert got == {"x": "Web and Hosting", "y": "Cooking"}
+def plain_placed(categories, ks):
+    import re
+
+    words = lambda c: {re.sub("([^s])s$", r"\1", re.sub("ies$", "y", w)) for w in re.split("[^a-z0-9]+", c.lower()) if len(w) >= 3 and w not in compose.LABEL_STOP}
+    out = [(c, list(items)) for c, items in categories]
+    for _, _, display, grp in ks:
+        if any(i.lower() == display.lower() for _, items in out for i in items):
+            continue
+        best, target = 0, None
+        for c, items in out:
+            if len(words(c) & words(grp)) > best:
+                best, target = len(words(c) & words(grp)), items
+        if target is None:
+            target = []
+            out.append((grp, target))
+        target.append(display)
+    return out
+
+
+def test_placement_in_order(spark):
+    ks = [(1, "x", "cPanel", "Web Hosting & Domains"), (2, "y", "Stew", "Cooking"), (3, "z", "Soup", "Cooking arts"), (4, "w", "html", "Web"), (5, "v", "Loose", "Databases"), (6, "u", "Postgres", "Database Design")]
+    cats = [("Programming and Web", ["HTML"]), ("Web and Hosting", [])]
+    p = spark.createDataFrame([(1, *k) for k in ks], "doc_id int, rank int, key string, display string, grp string")
+    got = [(r["category"], r["items"]) for r in compose.placed(cats, p).orderBy("pos").collect()]
+    assert got == plain_placed(cats, ks) and ("Cooking", ["Stew", "Soup"]) in got and ("Databases", ["Loose", "Postgres"]) in got
+    assert [(r["category"], r["items"]) for r in compose.placed([], p.where("rank < 3")).orderBy("pos").collect()] == [("Web Hosting & Domains", ["cPanel"]), ("Cooking", ["Stew"])]
+    from millrace.operators import keywords
+
+    known = spark.createDataFrame([(1, 1, "excel", "Excel", "Office")], "doc_id int, rank int, key string, display string, grp string")
+    assert [r["items"] for r in compose.placed([("Tools", ["MS Excel"])], known, keywords.lexicon_table(spark)).collect()] == [["MS Excel"]]

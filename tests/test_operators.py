@@ -29,9 +29,9 @@ def rows(spark, posts):
 def test_deduplicate(spark):
     long = "We test web systems with care and write clear reports about every defect found in them today"
     posts = [
-        post(1, "SQA Engineer", "Innolytic IT Ltd.", "https://a.example/1?utm_x=1", "short", source="A"),
-        post(2, "Software Quality Assurance Engineer", "Innolytic Limited", "https://b.example/2", long, source="B", salaryMin=20000, salaryText="Tk 20,000"),
-        post(3, "Cook", "Innolytic", "https://c.example/3", "stews"),
+        post(1, "SQA Engineer", "Brindlework IT Ltd.", "https://a.example/1?utm_x=1", "short", source="A"),
+        post(2, "Software Quality Assurance Engineer", "Brindlework Limited", "https://b.example/2", long, source="B", salaryMin=20000, salaryText="Tk 20,000"),
+        post(3, "Cook", "Brindlework", "https://c.example/3", "stews"),
         post(4, "Chef de partie", "Elsewhere", "https://a.example/1", "copied link"),
         post(5, "SQA Engineer", "Other", "https://e.example/5", "short", area="Banani", distanceKm=4.0),
     ]

@@ -19,8 +19,8 @@ def test_config_and_env():
 
 def test_discover(spark, tmp_path):
     items = [
-        {"title": "SQA Engineer", "company": "Innolytic IT Ltd.", "location": "Banani, Dhaka", "url": "https://a.example/1?utm_source=x", "source": "A", "salary": "Tk 30,000", "description": "We test web systems with Selenium every day"},
-        {"title": "Software Quality Assurance Engineer", "company": "Innolytic Limited", "location": "Banani", "url": "https://b.example/2", "source": "B", "description": "We test web systems with Selenium every single day and write reports"},
+        {"title": "SQA Engineer", "company": "Brindlework IT Ltd.", "location": "Banani, Dhaka", "url": "https://a.example/1?utm_source=x", "source": "A", "salary": "Tk 30,000", "description": "We test web systems with Selenium every day"},
+        {"title": "Software Quality Assurance Engineer", "company": "Brindlework Limited", "location": "Banani", "url": "https://b.example/2", "source": "B", "description": "We test web systems with Selenium every single day and write reports"},
         {"title": "Cook", "company": "Cafe", "location": "London, UK", "url": "https://c.example/3", "source": "A"},
     ]
     (tmp_path / "x.json").write_text(json.dumps({"jobs": items}))
@@ -30,11 +30,11 @@ def test_discover(spark, tmp_path):
     profile = scoring.Profile(titles=["SQA Engineer"], skills=["Selenium"], categories=["Software Quality Assurance"], minimum=30, strong=60, years=0)
     run = runs.discover(postings, postings.where("false"), spark.createDataFrame([], LEDGER), profile, day)
     feed = {r["company"].split()[0]: r for r in run.feed.collect()}
-    assert set(feed) == {"Innolytic", "Cafe"} and feed["Innolytic"]["source"] == "A + B" and feed["Innolytic"]["salaryMin"] == 30000
-    assert feed["Innolytic"]["priority"] == "A" and feed["Cafe"]["priority"] == "C"
+    assert set(feed) == {"Brindlework", "Cafe"} and feed["Brindlework"]["source"] == "A + B" and feed["Brindlework"]["salaryMin"] == 30000
+    assert feed["Brindlework"]["priority"] == "A" and feed["Cafe"]["priority"] == "C"
     c = run.counts.first()
     assert (c["total"], c["A"], c["C"], c["new"], c["folded"]) == (2, 1, 1, 2, 1)
-    assert [r["company"].split()[0] for r in run.notice.collect()] == ["Innolytic"] and run.ledger.count() == 2 and report.first()["found"] == 3
+    assert [r["company"].split()[0] for r in run.notice.collect()] == ["Brindlework"] and run.ledger.count() == 2 and report.first()["found"] == 3
     assert {r["priority"]: r["n"] for r in runs.statistics(run.feed).collect()} == {"A": 1, "C": 1}
 
 
