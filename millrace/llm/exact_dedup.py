@@ -14,7 +14,7 @@ Texts are equal when identical after ``normalise`` (nothing by default); null co
 empty.  Of equal texts the row with the largest doc_id stays, and a null doc_id counts as
 smaller than any other (a group without any other keeps it).  Rows that repeat with the
 same doc_id and text are one document: all are returned, all count, and they are kept or
-dropped alike.  Extra columns are ignored by :func:`exact_groups` and kept by
+dropped alike.  Texts of any length are read whole.  Extra columns are ignored by :func:`exact_groups` and kept by
 :func:`drop_copies`.  Empty tables give empty results.
 """
 
@@ -29,13 +29,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialise, table
+from .shared import materialise, spread_join, table
 
 SPARE_BITS = 10
 CHUNK_ROWS = 20_000
 OWNER_ROWS = 500_000
 #: Suspects up to this number (8 bytes each) are broadcast.
 BROADCAST_IDS = 1_000_000
+#: Rows to drop up to this number (40 bytes each) are broadcast; texts do not move then.
+BROADCAST_GONE = 250_000
 
 
 def rice_encode(sorted_values: np.ndarray, span: int) -> bytes:
@@ -135,24 +137,26 @@ def exact_groups(docs: DataFrame, normalise: Callable[[Column], Column] | None =
     again = d.join(F.broadcast(marked) if few else marked, d["doc_id"].eqNullSafe(marked["doc_id"]), "left_semi")
     # byte verification: grouped by the whole text, summed before the shuffle
     same = again.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    groups = materialise(same.select(F.sha2("text", 256).alias("sha"), "keep_id", "group_size"), "groups")
-    out = d.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
-    out = out.join(groups, out["text_sha256"] == groups["sha"], "left")
+    groups = materialise(same.select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size", F.col("group_size").alias("n")), "groups")
+    out = spread_join(d.select("doc_id", F.sha2("text", 256).alias("text_sha256")), groups, "text_sha256", "n")
+    alone = F.col("group_size").isNull()
     return out.select(
         "doc_id",
-        F.when(F.col("sha").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
-        (F.col("sha").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        (alone | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         "text_sha256",
     )
 
 
 def drop_copies(docs: DataFrame, normalise: Callable[[Column], Column] | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
-    gone = exact_groups(docs, normalise).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha"))
+    gone = exact_groups(docs, normalise).where("not kept").select(F.col("doc_id").alias("_gone"), F.unhex("text_sha256").alias("_sha"))
+    gone = materialise(gone.distinct(), "gone")
+    few = gone.count() <= BROADCAST_GONE
     # a doc_id, or null, may stand for several texts: only those of the text that is a copy go
-    same = docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.sha2(_normalised(docs["text"], normalise), 256) == gone["_sha"])
-    return docs.join(gone, same, "left_anti")
+    same = docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.unhex(F.sha2(_normalised(docs["text"], normalise), 256)) == gone["_sha"])
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
