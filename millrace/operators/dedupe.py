@@ -1,39 +1,45 @@
 """Entity resolution: one row for postings that different boards carry.
 
 Edges come from equal keys (each row to the first of its key) and from near copies within
-one company, found by equality joins on rare title tokens and on bands of signatures.
+one company, found by equality joins on rare title tokens and on variants of signatures.
 """
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import canonical_url, fingerprint, jaccard, normalize_company, normalize_title, slug, slug_tokens
+from . import near
 from .graph import components, materialise
 
 
+def _signature(slugged: str) -> int:
+    words = [w for w in slugged.split(" ") if len(w) > 2]
+    if not words:
+        return 0
+    n = max(1, len(words) - 2)
+    halves = b"".join([md5(" ".join(words[i : i + 3]).encode()).digest()[8:] for i in range(n)])
+    ones = np.unpackbits(np.frombuffer(halves, np.uint8).reshape(n, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
+
+
 def simhash(text: Column) -> Column:
     """64-bit signature of three-word shingles (words over two characters), as a long.
 
-    The low half of each shingle's MD5 votes on every bit; a tie is 0, no words give 0.
+    The low half of each shingle's MD5 votes on every bit; a tie is 0, no words give 0.  Votes
+    are counted in numpy, a batch of texts at a time.
     """
-    w = F.filter(F.split(slug(text), " "), lambda x: F.length(x) > 2)
-
-    def shingles(a: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(a) - 2)), lambda i: F.array_join(F.slice(a, i, 3), " "))
 
-    hashes = F.transform(F.transform(F.array(w), shingles)[0], lambda x: F.conv(F.substring(F.md5(x), 17, 16), 16, -10).cast("bigint"))
+    @F.pandas_udf("bigint")
+    def run(s):
+        return s.map(_signature)
 
-    def vote(h: Column) -> Column:
-        def bit(acc: Column, i: Column) -> Column:
-            ones = F.aggregate(h, F.lit(0).cast("bigint"), lambda a, x: a + F.call_function("shiftrightunsigned", x, i).bitwiseAND(F.lit(1)))
-            return acc.bitwiseOR(F.when(ones * 2 > F.size(h), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
-
-        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), bit)
-
-    return F.when(F.size(w) == 0, F.lit(0).cast("bigint")).otherwise(F.transform(F.array(hashes), vote)[0])
+    return run(slug(text))
 
 
 def canonical(postings: DataFrame) -> DataFrame:
@@ -55,35 +61,41 @@ def key_edges(keyed: DataFrame, key: str, node: str = "seq") -> DataFrame:
     return keyed.join(first, key).select(F.col(node).alias("a"), "b").where("a <> b")
 
 
-def near_edges(keyed: DataFrame, threshold: float = fixed.TITLE_JACCARD, distance: int = fixed.SIMHASH_DISTANCE) -> DataFrame:
-    """Pairs of one company with close titles, or with close texts and a shared title token.
-
-    Rows alike in company, tokens and signature are compared once, by their first row.  Titles
-    at or over the threshold share one of their rarest tokens (as many as may be missing, and
-    one), so only those are joined on; signatures within the distance share one of
-    ``distance + 1`` bands.  Neither join meets on common tokens.
-    """
+def alike_rows(keyed: DataFrame) -> DataFrame:
+    """One row (seq, norm_company, tokens, sim) for rows alike in company, tokens and signature; written."""
     alike = keyed.groupBy("norm_company", F.array_sort("title_tokens").alias("tokens"), "sim").agg(F.min("seq").alias("seq"))
-    alike = materialise(alike.where(F.size("tokens") > 0), "alike")
+    return materialise(alike.where(F.size("tokens") > 0), "alike")
+
+
+def title_edges(alike: DataFrame, threshold: float = fixed.TITLE_JACCARD) -> DataFrame:
+    """(a, b, jaccard) of rows of one company whose titles are at or over the threshold.  Such titles
+    share one of their rarest tokens (as many as may be missing, and one), so these are joined on."""
     each = alike.select("seq", F.explode("tokens").alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("n"))
     rare = each.join(often, "token").groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("r"))  # a title's tokens
     need = F.size("r") - F.ceil(F.size("r") * F.lit(threshold) - 1e-9) + 1
-    prefix = alike.join(rare, "seq").select("seq", "norm_company", "tokens", F.explode(F.slice("r", F.lit(1), need.cast("int"))["token"]).alias("key"))
-    cuts = [64 * i // (distance + 1) for i in range(distance + 2)]
-    bands = [F.concat_ws(":", F.lit(i), F.shiftrightunsigned("sim", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).cast("string")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
-    banded = alike.where("sim <> 0").select("seq", "norm_company", "tokens", "sim", F.explode(F.array(*bands)).alias("key"))
-
-    def met(t: DataFrame, fits: Column) -> DataFrame:
-        u = t.select(*[F.col(c).alias(f"{c}2") for c in t.columns])
-        same = (F.col("norm_company") == F.col("norm_company2")) & (F.col("key") == F.col("key2")) & (F.col("seq") < F.col("seq2"))
-        return t.join(u, same & fits).select(F.col("seq").alias("a"), F.col("seq2").alias("b"))
-
-    titles = met(prefix, jaccard(F.col("tokens"), F.col("tokens2")) >= threshold)
-    texts = met(banded, (F.bit_count(F.col("sim").bitwiseXOR(F.col("sim2"))) <= distance) & F.arrays_overlap("tokens", "tokens2"))
+    t = alike.join(rare, "seq").select("seq", "norm_company", "tokens", F.explode(F.slice("r", F.lit(1), need.cast("int"))["token"]).alias("key"))
+    u = t.select(*[F.col(c).alias(f"{c}2") for c in t.columns])
+    same = (F.col("norm_company") == F.col("norm_company2")) & (F.col("key") == F.col("key2")) & (F.col("seq") < F.col("seq2"))
+    j = jaccard(F.col("tokens"), F.col("tokens2"))
+    return t.join(u, same & (j >= threshold)).select(F.col("seq").alias("a"), F.col("seq2").alias("b"), j.alias("jaccard")).distinct()
+
+
+def text_edges(alike: DataFrame, distance: int = fixed.SIMHASH_DISTANCE) -> DataFrame:
+    """(a, b) that span the links of rows of one company with a shared title token whose signatures
+    differ in at most ``distance`` bits."""
+    rows = alike.where("sim <> 0").select("norm_company", F.explode("tokens").alias("token"), F.col("seq").alias("node"), F.col("sim").alias("sig"))
+    return near.linked(rows, ["norm_company", "token"], distance)
+
+
+def near_edges(keyed: DataFrame, threshold: float = fixed.TITLE_JACCARD, distance: int = fixed.SIMHASH_DISTANCE) -> DataFrame:
+    """Edges between rows of one company with close titles, or with close texts and a shared title
+    token.  Rows alike in company, tokens and signature are compared once, by their first row;
+    neither join meets on common tokens alone."""
+    alike = alike_rows(keyed)
     first = alike.select(F.col("norm_company").alias("_c"), F.col("tokens").alias("_t"), F.col("sim").alias("_s"), F.col("seq").alias("b"))
     copies = keyed.join(first, (F.col("norm_company") == F.col("_c")) & (F.col("sim") == F.col("_s")) & (F.array_sort("title_tokens") == F.col("_t"))).select(F.col("seq").alias("a"), "b").where("a <> b")
-    return titles.unionByName(texts).unionByName(copies).distinct()
+    return title_edges(alike, threshold).select("a", "b").unionByName(text_edges(alike, distance)).unionByName(copies).distinct()
 
 
 def groups(keyed: DataFrame) -> DataFrame:

@@ -226,14 +226,6 @@ def o3_2_relevance(spark, sf_dir):
     return literal(spark, [(t,) for t, _ in RELEVANT], "title string").select("title", parse.is_relevant(F.col("title"), ["software quality assurance", "junior data analyst", "management trainee"]).alias("ok"))
 
 
-@query("SELECT event_type, count(*) AS n, CASE WHEN count(*) > 0 THEN floor(100.0 * sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) / count(*) + 0.5)::int ELSE 0 END AS pct FROM events GROUP BY 1 ORDER BY n DESC LIMIT 12")
-def o5_5_most_common(spark, sf_dir):
-    """O5.5, O5.13: a top-12 report."""
-    e = read(spark, sf_dir, "events")
-    g = e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("k"))
-    return g.select("event_type", "n", parse.percent(F.col("k"), F.col("n")).alias("pct")).orderBy(F.desc("n"), "event_type").limit(12)
-
-
 # -- scoring: parts as postings ----------------------------------------------------------
 
 PROFILE = scoring.Profile(titles=["green steel", "qa blue copper"], skills=["tin", "steel", "Red"], categories=["ECONOMY BRASS"], minimum=20, strong=45, years=2, excluded=["black"])
@@ -425,10 +417,10 @@ def o4_18_merge_private(spark, sf_dir):
 
 
 def document_postings(spark, sf_dir):
-    """company = language and source, title = first line's start, body = text."""
+    """company = language and source, title = the first line, body = text."""
     d = read(spark, sf_dir, "documents")
     return d.select(
-        F.col("doc_id").alias("seq"), F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("title"), F.concat_ws(" ", "lang", "source").alias("company"), F.col("text").alias("description"),
+        F.col("doc_id").alias("seq"), F.substring_index("text", "\n", 1).alias("title"), F.concat_ws(" ", "lang", "source").alias("company"), F.col("text").alias("description"),
         F.concat(F.lit("https://x.example/"), F.md5("text")).alias("url"), F.lit("").alias("area"), F.col("source"), F.lit("").alias("requiredSkills"), F.lit(None).cast("int").alias("salaryMin"), F.lit(None).cast("int").alias("salaryMax"),
         F.lit("").alias("salaryText"), F.lit(None).cast("string").alias("deadline"), F.lit("").alias("employmentType"), F.lit("").alias("experienceText"), F.lit(None).cast("double").alias("distanceKm"), F.lit(None).cast("string").alias("postedAt"),
     )
@@ -447,22 +439,36 @@ def o4_4_simhash(spark, sf_dir):
     return d.select("doc_id", F.lower(F.lpad(F.hex(dedupe.simhash(F.col("text"))), 16, "0")).alias("sim"))
 
 
-@query()
+def _groups_sql() -> str:
+    first = "split_part(coalesce(text, ''), chr(10), 1)"
+    title = COLLAPSE.replace("{0}", f"regexp_replace({title_sql(first)}, '\\b({fixed.SENIORITY})\\b', ' ', 'g')")
+    return f"""WITH RECURSIVE {_SHINGLES},
+p AS (SELECT d.doc_id AS seq, {company_sql("concat_ws(' ', lang, source)")} AS c, {title} AS t, md5(text) AS u, coalesce(f.f, 0)::UBIGINT AS sim, source, length(coalesce(text, '')) AS size FROM documents d LEFT JOIN f USING (doc_id)),
+k AS (SELECT *, list_distinct(list_filter(string_split(t, ' '), lambda x: length(x) > 2)) AS tok FROM p),
+e AS (SELECT a.seq AS a, b.seq AS b FROM k a JOIN k b ON a.seq <> b.seq AND a.c = b.c AND a.t = b.t
+ UNION SELECT a.seq, b.seq FROM k a JOIN k b ON a.seq <> b.seq AND a.u = b.u
+ UNION SELECT a.seq, b.seq FROM k a JOIN k b ON a.seq <> b.seq AND a.c = b.c AND len(list_intersect(a.tok, b.tok)) > 0
+  AND (len(list_intersect(a.tok, b.tok))::DOUBLE / len(list_distinct(list_concat(a.tok, b.tok))) >= {fixed.TITLE_JACCARD} OR (a.sim <> 0 AND b.sim <> 0 AND bit_count(xor(a.sim, b.sim)) <= {fixed.SIMHASH_DISTANCE}))),
+r AS (SELECT seq AS a, seq AS b FROM k UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+g AS (SELECT a AS seq, min(b) AS group_id FROM r GROUP BY a),
+m AS (SELECT g.group_id, k.* FROM k JOIN g USING (seq))
+SELECT group_id, arg_max(seq, (size, -seq)) AS seq, count(*) AS n_merged, array_to_string(list_sort(list_distinct(list(coalesce(nullif(source, ''), 'unknown')))), ' + ') AS source, count(DISTINCT (coalesce(nullif(source, ''), 'unknown'), u))::INT AS n_sources FROM m GROUP BY group_id"""
+
+
+@query(_groups_sql())
 def o4_5_dedupe_groups(spark, sf_dir):
-    """O4.5 to O4.10 on documents (tested against brute force on small tables)."""
+    """O4.5 to O4.10 on documents."""
     return dedupe.deduplicate(document_postings(spark, sf_dir)).select("group_id", "seq", "n_merged", "source", F.size("sources").alias("n_sources"))
 
 
-@query(f"SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.t, b.t))::double / len(list_distinct(list_concat(a.t, b.t))), 6) AS j FROM (SELECT doc_id, source, list_distinct(list_filter(string_split({SLUG.format('substr(text, 1, 60)')}, ' '), lambda x: length(x) > 2)) AS t FROM documents) a JOIN (SELECT doc_id, source, list_distinct(list_filter(string_split({SLUG.format('substr(text, 1, 60)')}, ' '), lambda x: length(x) > 2)) AS t FROM documents) b ON a.source = b.source AND a.doc_id < b.doc_id WHERE len(list_intersect(a.t, b.t)) > 0 AND len(list_intersect(a.t, b.t))::double / len(list_distinct(list_concat(a.t, b.t))) >= 0.72")
+_TOKENS = f"list_sort(list_distinct(list_filter(string_split({SLUG.format("split_part(coalesce(text, ''), chr(10), 1)")}, ' '), lambda x: length(x) > 2)))"
+
+
+@query(f"WITH k AS (SELECT source, {_TOKENS} AS t, min(doc_id) AS seq FROM documents GROUP BY 1, 2) SELECT a.seq AS a, b.seq AS b, round(len(list_intersect(a.t, b.t))::double / len(list_distinct(list_concat(a.t, b.t))), 6) AS j FROM k a JOIN k b ON a.source = b.source AND a.seq < b.seq WHERE len(list_intersect(a.t, b.t)) > 0 AND len(list_intersect(a.t, b.t))::double / len(list_distinct(list_concat(a.t, b.t))) >= {fixed.TITLE_JACCARD}")
 def o4_6_close_titles(spark, sf_dir):
-    """O4.3, O4.6: close titles of one source, by a join on the shared token."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "source", text.slug_tokens(F.substring("text", 1, 60)).alias("t"))
-    alike = d.groupBy("source", F.array_sort("t").alias("t")).agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    x = alike.select("source", "t", "ids", F.explode("t").alias("token"))
-    y = x.select("source", "token", F.col("t").alias("t2"), F.col("ids").alias("ids2"))
-    j = x.join(y, ["source", "token"]).where((F.col("token") == F.array_min(F.array_intersect("t", "t2"))) & (text.jaccard(F.col("t"), F.col("t2")) >= fixed.TITLE_JACCARD))
-    p = j.select(F.explode("ids").alias("a"), "ids2", "t", "t2").select("a", F.explode("ids2").alias("b"), "t", "t2").where("a < b")
-    return p.select("a", "b", F.round(text.jaccard(F.col("t"), F.col("t2")), 6).alias("j"))
+    """O4.3, O4.6: close first lines of one source; lines alike by their first document."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("source").alias("norm_company"), text.slug_tokens(F.substring_index("text", "\n", 1)).alias("title_tokens"), F.lit(0).cast("bigint").alias("sim"))
+    return dedupe.title_edges(dedupe.alike_rows(d)).select("a", "b", F.round("jaccard", 6).alias("j"))
 
 
 # -- keywords: documents with a lexicon of corpus words -------------------------------------
@@ -489,12 +495,6 @@ def o9_13_extract(spark, sf_dir):
     return keywords.extract(d, keywords.lexicon_table(spark)).select("key", "tier", F.col("yearsRequired").alias("years"))
 
 
-@query("SELECT doc_id, len(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: length(x) > 0)) AS n_lines FROM documents")
-def o9_5_lines(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", F.size(F.filter(F.transform(F.split(text.text_or_empty(F.col("text")), "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)).cast("bigint").alias("n_lines"))
-
-
 @query("SELECT p_partkey, CASE WHEN p_size * 1000 < 20000 THEN 'below' ELSE 'inside' END AS state, CASE WHEN p_size * 1000 < 20000 THEN 20000 ELSE least(greatest(20000, p_size * 500), p_size * 1000) END AS amount FROM part")
 def o9_28_suggest_salary(spark, sf_dir):
     p = read(spark, sf_dir, "part").withColumn("s", keywords.suggest_salary(F.col("p_size") * 500, F.col("p_size") * 1000, F.lit(20000)))
@@ -515,7 +515,7 @@ def o1_24_anchors(spark, sf_dir):
 LD = '<script type="application/ld+json">{"@graph":[{"@type":"JobPosting","title":"QA Engineer","hiringOrganization":{"name":"Acme Ltd"},"datePosted":"2026-10-01","jobLocation":{"address":{"addressLocality":"Banani","addressRegion":"Dhaka"}},"employmentType":"FULL_TIME","baseSalary":{"currency":"BDT","value":{"minValue":600000,"unitText":"YEAR"}},"description":"x"}]}</script>'
 
 
-@query("SELECT 'QA Engineer' AS title, 'Acme Ltd' AS company, 'Banani, Dhaka' AS location, 'Full Time' AS \"employmentType\", 50000 AS \"salaryMin\", DATE '2026-10-01' AS \"postedAt\", 'https://a.example/1' AS url")
+@query("SELECT 'QA Engineer' AS title, 'Acme Ltd' AS company, 'Banani, Dhaka' AS location, 'Full time' AS \"employmentType\", 50000 AS \"salaryMin\", DATE '2026-10-01' AS \"postedAt\", 'https://a.example/1' AS url")
 def o1_10_jsonld(spark, sf_dir):
     """O1.10 to O1.17."""
     pages = literal(spark, [("https://a.example/1", LD)], "url string, body string")
@@ -544,7 +544,7 @@ def o2_8_summary_line(spark, sf_dir):
 
 
 def _all() -> None:
-    from . import stated  # noqa: F401  registers its queries
+    from . import stated, tables  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -113,12 +113,6 @@ def o3_5_retention(spark, sf_dir):
     return o.select("o_orderkey", state.still_relevant(F.lit("1998-01-01").cast("date")).alias("stays"))
 
 
-@query("SELECT c_custkey FROM customer WHERE contains(lower(concat_ws(' ', c_name, c_mktsegment)), 'build')")
-def o3_6_search(spark, sf_dir):
-    """O3.6: substring search over joined columns."""
-    return read(spark, sf_dir, "customer").where(F.contains(F.lower(F.concat_ws(" ", "c_name", "c_mktsegment")), F.lit("build"))).select("c_custkey")
-
-
 @query("SELECT p_partkey, array_to_string(list_filter([p_brand, CASE WHEN p_size > 25 THEN p_type END, ''], lambda x: x IS NOT NULL AND x <> ''), ' | ') AS facts FROM part")
 def o3_7_facts(spark, sf_dir):
     """O3.7, O9.47."""
@@ -163,28 +157,6 @@ def o7_1_feed_order(spark, sf_dir):
     return top.select("seq", (F.col("i") + 1).cast("int").alias("rank"))
 
 
-@query("SELECT doc_id, len(list_distinct(list_filter(string_split(lower(text), ' '), lambda w: NOT contains('the and of in to', w)))) AS n_missing FROM documents WHERE text IS NOT NULL")
-def o7_7_difference(spark, sf_dir):
-    """O7.7: terms that are no part of an evidence text."""
-    d = read(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return d.select("doc_id", F.size(F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda w: ~F.contains(F.lit("the and of in to"), w)))).cast("bigint").alias("n_missing"))
-
-
-@query("SELECT doc_id, strlen('{\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}')::int AS bytes FROM documents")
-def o5_15_json_size(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.to_json(F.struct("lang", "source"))).alias("bytes"))
-
-
-@query("SELECT p_partkey, substr(p_name, 1, 9) AS a, substr(p_type, 1, 6) AS b FROM part")
-def o8_15_truncate(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", F.substring("p_name", 1, 9).alias("a"), F.substring("p_type", 1, 6).alias("b"))
-
-
-@query("SELECT o_orderkey, regexp_matches(o_orderdate::date::varchar, '^\\d{4}-\\d{2}-\\d{2}') AS iso FROM orders")
-def o8_16_iso_date(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").cast("string").rlike(r"^\d{4}-\d{2}-\d{2}").alias("iso"))
-
-
 # -- keywords ---------------------------------------------------------------------------------
 
 
@@ -266,31 +238,17 @@ def o9_30_file_names(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", compose.file_name(F.col("p_brand"), F.col("p_name"), day()).alias("file"))
 
 
-@query(stated([("Send CV and two photographs", "CV,Photograph"), ("Bring NID, references", "National ID,References"), ("none", "")], "t, docs"))
-def o9_29_documents(spark, sf_dir):
-    return literal(spark, [("Send CV and two photographs",), ("Bring NID, references",), ("none",)], "t string").select("t", F.array_join(compose.required_documents(F.col("t")), ",").alias("docs"))
-
-
 @query("SELECT n_nationkey, CASE WHEN regexp_matches(lower(n_name), '^[aeiou]') THEN 'an' ELSE 'a' END AS article, strftime(DATE '2026-10-10', '%-d %b %Y') AS day FROM nation")
 def o9_45_sentences(spark, sf_dir):
     """O9.43, O9.45."""
     return read(spark, sf_dir, "nation").select("n_nationkey", compose.article(F.col("n_name")).alias("article"), compose.shown_day(day()).alias("day"))
 
 
-@query("SELECT o_orderkey, CASE WHEN date_diff('day', DATE '1998-01-01', o_orderdate::date) < 0 THEN 'Deadline has passed' ELSE date_diff('day', DATE '1998-01-01', o_orderdate::date) || ' days left' END AS first FROM orders")
-def o9_32_checklist(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.get(compose.checklist(F.col("o_orderdate").cast("date"), F.array().cast("array<string>"), F.lit("1998-01-01").cast("date")), F.lit(0)).alias("first"))
-
-
-@query("SELECT p_partkey, 'Hello, I saw the ' || p_name || ' role at ' || p_brand || '. Best, N' AS note FROM part")
-def o9_27_recruiter_note(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", compose.recruiter_note(F.col("p_brand"), F.col("p_name"), F.array().cast("array<string>"), F.lit("N")).alias("note"))
-
-
-@query(f"SELECT array_to_string(list(line), chr(10)) AS \"table\", (SELECT count(*) FROM part) - 25 AS more FROM (SELECT '| ' || priority || ' | ' || seq || ' |' AS line FROM ({_GATED}) ORDER BY seq LIMIT 25)")
+@query(f"SELECT array_to_string(list(line), chr(10)) AS \"table\", (SELECT count(*) FROM part) - 25 AS more, least(8, sum((n_notes > 0)::INT))::INT AS n_caveats FROM (SELECT '| ' || priority || ' | ' || seq || ' |' AS line, n_notes FROM ({_GATED}) ORDER BY seq LIMIT 25)")
 def o2_6_digest(spark, sf_dir):
-    """O2.4 to O2.7: the text of a notice (its first 25 rows)."""
-    return sinks.digest(scored_parts(spark, sf_dir), [F.col("seq")], 25, ("priority", "seq"))
+    """O2.6: the text of a notice (its first 25 rows) and its first caveats."""
+    d = sinks.digest(scored_parts(spark, sf_dir), [F.col("seq")], 25, ("priority", "seq"))
+    return d.select("table", "more", F.size("caveats").alias("n_caveats"))
 
 
 @query("SELECT n_nationkey, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}' AS value FROM nation")

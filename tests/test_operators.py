@@ -169,3 +169,48 @@ def test_java_is_not_javascript(spark):
 
 def test_catalogue_has_sql_for_most():
     assert len(catalogue.queries()) > 40 and set(catalogue.oracle_sql()) <= set(catalogue.queries())
+
+
+def test_linked_against_all_pairs(spark, monkeypatch):
+    import random
+
+    from millrace.operators import near
+    from millrace.operators.graph import components
+
+    rng = random.Random(4)
+    sigs = []
+    for c in range(25):
+        base = rng.getrandbits(64)
+        for _ in range(12):
+            s = base
+            for b in rng.sample(range(64), rng.choice([0, 1, 3, 6, 7, 9])):
+                s ^= 1 << b
+            sigs.append((c % 3, s))
+    hot = rng.getrandbits(64)
+    sigs += [(0, hot ^ i << 7) for i in range(60)]
+    df = spark.createDataFrame([(g, i, s - (1 << 64) if s >> 63 else s) for i, (g, s) in enumerate(sigs)], "g int, node long, sig long")
+    label = list(range(len(sigs)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i in range(len(sigs)):
+        for j in range(i):
+            if sigs[i][0] == sigs[j][0] and (sigs[i][1] ^ sigs[j][1]).bit_count() <= 6:
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
+    want = [root(i) for i in range(len(sigs))]
+    for block in (512, 8):
+        got = {r["node"]: r["root"] for r in components(near.linked(df, ["g"], 6, block)).collect()}
+        assert [got.get(i, i) for i in range(len(sigs))] == want
+
+
+def test_one_company_with_many_postings(spark):
+    n = 20_000
+    df = spark.range(n).select(F.col("id").alias("seq"), F.lit("one").alias("norm_company"), F.array(F.lit("engineer"), F.concat(F.lit("t"), F.col("id") % 5000)).alias("tokens"), F.xxhash64("id").alias("sim"))
+    near_copy = spark.range(50).select((F.col("id") + n).alias("seq"), F.lit("one").alias("norm_company"), F.array(F.lit("engineer")).alias("tokens"), F.xxhash64("id").bitwiseXOR(F.lit(7)).alias("sim"))
+    df = df.unionByName(near_copy)
+    found = {(r["a"], r["b"]) for r in dedupe.text_edges(df).collect()}
+    assert {frozenset(e) for e in found} >= {frozenset((i, n + i)) for i in range(50)} and len(found) < 200
