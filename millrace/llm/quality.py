@@ -7,21 +7,22 @@ good or bad; forward-backward gives each line's probability of being good, and t
 weighted by length, is the document's evidence, which a logistic curve turns into a score.
 
 Training: lines take the label of their document.  At most ``FIT_ROWS`` labelled rows are
-used (half of each class, drawn by hash of doc_id), with their whole texts, as in scoring.
-Their lines' features lie in a temporary file of the driver; each round adds the gradients
-of batches of whole texts up.  Weights are found by gradient ascent on the penalised
-likelihood, the curve on the same rows so that the best cut lies at ``CUT``.
-
-Null and empty texts are one empty line; a null doc_id is scored and not learned from;
-repeated rows score alike; with no labels, or labels of one class, every score is that
-class's share (one half without any).
+used (half of each class, drawn by hash of doc_id), with their whole texts, as in scoring.  They
+stay on the executors; limited-memory BFGS on the penalised likelihood asks them for the sum
+of their gradients once a step.  The curve is set on the same rows so that the best cut lies
+at ``CUT``.
+
+Null and empty texts are one empty line; very long ones are read whole, one at a time, and their
+lines are stepped through one by one; a null doc_id is scored and not learned from; repeated
+rows score alike; a score equal to the cut counts as good.  A column ``quality_score`` of the
+input is replaced, other extra ones are kept.  Empty tables give no rows; with no labels, or
+labels of one class, every score is that class's share (one half without any).
 """
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import labelled_sample, table
+from .shared import labelled_sample, materialise, table
 
-FIT_ROWS, ROUNDS, PENALTY, CUT = 6_000, 200, 1e-3, 0.7
+FIT_ROWS, ROUNDS, TOLERANCE, PENALTY, CUT = 6_000, 30, 2e-4, 1e-3, 0.7
 BATCH_BYTES = 4_000_000
 #: Lines of a batch in fitting; a longer text is alone.
-BATCH_LINES = 100_000
+BATCH_LINES = 50_000
 TEST_FOLD = (4, 2)
 
 _UPPER, _LOWER, _DIGIT, _SPACE, _STOP, _SIGN, _WIDE = range(7)
@@ -169,99 +170,153 @@ def _batches(texts: list[bytes], most: int = BATCH_BYTES) -> Iterator[tuple[int,
         at = end
 
 
-def _spool(texts: Iterable[bytes], file) -> tuple[np.ndarray, np.ndarray]:
-    """Write the features of all lines to ``file``; lengths of the lines, lines of each text."""
-    sizes, lines = [np.empty(0)], [np.empty(0, int)]
-
-    def flush(held: list[bytes]) -> None:
-        x, size, per_text = line_features(held)
-        x.tofile(file)
-        sizes.append(size)
-        lines.append(per_text)
-
-    held, held_bytes = [], 0
-    for t in texts:
-        if held and held_bytes + len(t) >= BATCH_BYTES // 4:
-            flush(held)
-            held, held_bytes = [], 0
-        held.append(t)
-        held_bytes += len(t)
+def _labelled_lines(texts: Iterable[bytes], labels: Iterable[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches of whole texts of about BATCH_LINES lines: features, lengths of lines, lines of each
+    text, and each text's label."""
+    held: list[tuple[bytes, int]] = []
+    lines = 0
+    for t, y in zip(texts, labels, strict=True):
+        n = t.count(b"\n") + 1
+        if held and lines + n > BATCH_LINES:
+            yield *line_features([t for t, _ in held]), np.array([y for _, y in held])
+            held, lines = [], 0
+        held.append((t, y))
+        lines += n
     if held:
-        flush(held)
-    file.flush()
-    return np.concatenate(sizes), np.concatenate(lines)
+        yield *line_features([t for t, _ in held]), np.array([y for _, y in held])
 
 
-def _line_batches(per_text: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Bounds of batches of whole texts: texts from and to, lines from and to."""
-    end, out, at = np.cumsum(per_text), [], 0
-    while at < len(per_text):
-        before = int(end[at - 1]) if at else 0
-        stop = max(at + 1, int(np.searchsorted(end, before + BATCH_LINES, "right")))
-        out.append((at, stop, before, int(end[stop - 1])))
-        at = stop
-    return out
+Batch = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+#: Of batches: something added up over them, as a vector.
+Sum = Callable[[Callable[[Batch], np.ndarray]], np.ndarray]
 
 
-def fit(texts: Iterable[bytes], labels: np.ndarray) -> Field | float:
-    """A field from labelled texts; only a share where there is one class or none."""
-    if len(set(labels.tolist())) < 2:
-        return float(labels.mean()) if len(labels) else 0.5
-    with tempfile.TemporaryFile() as file:
-        size, per_text = _spool(texts, file)
-        return _fit(np.memmap(file, float, "r").reshape(len(size), -1), size, per_text, labels)
+def _moments(batch: Batch) -> np.ndarray:
+    x = batch[0]
+    return np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])
 
 
-def _fit(x: np.ndarray, size: np.ndarray, per_text: np.ndarray, labels: np.ndarray) -> Field:
-    cuts = _line_batches(per_text)
-    y = np.repeat(labels, per_text).astype(float)
-    mean = sum(x[lo:hi].sum(0) for _, _, lo, hi in cuts) / len(y)
-    spread = np.sqrt(sum(((x[lo:hi] - mean) ** 2).sum(0) for _, _, lo, hi in cuts) / len(y))
-    mean[0], spread[0] = 0, 1
-    spread[spread < 1e-9] = 1
+def _gradient(batch: Batch, field: Field) -> np.ndarray:
+    """Log-likelihood of the labels, and its gradient by weights and transitions."""
+    x, _, per_text, labels = batch
+    z, y = (x - field.mean) / field.spread, np.repeat(labels, per_text).astype(int)
+    node = z @ field.weights
+    p, pair, logs = forward_backward(node, per_text, field.trans)
     inside = np.ones(len(y), bool)
     inside[np.cumsum(per_text) - per_text] = False
-    prev = np.flatnonzero(inside) - 1
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[prev].astype(int), y[prev + 1].astype(int)), 1)
-    w, trans = np.zeros(x.shape[1]), np.zeros((2, 2))
-    m = [np.zeros_like(w), np.zeros_like(trans)]
-    v = [np.zeros_like(w), np.zeros_like(trans)]
-    for step in range(1, ROUNDS + 1):  # Adam on the whole sample
-        rise, pair = np.zeros_like(w), np.zeros_like(trans)
-        for a, b, lo, hi in cuts:
-            z = (x[lo:hi] - mean) / spread
-            p, own, _ = forward_backward(z @ w, per_text[a:b], trans)
-            rise += z.T @ (y[lo:hi] - p)
-            pair += own
-        for k, (value, grad) in enumerate(((w, rise / len(y) - PENALTY * w), (trans, (seen - pair) / len(y) - PENALTY * trans))):
-            m[k] = 0.9 * m[k] + 0.1 * grad
-            v[k] = 0.999 * v[k] + 0.001 * grad**2
-            value += 0.1 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    field = Field(w, trans, mean, spread)
-    parts = []
-    for a, b, lo, hi in cuts:
-        own = np.repeat(np.arange(b - a), per_text[a:b])
-        parts.append(np.bincount(own, field.good_lines(x[lo:hi], per_text[a:b]) * size[lo:hi], b - a) / np.bincount(own, size[lo:hi], b - a))
-    e = np.clip(np.concatenate(parts), 1e-6, 1 - 1e-6)
+    at = np.flatnonzero(inside)
+    seen = np.bincount(2 * y[at - 1] + y[at], minlength=4).reshape(2, 2)
+    told = (node * y).sum() + (seen * field.trans).sum() - logs.sum()
+    return np.concatenate([[told], z.T @ (y - p), (seen - pair).ravel()])
+
+
+def _climb(value: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray) -> np.ndarray:
+    """The least of a smooth convex function by limited-memory BFGS with backtracking."""
+    f, g = value(x)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(ROUNDS):
+        if np.abs(g).max() < TOLERANCE:
+            break
+        d, used = -g, []
+        for s, y in reversed(steps):
+            a = s @ d / (s @ y)
+            used.append(a)
+            d = d - a * y
+        if steps:
+            s, y = steps[-1]
+            d = d * (s @ y) / (y @ y)
+        for (s, y), a in zip(steps, reversed(used), strict=True):
+            d = d + s * (a - y @ d / (s @ y))
+        size = 1.0 if steps else 1 / max(1.0, float(np.abs(g).sum()))
+        while True:
+            f2, g2 = value(x + size * d)
+            if f2 <= f + 1e-4 * size * (g @ d) or size < 1e-8:
+                break
+            size /= 2
+        if f2 >= f:
+            break
+        if (g2 - g) @ d > 1e-12:
+            steps = [*steps[-7:], (size * d, g2 - g)]
+        x, f, g = x + size * d, f2, g2
+    return x
+
+
+def _trained(total: Sum) -> Field:
+    """The field of greatest penalised likelihood, from sums over the labelled lines."""
+    m = total(_moments)
+    n, width = m[0], (len(m) - 1) // 2
+    mean = m[1 : width + 1] / n
+    spread = np.sqrt(np.maximum(0, m[width + 1 :] / n - mean**2))
+    mean[0], spread[0] = 0, 1
+    spread[spread < 1e-6] = 1
+    field = Field(np.zeros(width), np.zeros((2, 2)), mean, spread)
+
+    def put(x: np.ndarray) -> Field:
+        return replace(field, weights=x[:width], trans=x[width:].reshape(2, 2))
+
+    def value(x: np.ndarray) -> tuple[float, np.ndarray]:
+        own = put(x)
+        g = total(lambda batch: _gradient(batch, own)) / n
+        return float(PENALTY / 2 * (x @ x) - g[0]), PENALTY * x - g[1:]
+
+    return put(_climb(value, np.zeros(width + 4)))
+
+
+def _curved(field: Field, evidence: np.ndarray, labels: np.ndarray) -> Field:
+    """With the curve that puts the best cut between good and bad evidence at CUT."""
+    e = np.clip(evidence, 1e-6, 1 - 1e-6)
     odds = np.log(e / (1 - e))
-    order = np.argsort(odds)
+    order = np.lexsort((labels, odds))
     s, good = odds[order], labels[order] == 1
     # the least balanced error with everything below the cut called bad
     wrong = np.concatenate([[0], np.cumsum(good)]) / good.sum() + (1 - np.concatenate([[0], np.cumsum(~good)]) / (~good).sum())
     k = int(np.median(np.flatnonzero(wrong == wrong.min())))
     cut = s[0] - 1 if k == 0 else s[-1] + 1 if k == len(s) else (s[k - 1] + s[k]) / 2
     slope = 1.0 / max(0.5, float(np.std(s)) / 2)
-    field.curve = (slope, float(np.log(CUT / (1 - CUT)) - slope * cut))
-    return field
+    return replace(field, curve=(slope, float(np.log(CUT / (1 - CUT)) - slope * cut)))
+
+
+def fit(texts: list[bytes], labels: np.ndarray) -> Field | float:
+    """A field from labelled texts at hand; only a share where there is one class or none."""
+    if len(set(labels.tolist())) < 2:
+        return float(labels.mean()) if len(labels) else 0.5
+    field = _trained(lambda f: sum(f(b) for b in _labelled_lines(texts, labels.tolist())))
+    return _curved(field, np.concatenate([field.evidence(texts[a:b]) for a, b in _batches(texts)]), labels)
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Field | float:
-    """Fit on at most FIT_ROWS rows of ``docs`` (doc_id, text) with ``labels`` (doc_id, quality)."""
-    rows = labelled_sample(docs, labels, "quality", FIT_ROWS).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "quality")
-    quality = [r["quality"] for r in rows.orderBy("doc_id", "text").select("quality").collect()]
-    texts = (bytes(r["text"]) for r in rows.orderBy("doc_id", "text").select("text").toLocalIterator())  # a partition at a time
-    return fit(texts, np.array(quality, int))
+    """Fit on at most FIT_ROWS rows of ``docs`` (doc_id, text) with ``labels`` (doc_id, quality).
+
+    Texts and their lines stay on the executors: the driver gets sums of a task's batches, once a
+    step, and two numbers a row for the curve."""
+    rows = labelled_sample(docs, labels, "quality", FIT_ROWS).select(F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.col("quality").cast("int").alias("y"))
+    rows = materialise(rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "quality-texts")
+    shares = rows.agg(F.count("*").alias("n"), F.avg("y").alias("good")).first()
+    if not shares["n"] or shares["good"] in (0, 1):
+        return float(shares["good"]) if shares["n"] else 0.5
+
+    def total(f: Callable[[Batch], np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = None
+            for batch in batches:
+                for part in _labelled_lines((bytes(t.as_py()) for t in batch.column("text")), batch.column("y").to_pylist()):
+                    out = f(part) if out is None else out + f(part)
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], ["v"])
+
+        parts = [np.array(r["v"]) for r in rows.mapInArrow(run, "v array<double>").collect()]  # one a task
+        return sum(sorted(parts, key=lambda v: v.tolist()))  # in one order, so that reruns agree
+
+    field = _trained(total)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [bytes(t.as_py()) for t in batch.column("text")]
+            e = np.concatenate([np.empty(0), *(field.evidence(cells[a:b]) for a, b in _batches(cells))])
+            yield pa.RecordBatch.from_arrays([pa.array(e), batch.column("y")], ["e", "y"])
+
+    got = rows.mapInArrow(weigh, "e double, y int").collect()  # FIT_ROWS at most
+    return _curved(field, np.array([r["e"] for r in got]), np.array([r["y"] for r in got]))
 
 
 def score(docs: DataFrame, field: Field | float, text: str = "text") -> DataFrame:

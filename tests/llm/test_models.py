@@ -210,11 +210,28 @@ def test_quality_fit_is_the_same_in_batches(monkeypatch):
     labels = np.array([i % 2 for i in range(40)])
     one = quality.fit(texts, labels)
     monkeypatch.setattr(quality, "BATCH_LINES", 10)
-    many = quality.fit(iter(texts), labels)
-    assert len(quality._line_batches(quality.line_features(texts)[2])) > 10
+    many = quality.fit(texts, labels)
+    assert sum(1 for _ in quality._labelled_lines(texts, labels.tolist())) > 10
     assert np.allclose(one.trans, many.trans, atol=1e-6) and np.allclose(one.score(texts), many.score(texts), atol=1e-6)
 
 
+def test_quality_gradient_and_optimum():
+    rng = np.random.default_rng(5)
+    texts = ["\n".join("".join(rng.choice(list("abC !1")) for _ in range(20)) for _ in range(rng.integers(1, 6))).encode() for _ in range(30)]
+    labels = np.arange(30) % 2
+    batch = next(quality._labelled_lines(texts, labels.tolist()))
+    width = batch[0].shape[1]
+    x = rng.normal(size=width + 4) * 0.3
+    at = lambda v: quality._gradient(batch, quality.Field(v[:width], v[width:].reshape(2, 2), np.zeros(width), np.ones(width)))
+    for k in [0, 3, 17, width, width + 1, width + 3]:
+        step = np.zeros(width + 4)
+        step[k] = 1e-5
+        assert (at(x + step)[0] - at(x - step)[0]) / 2e-5 == pytest.approx(at(x)[1 + k], rel=1e-4, abs=1e-4)
+    q = rng.normal(size=(6, 6))
+    q, c = q @ q.T + np.eye(6), rng.normal(size=6)
+    assert np.allclose(quality._climb(lambda v: (v @ q @ v / 2 - c @ v, q @ v - c), np.zeros(6)), np.linalg.solve(q, c), atol=1e-3)
+
+
 def test_languages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("id"), "text", "lang")
     langs, model = language_id.train(docs.where("id % 2 = 0"))
