@@ -12,12 +12,15 @@ the slope set so that the best threshold on the training rows scores one half.
 
 :func:`learn` takes the weights from labelled rows: smoothed log-odds of the number of
 documents with the word or stem, summed by grouped aggregation before they reach the
-driver.  At most ``FIT_ROWS`` labelled rows are used (drawn by hash of doc_id); entries are
-bounded by ``MOST_ENTRIES``.  A phrase of two words whose first or second is an entry, and
-that occurs among non-toxic rows only, becomes an exception.
-
-Null and empty texts score 0; a null doc_id is scored and never learned from; repeated rows
-score alike; with an empty or one-sided label table only the seed entries count.
+driver.  At most ``FIT_ROWS`` labelled rows are used (drawn by hash of doc_id), so entries,
+each in ``LEAST_DOCS`` of them, are bounded too.  A phrase of two words whose first or second
+is an entry, and that occurs among non-toxic rows only, becomes an exception; the slope is set
+with the exceptions in place.
+
+Null and empty texts score 0; texts of any length are read whole; a score of just one half
+counts as toxic; a null doc_id is scored and never learned from; repeated rows score alike; extra
+columns are kept.  An empty table gives no rows; with an empty or one-sided label table only the
+seed entries count.
 """
 
 from __future__ import annotations
@@ -237,17 +240,17 @@ def calibrate(lex: Lexicon, rows: DataFrame) -> None:
     lex.slope = float(np.log(2) / cut)
 
 
-def score(docs: DataFrame, lex: Lexicon, text: str = "text") -> DataFrame:
-    """``docs`` with ``tox_score`` (0 to 1); other columns as they are."""
+def score(docs: DataFrame, lex: Lexicon, text: str = "text", name: str = "tox_score") -> DataFrame:
+    """``docs`` with the score (0 to 1) as column ``name``; a column of that name is replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = lex.automaton()
         for batch in batches:
             s = [float(-np.expm1(-density(a, t, lex.words) * lex.slope)) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, "tox_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, name])
 
-    docs = docs.drop("tox_score")
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("tox_score", T.DoubleType())]))
+    docs = docs.drop(name)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 TEST_FOLD = (5, 0)
