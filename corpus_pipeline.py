@@ -1,22 +1,32 @@
 """A corpus pipeline from operators of ``millrace.llm``; part of that subpackage.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet
-and read again as the next stage's docs.  All but the last keep the columns of documents.
+and read again as the next stage's docs.  All but the last keep the columns of documents, and
+extra ones whatever their names.
+
+A document is a row's doc_id and text.  Null texts count as empty.  Rows without doc_id are
+documents like others; of copies and near copies they stay only where no row has an id.  Rows
+that repeat both doc_id and text are one document: kept or dropped alike, and mixed one by
+one.  Texts of any length are taken whole.  An empty table passes every stage and stays empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import millrace
 from millrace.llm import bpe, exact_dedup, mixing, simhash, toxicity
 from millrace.llm.shared import materialise, table
 
+#: The score's column on the way; no table has it.
+SCORE = "_toxicity_of_the_text"
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under one half."""
     millrace.ship(spark)
-    return toxicity.score(docs, toxicity.trained(spark, docs, sf_dir)).where("tox_score < 0.5").select(*docs.columns)
+    return toxicity.score(docs, toxicity.trained(spark, docs, sf_dir), name=SCORE).where(F.col(SCORE) < 0.5).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
