@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local($|\[)", spark.sparkContext.master):  # one JVM
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
@@ -46,6 +47,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that :func:`materialise` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components: ``edges(a, b)`` long -> ``(node, root)``, root the smallest node.
 
@@ -53,8 +63,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Components in MapReduce and Beyond" (2014).  Each step moves every node's
     neighbours to its smallest one, so edges never outnumber those given, no group of
     neighbours is gathered in one place, and the number of rounds grows with the
-    logarithm of the largest component.  Every round is written to the shared folder.
-    Nodes without an edge do not appear.
+    logarithm of the largest component.  Every round is written to the shared folder, and the
+    one before it deleted.  Nodes without an edge do not appear.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialise(e, name)
@@ -67,7 +77,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         # a large-star edge points at a smaller node already
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        before, e = e, materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        drop_table(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
