@@ -88,7 +88,7 @@ def lexicon_table(spark: SparkSession, lexicon: dict = LEXICON) -> DataFrame:
     for entry, (key, (kind, group, tag, aliases)) in enumerate(lexicon.items()):
         shown = [(a.removeprefix("="), a.startswith("=")) for a in aliases]
         for rank, (a, case) in enumerate(sorted(shown, key=lambda x: -len(plain_norm(x[0])))):
-            rows.append((key, shown[0][0], kind, group, tag, entry, a, rank, re.match(r"[a-z0-9+#]*", plain_norm(a).lower())[0], phrase_pattern(a, case), phrase_pattern(a)))
+            rows.append((key, shown[0][0], kind, group, tag, entry, a, rank, "".join(re.findall(r"[a-z0-9+#]+", plain_norm(a).lower())[:1]), phrase_pattern(a, case), phrase_pattern(a)))
     return spark.createDataFrame(rows, "key string, name string, kind string, grp string, tag string, entry int, alias string, rank int, first string, pattern string, any_case string")
 
 
@@ -128,11 +128,14 @@ def heading(segment: Column, has_skill: Column) -> Column:
 
 
 def hits(segs: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(doc_id, seg, key, alias): the longest alias of each entry that a segment holds."""
+    """(doc_id, seg, key, alias): the longest alias of each entry that a segment holds.
+
+    A line's words meet the first words of aliases, in singular and plural, by an equality join;
+    the few that meet are tested as whole phrases."""
     s = segs.select("doc_id", "seg", norm(F.col("segment")).alias("n"))
     words = s.withColumn("first", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("n"), F.lit("[a-z0-9+#]+"), F.lit(0)))))
-    stems = words.withColumn("first", F.explode(F.array_distinct(F.array(F.col("first"), F.regexp_replace("first", "s$", ""), F.regexp_replace("first", "es$", "")))))
-    found = stems.join(lexicon.select("key", "alias", "rank", "first", "pattern"), "first").where(F.rlike("n", F.col("pattern")))
+    forms = lexicon.select("key", "alias", "rank", "pattern", F.explode(F.array("first", F.concat("first", F.lit("s")), F.concat("first", F.lit("es")))).alias("first"))
+    found = words.join(forms, "first").where(F.rlike("n", F.col("pattern")))
     return found.groupBy("doc_id", "seg", "key").agg(F.min_by("alias", "rank").alias("alias"))
 
 

@@ -63,7 +63,9 @@ def discover(postings: DataFrame, previous: DataFrame, ledger: DataFrame, profil
     first = F.row_number().over(Window.partitionBy("fingerprint").orderBy("group_id"))
     scored = materialise(scored.withColumn("_n", first).where("_n = 1").drop("_n"), "scored")
     feed, after, new = state.merge_feed(scored, previous, ledger, as_of, cfg["retention_days"], cfg["drop_expired"])
-    counts = state.run_counts(feed).crossJoin(new.agg(F.count("*").alias("new"))).crossJoin(scored.agg(F.sum(F.col("n_merged") - 1).alias("folded")))  # one row each
+    every, _, _ = state.merge_feed(scored, previous, ledger, as_of, cfg["retention_days"], False)
+    expired = every.join(feed.select("fingerprint"), "fingerprint", "left_anti").agg(F.count("*").alias("expired"))
+    counts = state.run_counts(feed).crossJoin(expired).crossJoin(new.agg(F.count("*").alias("new"))).crossJoin(scored.agg(F.sum(F.col("n_merged") - 1).alias("folded")))  # one row each
     return Run(feed, after, new, counts, report, state.select_for_notice(feed, new, cfg["notify"]["at_least"]))
 
 

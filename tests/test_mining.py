@@ -108,6 +108,9 @@ def test_lexicon_file(spark, tmp_path):
     f.write_text("#!degree\n#!group Education\nBachelor's degree|BSc\n\n# note\n#!tech\n#!group Languages\n=R!lang\n")
     rows = keywords.read_lexicon(spark, str(f)).orderBy("entry", "rank").collect()
     assert [(r["key"], r["kind"], r["grp"], r["tag"], r["alias"]) for r in rows] == [("bachelor's degree", "degree", "Education", None, "Bachelor's degree"), ("bachelor's degree", "degree", "Education", None, "BSc"), ("r", "tech", "Languages", "lang", "R")]
+    net = keywords.lexicon_table(spark, keywords.parse_lexicon([".NET|dot net", "Index"]))
+    dots = spark.createDataFrame([(1, 0, "ASP and .NET"), (1, 1, "network of indexes"), (1, 2, "internet")], "doc_id long, seg int, segment string")
+    assert {(h["seg"], h["key"]) for h in keywords.hits(dots, net).collect()} == {(0, ".net"), (1, "index")}
     segs = spark.createDataFrame([(1, 0, "R and r"), (1, 1, "r only"), (1, 2, "two BSCs")], "doc_id long, seg int, segment string")
     assert {(h["seg"], h["key"]) for h in keywords.hits(segs, keywords.read_lexicon(spark, str(f))).collect()} == {(0, "r"), (2, "bachelor's degree")}
 
