@@ -5,8 +5,8 @@
    folder, as unsigned 16-bit (or 32-bit) little-endian integers.
 2. Sequences are numbered 0 .. n-1 by their place in that table: place in the file plus the
    rows of the files before.  The table stands for a run; a recomputed task reads it again.
-3. A keyed Feistel network permutes the least even-bit domain that holds n; a value past the
-   end walks its cycle until it falls inside.  So each sequence has a slot of its own in
+3. A keyed Feistel network permutes the least rectangle near a square that holds n (halves are
+   moved modulo its sides); a value past the end walks its cycle until it falls inside.  So each sequence has a slot of its own in
    0 .. n-1, computed alone, and another key gives another order (one an epoch).
 4. Rows are dealt by shard (``slot // shard_slots``), sorted, and each shard is written as
    one file of records of one size (``stride`` bytes): slot s lies at byte
@@ -21,6 +21,7 @@ Other columns are not read.  An empty table gives no sequences.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -35,7 +36,7 @@ from .shared import materialise, new_path, table
 
 LENGTH, SHARD_SLOTS, ROUNDS, KEY = 512, 16_384, 4, "epoch-0"
 #: The shards are written in so many runs one after another, each shuffling its part of the ids.
-WAVES = 4
+WAVES = 3
 END_MARK = "\0\0"
 
 
@@ -47,7 +48,7 @@ def sequences(docs: DataFrame, ranks: str, length: int = LENGTH, end_id: int | N
         end = bpe.size if end_id is None else end_id
         kind = np.dtype("<u2") if max(end, bpe.size) < 1 << 16 else np.dtype("<u4")
         for batch in batches:
-            for at, texts in chunks(batch.column(text).to_pylist()):
+            for at, texts in chunks(batch.column(text)):
                 ids, bound = bpe.encode_batch(texts)
                 n = np.diff(bound)
                 parts = n // length + 1  # the end id takes a place
@@ -79,43 +80,50 @@ def round_keys(key: str, rounds: int = ROUNDS) -> list[int]:
     return [struct.unpack_from("<q", hashlib.sha256(f"{i}:{key}".encode()).digest())[0] for i in range(rounds)]
 
 
-def half_bits(n: int) -> int:
-    return max(1, (max(1, n - 1).bit_length() + 1) // 2)
+def sides(n: int) -> tuple[int, int]:
+    """Sides of the least rectangle near a square that holds n values."""
+    a = math.isqrt(max(1, n) - 1) + 1
+    return a, max(1, -(-n // a))
 
 
-def _round(k: int, mask: int) -> Callable[[Column], Column]:
-    """One round under key ``k``.  It takes one parameter: Spark gives a second one the index."""
-    return lambda p: F.struct(p["r"].alias("l"), p["l"].bitwiseXOR(F.xxhash64(p["r"], F.lit(k)).bitwiseAND(F.lit(mask))).alias("r"))
+def _round(k: int, side: int, left: bool) -> Callable[[Column], Column]:
+    """One round under key ``k``: one half is moved by a hash of the other, modulo its side.
+    It takes one parameter: Spark gives a second one the index."""
 
+    def move(p: Column) -> Column:
+        one, other = (p["l"], p["r"]) if left else (p["r"], p["l"])
+        moved = F.pmod(one + F.pmod(F.xxhash64(other, F.lit(k)), F.lit(side)), F.lit(side))
+        return F.struct((moved if left else p["l"]).alias("l"), (p["r"] if left else moved).alias("r"))
 
-def _feistel(x: Column, bits: int, keys: list[int]) -> Column:
-    """One pass over a domain of 2 * bits bits."""
-    mask = (1 << bits) - 1
-    pair = F.struct(F.shiftright(x, bits).alias("l"), x.bitwiseAND(F.lit(mask)).alias("r"))
-    for k in keys:  # a lambda's variable keeps each round's halves from being computed twice
-        pair = F.transform(F.array(pair), _round(k, mask))[0]
-    return F.transform(F.array(pair), lambda p: F.shiftleft(p["l"], bits).bitwiseOR(p["r"]))[0]
+    return move
+
+
+def _feistel(x: Column, a: int, b: int, keys: list[int]) -> Column:
+    """One pass over 0 .. a * b - 1, taken as pairs of a left half below a and a right one below b."""
+    pair = F.struct(F.floor((x - x % b) / b).cast("bigint").alias("l"), (x % b).alias("r"))
+    for i, k in enumerate(keys):  # a lambda's variable keeps each round's halves from being computed twice
+        pair = F.transform(F.array(pair), _round(k, (b, a)[i % 2 == 0], i % 2 == 0))[0]
+    return F.transform(F.array(pair), lambda p: p["l"] * b + p["r"])[0]
 
 
 def slots(rows: DataFrame, n: int, key: str = KEY, seq: str = "seq") -> DataFrame:
     """Add ``slot``, a permutation of 0 .. n-1 by ``seq``.
 
-    The domain is under 4 n (16 n for the least n), so a walk is outside with a chance under
-    3/4 at each step, and it ends, as the value itself lies on its cycle.  Small n walk as
-    many steps as the domain has values, others until being outside is beyond likelihood;
-    :func:`ordered` fails rather than give a slot outside.
+    The domain has fewer than sqrt(n) + 1 values too many, so a walk is hardly ever outside and
+    soon inside again; it ends, as the value itself lies on its cycle.  Small n walk as many steps
+    as the domain has values, others until being outside is beyond likelihood; :func:`placed`
+    fails rather than give a slot outside.
     """
-    bits, keys = half_bits(n), round_keys(key)
+    (a, b), keys = sides(n), round_keys(key)
     walk = F.aggregate(
-        F.sequence(F.lit(1), F.lit(_walk_steps(n, bits))),
-        _feistel(F.col(seq), bits, keys),
-        lambda x, _: F.when(x < n, x).otherwise(_feistel(x, bits, keys)),
+        F.sequence(F.lit(1), F.lit(_walk_steps(n, a * b))),
+        _feistel(F.col(seq), a, b, keys),
+        lambda x, _: F.when(x < n, x).otherwise(_feistel(x, a, b, keys)),
     )
     return rows.withColumn("slot", walk)
 
 
-def _walk_steps(n: int, bits: int) -> int:
-    size = 1 << (2 * bits)
+def _walk_steps(n: int, size: int) -> int:
     if n == 0 or size <= n:
         return 1
     return min(size, int(np.ceil(np.log(1e-18 / n) / np.log(1 - n / size))) + 1)

@@ -75,15 +75,19 @@ def test_encode_frame(spark, public):
 
 def plain_slot(x, n, key):
     """The permutation by its definition, one value at a time."""
-    bits = training_order.half_bits(n)
-    mask = (1 << bits) - 1
+    a, b = training_order.sides(n)
+    assert n <= a * b < n + a
     while True:
-        left, right = x >> bits, x & mask
-        for k in training_order.round_keys(key):
-            h = xxhash.xxh64_intdigest(right.to_bytes(8, "little"), 42)
+        left, right = divmod(x, b)
+        for i, k in enumerate(training_order.round_keys(key)):
+            h = xxhash.xxh64_intdigest((left if i % 2 else right).to_bytes(8, "little"), 42)
             h = xxhash.xxh64_intdigest(k.to_bytes(8, "little", signed=True), h)
-            left, right = right, left ^ (h & mask)
-        x = left << bits | right
+            h = h - (1 << 64) if h >> 63 else h
+            if i % 2:
+                right = (right + h % b) % b
+            else:
+                left = (left + h % a) % a
+        x = left * b + right
         if x < n:
             return x
 
