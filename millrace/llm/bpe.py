@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,12 +39,12 @@ CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 
 LETTER, NUMBER, OTHER, SPACE, END = range(5)
 _MULT = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio
-#: Bytes of known pieces kept in a worker, code points of texts taken together, and the bytes
+#: Bytes of known pieces kept in a worker, bytes of texts taken together, and the bytes
 #: from which a piece's rounds merge all places of its least pair.
-STORE_BYTES, BATCH_CHARS, LONG_PIECE = 96_000_000, 250_000, 8_000
+STORE_BYTES, BATCH_BYTES, LONG_PIECE = 64_000_000, 400_000, 8_000
 NO_RANK = np.iinfo(np.int32).max
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
-_VALUES = _RANDOM.integers(1 << 63, size=2, dtype=np.uint64)
+_VALUES, _SALTS = (_RANDOM.integers(1 << 63, size=2, dtype=np.uint64) for _ in range(2))
 
 
 def code_point_classes() -> np.ndarray:
@@ -148,28 +149,46 @@ class PairTable:
         return out.reshape(key.shape)
 
 
+class Places:
+    """Random odd multipliers of the places in a piece, for each of the two hashes; made from
+    the places when a longer piece comes."""
+
+    def __init__(self) -> None:
+        self.rows = [np.empty(0, np.uint64)] * 2
+
+    def upto(self, n: int) -> list[np.ndarray]:
+        if n > len(self.rows[0]):
+            self.rows = [_mixed(np.arange(2 * n, dtype=np.uint64) + salt) | np.uint64(1) for salt in _SALTS]
+        return self.rows
+
+
+_PLACES = Places()
+
+
 def piece_hashes(cp: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes of each piece: sums of random values of its code
     points times random multipliers of their places (128 bits together)."""
     place = np.arange(len(cp)) - np.repeat(begin, size)
     out = []
-    for value in _VALUES:
-        by_place = _spread(np.arange(int(size.max())), value ^ _MULT) | np.uint64(1)
-        out.append(np.add.reduceat(_spread(cp, value) * by_place[place], begin))
+    for value, by_place in zip(_VALUES, _PLACES.upto(int(size.max())), strict=True):
+        x = (cp.astype(np.uint64) + value) * _MULT
+        x ^= x >> np.uint64(29)
+        x *= by_place[place]
+        out.append(np.add.reduceat(x, begin))
     return out[0], out[1]
 
 
-def _spread(cp: np.ndarray, salt: np.uint64) -> np.ndarray:
-    x = (cp.astype(np.uint64) + salt) * _MULT
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
 
 
 def _roomy(a: np.ndarray, used: int, wanted: int) -> np.ndarray:
-    """``a`` if it has room, else a copy of its used part in an array twice as long as wanted."""
+    """``a`` if it has room, else a copy of its used part in an array half as long again as wanted."""
     if wanted <= len(a):
         return a
-    out = np.zeros(2 * wanted, a.dtype)
+    out = np.zeros(wanted + wanted // 2, a.dtype)
     out[:used] = a[:used]
     return out
 
@@ -183,7 +202,7 @@ class PieceStore:
 
     def _room(self) -> None:
         self.first, self.second = (np.zeros(1 << self.bits, np.uint64) for _ in range(2))
-        self.number = np.full(1 << self.bits, -1, np.int64)
+        self.number = np.full(1 << self.bits, -1, np.int32)
 
     def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         out = np.full(len(first), -1, np.int64)
@@ -201,10 +220,10 @@ class PieceStore:
     def add(self, first: np.ndarray, second: np.ndarray, number: np.ndarray) -> None:
         """Pieces that are not there yet, each once."""
         self.used += len(first)
-        if self.used * 2 > 1 << self.bits:
+        if self.used * 5 > 3 << self.bits:  # three fifths are full
             old = self.number >= 0
             first, second, number = (np.concatenate([a[old], b]) for a, b in ((self.first, first), (self.second, second), (self.number, number)))
-            self.bits = int(np.ceil(np.log2(self.used * 4)))
+            self.bits = int(np.ceil(np.log2(self.used * 2)))
             self._room()
         slot = (first >> np.uint64(64 - self.bits)).astype(np.int64)
         todo = np.arange(len(first))
@@ -253,7 +272,7 @@ class ByteBPE:
         self.pieces = 0
 
     def stored_bytes(self) -> int:
-        return self.flat.nbytes + self.offset.nbytes + 24 * len(self.known.number)
+        return self.flat.nbytes + self.offset.nbytes + 20 * len(self.known.number)
 
     # -- pieces -> ids ---------------------------------------------------------
 
@@ -421,16 +440,16 @@ def encoder(rank_file: str) -> ByteBPE:
     return _ENCODERS[rank_file]
 
 
-def chunks(texts: list[str | None], limit: int = BATCH_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """Consecutive texts of about ``limit`` characters together; whole texts always."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t or "") > limit:
-            yield at, [x or "" for x in texts[at:i]]
-            at, size = i, 0
-        size += len(t or "") + 1
-    if at < len(texts):
-        yield at, [x or "" for x in texts[at:]]
+def chunks(texts: pa.Array, limit: int | None = None) -> Iterator[tuple[int, list[str]]]:
+    """Consecutive texts of about ``limit`` bytes together, from a column; whole texts always, null
+    as empty.  Only one chunk is turned into Python texts at a time."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64) + 1)
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + (limit or BATCH_BYTES), "right")))
+        yield at, [t or "" for t in texts.slice(at, stop - at).to_pylist()]
+        at = stop
 
 
 def encode(docs: DataFrame, rank_file: str, text: str = "text", ids: bool = False, digest: bool = True) -> DataFrame:
@@ -453,7 +472,7 @@ def encode(docs: DataFrame, rank_file: str, text: str = "text", ids: bool = Fals
         bpe = encoder(rank_file)
         for batch in batches:
             cells: dict[str, list] = {c: [] for c in made}
-            for _, part in chunks(batch.column(text).to_pylist()):
+            for _, part in chunks(batch.column(text)):
                 got, bound = bpe.encode_batch(part)
                 if digest:
                     back, at = bpe.decode_batch(got, bound)
