@@ -70,7 +70,7 @@ def test_near_edges_against_all_pairs(spark):
 
     want = [(p["seq"], q["seq"]) for p, q in itertools.combinations(k, 2) if near(p, q)]
     got = [(r["a"], r["b"]) for r in dedupe.near_edges(keyed).collect()]
-    assert {tuple(sorted(e)) for e in got} <= {tuple(sorted(e)) for e in want} and roots(got) == roots(want)
+    assert roots(got) == roots(want)  # edges span the links, an edge need not be one
 
 
 def test_simhash_of_few_words(spark):
