@@ -84,8 +84,10 @@ def title_edges(alike: DataFrame, threshold: float = fixed.TITLE_JACCARD) -> Dat
 def text_edges(alike: DataFrame, distance: int = fixed.SIMHASH_DISTANCE) -> DataFrame:
     """(a, b) that span the links of rows of one company with a shared title token whose signatures
     differ in at most ``distance`` bits."""
-    rows = alike.where("sim <> 0").select("norm_company", F.explode("tokens").alias("token"), F.col("seq").alias("node"), F.col("sim").alias("sig"))
-    return near.linked(rows, ["norm_company", "token"], distance)
+    rows = alike.where("sim <> 0").select("norm_company", "tokens", F.col("seq").alias("node"), F.col("sim").alias("sig"))
+    close = near.linked(rows, ["norm_company"], distance)  # few have a near text in their company at all
+    some = materialise(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-texts")
+    return near.linked(rows.join(some, "node", "left_semi").withColumn("token", F.explode("tokens")), ["norm_company", "token"], distance)
 
 
 def near_edges(keyed: DataFrame, threshold: float = fixed.TITLE_JACCARD, distance: int = fixed.SIMHASH_DISTANCE) -> DataFrame:

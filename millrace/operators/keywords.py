@@ -37,7 +37,7 @@ LEXICON: dict[str, tuple[str, str, str | None, list[str]]] = {
 
 EDGE = "[A-Za-z0-9+#]"
 #: The original reads so many characters of a post; ``most_chars`` sets such a bound.
-MOST_CHARS = 60_000
+MOST_CHARS, MOST_BROADCAST = 60_000, 20_000
 
 
 def norm(c: Column) -> Column:
@@ -83,13 +83,14 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 def lexicon_table(spark: SparkSession, lexicon: dict = LEXICON) -> DataFrame:
     """(key, name, kind, grp, tag, entry, alias, rank, first, pattern, any_case): one row an alias,
-    longest first.  Joins leave it to Spark to broadcast it where it is small."""
+    longest first.  Up to MOST_BROADCAST rows (well under 1 KB each) it is broadcast in joins."""
     rows = []
     for entry, (key, (kind, group, tag, aliases)) in enumerate(lexicon.items()):
         shown = [(a.removeprefix("="), a.startswith("=")) for a in aliases]
         for rank, (a, case) in enumerate(sorted(shown, key=lambda x: -len(plain_norm(x[0])))):
             rows.append((key, shown[0][0], kind, group, tag, entry, a, rank, "".join(re.findall(r"[a-z0-9+#]+", plain_norm(a).lower())[:1]), phrase_pattern(a, case), phrase_pattern(a)))
-    return spark.createDataFrame(rows, "key string, name string, kind string, grp string, tag string, entry int, alias string, rank int, first string, pattern string, any_case string")
+    table = spark.createDataFrame(rows, "key string, name string, kind string, grp string, tag string, entry int, alias string, rank int, first string, pattern string, any_case string")
+    return F.broadcast(table) if len(rows) <= MOST_BROADCAST else table
 
 
 def segments(docs: DataFrame, text: str = "text", most_chars: int | None = None) -> DataFrame:
