@@ -16,12 +16,18 @@ QUERIES = {
     "op8_simhash": "simhash",
     "op9_quality": "quality",
     "op10_toxicity": "toxicity",
+    "op11_conversation_trie": "conversation_trie",
+    "op12_merkle_manifest": "merkle",
+    "op13_secret_scan": "secrets",
 }
 SQL = {
     "op2_url_rules": ("url_rules", "OP2_SQL"),
     "op3_embedding_dedup": ("embed_dedup", "OP3_SQL"),
     "op5_exact_dedup": ("exact_dedup", "OP5_SQL"),
     "op7_mixing": ("mixing", "OP7_SQL"),
+    "op11_conversation_trie": ("conversation_trie", "OP11_SQL"),
+    "op12_merkle_manifest": ("merkle", "OP12_SQL"),
+    "op13_secret_scan": ("secrets", "OP13_SQL"),
 }
 
 

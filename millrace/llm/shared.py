@@ -7,12 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components, materialise, new_path, shared_dir
 
-__all__ = ["components", "forest", "labelled_sample", "materialise", "new_path", "run_bounds", "shared_dir", "spread_join", "table", "two_sided_forest", "whole_groups"]
+__all__ = ["components", "forest", "labelled_sample", "materialise", "new_path", "ranked", "run_bounds", "shared_dir", "spread_join", "table", "two_sided_forest", "whole_groups"]
 
 #: A key is hot from this number of rows on, and so many keys are hot at most.
 HOT_ROWS, HOT_KEYS = 10_000, 100_000
@@ -131,3 +133,38 @@ def two_sided_forest(left: np.ndarray, right: np.ndarray, linked: np.ndarray) ->
     return np.concatenate(a or empty), np.concatenate(b or empty)
 
 
+def ranked(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``idx`` (long), a row's place from 0 among those alike in ``group`` by ``order``.
+
+    ``group`` holds no nulls; nulls in ``order`` come first.  Rows are dealt by ranges of group and
+    order (and their place in the table written here, so that repeated rows part too): a group
+    with a third of all rows is many tasks.  Each numbers its rows; a group that goes over
+    from one task to the next is its first or last one, so the numbers to add are at most two a
+    task and are broadcast.
+    """
+    cols = rows.columns
+    rows = materialise(rows.withColumn("_at", F.monotonically_increasing_id()), f"{name}-rows")
+    dealt = rows.repartitionByRange(group, *order, "_at").sortWithinPartitions(group, *order, "_at").select(*cols)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, seen = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            own = batch.column(group)
+            starts = np.append(0, np.flatnonzero(pc.not_equal(own.slice(1), own.slice(0, n - 1)).to_numpy(zero_copy_only=False)) + 1)
+            place = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+            if own[0] == last:
+                place[: starts[1] if len(starts) > 1 else n] += seen
+            last, seen = own[n - 1], int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part), pa.int32()), pa.array(place, pa.int64())], [*cols, "_part", "_place"])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema] + ["_part int", "_place bigint"])
+    rows = materialise(dealt.mapInArrow(number, schema), name)
+    edges = rows.groupBy("_part").agg(F.min(group).alias("_lo"), F.max(group).alias("_hi"))  # a row a task
+    edge = rows.select("_part", F.col(group).alias("_g")).join(F.broadcast(edges), "_part").where("_g = _lo or _g = _hi").groupBy("_g", "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    add = materialise(edge.select("_g", F.col("_part").alias("_p"), before.alias("_add")).where("_add > 0"), f"{name}-edges")
+    out = rows.join(F.broadcast(add), (rows[group] == add["_g"]) & (rows["_part"] == add["_p"]), "left")
+    return out.select(*cols, (F.col("_place") + F.coalesce("_add", F.lit(0))).alias("idx"))
