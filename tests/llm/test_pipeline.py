@@ -129,7 +129,7 @@ def test_extra_columns_with_clashing_names(spark, tmp_path):
 
 
 def test_registry(spark):
-    assert [q.split("_")[0] for q in registry.queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in registry.queries()] == [f"op{n}" for n in range(1, 14)]
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
