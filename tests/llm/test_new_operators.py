@@ -237,7 +237,7 @@ def test_postings_and_candidates_miss_no_match(monkeypatch, window):
 def test_trigram_query_is_implied_by_matches(pattern):
     rng = random.Random(pattern)
     alphabet = sorted(set(re.sub(r"[^A-Za-z0-9]", "", pattern))) or ["a"]
-    words = [*re.findall("[A-Za-z]{2,}", pattern), *alphabet, "cat", "dog", "1", " ", "abcd", "bcd"]
+    words = [*re.findall("[A-Za-z]{2,}", pattern), *alphabet, "cat", "dog", "1", " ", "abcd", "bcd", "abdde", "aaab"]
     query = secrets.trigram_query(pattern)
 
     def holds(q, text):
