@@ -61,43 +61,51 @@ def key_edges(keyed: DataFrame, key: str, node: str = "seq") -> DataFrame:
     return keyed.join(first, key).select(F.col(node).alias("a"), "b").where("a <> b")
 
 
-def alike_rows(keyed: DataFrame) -> DataFrame:
-    """One row (seq, norm_company, tokens, sim) for rows alike in company, tokens and signature; written."""
-    alike = keyed.groupBy("norm_company", F.array_sort("title_tokens").alias("tokens"), "sim").agg(F.min("seq").alias("seq"))
-    return materialise(alike.where(F.size("tokens") > 0), "alike")
+def title_nodes(keyed: DataFrame) -> DataFrame:
+    """One row (seq, norm_company, tokens) for rows alike in company and title tokens, its first; written."""
+    alike = keyed.groupBy("norm_company", F.array_sort("title_tokens").alias("tokens")).agg(F.min("seq").alias("seq"))
+    return materialise(alike.where(F.size("tokens") > 0), "titles")
 
 
-def title_edges(alike: DataFrame, threshold: float = fixed.TITLE_JACCARD) -> DataFrame:
-    """(a, b, jaccard) of rows of one company whose titles are at or over the threshold.  Such titles
+def title_edges(titles: DataFrame, threshold: float = fixed.TITLE_JACCARD) -> DataFrame:
+    """(a, b, jaccard), all pairs of titles of one company at or over the threshold.  Such titles
     share one of their rarest tokens (as many as may be missing, and one), so these are joined on."""
-    each = alike.select("seq", F.explode("tokens").alias("token"))
-    often = each.groupBy("token").agg(F.count("*").alias("n"))
-    rare = each.join(often, "token").groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("r"))  # a title's tokens
-    need = F.size("r") - F.ceil(F.size("r") * F.lit(threshold) - 1e-9) + 1
-    t = alike.join(rare, "seq").select("seq", "norm_company", "tokens", F.explode(F.slice("r", F.lit(1), need.cast("int"))["token"]).alias("key"))
+    ranked = near.by_rarity(titles.withColumnRenamed("seq", "node")).withColumnRenamed("node", "seq")
+    need = F.size("ranked") - F.ceil(F.size("ranked") * F.lit(threshold) - 1e-9) + 1
+    t = titles.join(ranked, "seq").select("seq", "norm_company", "tokens", F.explode(F.slice("ranked", F.lit(1), need.cast("int"))).alias("key"))
     u = t.select(*[F.col(c).alias(f"{c}2") for c in t.columns])
     same = (F.col("norm_company") == F.col("norm_company2")) & (F.col("key") == F.col("key2")) & (F.col("seq") < F.col("seq2"))
+    fits = F.least(F.size("tokens"), F.size("tokens2")) >= F.greatest(F.size("tokens"), F.size("tokens2")) * threshold - 1e-9
     j = jaccard(F.col("tokens"), F.col("tokens2"))
-    return t.join(u, same & (j >= threshold)).select(F.col("seq").alias("a"), F.col("seq2").alias("b"), j.alias("jaccard")).distinct()
+    return t.join(u, same & fits & (j >= threshold)).select(F.col("seq").alias("a"), F.col("seq2").alias("b"), j.alias("jaccard")).distinct()
 
 
-def text_edges(alike: DataFrame, distance: int = fixed.SIMHASH_DISTANCE) -> DataFrame:
-    """(a, b) that span the links of rows of one company with a shared title token whose signatures
-    differ in at most ``distance`` bits."""
-    rows = alike.where("sim <> 0").select("norm_company", "tokens", F.col("seq").alias("node"), F.col("sim").alias("sig"))
-    close = near.linked(rows, ["norm_company"], distance)  # few have a near text in their company at all
+def title_links(titles: DataFrame, threshold: float = fixed.TITLE_JACCARD) -> DataFrame:
+    """(a, b) that span the links of :func:`title_edges`: fewer than titles in each comparison, however
+    many pairs there are."""
+    return near.linked_sets(titles.withColumnRenamed("seq", "node"), ["norm_company"], threshold)
+
+
+def text_edges(rows: DataFrame, distance: int = fixed.SIMHASH_DISTANCE) -> DataFrame:
+    """(a, b) that span the links of rows (seq, norm_company, tokens, sim) of one company with a shared
+    title token whose signatures differ in at most ``distance`` bits."""
+    rows = rows.where("sim <> 0").select("norm_company", "tokens", F.col("seq").alias("node"), F.col("sim").alias("sig"))
+    close = near.linked(rows.select("norm_company", "node", "sig"), ["norm_company"], distance)  # few have a near text in their company at all
     some = materialise(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-texts")
     return near.linked(rows.join(some, "node", "left_semi").withColumn("token", F.explode("tokens")), ["norm_company", "token"], distance)
 
 
 def near_edges(keyed: DataFrame, threshold: float = fixed.TITLE_JACCARD, distance: int = fixed.SIMHASH_DISTANCE) -> DataFrame:
-    """Edges between rows of one company with close titles, or with close texts and a shared title
-    token.  Rows alike in company, tokens and signature are compared once, by their first row;
-    neither join meets on common tokens alone."""
-    alike = alike_rows(keyed)
-    first = alike.select(F.col("norm_company").alias("_c"), F.col("tokens").alias("_t"), F.col("sim").alias("_s"), F.col("seq").alias("b"))
-    copies = keyed.join(first, (F.col("norm_company") == F.col("_c")) & (F.col("sim") == F.col("_s")) & (F.array_sort("title_tokens") == F.col("_t"))).select(F.col("seq").alias("a"), "b").where("a <> b")
-    return title_edges(alike, threshold).select("a", "b").unionByName(text_edges(alike, distance)).unionByName(copies).distinct()
+    """Edges that span the links of rows of one company with close titles, or with close texts and a
+    shared title token.  Rows alike in company and title tokens are one node, their first row, before
+    anything is compared; a row's edge to it stands for all pairs of such rows."""
+    titles = title_nodes(keyed)
+    first = titles.select(F.col("norm_company").alias("_c"), F.col("tokens").alias("_t"), F.col("seq").alias("node"))
+    rows = keyed.join(first, (F.col("norm_company") == F.col("_c")) & (F.array_sort("title_tokens") == F.col("_t")))
+    rows = materialise(rows.select("seq", "node", "norm_company", F.col("_t").alias("tokens"), "sim"), "title-rows")
+    texts = rows.select("norm_company", "tokens", F.col("node").alias("seq"), "sim").distinct()
+    own = rows.where("seq <> node").select(F.col("seq").alias("a"), F.col("node").alias("b"))
+    return title_links(titles, threshold).unionByName(text_edges(texts, distance)).unionByName(own).distinct()
 
 
 def groups(keyed: DataFrame) -> DataFrame:

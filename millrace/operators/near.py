@@ -1,25 +1,42 @@
-"""Links between 64-bit signatures that differ in few bits, by deletion variants.
+"""Links between alike rows, found where they share a key and given as spanning forests.
 
-A signature is cut into segments so few that of two within the distance one segment differs in
-at most one bit.  Each segment is filed once for each of its bits left out, so equal keys give
-every candidate.  Keys are cut into blocks where they have many members, blocks are compared
-two by two in numpy, and a task gives a spanning forest of the links it finds, never all pairs.
+:func:`links` compares the rows of each key in numpy, in one sorted pass.  Keys with more than a block
+of rows are cut into blocks in a second pass, blocks are compared two by two, and every
+comparison gives a spanning forest of the links it finds, never all pairs.
+
+Two uses: signatures that differ in few bits (:func:`linked`), filed by deletion variants, and
+token sets with many tokens in common (:func:`linked_sets`), filed by their rarest tokens.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import materialise
+
 BLOCK = 512
+#: Tokens counted at once when sets are compared.
+STRIP = 4096
+#: Keys with up to so many rows are compared pair by pair, many keys at once.
+SMALL = 16
+
+#: Which rows of a table are linked: a symmetric matrix.
+Near = Callable[[pa.Table], np.ndarray]
+#: Which of the pairs (i, j) of a batch's rows are.
+Pairs = Callable[[pa.RecordBatch, np.ndarray, np.ndarray], np.ndarray]
 
 
 def variant_keys(signature: Column, distance: int) -> Column:
-    """Keys of a signature: hashes of a bit's place and its segment without it (equal keys are verified)."""
+    """Keys of a signature: hashes of a bit's place and its segment without it (equal keys are verified).
+
+    A signature is cut into segments so few that of two within the distance one segment differs in
+    at most one bit; each segment is filed once for each of its bits left out.
+    """
     parts = distance // 2 + 1  # of ``distance`` bits over so many parts one has at most one
     cuts = [64 * i // parts for i in range(parts + 1)]
     out = []
@@ -44,49 +61,187 @@ def _forest(node: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([*a, node[:0]]), np.concatenate([*b, node[:0]])
 
 
+def _edges(t: pa.Table, near: Near) -> tuple[np.ndarray, np.ndarray]:
+    linked = near(t)
+    if "part" in t.column_names:  # two blocks of a hot key; within a block its rows are compared elsewhere
+        part = t.column("part").to_numpy()
+        if (part != part[0]).any():
+            linked = linked & (part[:, None] != part[None, :])
+    a, b = _forest(t.column("node").to_numpy(), linked)
+    return a[a != b], b[a != b]
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the runs of equal keys, and which of them are small and end within the batch."""
+    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    small = np.diff(edge) <= SMALL
+    small[[0, -1]] = False
+    return edge, small
+
+
+def _small_edges(batch: pa.RecordBatch, key: str, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
+    """Links within the small runs of a sorted batch."""
+    edge, small = _runs(batch.column(key).to_numpy())
+    size, node = np.diff(edge), batch.column("node").to_numpy()
+    run, small = np.repeat(np.arange(len(size)), size), np.repeat(small, size)
+    both = [(at, at + k) for k in range(1, SMALL) for at in [np.flatnonzero(small[:-k] & (run[:-k] == run[k:]))]]
+    i, j = (np.concatenate(x) for x in zip(*both, strict=True))
+    i, j = i[node[i] != node[j]], j[node[i] != node[j]]
+    hit = pairs(batch, i, j) if len(i) else np.zeros(0, bool)
+    return node[i[hit]], node[j[hit]]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str, most: int, small_too: bool = True) -> Iterator[tuple[int, int, pa.Table | None]]:
+    """(key, rows, table) of runs of equal keys in sorted batches, of two rows and more; a run over
+    ``most`` rows is counted only.  ``small_too``: also those :func:`_small_edges` compares."""
+    own, held, size = None, [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(key).to_numpy()
+        edge, skip = _runs(k)
+        skip &= (np.diff(edge) < 2) | (not small_too)
+        for i, j in zip(edge[:-1][~skip].tolist(), edge[1:][~skip].tolist(), strict=True):
+            if k[i] != own:
+                if size > 1:
+                    yield own, size, pa.Table.from_batches(held) if held else None
+                own, held, size = k[i], [], 0
+            size += j - i
+            held = [*held, batch.slice(i, j - i)] if size <= most else []
+    if size > 1:
+        yield own, size, pa.Table.from_batches(held) if held else None
+
+
+def links(keyed: DataFrame, near: Near, pairs: Pairs, block: int | None = None) -> DataFrame:
+    """(key long, node long, more columns; distinct rows) -> edges (a, b) that span what ``near``, and
+    ``pairs`` alike, links among the rows of each key."""
+    block = block or BLOCK
+    tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "hot", "n")])
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(len(a), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none], schema=schema)
+
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def watched() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    found.append(_small_edges(batch, "key", pairs))
+                yield batch
+
+        for key, n, t in _groups(watched(), "key", block, False):
+            yield from (out(*found.pop()) for _ in range(len(found)))
+            yield pa.RecordBatch.from_pylist([{"hot": int(key), "n": n}], schema) if t is None else out(*_edges(t, near))
+        yield from (out(*f) for f in found)
+
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, t in _groups(batches, "tile", 1 << 31):  # two blocks, of about a size by hash
+            a, b = _edges(t, near)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    by_key = keyed.repartition(tasks, "key").sortWithinPartitions("key")
+    found = materialise(by_key.mapInArrow(once, "a bigint, b bigint, hot bigint, n bigint"), "links")
+    edges, hot = found.where("hot is null").select("a", "b"), found.where("hot is not null").select(F.col("hot").alias("key"), "n")
+    if hot.isEmpty():
+        return edges
+    met = keyed.join(hot, "key").withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("part", F.pmod(F.xxhash64(*keyed.columns), F.col("blocks")))
+    met = met.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    met = met.withColumn("tile", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))).drop("blocks", "other", "n", "key")
+    return edges.unionByName(met.repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(tile, "a bigint, b bigint"))
+
+
 def linked(rows: DataFrame, by: list[str], distance: int, block: int | None = None) -> DataFrame:
     """(``by``..., node, sig) longs -> edges (a, b) that span the links of nodes alike in ``by``
     whose signatures differ in at most ``distance`` bits."""
-    block = block or BLOCK
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def near(t: pa.Table) -> np.ndarray:
+        own, s = t.column("own").to_numpy(), t.column("sig").to_numpy().view(np.uint64)
+        return (np.bitwise_count(s[:, None] ^ s[None, :]) <= distance) & (own[:, None] == own[None, :])
+
+    def pairs(t: pa.RecordBatch, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        own, s = t.column("own").to_numpy(), t.column("sig").to_numpy().view(np.uint64)
+        return (np.bitwise_count(s[i] ^ s[j]) <= distance) & (own[i] == own[j])
+
     keyed = rows.select(F.xxhash64(*by).alias("own"), "node", "sig", F.explode(variant_keys(F.col("sig"), distance)).alias("key"))
-    many = keyed.groupBy("own", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(many, ["own", "key"]).withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("part", F.expr("pmod(xxhash64(node), blocks)"))
-    met = met.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    tiles = met.select(F.xxhash64("own", "key", F.least("part", "other"), F.greatest("part", "other")).alias("tile"), (F.col("blocks") > 1).alias("cut"), "part", "node", "sig")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def links(t: pa.Table) -> pa.RecordBatch:
-            tile, cut, part, node, sig = (t.column(c).to_numpy() for c in ("tile", "cut", "part", "node", "sig"))
-            edge = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]]))
-            a, b = [node[:0]], [node[:0]]
-            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if j - i < 2:
-                    continue
-                s = sig[i:j].view(np.uint64)
-                near = np.bitwise_count(s[:, None] ^ s[None, :]) <= distance
-                if cut[i] and len(set(part[i:j].tolist())) > 1:  # within a block they are compared elsewhere
-                    near &= part[i:j, None] != part[None, i:j]
-                x, y = _forest(node[i:j], near)
-                a.append(x)
-                b.append(y)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-        for batch in batches:  # a tile is two blocks at most, and is never cut
-            if not batch.num_rows:
-                continue
-            tile = batch.column("tile").to_numpy()
-            last = np.flatnonzero(tile != tile[-1])
-            stop = int(last[-1]) + 1 if len(last) else 0
-            if held and (stop or held[-1].column("tile")[0] != batch.column("tile")[0]):
-                yield links(pa.Table.from_batches([*held, batch.slice(0, stop)]))
-                held = []
-            elif stop:
-                yield links(pa.Table.from_batches([batch.slice(0, stop)]))
-            held.append(batch.slice(stop))
-        if held:
-            yield links(pa.Table.from_batches(held))
-
-    return tiles.repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(compare, "a bigint, b bigint")
+    return links(keyed.withColumn("key", F.xxhash64("own", "key")), near, pairs, block)
+
+
+def _overlaps(tokens: pa.ListArray, rows: np.ndarray) -> np.ndarray:
+    """How many tokens each two of ``rows`` share, counted by strips of tokens."""
+    tokens = tokens.take(pa.array(rows))
+    n = tokens.value_lengths().to_numpy(zero_copy_only=False)
+    _, token = np.unique(tokens.flatten().to_numpy(), return_inverse=True)
+    row, order = np.repeat(np.arange(len(rows)), n), np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    out = np.zeros((len(rows), len(rows)), np.float32)
+    for lo in range(0, int(token[-1]) + 1 if len(token) else 0, STRIP):
+        i, j = np.searchsorted(token, [lo, lo + STRIP])
+        m = np.zeros((len(rows), min(STRIP, int(token[-1]) + 1 - lo)), np.float32)
+        m[row[i:j], token[i:j] - lo] = 1
+        out += m @ m.T
+    return out.astype(np.int64)  # exact: counts stay below 2^24
+
+
+def _fits(own: tuple, at: tuple, n: tuple, threshold: float) -> np.ndarray:
+    """Whether two sets, met by a token at ``at`` of their orders, can be close by what lengths and places
+    (positional filter) say: no more can be shared than the lesser part before it and from it on."""
+    need = np.ceil(threshold / (1 + threshold) * (n[0] + n[1]) - 1e-9)
+    most = np.minimum(n[0] - at[0], n[1] - at[1]) + np.minimum(at[0], at[1])
+    return (own[0] == own[1]) & (np.minimum(n[0], n[1]) >= threshold * np.maximum(n[0], n[1]) - 1e-9) & (most >= need)
+
+
+def close_pairs(t: pa.RecordBatch, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs (i, j) of rows have a Jaccard similarity of ``threshold`` or more."""
+    tokens, n = t.column("tokens"), t.column("tokens").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    own, at = t.column("own").to_numpy(), t.column("at").to_numpy()
+    hit = _fits((own[i], own[j]), (at[i], at[j]), (n[i], n[j]), threshold)
+    left = np.flatnonzero(hit)
+    if len(left):  # tokens of both sides by pair: those that stand twice are shared
+        sides = np.concatenate([i[left], j[left]])
+        pair = np.repeat(np.tile(np.arange(len(left)), 2), n[sides])
+        token = tokens.take(pa.array(sides)).flatten().to_numpy()
+        order = np.lexsort((token, pair))
+        token, pair = token[order], pair[order]
+        both = np.bincount(pair[1:][(token[1:] == token[:-1]) & (pair[1:] == pair[:-1])], minlength=len(left))
+        hit[left] = both / (n[i[left]] + n[j[left]] - both) >= threshold
+    return hit
+
+
+def close_sets(t: pa.Table, threshold: float) -> np.ndarray:
+    """The same for all pairs of a table; sets that fit with nobody are not counted."""
+    tokens = t.column("tokens").combine_chunks()
+    n = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    fits = _fits(*((x[:, None], x[None, :]) for x in (t.column("own").to_numpy(), t.column("at").to_numpy(), n)), threshold)
+    np.fill_diagonal(fits, False)
+    rows = np.flatnonzero(fits.any(0))
+    out = np.zeros_like(fits)
+    if len(rows):
+        both = _overlaps(tokens, rows)
+        out[np.ix_(rows, rows)] = both / (n[rows][:, None] + n[rows][None, :] - both) >= threshold
+    return out & fits
+
+
+def by_rarity(sets: DataFrame) -> DataFrame:
+    """(node, tokens) -> (node, ranked): a set's tokens as 64-bit hashes, those that the fewest sets hold first."""
+    each = sets.select("node", F.explode("tokens").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("n"))
+    # a set's own tokens
+    order = each.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("r"))
+    return order.select("node", F.transform("r", lambda x: F.xxhash64(x["token"])).alias("ranked"))
+
+
+def linked_sets(sets: DataFrame, by: list[str], threshold: float, block: int | None = None) -> DataFrame:
+    """(``by``..., node, tokens: distinct strings) -> edges (a, b) that span the links of nodes alike in ``by``
+    whose token sets have a Jaccard similarity of ``threshold`` or more.
+
+    Of two such sets each has one of its rarest tokens (as many as may be missing, and one) in the
+    other, so sets are filed under these (prefix filter).  Sets alike should come as one node.
+    Tokens are told apart by 64-bit hashes.
+    """
+    t = sets.join(by_rarity(sets), "node").select(F.xxhash64(*by).alias("own"), "node", F.col("ranked").alias("tokens"))
+    prefix = F.size("tokens") - F.ceil(F.size("tokens") * F.lit(threshold) - 1e-9) + 1
+    keyed = t.select("own", "node", "tokens", F.posexplode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("at", "key"))
+    return links(keyed.withColumn("key", F.xxhash64("own", "key")), lambda g: close_sets(g, threshold), lambda g, i, j: close_pairs(g, i, j, threshold), block)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, parse, text
 from ..operators import dedupe, keywords, scoring, state, versions
+from ..operators.graph import components
 from ..sources import landed, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -467,8 +468,26 @@ _TOKENS = f"list_sort(list_distinct(list_filter(string_split({SLUG.format("split
 @query(f"WITH k AS (SELECT source, {_TOKENS} AS t, min(doc_id) AS seq FROM documents GROUP BY 1, 2) SELECT a.seq AS a, b.seq AS b, round(len(list_intersect(a.t, b.t))::double / len(list_distinct(list_concat(a.t, b.t))), 6) AS j FROM k a JOIN k b ON a.source = b.source AND a.seq < b.seq WHERE len(list_intersect(a.t, b.t)) > 0 AND len(list_intersect(a.t, b.t))::double / len(list_distinct(list_concat(a.t, b.t))) >= {fixed.TITLE_JACCARD}")
 def o4_6_close_titles(spark, sf_dir):
     """O4.3, O4.6: close first lines of one source; lines alike by their first document."""
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("source").alias("norm_company"), text.slug_tokens(F.substring_index("text", "\n", 1)).alias("title_tokens"), F.lit(0).cast("bigint").alias("sim"))
-    return dedupe.title_edges(dedupe.alike_rows(d)).select("a", "b", F.round("jaccard", 6).alias("j"))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("source").alias("norm_company"), text.slug_tokens(F.substring_index("text", "\n", 1)).alias("title_tokens"))
+    return dedupe.title_edges(dedupe.title_nodes(d)).select("a", "b", F.round("jaccard", 6).alias("j"))
+
+
+_PART_TITLES = f"""WITH RECURSIVE k AS (SELECT p_brand AS c, list_sort(list_distinct(list_filter(string_split({SLUG.format("p_name || ' ' || p_type || ' ' || CASE WHEN p_size > 25 THEN 'large' ELSE 'fine' END")}, ' '), lambda x: length(x) > 2))) AS t, min(p_partkey) AS seq, count(*) AS n FROM part GROUP BY ALL),
+e AS (SELECT a.seq AS a, b.seq AS b FROM k a JOIN k b ON a.c = b.c AND a.seq <> b.seq WHERE len(list_intersect(a.t, b.t))::double / len(list_distinct(list_concat(a.t, b.t))) >= 0.5),
+r AS (SELECT seq AS a, seq AS b FROM k UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+g AS (SELECT a AS seq, min(b) AS group_id FROM r GROUP BY a)"""
+
+
+@query(_PART_TITLES + " SELECT group_id, count(*) AS titles, sum(n)::BIGINT AS postings FROM g JOIN k USING (seq) GROUP BY 1")
+def o4_6_title_groups(spark, sf_dir):
+    """O4.6: parts of a brand grouped by close titles (half of the tokens), without all pairs."""
+    size = F.when(F.col("p_size") > 25, "large").otherwise("fine")
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.col("p_brand").alias("norm_company"), text.slug_tokens(F.concat_ws(" ", "p_name", "p_type", size)).alias("title_tokens"))
+    titles = dedupe.title_nodes(p)
+    group = components(dedupe.title_links(titles, 0.5), "titles").withColumnsRenamed({"node": "seq", "root": "group_id"})
+    many = p.groupBy("norm_company", F.array_sort("title_tokens").alias("tokens")).agg(F.count("*").alias("n"))
+    each = titles.join(group, "seq", "left").join(many, ["norm_company", "tokens"])
+    return each.groupBy(F.coalesce("group_id", "seq").alias("group_id")).agg(F.count("*").alias("titles"), F.sum("n").alias("postings"))
 
 
 # -- keywords: documents with a lexicon of corpus words -------------------------------------
