@@ -62,8 +62,10 @@ def key_edges(keyed: DataFrame, key: str, node: str = "seq") -> DataFrame:
 
 
 def title_nodes(keyed: DataFrame) -> DataFrame:
-    """One row (seq, norm_company, tokens) for rows alike in company and title tokens, its first; written."""
-    alike = keyed.groupBy("norm_company", F.array_sort("title_tokens").alias("tokens")).agg(F.min("seq").alias("seq"))
+    """One row (seq, norm_company, tokens) for rows alike in company and title tokens, its first; written.
+    Where rows are marked as ``fresh`` or not, a title is if all of its rows are."""
+    fresh = [F.bool_and("fresh").alias("fresh")] if "fresh" in keyed.columns else []
+    alike = keyed.groupBy("norm_company", F.array_sort("title_tokens").alias("tokens")).agg(F.min("seq").alias("seq"), *fresh)
     return materialise(alike.where(F.size("tokens") > 0), "titles")
 
 
@@ -87,10 +89,11 @@ def title_links(titles: DataFrame, threshold: float = fixed.TITLE_JACCARD) -> Da
 
 
 def text_edges(rows: DataFrame, distance: int = fixed.SIMHASH_DISTANCE) -> DataFrame:
-    """(a, b) that span the links of rows (seq, norm_company, tokens, sim) of one company with a shared
-    title token whose signatures differ in at most ``distance`` bits."""
-    rows = rows.where("sim <> 0").select("norm_company", "tokens", F.col("seq").alias("node"), F.col("sim").alias("sig"))
-    close = near.linked(rows.select("norm_company", "node", "sig"), ["norm_company"], distance)  # few have a near text in their company at all
+    """(a, b) that span the links of rows (seq, norm_company, tokens, sim; perhaps fresh) of one company
+    with a shared title token whose signatures differ in at most ``distance`` bits."""
+    fresh = [c for c in rows.columns if c == "fresh"]
+    rows = rows.where("sim <> 0").select("norm_company", "tokens", F.col("seq").alias("node"), F.col("sim").alias("sig"), *fresh)
+    close = near.linked(rows.select("norm_company", "node", "sig", *fresh), ["norm_company"], distance)  # few have a near text in their company at all
     some = materialise(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-texts")
     return near.linked(rows.join(some, "node", "left_semi").withColumn("token", F.explode("tokens")), ["norm_company", "token"], distance)
 
@@ -98,12 +101,15 @@ def text_edges(rows: DataFrame, distance: int = fixed.SIMHASH_DISTANCE) -> DataF
 def near_edges(keyed: DataFrame, threshold: float = fixed.TITLE_JACCARD, distance: int = fixed.SIMHASH_DISTANCE) -> DataFrame:
     """Edges that span the links of rows of one company with close titles, or with close texts and a
     shared title token.  Rows alike in company and title tokens are one node, their first row, before
-    anything is compared; a row's edge to it stands for all pairs of such rows."""
+    anything is compared; a row's edge to it stands for all pairs of such rows.  Where rows are marked as
+    ``fresh`` or not, links among rows that are not are left out."""
+    fresh = [c for c in keyed.columns if c == "fresh"]
     titles = title_nodes(keyed)
     first = titles.select(F.col("norm_company").alias("_c"), F.col("tokens").alias("_t"), F.col("seq").alias("node"))
     rows = keyed.join(first, (F.col("norm_company") == F.col("_c")) & (F.array_sort("title_tokens") == F.col("_t")))
-    rows = materialise(rows.select("seq", "node", "norm_company", F.col("_t").alias("tokens"), "sim"), "title-rows")
-    texts = rows.select("norm_company", "tokens", F.col("node").alias("seq"), "sim").distinct()
+    rows = materialise(rows.select("seq", "node", "norm_company", F.col("_t").alias("tokens"), "sim", *fresh), "title-rows")
+    alike = rows.groupBy("norm_company", "tokens", F.col("node").alias("seq"), "sim")
+    texts = alike.agg(F.bool_and("fresh").alias("fresh")) if fresh else alike.agg(F.count("*").alias("n")).drop("n")
     own = rows.where("seq <> node").select(F.col("seq").alias("a"), F.col("node").alias("b"))
     return title_links(titles, threshold).unionByName(text_edges(texts, distance)).unionByName(own).distinct()
 

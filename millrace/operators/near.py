@@ -112,10 +112,32 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str, most: int, small_too: b
         yield own, size, pa.Table.from_batches(held) if held else None
 
 
+def _fresh_near(near: Near) -> Near:
+    def masked(t: pa.Table) -> np.ndarray:
+        old = ~np.asarray(t.column("fresh").to_numpy(), bool)
+        return near(t) & ~(old[:, None] & old[None, :])
+
+    return masked
+
+
+def _fresh_pairs(pairs: Pairs) -> Pairs:
+    def masked(t: pa.RecordBatch, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        fresh = np.asarray(t.column("fresh").to_numpy(zero_copy_only=False), bool)
+        return pairs(t, i, j) & (fresh[i] | fresh[j])
+
+    return masked
+
+
 def links(keyed: DataFrame, near: Near, pairs: Pairs, block: int | None = None) -> DataFrame:
     """(key long, node long, more columns; distinct rows) -> edges (a, b) that span what ``near``, and
-    ``pairs`` alike, links among the rows of each key."""
+    ``pairs`` alike, links among the rows of each key.
+
+    With a boolean column ``fresh`` only links with a fresh row are sought: keys without one are left
+    out before the shuffle.
+    """
     block = block or BLOCK
+    if "fresh" in keyed.columns:
+        keyed, near, pairs = keyed.join(keyed.where("fresh").select("key").distinct(), "key", "left_semi"), _fresh_near(near), _fresh_pairs(pairs)
     tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "hot", "n")])
 
@@ -153,8 +175,12 @@ def links(keyed: DataFrame, near: Near, pairs: Pairs, block: int | None = None)
     return edges.unionByName(met.repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(tile, "a bigint, b bigint"))
 
 
+def _fresh(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c == "fresh"]
+
+
 def linked(rows: DataFrame, by: list[str], distance: int, block: int | None = None) -> DataFrame:
-    """(``by``..., node, sig) longs -> edges (a, b) that span the links of nodes alike in ``by``
+    """(``by``..., node, sig; perhaps fresh) -> edges (a, b) that span the links of nodes alike in ``by``
     whose signatures differ in at most ``distance`` bits."""
 
     def near(t: pa.Table) -> np.ndarray:
@@ -165,7 +191,7 @@ def linked(rows: DataFrame, by: list[str], distance: int, block: int | None = No
         own, s = t.column("own").to_numpy(), t.column("sig").to_numpy().view(np.uint64)
         return (np.bitwise_count(s[i] ^ s[j]) <= distance) & (own[i] == own[j])
 
-    keyed = rows.select(F.xxhash64(*by).alias("own"), "node", "sig", F.explode(variant_keys(F.col("sig"), distance)).alias("key"))
+    keyed = rows.select(F.xxhash64(*by).alias("own"), "node", "sig", *_fresh(rows), F.explode(variant_keys(F.col("sig"), distance)).alias("key"))
     return links(keyed.withColumn("key", F.xxhash64("own", "key")), near, pairs, block)
 
 
@@ -234,14 +260,14 @@ def by_rarity(sets: DataFrame) -> DataFrame:
 
 
 def linked_sets(sets: DataFrame, by: list[str], threshold: float, block: int | None = None) -> DataFrame:
-    """(``by``..., node, tokens: distinct strings) -> edges (a, b) that span the links of nodes alike in ``by``
+    """(``by``..., node, tokens: distinct strings; perhaps fresh) -> edges (a, b) that span the links of nodes alike in ``by``
     whose token sets have a Jaccard similarity of ``threshold`` or more.
 
     Of two such sets each has one of its rarest tokens (as many as may be missing, and one) in the
     other, so sets are filed under these (prefix filter).  Sets alike should come as one node.
     Tokens are told apart by 64-bit hashes.
     """
-    t = sets.join(by_rarity(sets), "node").select(F.xxhash64(*by).alias("own"), "node", F.col("ranked").alias("tokens"))
+    t = sets.join(by_rarity(sets), "node").select(F.xxhash64(*by).alias("own"), "node", F.col("ranked").alias("tokens"), *_fresh(sets))
     prefix = F.size("tokens") - F.ceil(F.size("tokens") * F.lit(threshold) - 1e-9) + 1
-    keyed = t.select("own", "node", "tokens", F.posexplode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("at", "key"))
+    keyed = t.select("own", "node", "tokens", *_fresh(sets), F.posexplode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("at", "key"))
     return links(keyed.withColumn("key", F.xxhash64("own", "key")), lambda g: close_sets(g, threshold), lambda g, i, j: close_pairs(g, i, j, threshold), block)

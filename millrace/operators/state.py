@@ -61,6 +61,31 @@ def merge_feed(fresh: DataFrame, previous: DataFrame, ledger: DataFrame, as_of:
     return feed, after, new
 
 
+#: A ledger row: one a fingerprint, never removed.
+LEDGER = "fingerprint string, first_seen string, status string, notified boolean, last_seen string"
+
+
+def upsert_ledger(table, fresh: DataFrame, as_of: Column) -> int:
+    """A run's postings in a ledger of buckets (:class:`..sources.buckets.BucketTable` of ``LEDGER``): new
+    fingerprints enter with date and status, known ones keep both and get the day they were seen."""
+    rows = fresh.select("fingerprint", F.col("createdAt").alias("first_seen"), "status", F.lit(False).alias("notified"), as_of.cast("string").alias("last_seen"))
+    keep = lambda old, new, known: {c: F.coalesce(old(c), new(c)) for c in ("first_seen", "status", "notified")}
+    return table.merge(rows, keep)
+
+
+def upsert_decisions(table, decisions: DataFrame) -> int:
+    """The last decision on each known fingerprint; others are ignored."""
+    last = decisions.groupBy("fingerprint").agg(F.max_by("status", F.struct("decidedAt", "status")).alias("status"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("first_seen", "string"), ("notified", "boolean"), ("last_seen", "string"))]
+    return table.merge(last.select("fingerprint", none[0], "status", *none[1:]), insert=False)
+
+
+def upsert_notified(table, sent: DataFrame) -> int:
+    """Mark fingerprints as told; call it when a sink has committed them."""
+    none = {c: F.lit(None).cast("string").alias(c) for c in ("first_seen", "status", "last_seen")}
+    return table.merge(sent.select("fingerprint").distinct().select("fingerprint", none["first_seen"], none["status"], F.lit(True).alias("notified"), none["last_seen"]))
+
+
 def feed_order(feed: DataFrame, tie: str = "fingerprint") -> DataFrame:
     return feed.orderBy(priority_rank(F.col("priority")), F.desc("matchScore"), tie)
 

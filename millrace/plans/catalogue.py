@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, parse, text
-from ..operators import dedupe, keywords, scoring, state, versions
-from ..operators.graph import components
+from ..operators import dedupe, keywords, resolution, scoring, state, versions
+from ..operators.graph import components, new_path
 from ..sources import landed, sinks
+from ..sources.buckets import BucketTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -331,6 +332,16 @@ def o10_4_ledger(spark, sf_dir):
     return after.select("fingerprint", "first_seen", "status", "last_seen")
 
 
+@query(_ORD + "SELECT coalesce(v.fingerprint, f.fingerprint) AS fingerprint, coalesce(v.created, f.created) AS first_seen, coalesce(v.status, f.status) AS status, false AS notified, CASE WHEN f.fingerprint IS NOT NULL THEN '1998-08-01' ELSE v.created END AS last_seen FROM prev v FULL JOIN fresh f ON v.fingerprint = f.fingerprint")
+def o10_4_ledger_merge(spark, sf_dir):
+    """O2.2, O10.4: the ledger in hash buckets; a run rewrites those its postings fall into."""
+    fresh, _, ledger = order_feeds(spark, sf_dir)
+    t = BucketTable(spark, new_path(spark, "ledger"), "fingerprint", state.LEDGER, 16)
+    t.merge(ledger)
+    state.upsert_ledger(t, fresh, F.lit("1998-08-01").cast("date"))
+    return t.read()
+
+
 @query(_ORD + "SELECT v.fingerprint, CASE WHEN f.fingerprint IS NOT NULL THEN f.status ELSE v.status END AS status, f.fingerprint IS NOT NULL AS changed FROM prev v LEFT JOIN fresh f ON v.fingerprint = f.fingerprint")
 def o4_15_decisions(spark, sf_dir):
     """O4.15: fresh orders as decisions on the ledger."""
@@ -452,16 +463,27 @@ e AS (SELECT a.seq AS a, b.seq AS b FROM k a JOIN k b ON a.seq <> b.seq AND a.c
   AND (len(list_intersect(a.tok, b.tok))::DOUBLE / len(list_distinct(list_concat(a.tok, b.tok))) >= {fixed.TITLE_JACCARD} OR (a.sim <> 0 AND b.sim <> 0 AND bit_count(xor(a.sim, b.sim)) <= {fixed.SIMHASH_DISTANCE}))),
 r AS (SELECT seq AS a, seq AS b FROM k UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 g AS (SELECT a AS seq, min(b) AS group_id FROM r GROUP BY a),
-m AS (SELECT g.group_id, k.* FROM k JOIN g USING (seq))
-SELECT group_id, arg_max(seq, (size, -seq)) AS seq, count(*) AS n_merged, array_to_string(list_sort(list_distinct(list(coalesce(nullif(source, ''), 'unknown')))), ' + ') AS source, count(DISTINCT (coalesce(nullif(source, ''), 'unknown'), u))::INT AS n_sources FROM m GROUP BY group_id"""
+m AS (SELECT g.group_id, k.* FROM k JOIN g USING (seq))"""
+
 
+_MERGED = """ SELECT group_id, arg_max(seq, (size, -seq)) AS seq, count(*) AS n_merged, array_to_string(list_sort(list_distinct(list(coalesce(nullif(source, ''), 'unknown')))), ' + ') AS source, count(DISTINCT (coalesce(nullif(source, ''), 'unknown'), u))::INT AS n_sources FROM m GROUP BY group_id"""
 
-@query(_groups_sql())
+
+@query(_groups_sql() + _MERGED)
 def o4_5_dedupe_groups(spark, sf_dir):
     """O4.5 to O4.10 on documents."""
     return dedupe.deduplicate(document_postings(spark, sf_dir)).select("group_id", "seq", "n_merged", "source", F.size("sources").alias("n_sources"))
 
 
+@query(_groups_sql() + " SELECT seq, group_id AS entity FROM g")
+def o4_5_day_by_day(spark, sf_dir):
+    """O4.5, O10.1: documents taken into an entity store on two days make the groups of one run."""
+    p, store = document_postings(spark, sf_dir), resolution.EntityStore(spark, new_path(spark, "entities"), 8)
+    for day in (0, 1):
+        store.add(p.where(F.col("seq") % 2 == day))
+    return store.members()
+
+
 _TOKENS = f"list_sort(list_distinct(list_filter(string_split({SLUG.format("split_part(coalesce(text, ''), chr(10), 1)")}, ' '), lambda x: length(x) > 2)))"
 
 
