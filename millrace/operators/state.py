@@ -95,6 +95,14 @@ def select_for_notice(feed: DataFrame, new: DataFrame, at_least: str) -> DataFra
     return feed.join(new, "fingerprint", "left_semi").where(priority_rank(F.col("priority")) <= PRIORITY_RANK.get(at_least, 0))
 
 
+def notice_picks(feed: DataFrame, new: DataFrame, at_least: str, force: bool = False, most: int = 5) -> DataFrame:
+    """What a notice tells of; ``force``: where there is nothing new, the best rows of priority A."""
+    picks = select_for_notice(feed, new, at_least)
+    if force and picks.isEmpty():
+        return feed_order(feed.where(F.col("priority") == "A")).limit(most)
+    return picks
+
+
 def apply_decisions(ledger: DataFrame, decisions: DataFrame, decided_at: Column) -> DataFrame:
     """Statuses of known fingerprints replaced by the last decision on each; others are ignored."""
     last = decisions.groupBy("fingerprint").agg(F.max_by("status", F.struct("decidedAt", "status")).alias("_s"))

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import fixed, parse, text
 from ..operators import dedupe, keywords, resolution, scoring, state, versions
 from ..operators.graph import components, new_path
-from ..sources import landed, sinks
+from ..sources import landed, notices, sinks
 from ..sources.buckets import BucketTable
+from ..streaming import retention
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -390,6 +391,32 @@ def o5_4_source_report(spark, sf_dir):
     return report.withColumnRenamed("discoveredBy", "source")
 
 
+@query(f"SELECT sha1(seq::VARCHAR) AS fingerprint, priority = 'A' AS notified FROM ({_GATED})")
+def o2_5_notified_after_commit(spark, sf_dir):
+    """O2.5, O10.5: notices of priority A in an outbox; the ledger marks them once they are committed."""
+    feed = scored_parts(spark, sf_dir).select("fingerprint", "seq", "priority", "matchScore", "title", "company")
+    ledger, new = BucketTable(spark, new_path(spark, "ledger"), "fingerprint", state.LEDGER, 16), feed.select("fingerprint")
+    state.upsert_ledger(ledger, feed.select("fingerprint", F.lit("2026-01-01").alias("createdAt"), F.lit("Awaiting Review").alias("status")), F.lit("2026-01-02").cast("date"))
+    notices.notify(state.notice_picks(feed, new, "A", force=True), new_path(spark, "outbox"), 1, ledger)
+    return ledger.read().select("fingerprint", "notified")
+
+
+@query("""WITH p AS (SELECT o_orderkey::VARCHAR AS fingerprint, CASE o_orderstatus WHEN 'F' THEN 'Applied' WHEN 'O' THEN 'Awaiting Review' ELSE 'Rejected' END AS status, o_orderdate::date AS d, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate::date + 30 END AS deadline, (SELECT max(o_orderdate)::date FROM orders) AS today FROM orders)
+SELECT fingerprint, status FROM p WHERE status = 'Applied' OR (coalesce(deadline >= today, true) AND d >= today - 400)""")
+def o10_2_retention_stream(spark, sf_dir):
+    """O10.2, O3.5: orders as a stream of postings; what the timers have left at its end."""
+    o = spark.readStream.schema(read(spark, sf_dir, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    status = F.when(F.col("o_orderstatus") == "F", "Applied").when(F.col("o_orderstatus") == "O", "Awaiting Review").otherwise("Rejected")
+    day = F.col("o_orderdate").cast("date")
+    p = o.select(F.col("o_orderkey").cast("string").alias("fingerprint"), F.col("o_orderdate").cast("timestamp").alias("at"), day.cast("string").alias("createdAt"), F.when(F.col("o_orderkey") % 3 == 0, F.date_add(day, 30)).alias("deadline"), status.alias("status"))
+    out = new_path(spark, "retention")
+    with retention.timed_state(spark):
+        q = retention.retention_stream(p, days=400).writeStream.format("parquet").option("path", f"{out}/changes").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    changes = spark.read.schema(retention.CHANGES).parquet(f"{out}/changes")
+    return changes.groupBy("fingerprint").agg(F.max("status").alias("status"), F.bool_or(F.col("change") == "expired").alias("gone")).where("not gone").drop("gone")
+
+
 # -- versions: conversations and orders ----------------------------------------------------
 
 
