@@ -176,15 +176,19 @@ def visible(feed: DataFrame, show: str = "all", query: str = "", pending: str =
     return feed.where(only & F.contains(hay, F.lit(query.strip().lower())))
 
 
-def dashboard_order(feed: DataFrame, by: str, tie: str = "fingerprint") -> DataFrame:
-    """The feed by best match, priority, newest, soonest deadline or highest pay; unknown values last."""
+def dashboard_keys(by: str, tie: str = "fingerprint") -> list[Column]:
+    """Order of a list by best match, priority, newest, soonest deadline or highest pay; unknown values last."""
     if by == "priority":
-        return feed_order(feed, tie)
+        return [priority_rank(F.col("priority")).asc(), F.desc("matchScore"), F.asc(tie)]
     first = {
         "match": F.desc_nulls_last("matchScore"), "newest": F.desc_nulls_last("postedAt"),
         "deadline": F.asc_nulls_last("deadline"), "salary": F.desc_nulls_last(F.coalesce("salaryMax", "salaryMin")),
     }
-    return feed.orderBy(first[by], tie)
+    return [first[by], F.asc(tie)]
+
+
+def dashboard_order(feed: DataFrame, by: str, tie: str = "fingerprint") -> DataFrame:
+    return feed.orderBy(*dashboard_keys(by, tie))
 
 
 def fact_line() -> Column:

@@ -612,7 +612,7 @@ def o2_8_summary_line(spark, sf_dir):
 
 
 def _all() -> None:
-    from . import stated, tables  # noqa: F401  they register their queries
+    from . import scale, stated, tables  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -87,10 +87,10 @@ def o5_13_percent(spark, sf_dir):
     return g.select("event_type", parse.percent(F.col("k"), F.col("n")).alias("pct"))
 
 
-@query(f"SELECT seq FROM (SELECT p_partkey AS seq, lower(concat_ws(' ', p_name, p_brand, 'Tejgaon', 'Dhaka', p_type)) AS hay FROM part) JOIN ({_GATED}) USING (seq) WHERE n_notes > 0 AND contains(hay, 'brass')")
+@query(f"SELECT seq FROM (SELECT p_partkey AS seq, lower(concat_ws(' ', p_name, p_brand, 'Tejgaon', 'Dhaka', p_type)) AS hay FROM part) JOIN ({_GATED}) USING (seq) WHERE n_notes > 0 AND contains(hay, 'economy')")
 def o3_6_search(spark, sf_dir):
     """O3.6: flagged postings that hold a query."""
-    return state.visible(scored_parts(spark, sf_dir).withColumn("status", F.lit("")), "flagged", " BRASS ").select("seq")
+    return state.visible(scored_parts(spark, sf_dir).withColumn("status", F.lit("")), "flagged", " ECONOMY ").select("seq")
 
 
 def _ordered(spark, sf_dir, by):
