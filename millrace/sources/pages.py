@@ -41,8 +41,7 @@ def write_pages(feed: DataFrame, order: list[Column], path: str, rows: int = ROW
     placed = placed.withColumn("place", F.col("_before") + F.col("_at")).withColumn("file", F.floor(F.col("place") / rows))
     files = placed.select(*names, "place", "file").repartition("file").sortWithinPartitions("file", "place")
     files.write.partitionBy("file").mode("overwrite").parquet(f"{path}/rows")
-    spark = feed.sparkSession
-    firsts = spark.read.parquet(f"{path}/rows").where(F.col("place") % rows == 0).withColumn("per_file", F.lit(rows))
+    firsts = feed.sparkSession.read.schema(files.schema).parquet(f"{path}/rows").where(F.col("place") % rows == 0).withColumn("per_file", F.lit(rows))
     firsts.coalesce(1).write.mode("overwrite").parquet(f"{path}/firsts")  # a row a file
     drop_table(numbered)
 
@@ -51,10 +50,14 @@ def page(spark: SparkSession, path: str, number: int, size: int) -> DataFrame:
     """Rows of page ``number`` (from 0), in order; of one file where ``size`` divides the rows of a file."""
     first, last = number * size, (number + 1) * size - 1
     rows = _per_file(spark, path)
-    near = spark.read.parquet(f"{path}/rows").where((F.col("file") >= first // rows) & (F.col("file") <= last // rows))
+    near = _rows(spark, path).where((F.col("file") >= first // rows) & (F.col("file") <= last // rows))
     return near.where(F.col("place").between(first, last)).orderBy("place").drop("file")
 
 
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(spark.read.parquet(f"{path}/firsts").drop("per_file").schema).parquet(f"{path}/rows")
+
+
 def _per_file(spark: SparkSession, path: str) -> int:
     one = spark.read.parquet(f"{path}/firsts").select("per_file").first()
     return one[0] if one else ROWS
@@ -64,5 +67,5 @@ def page_after(spark: SparkSession, path: str, past: Column, size: int) -> DataF
     """The next ``size`` rows in the list of those for which ``past`` holds (that a row stands behind the one
     seen last, in the list's order).  The first row of each file says where to begin."""
     start = spark.read.parquet(f"{path}/firsts").where(~past).agg(F.max("file")).first()[0] or 0
-    near = spark.read.parquet(f"{path}/rows").where(F.col("file").between(start, start + 1 + size // _per_file(spark, path)))
+    near = _rows(spark, path).where(F.col("file").between(start, start + 1 + size // _per_file(spark, path)))
     return near.where(past).orderBy("place").limit(size).drop("file")
