@@ -126,7 +126,7 @@ class MailLinks:
             if part.get_content_maintype() == "text":
                 seen |= dict.fromkeys(re.findall(r"https?://[^\s\"'<>)]+", part.get_content()))
         for i, href in enumerate(seen):
-            yield i, mail["subject"] or "", href
+            yield i, str(mail["subject"] or ""), href
 
 
 TABLE_FUNCTIONS = {"page_anchors": PageAnchors, "json_ld": JsonLd, "mail_links": MailLinks}
