@@ -1,7 +1,7 @@
 """All registered queries of the library and the SQL they are held against.
 
 A query is named after the operators it exercises.  Tables without pay, dates or postings of
-their own take a role by the mapping in the docstrings, or come as literal rows.
+their own take a role by the mapping in the docstrings.  Literal rows are cases for the tests only.
 """
 
 from __future__ import annotations
@@ -34,6 +34,18 @@ def query(sql: str | None = None):
     return add
 
 
+#: Small cases with stated answers: not registered, held against their SQL in the tests.
+CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+
+
+def case(sql: str):
+    def add(fn):
+        CASES[fn.__name__] = (fn, sql)
+        return fn
+
+    return add
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -113,7 +125,7 @@ def o8_14_words(spark, sf_dir):
 TITLES = ["Urgent Hiring: SQA Engineer (Remote)", "Senior Software Engineer for Fintech Product", "MTO - Business / Sales", "Jr. QA Engineer", "Vacancy: Data Operations Analyst", "Engr, Dev & Admin", "", "Ünïcode Développer"]
 
 
-@query(f"SELECT t AS title, {title_sql('t')} AS norm FROM (VALUES {sql_values([(t,) for t in TITLES])}) v(t)")
+@case(f"SELECT t AS title, {title_sql('t')} AS norm FROM (VALUES {sql_values([(t,) for t in TITLES])}) v(t)")
 def o8_6_normalize_title(spark, sf_dir):
     return literal(spark, [(t,) for t in TITLES], "title string").select("title", text.normalize_title(F.col("title")).alias("norm"))
 
@@ -165,7 +177,7 @@ PAY = ["Tk. 20,000 - 25,000 (Monthly)", "Salary: Tk 18k", "Tk. 1.2 lakh", "Negot
 PAY_ANSWER = [(20000, 25000, "Tk 20,000 - 25,000"), (18000, None, "Tk 18,000"), (120000, None, "Tk 120,000"), (None, None, "Negotiable"), (20000, 30000, "Tk 20,000 - 30,000"), (25000, None, "Tk 25,000"), (None, None, ""), (None, None, "Negotiable"), (45000, 60000, "Tk 45,000 - 60,000"), (None, None, "")]
 
 
-@query(f"SELECT t, lo::int AS lo, hi::int AS hi, label FROM (VALUES {sql_values([(t, *a) for t, a in zip(PAY, PAY_ANSWER, strict=True)])}) v(t, lo, hi, label)")
+@case(f"SELECT t, lo::int AS lo, hi::int AS hi, label FROM (VALUES {sql_values([(t, *a) for t, a in zip(PAY, PAY_ANSWER, strict=True)])}) v(t, lo, hi, label)")
 def o8_8_parse_salary(spark, sf_dir):
     """O8.7, O8.8 against stated answers."""
     p = literal(spark, [(t,) for t in PAY], "t string").withColumn("p", parse.parse_salary(F.col("t")))
@@ -181,7 +193,7 @@ def o8_7_amount(spark, sf_dir):
 DATES = [("25 Sep 2026", "2026-09-25"), ("September 5, 2026", "2026-09-05"), ("2026-01-31", "2026-01-31"), ("31/12/2025", "2025-12-31"), ("Deadline: 3 Oct 2026", "2026-10-03"), ("2 days ago", "2026-10-08"), ("1 week ago", "2026-10-03"), ("5 hours ago", "2026-10-10"), ("today", "2026-10-10"), ("junk", None), ("apply by 7-Nov-2026 please", "2026-11-07"), ("Mon, 05 Oct 2026 10:00:00 +0000", "2026-10-05"), ("2026-09-01T10:00:00Z", "2026-09-01")]
 
 
-@query(f"SELECT t, d::date AS d FROM (VALUES {sql_values(DATES)}) v(t, d)")
+@case(f"SELECT t, d::date AS d FROM (VALUES {sql_values(DATES)}) v(t, d)")
 def o8_10_parse_date(spark, sf_dir):
     return literal(spark, [(t,) for t, _ in DATES], "t string").select("t", parse.parse_date(F.col("t"), F.lit("2026-10-10").cast("date")).alias("d"))
 
@@ -196,7 +208,7 @@ def o8_11_haversine(spark, sf_dir):
 PLACES = [("Gulshan 1, Dhaka", "Gulshan 1", False), ("Dhaka", "Dhaka (area not stated)", False), ("Remote", "Remote", True), ("Mirpur DOHS", "Mirpur Dohs", False), ("Paris", "", False), ("Sher-e-Bangla Nagar", "Sher E Bangla Nagar", False)]
 
 
-@query(f"SELECT loc, area, remote FROM (VALUES {sql_values(PLACES)}) v(loc, area, remote)")
+@case(f"SELECT loc, area, remote FROM (VALUES {sql_values(PLACES)}) v(loc, area, remote)")
 def o8_12_resolve_area(spark, sf_dir):
     """O8.12, O4.20."""
     p = literal(spark, [(x,) for x, *_ in PLACES], "loc string").withColumn("p", parse.resolve_area(F.col("loc"), F.lit("")))
@@ -206,7 +218,7 @@ def o8_12_resolve_area(spark, sf_dir):
 ABROAD = [("London, UK", "UK"), ("Singapore", "Singapore"), ("Dhaka, Bangladesh", None), ("Berlin, Germany", "Germany"), ("Romania", "Romania"), ("", None), ("Dubai, UAE / Dhaka", None)]
 
 
-@query(f"SELECT loc, country FROM (VALUES {sql_values(ABROAD)}) v(loc, country)")
+@case(f"SELECT loc, country FROM (VALUES {sql_values(ABROAD)}) v(loc, country)")
 def o3_9_foreign_country(spark, sf_dir):
     return literal(spark, [(x,) for x, _ in ABROAD], "loc string").select("loc", parse.foreign_country(F.col("loc")).alias("country"))
 
@@ -214,7 +226,7 @@ def o3_9_foreign_country(spark, sf_dir):
 KINDS = [("SQA Engineer", "", "Software Quality Assurance"), ("Management Trainee Officer", "", "Management & Business"), ("Commission Agent", "mission driven", "Information Technology"), ("MIS Officer", "", "MIS"), ("PHP Developer", "laravel", "Software Development"), ("IT Support", "network server", "Information Technology")]
 
 
-@query(f"SELECT title, body, category FROM (VALUES {sql_values(KINDS)}) v(title, body, category)")
+@case(f"SELECT title, body, category FROM (VALUES {sql_values(KINDS)}) v(title, body, category)")
 def o8_9_category(spark, sf_dir):
     """O8.9, O5.7."""
     return literal(spark, [(a, b) for a, b, _ in KINDS], "title string, body string").select("title", "body", parse.infer_category(F.col("title"), F.col("body")).alias("category"))
@@ -223,7 +235,7 @@ def o8_9_category(spark, sf_dir):
 RELEVANT = [("SQA Engineer", True), ("Software Quality Assurance Lead", True), ("Management Consultant", False), ("Data Operations Analyst", True), ("Driver", False)]
 
 
-@query(f"SELECT title, ok FROM (VALUES {sql_values(RELEVANT)}) v(title, ok)")
+@case(f"SELECT title, ok FROM (VALUES {sql_values(RELEVANT)}) v(title, ok)")
 def o3_2_relevance(spark, sf_dir):
     """O3.2, O7.8."""
     return literal(spark, [(t,) for t, _ in RELEVANT], "title string").select("title", parse.is_relevant(F.col("title"), ["software quality assurance", "junior data analyst", "management trainee"]).alias("ok"))
@@ -556,7 +568,7 @@ def o9_4_lexicon_hits(spark, sf_dir):
 POST = "Key Responsibilities\nDesign test cases and run Docker\nRequirements\n3+ years of Python experience\nDocker is a plus\nSkills: SQL, Excel\nBSc in CSE\nAbout Us\nWe use Kubernetes"
 
 
-@query("SELECT * FROM (VALUES ('python', 'must', 3), ('test case', 'important', NULL), ('docker', 'important', NULL), ('sql', 'must', NULL), ('excel', 'must', NULL), ('bachelor''s degree', 'must', NULL)) v(key, tier, years)")
+@case("SELECT * FROM (VALUES ('python', 'must', 3), ('test case', 'important', NULL), ('docker', 'important', NULL), ('sql', 'must', NULL), ('excel', 'must', NULL), ('bachelor''s degree', 'must', NULL)) v(key, tier, years)")
 def o9_13_extract(spark, sf_dir):
     """O9.5 to O9.10, O6.5, O5.8 on a post whose answer is stated."""
     d = literal(spark, [(1, "Engineer", POST)], "doc_id bigint, title string, text string")
@@ -583,7 +595,7 @@ def o1_24_anchors(spark, sf_dir):
 LD = '<script type="application/ld+json">{"@graph":[{"@type":"JobPosting","title":"QA Engineer","hiringOrganization":{"name":"Acme Ltd"},"datePosted":"2026-10-01","jobLocation":{"address":{"addressLocality":"Banani","addressRegion":"Dhaka"}},"employmentType":"FULL_TIME","baseSalary":{"currency":"BDT","value":{"minValue":600000,"unitText":"YEAR"}},"description":"x"}]}</script>'
 
 
-@query("SELECT 'QA Engineer' AS title, 'Acme Ltd' AS company, 'Banani, Dhaka' AS location, 'Full time' AS \"employmentType\", 50000 AS \"salaryMin\", DATE '2026-10-01' AS \"postedAt\", 'https://a.example/1' AS url")
+@case("SELECT 'QA Engineer' AS title, 'Acme Ltd' AS company, 'Banani, Dhaka' AS location, 'Full time' AS \"employmentType\", 50000 AS \"salaryMin\", DATE '2026-10-01' AS \"postedAt\", 'https://a.example/1' AS url")
 def o1_10_jsonld(spark, sf_dir):
     """O1.10 to O1.17."""
     pages = literal(spark, [("https://a.example/1", LD)], "url string, body string")
@@ -593,7 +605,7 @@ def o1_10_jsonld(spark, sf_dir):
 FEED = "<rss><item><title>Acme: Backend Developer</title><link>https://b.example/7</link><region>Asia</region><description>&lt;p&gt;Tk 40,000&lt;/p&gt;</description></item><item><title>Other: Cook</title><link>https://b.example/8</link><region>Mars</region></item></rss>"
 
 
-@query("SELECT 'Backend Developer' AS title, 'Acme' AS company, 'Asia' AS location, 40000 AS \"salaryMin\", 'https://b.example/7' AS url")
+@case("SELECT 'Backend Developer' AS title, 'Acme' AS company, 'Asia' AS location, 40000 AS \"salaryMin\", 'https://b.example/7' AS url")
 def o1_8_rss(spark, sf_dir):
     """O1.8, O1.9, O3.3."""
     p = literal(spark, [("f", FEED)], "url string, body string")
@@ -612,7 +624,7 @@ def o2_8_summary_line(spark, sf_dir):
 
 
 def _all() -> None:
-    from . import scale, stated, tables  # noqa: F401  they register their queries
+    from . import composed, scale, stated, tables  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -620,6 +632,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
+def cases() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
+    _all()
+    return dict(CASES)
+
+
 def oracle_sql() -> dict[str, str]:
     _all()
     return dict(SQL)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import parse
 from ..operators import compose, keywords, state, versions
 from ..sources import landed, sinks
-from .catalogue import _GATED, POST, SQL, literal, order_feeds, part_postings, query, read, scored_parts, sql_values
+from .catalogue import _GATED, POST, SQL, case, literal, order_feeds, part_postings, query, read, scored_parts, sql_values
 
 DAY = "2026-10-10"
 
@@ -25,7 +25,7 @@ def stated(rows: list[tuple], columns: str) -> str:
 # -- sources ------------------------------------------------------------------------------
 
 
-@query(stated([(0, "QA Engineer"), (1, "Dev"), (2, "Data Analyst")], "pos, q"))
+@case(stated([(0, "QA Engineer"), (1, "Dev"), (2, "Data Analyst")], "pos, q"))
 def o1_5_build_queries(spark, sf_dir):
     got = landed.build_queries(spark, ["QA  Engineer", "qa engineer", "Dev", " Data Analyst ", "DEV"], [])
     return literal(spark, list(enumerate(got)), "pos int, q string")
@@ -34,7 +34,7 @@ def o1_5_build_queries(spark, sf_dir):
 WP = json.dumps([{"id": 7, "date": "2026-10-01T00:00:00", "link": "https://b.example/qa-at-acme-labs/", "title": {"rendered": "QA | Lead | Acme"}, "content": {"rendered": "<p>Salary: Tk 20,000</p><p>2019-2023</p>"}, "metas": {"_job_location": '{"3":"Dhaka","4":"Savar"}', "_job_experience": "None", "_job_expiry_date": "2026-11-01"}}, {"id": 8, "date": "2026-10-02", "link": "https://b.example/tester-at-beta-works/", "title": {"rendered": "Tester"}, "content": {"rendered": ""}, "metas": {}}])
 
 
-@query("SELECT title, company, location, \"salaryMin\"::int AS \"salaryMin\", deadline::date AS deadline FROM (VALUES ('QA | Lead', 'Acme', 'Dhaka, Savar', 20000, '2026-11-01'), ('Tester', 'Beta Works', 'Dhaka, Bangladesh', NULL, NULL)) v(title, company, location, \"salaryMin\", deadline)")
+@case("SELECT title, company, location, \"salaryMin\"::int AS \"salaryMin\", deadline::date AS deadline FROM (VALUES ('QA | Lead', 'Acme', 'Dhaka, Savar', 20000, '2026-11-01'), ('Tester', 'Beta Works', 'Dhaka, Bangladesh', NULL, NULL)) v(title, company, location, \"salaryMin\", deadline)")
 def o1_19_wordpress(spark, sf_dir):
     """O1.18 to O1.21."""
     return landed.wordpress(literal(spark, [("u", WP)], "url string, body string"), day()).select("title", "company", "location", "salaryMin", "deadline")
@@ -43,7 +43,7 @@ def o1_19_wordpress(spark, sf_dir):
 CAREERS = '<a href="/jobs/qa-engineer">QA Engineer</a><a href="/about">Our engineers</a><a href="/jobs/x">Jobs</a><a href="https://c.example/careers/data-analyst"><b>Data Analyst</b></a><a href="/jobs/senior-officer-1">Officer, Accounts</a>'
 
 
-@query(stated([("QA Engineer", "Firm"), ("Data Analyst", "Firm"), ("Officer, Accounts", "Firm")], "title, company"))
+@case(stated([("QA Engineer", "Firm"), ("Data Analyst", "Firm"), ("Officer, Accounts", "Firm")], "title, company"))
 def o1_24_careers(spark, sf_dir):
     return landed.careers(literal(spark, [("https://c.example", CAREERS)], "url string, body string"), day(), "Firm").select("title", "company")
 
@@ -51,13 +51,13 @@ def o1_24_careers(spark, sf_dir):
 CARDS = '<div class="card"><a href="/job?id=1">One</a></div><div class="card hot"><a href="/job?id=2">Two</a><a href="/job?id=2">Again</a></div>'
 
 
-@query(stated([("/job?id=1", "One", "card"), ("/job?id=2", "Two", "card hot")], "href, text, css"))
+@case(stated([("/job?id=1", "One", "card"), ("/job?id=2", "Two", "card hot")], "href, text, css"))
 def o1_22_cards(spark, sf_dir):
     """O1.22, O1.30, O6.2."""
     return landed.cards(literal(spark, [("u", CARDS)], "url string, body string"), "id=").select("href", "text", "css")
 
 
-@query(stated([("card", 1), ("card hot", 1)], "css, n"))
+@case(stated([("card", 1), ("card hot", 1)], "css, n"))
 def o1_30_probe(spark, sf_dir):
     return landed.probe(landed.cards(literal(spark, [("u", CARDS)], "url string, body string"), "id="))
 
@@ -65,14 +65,14 @@ def o1_30_probe(spark, sf_dir):
 MAIL = "Subject: alert\nContent-Type: text/html\n\n<p><a href='https://b.example/job/9?x=1'>QA Engineer</a></p><p>Acme</p><p>Banani, Dhaka</p>"
 
 
-@query(stated([("QA Engineer", "Acme", "Banani, Dhaka", "https://b.example/job/9")], "title, company, location, url"))
+@case(stated([("QA Engineer", "Acme", "Banani, Dhaka", "https://b.example/job/9")], "title, company, location, url"))
 def o1_25_mail(spark, sf_dir):
     """O1.25, O1.26."""
     m = literal(spark, [("m", MAIL)], "path string, content string").select("path", F.col("content").cast("binary").alias("content"))
     return landed.mail_alerts(m, day(), "/job/").select("title", "company", "location", "url")
 
 
-@query(stated([("Salary: Tk 5,000 Pay is negotiable",)], "pay"))
+@case(stated([("Salary: Tk 5,000 Pay is negotiable",)], "pay"))
 def o1_31_pay_lines(spark, sf_dir):
     return literal(spark, [("x 2019-2023\nSalary: Tk 5,000\nnone\nPay is negotiable",)], "t string").select(parse.pay_text(F.col("t")).alias("pay"))
 
@@ -80,12 +80,12 @@ def o1_31_pay_lines(spark, sf_dir):
 ADDRESSES = [('{"jobLocation":{"address":{"streetAddress":"Road 1, Banani","addressLocality":"Banani","addressRegion":"Dhaka"}}}', "Road 1, Banani, Dhaka"), ('{"jobLocation":[{"address":{"addressLocality":"N/A","addressRegion":"Dhaka"}}],"jobLocationType":"TELECOMMUTE"}', "Remote, Dhaka"), ('{"jobLocation":"Sylhet"}', "Sylhet"), ("{}", "")]
 
 
-@query(stated([(i, w) for i, (_, w) in enumerate(ADDRESSES)], "i, place"))
+@case(stated([(i, w) for i, (_, w) in enumerate(ADDRESSES)], "i, place"))
 def o1_15_ld_location(spark, sf_dir):
     return literal(spark, [(i, a) for i, (a, _) in enumerate(ADDRESSES)], "i int, item string").select("i", landed.ld_location(F.col("item")).alias("place"))
 
 
-@query("SELECT i, pay::int AS pay FROM (VALUES (0, 30000), (1, 50000), (2, NULL), (3, NULL), (4, NULL)) v(i, pay)")
+@case("SELECT i, pay::int AS pay FROM (VALUES (0, 30000), (1, 50000), (2, NULL), (3, NULL), (4, NULL)) v(i, pay)")
 def o1_17_monthly_pay(spark, sf_dir):
     d = literal(spark, [(0, 30000.0, "MONTH", "BDT"), (1, 600000.0, "YEAR", "BDT"), (2, 300.0, "HOUR", "BDT"), (3, 500.0, "MONTH", "USD"), (4, 0.0, "", "BDT")], "i int, v double, u string, c string")
     return d.select("i", parse.monthly_pay(F.col("v"), F.col("u"), F.col("c")).alias("pay"))
@@ -169,39 +169,39 @@ def graded(spark):
     return keywords.evidence(keywords.extract(post(spark), lex), lex, "Python, SQL and BSc", "wrote a test case")
 
 
-@query(stated([("python", "skills"), ("sql", "skills"), ("test case", "prose"), ("docker", "none"), ("excel", "none"), ("bachelor's degree", "skills")], "key, evidence"))
+@case(stated([("python", "skills"), ("sql", "skills"), ("test case", "prose"), ("docker", "none"), ("excel", "none"), ("bachelor's degree", "skills")], "key, evidence"))
 def o9_14_evidence(spark, sf_dir):
     return graded(spark).select("key", "evidence")
 
 
-@query("SELECT 1::bigint AS doc_id, 3::bigint AS found, 5::bigint AS total, 2::bigint AS \"mustFound\", 3::bigint AS \"mustTotal\", ['Docker', 'Excel'] AS missing")
+@case("SELECT 1::bigint AS doc_id, 3::bigint AS found, 5::bigint AS total, 2::bigint AS \"mustFound\", 3::bigint AS \"mustTotal\", ['Docker', 'Excel'] AS missing")
 def o5_10_coverage(spark, sf_dir):
     """O5.10, O5.11."""
     return keywords.coverage(graded(spark), "Python, SQL, test cases")
 
 
-@query(stated([("required", 2, 5), ("tools", 2, 5)], "grp_name, matched, total"))
+@case(stated([("required", 2, 5), ("tools", 2, 5)], "grp_name, matched, total"))
 def o5_12_requirement_groups(spark, sf_dir):
     """O5.12, O9.22."""
     return keywords.requirement_groups(graded(spark)).select("grp_name", "matched", "total")
 
 
-@query("SELECT 1::bigint AS doc_id, 'match' AS state")
+@case("SELECT 1::bigint AS doc_id, 'match' AS state")
 def o9_21_education(spark, sf_dir):
     return keywords.compare_education(graded(spark))
 
 
-@query(stated([("Design test cases and run Docker", 1)], "segment, n"))
+@case(stated([("Design test cases and run Docker", 1)], "segment, n"))
 def o9_18_responsibilities(spark, sf_dir):
     return keywords.responsibilities(post(spark), keywords.lexicon_table(spark)).select("segment", "n")
 
 
-@query("SELECT 1::bigint AS doc_id, 'SQL, Excel' AS line")
+@case("SELECT 1::bigint AS doc_id, 'SQL, Excel' AS line")
 def o9_19_labelled_line(spark, sf_dir):
     return keywords.labelled_line(keywords.segments(post(spark)), "skills")
 
 
-@query(stated([(0, "match"), (1, "gap"), (2, "unknown"), (3, "match"), (4, "unknown")], "i, state"))
+@case(stated([(0, "match"), (1, "gap"), (2, "unknown"), (3, "match"), (4, "unknown")], "i, state"))
 def o9_21_years(spark, sf_dir):
     d = literal(spark, list(enumerate(["1+ years", "5 years of work", "some experience", "Freshers welcome", "aged 22 to 30 years"])), "i int, t string")
     return d.select("i", keywords.compare_years(F.col("t"), 2).alias("state"))
@@ -215,7 +215,7 @@ def o9_21_salary(spark, sf_dir):
 HEADS = [("Requirements", "required"), ("What you'll need", "required"), ("Nice to have", "preferred"), ("Key Responsibilities", "duties"), ("About Us", "ignore"), ("Skills: PHP", "required"), ("Location: Dhaka", None), ("we write code every day.", None), ("How we work", "ignore")]
 
 
-@query(stated(HEADS, "t, section"))
+@case(stated(HEADS, "t, section"))
 def o9_7_headings(spark, sf_dir):
     """O9.6, O9.7."""
     d = literal(spark, [(t,) for t, _ in HEADS], "t string")
@@ -225,7 +225,7 @@ def o9_7_headings(spark, sf_dir):
 NORMS = [("Cross-Browser  Testing", "Cross Browser Testing"), ("UI / UX", "UI/UX"), ("it’s_ok", "it's ok"), ("", "")]
 
 
-@query(stated(NORMS, "t, n"))
+@case(stated(NORMS, "t, n"))
 def o9_1_norm(spark, sf_dir):
     return literal(spark, [(t,) for t, _ in NORMS], "t string").select("t", keywords.norm(F.col("t")).alias("n"))
 

@@ -38,3 +38,14 @@ def test_query_matches_sql(spark, duck, name):
     assert sorted(names) == cols
     want = sorted(repr([plain(dict(zip(names, r, strict=True))[c]) for c in cols]) for r in cur.fetchall())
     assert sorted(repr([plain(r[c]) for c in cols]) for r in df.collect()) == want
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.cases()))
+def test_stated_case(spark, duck, name):
+    fn, sql = catalogue.cases()[name]
+    df = fn(spark, SF)
+    cols = sorted(df.columns)
+    cur = duck.execute(sql)
+    names = [d[0] for d in cur.description]
+    want = sorted(repr([plain(dict(zip(names, r, strict=True))[c]) for c in cols]) for r in cur.fetchall())
+    assert sorted(names) == cols and sorted(repr([plain(r[c]) for c in cols]) for r in df.collect()) == want
