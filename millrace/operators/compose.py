@@ -29,12 +29,14 @@ def with_stop(c: Column) -> Column:
 
 
 def lower_first(c: Column) -> Column:
-    """First letter small, unless the first word is an acronym."""
-    return F.when(c.rlike("^[A-Z0-9]{2}"), c).otherwise(F.concat(F.lower(F.substring(c, 1, 1)), F.substring(c, 2, 1_000_000)))
+    """First letter small, unless the first word begins with two capitals or more that stand as a word, or
+    holds two capitals behind its first letter."""
+    return F.when(c.rlike(r"^[A-Z]{2,}\b") | c.rlike(r"^\S[^\sA-Z]*[A-Z][^\sA-Z]*[A-Z]"), c).otherwise(F.concat(F.lower(F.substring(c, 1, 1)), F.substring(c, 2, 1_000_000)))
 
 
 def clip_chars(c: Column, n: int) -> Column:
-    return F.when(F.length(c) <= n, c).otherwise(F.concat(F.rtrim(F.substring(c, 1, n - 1)), F.lit("…")))
+    """At most ``n`` characters; what is cut goes back to the end of a word."""
+    return F.when(F.length(c) <= n, c).otherwise(F.concat(F.regexp_replace(F.substring(c, 1, n - 1), r"\s+\S*$", ""), F.lit("…")))
 
 
 def clip_clause(c: Column, n: int) -> Column:

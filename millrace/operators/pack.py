@@ -255,8 +255,13 @@ def recruiter_note(profile: dict[str, Any]) -> Column:
 
 def required_documents(text: Column) -> Column:
     """Documents (key, name, from_post) a post asks for; the resume always."""
-    found = [(k, n, text_or_empty(text).rlike(f"(?i){p}")) for k, n, p in fixed.DOCUMENTS]
-    return F.array_compact(F.array(*[F.when(F.lit(k == "cv") | hit, F.struct(F.lit(k).alias("key"), F.lit(n).alias("name"), hit.alias("from_post"))) for k, n, hit in found]))
+    hits = F.array(*[text_or_empty(text).rlike(f"(?i){p}") for _, _, p in fixed.DOCUMENTS])  # each pattern once
+
+    def named(hit: Column) -> Column:
+        one = lambda i, k, n: F.when(F.lit(k == "cv") | hit[i], F.struct(F.lit(k).alias("key"), F.lit(n).alias("name"), hit[i].alias("from_post")))
+        return F.array_compact(F.array(*[one(i, k, n) for i, (k, n, _) in enumerate(fixed.DOCUMENTS)]))
+
+    return let(hits, named)
 
 
 def report(keywords: DataFrame, panel: DataFrame, before: DataFrame, now: DataFrame, years: float) -> DataFrame:

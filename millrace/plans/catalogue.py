@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, parse, text
 from ..operators import dedupe, keywords, resolution, scoring, state, versions
 from ..operators.graph import components, new_path
-from ..sources import landed, notices, sinks
+from ..sources import fanin, landed, notices, sinks
 from ..sources.buckets import BucketTable
 from ..streaming import retention
 
@@ -395,12 +395,14 @@ def o6_1_health(spark, sf_dir):
     return state.health(event_runs(spark, sf_dir), threshold=2).select("source", "run", "streak", "alert")
 
 
-@query("SELECT source, count(*) AS found FROM documents GROUP BY 1")
+@query("SELECT CASE WHEN lang = 'en' THEN 'a' ELSE 'b' END AS source, count(*) AS found FROM documents GROUP BY 1")
 def o5_4_source_report(spark, sf_dir):
-    """O5.4, O1.4, O7.6."""
+    """O5.4, O7.6: the report of two sources."""
     d = read(spark, sf_dir, "documents")
-    _, report = landed.collect({"a": d.where("lang = 'en'").withColumn("discoveredBy", F.col("source")), "b": d.where("lang <> 'en'").withColumn("discoveredBy", F.col("source"))})
-    return report.withColumnRenamed("discoveredBy", "source")
+    row = d.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("company"), "lang")
+    give = lambda which: lambda own, queries: (row.where(which).drop("lang"), None, [])
+    _, report = fanin.collect(spark, {"a": True, "b": True}, {"a": give("lang = 'en'"), "b": give("NOT coalesce(lang = 'en', false)")}, [])
+    return report.select(F.col("discoveredBy").alias("source"), "found")
 
 
 @query(f"SELECT sha1(seq::VARCHAR) AS fingerprint, priority = 'A' AS notified FROM ({_GATED})")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, parse, text
 from ..operators import keywords
-from ..sources import landed
+from ..sources import boards, fanin, landed
 from .catalogue import SLUG, query, read, title_sql
 
 AS_OF = "2026-10-10"
@@ -169,13 +169,17 @@ def o1_15_ld_location(spark, sf_dir):
 _FEED = "SELECT *, p_partkey % 4 AS r FROM part"
 
 
+def _feeds(spark, sf_dir) -> DataFrame:
+    """Feeds with an item for each part; every fourth is of another region."""
+    region = F.get(F.array(F.lit(""), F.lit("<region>Asia</region>"), F.lit("<region>South Asia</region>"), F.lit("<region>Mars</region>")), (F.col("p_partkey") % 4).cast("int"))
+    item = said("<item><title>", F.col("p_brand"), ": ", F.col("p_name"), "</title><link>https://b.example/", F.col("p_partkey").cast("string"), "</link><author>A</author>", region, "<description>&lt;p&gt;Tk ", F.col("k").cast("string"), ",000&lt;/p&gt;</description></item>")
+    return parts(spark, sf_dir).select(F.col("p_brand").alias("url"), said("<rss>", item, "</rss>").alias("body"))
+
+
 @query(f"SELECT p_name AS title, p_brand AS company, CASE r WHEN 0 THEN 'Remote' ELSE 'Asia' END AS location, (p_size + 9) * 1000 AS \"salaryMin\", 'https://b.example/' || p_partkey AS url FROM ({_FEED}) WHERE r < 3")
 def o1_8_rss(spark, sf_dir):
-    """O1.8, O1.9, O3.3: an item for each part, in feeds of a brand each; items of other regions go."""
-    region = F.get(F.array(F.lit(""), F.lit("<region>Asia</region>"), F.lit("<region>South Asia</region>"), F.lit("<region>Mars</region>")), (F.col("p_partkey") % 4).cast("int"))
-    item = said("<item><title>", F.col("p_brand"), ": ", F.col("p_name"), "</title><link>https://b.example/", F.col("p_partkey").cast("string"), "</link>", region, "<description>&lt;p&gt;Tk ", F.col("k").cast("string"), ",000&lt;/p&gt;</description></item>")
-    feeds = parts(spark, sf_dir).select(F.col("p_brand").alias("url"), said("<rss>", item, "</rss>").alias("body"))
-    found = landed.rss(feeds, as_of(), regions=["asia"], title_format="company: role")
+    """O1.8, O1.9, O3.3: an item for each part; items of other regions go."""
+    found = landed.rss(_feeds(spark, sf_dir), as_of(), regions=["asia"], title_format="company: role")
     return found.select("title", "company", F.replace("location", F.lit("South "), F.lit("")).alias("location"), "salaryMin", "url")
 
 
@@ -232,6 +236,63 @@ def o1_25_mail(spark, sf_dir):
     return landed.mail_alerts(mails, as_of(), "/job/").select("title", "company", "location", "url")
 
 
+_SELECTORS = {"card": "div.card, li.row", "title": "h2 a", "company": ".firm", "location": "span#place", "deadline": ".until", "link_contains": "/job/"}
+
+
+def _board(spark, sf_dir) -> DataFrame:
+    """Search pages with a part each, in two layouts, beside what is no card."""
+    key, k = F.col("p_partkey").cast("string"), F.col("k").cast("string")
+    inner = said('<h2><a href="/job/', key, '?utm_source=x">Engineer ', F.col("p_name"), '</a></h2><span class="firm">', F.col("p_brand"), " <b>Ltd</b></span>", F.when(F.col("p_partkey") % 2 == 0, '<span id="place">Banani</span>').otherwise(""), '<p class="until">30 Oct 2026</p><p>Salary: Tk ', k, ",000</p>")
+    card = F.when(F.col("p_partkey") % 3 == 0, said('<ul><li class="row hot">', inner, "</li></ul>")).otherwise(said('<div class="card">', inner, "</div>"))
+    pages = parts(spark, sf_dir).select(said("https://b.example/s?q=", key).alias("url"), said('<body><div class="card"><a href="/x">Hi</a></div>', card, "</body>").alias("body"))
+    return boards.board(pages, as_of(), _SELECTORS, "Own")
+
+
+@query(f"SELECT 'Engineer ' || p_name AS title, p_brand || ' Ltd' AS company, CASE WHEN p_partkey % 2 = 0 THEN 'Banani' ELSE 'Dhaka, Bangladesh' END AS location, DATE '2026-10-30' AS deadline, k * 1000 AS \"salaryMin\", 'https://b.example/job/' || p_partkey || '?utm_source=x' AS url FROM {_PARTS}")
+def o1_22_board(spark, sf_dir):
+    """O1.22, O8.17: cards of a board by selectors."""
+    return _board(spark, sf_dir).select("title", "company", "location", "deadline", "salaryMin", "url")
+
+
+@query(f"SELECT 'https://b.example/job/' || p_partkey || '?utm_source=x' AS url, CASE WHEN p_partkey % 5 = 0 THEN true ELSE false END AS longer, k * 1000 AS \"salaryMin\" FROM {_PARTS}")
+def o1_23_details(spark, sf_dir):
+    """O1.23: detail pages of every fifth posting, with texts of thousands of words, say more than their cards."""
+    key = F.col("p_partkey").cast("string")
+    page = said("<body><header>h</header><div class='job'>", F.repeat(said("duties of ", F.col("p_name"), ", "), 900), "<p>Tk 90,000</p></div></body>")
+    details = parts(spark, sf_dir).where("p_partkey % 5 = 0").select(said("https://b.example/job/", key, "?utm_source=x").alias("url"), page.alias("body"))
+    more = boards.with_details(_board(spark, sf_dir), details, "div.job", most_chars=None)
+    return more.select("url", (F.length("description") > 12_000).alias("longer"), "salaryMin")
+
+
+@query("SELECT * FROM (SELECT 'boards' AS source, count(*) AS found, NULL::BIGINT AS raw, 0 AS n_errors FROM part UNION ALL SELECT 'feed', count(*) FILTER (p_partkey % 4 < 3), count(*), 1 FROM part UNION ALL SELECT 'broken', 0, NULL, 1 UNION ALL SELECT 'nowhere', 0, NULL, 1)")
+def o1_4_fan_in(spark, sf_dir):
+    """O1.1, O1.4, O1.8, O5.4: the report of a run with a board, a feed with its raw count and a message, a source
+    that fails while it runs, one that is unknown and one that is off."""
+    feeds = _feeds(spark, sf_dir)
+    fail = parts(spark, sf_dir).select(F.raise_error(F.lit("down")).cast("string").alias("title"))
+    sources = {
+        "boards": lambda own, queries: (_board(spark, sf_dir), None, []), "feed": lambda own, queries: (landed.rss(feeds, as_of(), regions=own["regions"]), landed.rss_raw(feeds), ["slow"]),
+        "broken": lambda own, queries: (fail, None, []), "off": lambda own, queries: (fail, None, []),
+    }
+    config = {"boards": True, "feed": {"regions": ["asia"]}, "broken": True, "nowhere": True, "off": False}
+    _, report = fanin.collect(spark, config, sources, [], {"feed": True})
+    return report.select(F.col("discoveredBy").alias("source"), "found", "raw", F.size("errors").alias("n_errors"))
+
+
+@query("SELECT 'Engineer ' || p_name AS title, 'site ' || (p_partkey % 2) AS source, 'https://s' || (p_partkey % 2) || '.example/' || p_partkey AS url FROM part WHERE p_partkey % 7 > 0")
+def o1_12_sites(spark, sf_dir):
+    """O1.12: JSON-LD of two sites' pages, one for each query; a title that no query of run or site fits goes."""
+    p = parts(spark, sf_dir).withColumn("site", (F.col("p_partkey") % 2).cast("string"))
+    name = F.when(F.col("p_partkey") % 7 == 0, said("Cook ", F.col("p_name"))).otherwise(said("Engineer ", F.col("p_name")))
+    job = F.struct(F.lit("JobPosting").alias("@type"), name.alias("title"), F.struct(F.col("p_brand").alias("name")).alias("hiringOrganization"), said("https://s", F.col("site"), ".example/", F.col("p_partkey").cast("string")).alias("url"), F.lit("x").alias("description"))
+    block = said('<script type="application/ld+json">', F.to_json(job), "</script>")
+    body = p.groupBy("site", F.pmod(F.xxhash64("p_partkey"), F.lit(8)).alias("n")).agg(F.array_join(F.collect_list(block), "").alias("body"))  # pages of a site
+    pages = body.select(said("https://s", F.col("site"), ".example/", F.when(F.col("n") == 0, "engineer").otherwise(F.col("n").cast("string"))).alias("url"), "body")
+    sites = [{"url": f"https://s{s}.example/{{query}}", "label": f"site {s}", "queries": ["engineer", *map(str, range(1, 8))]} for s in (0, 1)]
+    found, _, _ = fanin.jsonld_sites(pages, as_of(), sites, ["engineer"])
+    return found.select("title", "source", "url")
+
+
 # -- extraction: a post for each part ------------------------------------------------------
 
 #: A post asks for 1 to 5 years; every second has a line of skills, every third asks for a degree.

@@ -198,8 +198,8 @@ def o9_41_field_of(spark, sf_dir):
 
 @query("SELECT doc_id, array_to_string(list_filter([" + ", ".join("'cv'" if k == "cv" else f"CASE WHEN regexp_matches(coalesce(text, ''), {quoted('(?i)' + p)}) THEN '{k}' END" for k, _, p in fixed.DOCUMENTS) + "], lambda x: x IS NOT NULL), ',') AS docs, regexp_matches(coalesce(text, ''), " + quoted("(?i)" + fixed.DOCUMENTS[0][2]) + ") AS cv_named FROM documents")
 def o9_29_documents(spark, sf_dir):
-    docs = pack.required_documents(F.col("text"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(docs, lambda d: d["key"]), ",").alias("docs"), docs[0]["from_post"].alias("cv_named"))
+    d = read(spark, sf_dir, "documents").select("doc_id", pack.required_documents(F.col("text")).alias("d"))
+    return d.select("doc_id", F.array_join(F.transform("d", lambda x: x["key"]), ",").alias("docs"), F.col("d")[0]["from_post"].alias("cv_named"))
 
 
 # -- composed texts ---------------------------------------------------------------------------

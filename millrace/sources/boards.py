@@ -177,10 +177,11 @@ def board(payloads: DataFrame, as_of: Column, selectors: dict[str, str], label:
     return posting(r, "board", as_of, title=clean_ws(F.col("title")), company=named("company", "Unknown company"), description=F.col("blurb"), location=named("location", "Dhaka, Bangladesh"), url=F.col("link"), source=F.lit(label), category=infer_category(F.col("title"), F.col("blurb")), deadline=parse_date(F.col("deadline"), as_of), salaryMin=F.col("pay.lo"), salaryMax=F.col("pay.hi"), salaryText=F.col("pay.text"))
 
 
-def with_details(postings: DataFrame, details: DataFrame, main: str, most: int | None = None) -> DataFrame:
+def with_details(postings: DataFrame, details: DataFrame, main: str, most: int | None = None, most_chars: int | None = MOST_DETAIL) -> DataFrame:
     """Postings with the text of their landed detail pages (url, body), where it says more: a longer
     description, pay where none is known, and the category read again.  ``most``: so many postings, in
-    the order of their urls, are enriched (the original fetches so many pages a run)."""
+    the order of their urls, are enriched (the original fetches so many pages a run); ``most_chars``: so much
+    of a text is taken (the original's bound; None: all of it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +193,7 @@ def with_details(postings: DataFrame, details: DataFrame, main: str, most: int |
     d = postings.join(pages, F.col("url") == F.col("_url"), "left").withColumn("_pay", parse_salary(F.col("_text")))
     more = F.coalesce(F.length("_text") > F.length("description"), F.lit(False))
     paid = F.col("salaryMin").isNull() & F.col("_pay.lo").isNotNull()
-    d = d.withColumns({"description": F.when(more, F.substring("_text", 1, MOST_DETAIL)).otherwise(F.col("description")), **{c: F.when(paid, F.col(f"_pay.{k}")).otherwise(F.col(c)) for c, k in (("salaryMin", "lo"), ("salaryMax", "hi"), ("salaryText", "text"))}})
+    d = d.withColumns({"description": F.when(more, F.substring("_text", 1, most_chars) if most_chars else F.col("_text")).otherwise(F.col("description")), **{c: F.when(paid, F.col(f"_pay.{k}")).otherwise(F.col(c)) for c, k in (("salaryMin", "lo"), ("salaryMax", "hi"), ("salaryText", "text"))}})
     category = F.when(F.col("_text").isNotNull(), infer_category(F.col("title"), F.col("description"))).otherwise(F.col("category"))
     return d.withColumn("category", category).select(*postings.columns)
 

@@ -309,16 +309,6 @@ def mail_alerts(mails: DataFrame, as_of: Column, pattern: str, label: str = "Mai
     return posting(a, "mail", as_of, title=F.col("text"), company=F.col("company"), url=F.col("link"), source=F.lit(label), location=F.coalesce(F.nullif("place", F.lit("")), F.lit("Dhaka, Bangladesh")), category=infer_category(F.col("text"), F.lit("")))
 
 
-def collect(parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(postings of all sources, rows found by each)."""
-    every = None
-    for df in parts.values():
-        every = df if every is None else every.unionByName(df, allowMissingColumns=True)
-    if every is None:
-        raise ValueError("no source is enabled")
-    return every, every.groupBy("discoveredBy").agg(F.count("*").alias("found"))
-
-
 def enrich(postings: DataFrame) -> DataFrame:
     """Clean texts, drop blank titles and companies, add area and distance, name a category where it is the default."""
     p = postings.withColumns({c: clean_ws(F.col(c)) for c in ("title", "company", "description")}).where("title <> '' AND company <> ''")

@@ -131,11 +131,15 @@ def html_digest(feed: DataFrame, order: list[Column], n: int = MOST_LISTED, link
     return rows.where("n > 0").select(F.concat(F.lit("<h2>"), F.col("n").cast("string"), F.when(F.col("n") == 1, " new match").otherwise(" new matches"), F.lit("</h2><table>"), F.array_join("lines", ""), F.lit(f"</table>{tail}")).alias("html"))
 
 
-def webhook_payload(feed: DataFrame, order: list[Column], link: str = "") -> DataFrame:
-    """One row of JSON: a text of the first lines (twice, under the names two kinds of receivers
-    read) and all postings as data; none without postings."""
+def webhook_payload(feed: DataFrame, order: list[Column], link: str = "", rows: int = 200) -> DataFrame:
+    """Rows of JSON, a call each: a text of the first lines (twice, under the names two kinds of receivers
+    read) and about ``rows`` postings as data, dealt by hash; one row up to ``rows`` postings, none
+    without postings."""
+    columns = feed.columns
     line = F.concat(F.lit("`"), F.col("matchScore").cast("string"), F.lit("%` ["), F.col("title"), F.lit(" - "), F.col("company"), F.lit("]("), F.col("url"), F.lit(") - "), F.coalesce(F.nullif("area", F.lit("")), "location"), F.lit(", "), F.coalesce(F.nullif("salaryText", F.lit("")), F.lit("pay not stated")))
-    head = _joined(feed, order, MOST_LINES, lines=line).crossJoin(feed.agg(F.count("*").alias("n"), F.collect_list(F.struct("*")).alias("jobs")))  # the postings of one notice
+    head = _joined(feed, order, MOST_LINES, lines=line).crossJoin(feed.agg(F.count("*").alias("n"))).select(F.col("lines").alias("_lines"), F.col("n").alias("_n"))  # one row each
+    dealt = feed.crossJoin(F.broadcast(head)).withColumn("_part", F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in columns]), F.ceil(F.col("_n") / rows)))
+    head = dealt.groupBy("_part").agg(F.first("_lines").alias("lines"), F.first("_n").alias("n"), F.collect_list(F.struct(*columns)).alias("jobs"))  # about ``rows``
     text = F.concat_ws("\n", F.concat(F.lit("**"), F.col("n").cast("string"), F.when(F.col("n") == 1, " new job match**").otherwise(" new job matches**")), F.array_join("lines", "\n"), F.lit(f"Review: {link}" if link else None).cast("string"))
     return head.where("n > 0").select(F.to_json(F.struct(text.alias("content"), text.alias("text"), "jobs")).alias("value"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import scoring
 from millrace.plans import runs
-from millrace.sources import landed
+from millrace.sources import fanin, landed
 
 LEDGER = "fingerprint string, first_seen string, status string, notified boolean, last_seen string"
 
@@ -25,7 +25,7 @@ def test_discover(spark, tmp_path):
     ]
     (tmp_path / "x.json").write_text(json.dumps({"jobs": items}))
     day = F.lit("2026-10-10").cast("date")
-    postings, report = landed.collect({"local": landed.local_json(spark, str(tmp_path), day)})
+    postings, report = fanin.collect(spark, {"local": True}, {"local": lambda own, queries: (landed.local_json(spark, str(tmp_path), day), None, [])}, [])
     postings = postings.withColumn("seq", F.xxhash64("url"))
     profile = scoring.Profile(titles=["SQA Engineer"], skills=["Selenium"], categories=["Software Quality Assurance"], minimum=30, strong=60, years=0)
     run = runs.discover(postings, postings.where("false"), spark.createDataFrame([], LEDGER), profile, day)
