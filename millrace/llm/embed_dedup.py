@@ -108,6 +108,11 @@ def _pairs(acc: np.ndarray, i: np.ndarray, j: np.ndarray, at: int, steps: list[i
     return acc, i, j
 
 
+def _sums(hit: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``hit @ n`` by strips: numpy makes a wide copy of a boolean matrix."""
+    return np.concatenate([np.empty(0, n.dtype), *(hit[i : i + STRIP] @ n for i in range(0, len(hit), STRIP))])
+
+
 def _tile(u: np.ndarray, rot: np.ndarray, v: np.ndarray, vrot: np.ndarray, threshold: float) -> np.ndarray:
     """Which rows of ``u`` and ``v`` reach the threshold; the ``rot`` are on principal axes."""
     hit = np.zeros((len(u), len(v)), bool)
@@ -176,13 +181,13 @@ def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, block: int | N
                     hit = _tile(x, rot, x, rot, threshold)
                     np.fill_diagonal(hit, False)
                     hit |= hit.T
-                    links, nodes = hit @ n, node
+                    links, nodes = _sums(hit, n), node
                     some = hit.any(1)
                     ea, eb = forest(node[some], hit[np.ix_(some, some)])
                 else:
                     p, q = side == 0, side == 1
                     hit = _tile(x[p], rot[p], x[q], rot[q], threshold)
-                    links, nodes = np.concatenate([hit @ n[q], hit.T @ n[p]]), np.concatenate([node[p], node[q]])
+                    links, nodes = np.concatenate([_sums(hit, n[q]), _sums(hit.T, n[p])]), np.concatenate([node[p], node[q]])
                     keep_p, keep_q = hit.any(1), hit.any(0)
                     ea, eb = two_sided_forest(node[p][keep_p], node[q][keep_q], hit[np.ix_(keep_p, keep_q)])
                 some = links > 0

@@ -38,18 +38,52 @@ SMOOTH_TABLE, SMOOTH_HOST = 1.0, 20.0
 #: Hosts this common (a share of 1 / HOT_HOSTS of all pages) get their sums by broadcast.
 HOT_HOSTS = 1_000
 
-_DROP = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
 _ENTITY = re.compile(r"&(?:#\w+|\w+);")
-_BOILER = re.compile(r"<(nav|header|footer|aside|form)\b.*?</\1\s*>", re.S | re.I)
 _DECLARED = r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})"
 
 
+def without(html: str, elements: tuple[str, ...], tags: bool) -> str:
+    """``html`` with a space for each of the elements, from its tag to the next closing one, and with
+    ``tags`` for comments and other tags.  What is never closed stays.
+
+    A closing sign that was once sought in vain is not sought again, so broken markup is read in one pass too.
+    """
+    opening = re.compile(rf"<({'|'.join(elements)})\b", re.I)
+    closing = {e: re.compile(rf"</{e}\s*>", re.I) for e in elements}
+    out, at, comments, i = [], 0, tags, html.find("<")
+    while i >= 0:
+        end, m = -1, opening.match(html, i)
+        if m and (name := m[1].casefold()) in closing:
+            if c := closing[name].search(html, m.end()):
+                end = c.end()
+            else:
+                del closing[name]
+        if end < 0 and comments and html.startswith("<!--", i):
+            end = html.find("-->", i + 4) + 3
+            if end < 3:
+                end, comments = -1, False
+        if end < 0 and tags:
+            end = html.find(">", i + 1) + 1
+            if not end:
+                break  # nothing is closed any more
+        if end < 0:
+            i = html.find("<", i + 1)
+            continue
+        out += [html[at:i], " "]
+        at, i = end, html.find("<", end)
+    return "".join([*out, html[at:]])
+
+
+#: Elements without text for readers, and those around the text of a page.
+SILENT, AROUND = ("script", "style", "noscript", "template"), ("nav", "header", "footer", "aside", "form")
+
+
 def page_text(html: str | None) -> str:
     """Text of a page without markup; navigation, headers and footers are left out unless
     nothing else remains."""
     html = html or ""
-    main = _ENTITY.sub(" ", _DROP.sub(" ", _BOILER.sub(" ", html)))
-    return main if main.strip() else _ENTITY.sub(" ", _DROP.sub(" ", html))
+    main = _ENTITY.sub(" ", without(without(html, AROUND, False), SILENT, True))
+    return main if main.strip() else _ENTITY.sub(" ", without(html, SILENT, True))
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:

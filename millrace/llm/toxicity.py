@@ -137,7 +137,14 @@ def hits(automaton, folded: str) -> list[tuple[int, int, float]]:
             spared.append((start, end))
         elif start not in best or best[start][0] < end:
             best[start] = (end, weight)
-    return [(s, e, w) for s, (e, w) in sorted(best.items()) if not any(a <= s and s < b for a, b in spared)]
+    spared.sort()
+    out, at, reach = [], 0, -1  # reach: how far the exceptions that begin up to here go
+    for s, (e, w) in sorted(best.items()):
+        while at < len(spared) and spared[at][0] <= s:
+            reach, at = max(reach, spared[at][1]), at + 1
+        if s >= reach:
+            out.append((s, e, w))
+    return out
 
 
 def density(automaton, text: str | None, words: Container[str] = ()) -> float:
@@ -183,26 +190,34 @@ def learn(docs: DataFrame, labels: DataFrame, seed_words: dict[str, float] | Non
     # a stem is kept when no shorter one covers it, a word when no stem does
     for r in sorted((r for r in top if not r["gram"].endswith(" ")), key=lambda r: (len(r["gram"]), r["gram"])):
         stem = r["gram"].strip()
-        if not any(stem.startswith(s) for s in lex.stems):
+        if not covered(stem, lex.stems):
             lex.stems[stem] = float(r["odds"])
     words = {r["gram"].strip(): float(r["odds"]) for r in top if r["gram"].endswith(" ")}
     # a stem that only one word supports is that word
+    bad, inside = {r["gram"]: r["bad"] for r in top}, dict.fromkeys(lex.stems, 0)
+    for w in words:
+        for s in {w[:k] for k in STEM_LENGTHS} & inside.keys():
+            inside[s] = max(inside[s], bad[f" {w} "])
     for stem in list(lex.stems):
-        inside = [r for r in top if r["gram"].endswith(" ") and r["gram"].strip().startswith(stem)]
-        bad = next(r["bad"] for r in top if r["gram"] == f" {stem}")
-        if inside and max(r["bad"] for r in inside) >= 0.9 * bad:
+        if inside[stem] >= 0.9 * bad[f" {stem}"]:
             del lex.stems[stem]
-    lex.words |= {w: x for w, x in words.items() if not any(w.startswith(s) for s in lex.stems)}
+    lex.words |= {w: x for w, x in words.items() if not covered(w, lex.stems)}
     calibrate(lex, rows)
     return lex
 
 
+def covered(word: str, stems: dict[str, float]) -> bool:
+    """Whether a learned stem begins a word."""
+    return any(word[:k] in stems for k in STEM_LENGTHS)
+
+
 def neighbours(automaton, folded: str) -> set[str]:
     """The phrases of two words that hits form with the word before and the word after them."""
     out = set()
     for s, e, _ in hits(automaton, folded):
         e = folded.index(" ", max(s + 1, e - 1))
-        before, after = folded[:s].rpartition(" ")[2], folded[e + 1 :].partition(" ")[0]
+        stop = folded.find(" ", e + 1)
+        before, after = folded[folded.rfind(" ", 0, s) + 1 : s], folded[e + 1 : stop if stop >= 0 else len(folded)]
         out |= {f"{before}{folded[s:e]}" if before else "", f"{folded[s + 1 : e]} {after}" if after else ""} - {""}
     return out
 

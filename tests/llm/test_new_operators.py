@@ -262,3 +262,65 @@ def test_scan_is_linear_on_hostile_texts():
         for rule in secrets.BASE + secrets.ADDED:
             secrets.spans_of(rule, text)
         assert time.time() - began < 5, text[:20]
+
+
+# -- hostile texts --------------------------------------------------------------------------
+
+
+def test_markup_equals_the_patterns_that_state_it():
+    from millrace.llm import language_id
+
+    drop = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+    around = re.compile(r"<(nav|header|footer|aside|form)\b.*?</\1\s*>", re.S | re.I)
+    rng = random.Random(9)
+    bits = ["<script>", "</script >", "<SCRIPT a=1", "</Style>", "<style>", "<!--", "-->", "<", ">", "text", " ", "<nav>", "</nav>", "<navy>", "<p class=x>", "</p>", "<noscript>", "</noscript>", "<header", "</header\n>", "&amp;", "<scripts>", "--", "<!-->"]
+    for _ in range(20_000):
+        html = "".join(rng.choice(bits) for _ in range(rng.randrange(0, 14)))
+        assert language_id.without(html, language_id.SILENT, True) == drop.sub(" ", html), html
+        assert language_id.without(html, language_id.AROUND, False) == around.sub(" ", html), html
+
+
+def test_hostile_texts_take_linear_time():
+    import time
+
+    from millrace.llm import language_id, toxicity
+
+    a = toxicity.Lexicon().automaton()
+    phrase = f"{toxicity.SEED_EXCEPTIONS[0]} "
+    for run, text in [(language_id.page_text, "<" * 5_000_000), (language_id.page_text, "<script>" * 600_000), (language_id.page_text, "<!--" * 1_000_000), (lambda t: toxicity.hits(a, f" {t}"), phrase * (5_000_000 // len(phrase))), (lambda t: toxicity.neighbours(a, f" {t}"), f"{next(iter(toxicity.SEED_WORDS))} " * 100_000)]:
+        began = time.time()
+        run(text)
+        assert time.time() - began < 40, text[:20]
+
+
+def test_hits_equal_every_exception_tried():
+    from millrace.llm import toxicity
+
+    rng = random.Random(5)
+    lex = toxicity.Lexicon(words={"bad": 1.0, "bad luck": 2.0}, stems={"ba": 0.5}, exceptions=["not bad", "bad luck charm", "a bad"])
+    a = lex.automaton()
+    for _ in range(3000):
+        folded = " " + "".join(f"{rng.choice(['bad', 'not', 'luck', 'charm', 'a', 'bat', 'x'])} " for _ in range(rng.randrange(0, 10)))
+        best, spared = {}, []
+        for end, (size, weight) in a.iter(folded):
+            s = end - size + 1
+            if weight is None:
+                spared.append((s, end))
+            elif s not in best or best[s][0] < end:
+                best[s] = (end, weight)
+        assert toxicity.hits(a, folded) == [(s, e, w) for s, (e, w) in sorted(best.items()) if not any(x <= s < y for x, y in spared)]
+
+
+def test_sums_over_a_block_of_full_size():
+    import tracemalloc
+
+    from millrace.llm import embed_dedup
+
+    rng = np.random.default_rng(2)
+    hit, n = rng.random((embed_dedup.BLOCK, embed_dedup.BLOCK)) < 0.01, rng.integers(1, 9, embed_dedup.BLOCK)
+    tracemalloc.start()
+    rows, cols = embed_dedup._sums(hit, n), embed_dedup._sums(hit.T, n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    some = rng.integers(0, embed_dedup.BLOCK, 50)
+    assert peak < 150 << 20 and (rows[some] == [n[hit[i]].sum() for i in some]).all() and (cols[some] == [n[hit[:, i]].sum() for i in some]).all()
