@@ -177,3 +177,17 @@ AREAS = {
     "narayanganj": (23.6238, 90.5000), "chattogram": (22.3569, 91.7832), "chittagong": (22.3569, 91.7832),
     "sylhet": (24.8949, 91.8687), "rajshahi": (24.3745, 88.6042), "khulna": (22.8456, 89.5403),
 }
+
+# Patterns of application texts (several tasks at once, praise of the company, farewells,
+# where a bullet may be cut, words it may not end in).
+MULTITASK = r"(?i)multi[-\s]?task|multiple (?:tasks|priorities|projects)|several (?:tasks|projects)"
+BLURB = r"(?i)^(we|our|the company|this is)\b|\b(is|are) (offering|looking|seeking|hiring|recruiting)\b"
+FAREWELL = r"(?is)\n\s*(Sincerely|Best regards|Kind regards|Yours sincerely|Regards),?[ \t]*(\n.*|\s*)\z"
+CLAUSE_ENDS = ", |; | by | covering | while | and "
+TAIL_WORDS = "and|or|of|the|a|an|to|for|with|by|in|on|at|as|from"
+
+# What rule gates say.
+PAY_TOPS_OUT, PAY_STARTS, PAY_FLOOR = "Pay tops out at Tk ", "Starts at Tk ", ", below your Tk {} floor"
+PAY_UNKNOWN, AREA_UNKNOWN = "Pay not stated, worth asking before you invest time", "Exact area not stated in the posting"
+FAR, FAR_LIMIT = " is about ", " km out, past your {:g} km limit"
+ABROAD_FROM, ABROAD_NOTE, EXCLUDED_NOTE = "Based in ", ", outside Bangladesh", "Title matches your excluded list ({})"

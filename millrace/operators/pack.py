@@ -20,7 +20,6 @@ from .compose import listed
 MOST_NEEDS, MOST_OVERLAP, MOST_GAPS, MOST_DUTIES = 3, 2, 12, 12
 #: Words of an achievement and of a quoted duty, and whether the education is told, in the order tried.
 STEPS = [(28, 16, True), (24, 14, True), (20, 12, True), (16, 10, True), (14, 8, False), (12, 6, False), (10, 0, False)]
-MULTITASK = r"(?i)multi[-\s]?task|multiple (?:tasks|priorities|projects)|several (?:tasks|projects)"
 EDIT = "[EDIT THIS"
 
 
@@ -156,16 +155,16 @@ def clip_words(c: Column, n: int) -> Column:
     t = F.regexp_replace(F.trim(F.regexp_replace(text_or_empty(c), r"\s+", " ")), r"[.;:,\s]+$", "")
     words = F.split(t, " ")
     head = F.array_join(F.slice(words, 1, n), " ")
-    clause = F.regexp_extract(head, r"^(.*)(?:, |; | by | covering | while | and )", 1)
+    clause = F.regexp_extract(head, rf"^(.*)(?:{fixed.CLAUSE_ENDS})", 1)
     cut = F.regexp_replace(F.when(F.length(clause) * 2 > F.length(head), clause).otherwise(head), r"[\s,;:]+$", "")
-    return F.when(F.size(words) <= n, t).otherwise(F.trim(F.regexp_replace(cut, r"(?i)(\s+(and|or|of|the|a|an|to|for|with|by|in|on|at|as|from)){1,3}$", "")))
+    return F.when(F.size(words) <= n, t).otherwise(F.trim(F.regexp_replace(cut, rf"(?i)(\s+({fixed.TAIL_WORDS})){{1,3}}$", "")))
 
 
 def duties(docs: DataFrame, matched: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, duty, duty_hits): the duty line that holds most of what you have, the first of equals;
     lines that praise the company are left out."""
     lines = kw.responsibilities(docs, lexicon, MOST_DUTIES, text).join(docs.select("doc_id", F.lower(kw.norm(company_of(F.col("company")))).alias("_firm")), "doc_id")
-    blurb = ((F.col("_firm") != "") & F.contains(F.lower(kw.norm(F.col("segment"))), F.col("_firm"))) | F.col("segment").rlike(r"(?i)^(we|our|the company|this is)\b|\b(is|are) (offering|looking|seeking|hiring|recruiting)\b")
+    blurb = ((F.col("_firm") != "") & F.contains(F.lower(kw.norm(F.col("segment"))), F.col("_firm"))) | F.col("segment").rlike(fixed.BLURB)
     mine = matched.where("kind <> 'degree' AND (added OR evidence = 'skills')").select("doc_id", "pattern")
     held = lines.where(~blurb).join(mine, "doc_id", "left").withColumn("_hit", F.coalesce(F.rlike(kw.norm(F.col("segment")), F.col("pattern")), F.lit(False)))
     held = held.groupBy("doc_id", "n", "segment").agg(F.count_if("_hit").alias("hits"))
@@ -178,7 +177,7 @@ def duties(docs: DataFrame, matched: DataFrame, lexicon: DataFrame, text: str =
 def body_words(letter: Column) -> Column:
     """Words of a letter between greeting and farewell."""
     t = F.regexp_replace(F.replace(text_or_empty(letter), F.lit("\r"), F.lit("")), r"(?i)\A\s*Dear[^\n]*\n+", "")
-    return word_count(F.regexp_replace(t, r"(?is)\n\s*(Sincerely|Best regards|Kind regards|Yours sincerely|Regards),?[ \t]*(\n.*|\s*)\z", ""))
+    return word_count(F.regexp_replace(t, fixed.FAREWELL, ""))
 
 
 def letter(profile: dict[str, Any]) -> Column:
@@ -327,7 +326,7 @@ def build(docs: DataFrame, keywords: DataFrame, lexicon: DataFrame, profile: dic
     d = compare(docs, keywords, lexicon, prefs, text)
     d = d.join(needs(keywords), "doc_id", "left").join(duties(docs, matched, lexicon, text), "doc_id", "left")
     none = F.array().cast("array<string>")
-    d = d.withColumns({c: F.coalesce(c, none) for c in ("needs", "overlap", "mine")} | {"multi": F.coalesce("_multi", F.lit(False)) | text_or_empty(F.col(text)).rlike(MULTITASK), "duty_hits": F.coalesce("duty_hits", F.lit(0))})
+    d = d.withColumns({c: F.coalesce(c, none) for c in ("needs", "overlap", "mine")} | {"multi": F.coalesce("_multi", F.lit(False)) | text_or_empty(F.col(text)).rlike(fixed.MULTITASK), "duty_hits": F.coalesce("duty_hits", F.lit(0))})
     d = achievements(d, matched, candidate_bullets(profile), experience_only=F.col("multi"))
     d = d.withColumns({"documents": required_documents(F.col(text)), "file": compose.file_name(company_of(F.col("company")), F.col("title"), as_of), "apply_to": F.nullif(first_email(F.col(text)), F.lit(""))})
     d = d.withColumn("asks_letter", F.exists("documents", lambda x: (x["key"] == "cover") & x["from_post"]))
