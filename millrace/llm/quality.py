@@ -12,8 +12,10 @@ stay on the executors; limited-memory BFGS on the penalised likelihood asks them
 of their gradients once a step.  The curve is set on the same rows so that the best cut lies
 at ``CUT``.
 
-Null and empty texts are one empty line; very long ones are read whole, one at a time, and their
-lines are stepped through one by one; a null doc_id is scored and not learned from; repeated
+Null and empty texts are one empty line.  Very long ones are read whole, one at a time, in blocks
+of lines, the chain carried from block to block both ways; one line is a block at least, so a
+line of many megabytes is held with about 60 bytes for each of its own.  In fitting, a text of
+more than ``CHAIN_LINES`` lines is several chains.  A null doc_id is scored and not learned from; repeated
 rows score alike; a score equal to the cut counts as good.  A column ``quality_score`` of the
 input is replaced, other extra ones are kept.  Empty tables give no rows; with no labels, or
 labels of one class, every score is that class's share (one half without any).
@@ -34,8 +36,10 @@ from .shared import labelled_sample, materialise, table
 
 FIT_ROWS, ROUNDS, TOLERANCE, PENALTY, CUT = 6_000, 30, 2e-4, 1e-3, 0.7
 BATCH_BYTES = 4_000_000
-#: Lines of a batch in fitting; a longer text is alone.
+#: Lines of a batch; a longer text is alone, and read in blocks of so many.
 BATCH_LINES = 50_000
+#: Lines of a chain in fitting; a longer text is several.
+CHAIN_LINES = 4_096
 TEST_FOLD = (4, 2)
 
 _UPPER, _LOWER, _DIGIT, _SPACE, _STOP, _SIGN, _WIDE = range(7)
@@ -47,13 +51,22 @@ _PLACE = np.random.Generator(np.random.PCG64(7)).integers(1 << 63, size=33, dtyp
 N_BASE = 14
 
 
-def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines of all texts, their lengths in bytes, and lines of each text."""
-    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+@dataclass
+class Before:
+    """What a block of lines is told of the text before it: its last two words (hashes), how many
+    of them there are, and the hash of its last line."""
+
+    words: tuple[int, int] = (0, 0)
+    n_words: int = 0
+    line: int = 0
+
+
+def _own_features(data: np.ndarray, head: np.ndarray, before: Before) -> tuple[np.ndarray, np.ndarray, Before]:
+    """Features of the lines of ``data`` (each ended by a line feed) by themselves, their lengths, and
+    what the next block is told.  ``head``: lines that begin a text; words and lines are compared
+    within a text only."""
     stop = np.flatnonzero(data == 10)
     start = np.concatenate([[0], stop[:-1] + 1])
-    bounds = np.cumsum([len(t) + 1 for t in texts])
-    per_text = np.diff(np.searchsorted(stop, bounds), prepend=0)
     cls = _CLASS[data]
     size = stop - start
 
@@ -71,22 +84,28 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     word_end[:-1] = ~blank[:-1] & blank[1:]
     signed = count(word_end & ((cls == _SIGN) | (data == 33)))
     # hashes of words: equal to the word before, or the one before that
-    if len(at):
-        place = np.minimum(np.arange(len(data)) - np.repeat(np.concatenate([[0], at]), np.diff(np.concatenate([[0], at, [len(data)]]))), 32)
-        h = np.add.reduceat(np.where(blank, 0, data.astype(np.uint64)) * _PLACE[place], at)
-        same = np.zeros(len(data), bool)
-        same[at[1:]] = h[1:] == h[:-1]
-        same2 = np.zeros(len(data), bool)
-        same2[at[2:]] = h[2:] == h[:-2]
-        again, again2 = count(same), count(same2)
-        cum = np.concatenate([[0], np.cumsum(h)])
-        lo, hi = np.searchsorted(at, start), np.searchsorted(at, stop)
-        line_hash = cum[hi] - cum[lo]
-    else:
-        again = again2 = np.zeros(len(stop))
-        line_hash = np.zeros(len(stop), np.uint64)
-    like = np.zeros(len(stop))
-    like[1:] = (line_hash[1:] == line_hash[:-1]) & (size[1:] > 0)
+    place = np.arange(len(data), dtype=np.int64)
+    place -= np.repeat(np.concatenate([[0], at]), np.diff(np.concatenate([[0], at, [len(data)]])))
+    np.minimum(place, 32, out=place)
+    letters_at = np.where(blank, np.uint8(0), data) * _PLACE[place]
+    del place
+    h = np.add.reduceat(letters_at, at) if len(at) else np.zeros(0, np.uint64)
+    known = np.concatenate([np.array(before.words, np.uint64), h])
+    alike, alike2 = h == known[1:-1], h == known[:-2]
+    alike[: max(0, 1 - before.n_words)] = False
+    alike2[: max(0, 2 - before.n_words)] = False
+    opening = np.searchsorted(at, start[head])  # the first word of each text, or of a later one
+    alike[opening[opening < len(at)]] = False
+    alike2[opening[opening < len(at)]] = False
+    alike2[opening[opening + 1 < len(at)] + 1] = False
+    same, same2 = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    same[at], same2[at] = alike, alike2
+    again, again2 = count(same), count(same2)
+    cum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h)])
+    lo, hi = np.searchsorted(at, start), np.searchsorted(at, stop)
+    line_hash = cum[hi] - cum[lo]
+    like = (line_hash == np.concatenate([np.array([before.line], np.uint64), line_hash[:-1]])) & (size > 0)
+    like[head] = False
     n, w, letters = np.maximum(size, 1), np.maximum(words, 1), np.maximum(upper + lower + wide, 1)
     base = np.stack(
         [
@@ -95,12 +114,104 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         ],
         axis=1,
     )
+    told = Before((int(known[-2]), int(known[-1])), min(2, before.n_words + len(h)), int(line_hash[-1]))
+    return base, n.astype(float), told
+
+
+def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all lines of all texts, their lengths in bytes, and lines of each text."""
+    per_text = np.array([t.count(b"\n") + 1 for t in texts])
     edge = np.cumsum(per_text)
+    base, n, _ = _own_features(np.frombuffer(b"\n".join([*texts, b""]), np.uint8), edge - per_text, Before())
     before, after = np.zeros_like(base), np.zeros_like(base)
     before[1:], after[:-1] = base[:-1], base[1:]
-    before[np.concatenate([[0], edge[:-1]])] = 0
+    before[edge - per_text] = 0
     after[edge - 1] = 0
-    return np.hstack([np.ones((len(base), 1)), base, before, after]), n.astype(float), per_text
+    return np.hstack([np.ones((len(base), 1)), base, before, after]), n, per_text
+
+
+def line_blocks(text: bytes) -> Iterator[bytes]:
+    """A text in runs of whole lines, each line ended by a line feed: of BATCH_LINES lines and of
+    BATCH_BYTES at most, but for a line that is longer."""
+    at = 0
+    while at <= len(text):
+        end, lines = at, 0
+        part = text[at : at + BATCH_BYTES]
+        stops = np.flatnonzero(np.frombuffer(part, np.uint8) == 10)
+        lines = min(len(stops), BATCH_LINES)
+        if lines:
+            end = at + int(stops[lines - 1]) + 1
+            yield text[at:end]
+        else:
+            end = text.find(b"\n", at) + 1 or len(text) + 1
+            yield text[at : end - 1] + b"\n"
+        at = end
+
+
+def chain_marginals(node: np.ndarray, trans: np.ndarray, block: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Marginals of one long chain, as :func:`forward_backward` gives them: bounds and the
+    probabilities of the lines between, blocks of lines from last to first.
+
+    Forward, each block leaves what it carries into the next; backward, a block's own sums are
+    found again from what it was carried.  Within a block, runs of about its root step together:
+    first the product of a run's 2 by 2 matrices, then what each run is carried, then its lines.
+    """
+    e = np.exp(trans - trans.max())
+
+    def matrices(a: int, b: int) -> np.ndarray:
+        z = np.clip(node[a:b], -30, 30)
+        good = 1 / (1 + np.exp(-z))
+        return e[None] * np.stack([1 / (1 + np.exp(z)), good], 1)[:, None, :]
+
+    def runs_of(m: np.ndarray) -> np.ndarray:
+        """(steps, runs, 2, 2): padded with the unit matrix at the end."""
+        wide = max(1, int(np.sqrt(len(m))))
+        steps = -(-len(m) // wide)
+        whole = np.concatenate([m, np.broadcast_to(np.eye(2), (steps * wide - len(m), 2, 2))])
+        return np.ascontiguousarray(whole.reshape(wide, steps, 2, 2).swapaxes(0, 1))
+
+    def products(r: np.ndarray) -> np.ndarray:
+        p = r[0]
+        for m in r[1:]:
+            p = p @ m
+            p = p / p.sum((1, 2), keepdims=True)
+        return p
+
+    def carried(p: np.ndarray, v: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray]:
+        """What each run is carried, and what leaves the last."""
+        out = np.empty((len(p), 2))
+        for k in range(len(p) - 1, -1, -1) if back else range(len(p)):
+            out[k] = v
+            v = p[k] @ v if back else v @ p[k]
+            v = v / v.sum()
+        return out, v
+
+    n = len(node)
+    bounds = [(a, min(a + block, n)) for a in range(1, n, block)]  # the first line starts the chain
+    start = 1 / (1 + np.exp(np.clip(np.array([node[0], -node[0]]), -30, 30)))
+    v, starts = start, []
+    for a, b in bounds:
+        starts.append(v)
+        _, v = carried(products(runs_of(matrices(a, b))), v, False)
+    beta = np.ones(2)
+    for (a, b), v in zip(reversed(bounds), reversed(starts), strict=True):
+        r = runs_of(matrices(a, b))
+        p = products(r)
+        alphas, betas = np.empty(r.shape[:3]), np.empty(r.shape[:3])
+        x, _ = carried(p, v, False)
+        for t in range(len(r)):
+            x = (x[:, None, :] @ r[t])[:, 0]
+            x = x / x.sum(1, keepdims=True)
+            alphas[t] = x
+        y, beta = carried(p, beta, True)
+        for t in range(len(r) - 1, -1, -1):
+            betas[t] = y
+            y = (r[t] @ y[:, :, None])[:, :, 0]
+            y = y / y.sum(1, keepdims=True)
+        both = (alphas * betas).swapaxes(0, 1).reshape(-1, 2)[: b - a]
+        yield a, b, both[:, 1] / both.sum(1)
+    both = start * beta
+    yield 0, 1, both[1:] / both.sum()
 
 
 def forward_backward(node: np.ndarray, per_text: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,7 +257,28 @@ class Field:
     def good_lines(self, x: np.ndarray, per_text: np.ndarray) -> np.ndarray:
         return forward_backward(((x - self.mean) / self.spread) @ self.weights, per_text, self.trans)[0]
 
+    def long_evidence(self, text: bytes) -> float:
+        """Evidence of one text, read in blocks of lines: 16 bytes a line are held, and a block."""
+        w = self.weights / self.spread
+        own, left, right = w[1:].reshape(3, N_BASE)
+        ground = w[0] - self.mean @ w
+        lines = text.count(b"\n") + 1
+        node, size = np.full(lines, ground), np.empty(lines)
+        at, before = 0, Before()
+        for block in line_blocks(text):
+            base, n, before = _own_features(np.frombuffer(block, np.uint8), np.zeros(int(at == 0), int), before)
+            end = at + len(base)
+            node[at:end] += base @ own
+            node[at + 1 : end + 1] += (base @ left)[: lines - at - 1]
+            node[max(0, at - 1) : end - 1] += (base @ right)[int(at == 0) :]
+            size[at:end] = n
+            at = end
+        return float(sum(p @ size[a:b] for a, b, p in chain_marginals(node, self.trans)) / size.sum())
+
     def evidence(self, texts: list[bytes]) -> np.ndarray:
+        """Evidence of texts together, or of one of any length."""
+        if len(texts) == 1 and (len(texts[0]) > BATCH_BYTES or texts[0].count(b"\n") >= BATCH_LINES):
+            return np.array([self.long_evidence(texts[0])])
         x, size, per_text = line_features(texts)
         p = self.good_lines(x, per_text)
         own = np.repeat(np.arange(len(texts)), per_text)
@@ -158,30 +290,43 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(a * np.log(e / (1 - e)) + b, -30, 30)))
 
 
-def _batches(texts: list[bytes], most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts of about ``most`` bytes together; a longer text is alone."""
+def _batches(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of at most BATCH_BYTES and BATCH_LINES together; a longer text is alone."""
     at = 0
     while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) < most):
-            size += len(texts[end])
+        end, size, lines = at, 0, 0
+        while end < len(texts):
+            size, lines = size + len(texts[end]), lines + texts[end].count(b"\n") + 1
+            if end > at and (size > BATCH_BYTES or lines > BATCH_LINES):
+                break
             end += 1
         yield at, end
         at = end
 
 
+def _chains(text: bytes) -> Iterator[bytes]:
+    """A text as chains of CHAIN_LINES lines at most."""
+    at, n = 0, 0
+    if text.count(b"\n") >= CHAIN_LINES:
+        stops = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
+        for n in stops[CHAIN_LINES - 1 :: CHAIN_LINES].tolist():
+            yield text[at:n]
+            at = n + 1
+    yield text[at:]
+
+
 def _labelled_lines(texts: Iterable[bytes], labels: Iterable[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Batches of whole texts of about BATCH_LINES lines: features, lengths of lines, lines of each
-    text, and each text's label."""
+    chain, and each chain's label."""
     held: list[tuple[bytes, int]] = []
-    lines = 0
-    for t, y in zip(texts, labels, strict=True):
+    lines = size = 0
+    for t, y in ((chain, y) for t, y in zip(texts, labels, strict=True) for chain in _chains(t)):
         n = t.count(b"\n") + 1
-        if held and lines + n > BATCH_LINES:
+        if held and (lines + n > BATCH_LINES or size + len(t) > BATCH_BYTES):
             yield *line_features([t for t, _ in held]), np.array([y for _, y in held])
-            held, lines = [], 0
+            held, lines, size = [], 0, 0
         held.append((t, y))
-        lines += n
+        lines, size = lines + n, size + len(t)
     if held:
         yield *line_features([t for t, _ in held]), np.array([y for _, y in held])
 

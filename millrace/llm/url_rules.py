@@ -1,9 +1,11 @@
 """URL filters: fixed host rules, and association rules mined by FP-growth.
 
 Mining: every labelled page is a basket of the tokens of its url (:func:`tokens_of`) that
-enough bad pages have, and of the item ``bad`` where its label says so.  FP-growth finds token
-combinations; of those that imply ``bad``, the ones with enough support, confidence and lift
-remain, and a rule is pruned when a shorter one inside it is at least as confident.
+enough bad pages have, and of the item ``bad`` where its label says so.  Tokens that the very same
+pages have are one item, and a token that only bad pages have is a rule at once and no part of
+longer ones (none could be surer).  FP-growth finds combinations of the other items; of those that
+imply ``bad``, the ones with enough support, confidence and lift remain, and a rule is pruned when
+a shorter one inside it is at least as confident.  What remains is told token by token again.
 
 Matching: each rule is filed once, under its rarest token (an inverted index).  Tokens of
 the distinct urls meet the index by an equality join, and the candidate rule's other tokens
@@ -90,25 +92,39 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
     if not n:
         return empty
     least = math.ceil(max(min_support * n, least_pages))
-    # a token of too few bad pages is in no rule; baskets keep the others
-    often = rows.where("bad").select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    base = rows.where("bad").count() / n
+    # a token of too few bad pages is in no rule; tokens of the same pages (as many, of one sum
+    # of hashes without carry) are one item
     each = rows.withColumn("page", F.monotonically_increasing_id()).select("page", "bad", F.explode("tokens").alias("token"))
-    baskets = each.join(often.select("token"), "token").groupBy("page").agg(F.max("bad").alias("bad"), F.collect_set("token").alias("items"))  # one url's tokens
+    sums = [F.bit_xor(F.xxhash64(F.lit(k), "page")).alias(f"sum{k}") for k in (1, 2)]
+    tokens = each.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"), *sums).where(F.col("n_bad") >= least)
+    items = tokens.groupBy("n", "n_bad", "sum1", "sum2").agg(F.min("token").alias("item"), F.collect_set("token").alias("members"))  # tokens of one url
+    items = materialise(items.select("item", "members", (F.col("n_bad") / F.col("n")).alias("confidence"), (F.col("n_bad") / n).alias("support")), "url-items")
+    enough = F.greatest(F.lit(min_confidence), F.lit(min_lift * base))
+    sure = items.where((F.col("confidence") == 1) & (F.col("confidence") >= enough)).select(F.array("item").alias("items"), "confidence", "support")
+    open_ = items.where("confidence < 1")
+    baskets = each.join(open_.select(F.col("item").alias("token")), "token").groupBy("page").agg(F.max("bad").alias("bad"), F.collect_set("token").alias("items"))  # one url's tokens
     baskets = baskets.select(F.concat("items", F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
     baskets = materialise(baskets, "baskets")
     kept = baskets.count()
-    if not kept:
-        return empty
-    base = rows.where("bad").count() / n
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / kept), minConfidence=min_confidence, numPartitions=tasks).fit(baskets.repartition(tasks))
-    found = model.associationRules.where(F.array_contains("consequent", BAD)).where(F.col("confidence") >= min_lift * base)
-    found = found.select(F.array_sort("antecedent").alias("items"), "confidence", (F.col("support") * (kept / n)).alias("support"))
+    found = sure
+    if kept:
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / kept), minConfidence=min_confidence, numPartitions=tasks).fit(baskets.repartition(tasks))
+        mined = model.associationRules.where(F.array_contains("consequent", BAD)).where(F.col("confidence") >= min_lift * base)
+        found = found.unionByName(mined.select(F.array_sort("antecedent").alias("items"), "confidence", (F.col("support") * (kept / n)).alias("support")))
     # a rule is needless when a part of it is as confident; parts of a rule are found by a join on their first item
     found = materialise(found.withColumn("rule", F.xxhash64("items")), "rules")
     short = found.select(F.col("items").alias("part"), F.col("confidence").alias("part_confidence"), F.element_at("items", 1).alias("first"))
     long = found.select("rule", "items", "confidence", F.explode("items").alias("first"))
     needless = long.join(short, "first").where((F.size("part") < F.size("items")) & (F.size(F.array_except("part", "items")) == 0) & (F.col("part_confidence") >= F.col("confidence")))
-    return found.join(needless.select("rule").distinct(), "rule", "left_anti").select("rule", "items", "confidence", "support")
+    short = found.join(needless.select("rule").distinct(), "rule", "left_anti")
+    # each item told by each of its tokens
+    told = short.select("rule", "confidence", "support", F.posexplode("items").alias("at", "item")).join(items.select("item", "members"), "item")
+    told = told.groupBy("rule").agg(F.first("confidence").alias("confidence"), F.first("support").alias("support"), F.transform(F.array_sort(F.collect_list(F.struct("at", "members"))), lambda x: x["members"]).alias("of"))
+    one = F.array(F.array().cast("array<string>"))
+    every = F.aggregate("of", one, lambda done, own: F.flatten(F.transform(done, lambda d: F.transform(own, lambda x: F.concat(d, F.array(x))))))
+    told = told.select(F.explode(every).alias("items"), "confidence", "support").withColumn("items", F.array_sort("items"))
+    return told.select(F.xxhash64("items").alias("rule"), "items", "confidence", "support")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import time
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -204,6 +206,42 @@ def test_evidence_against_plain_lines():
         at += n
 
 
+def test_quality_in_blocks_of_lines(monkeypatch):
+    rng, draw = np.random.default_rng(1), random.Random(3)
+    for n in (1, 2, 50, 300):
+        node, trans = rng.normal(size=n) * 3, rng.normal(size=(2, 2))
+        want = quality.forward_backward(node, np.array([n]), trans)[0]
+        for block in (1, 7, 64):
+            got = np.full(n, np.nan)
+            for a, b, p in quality.chain_marginals(node, trans, block):
+                got[a:b] = p
+            assert np.allclose(got, want, atol=1e-12)
+    width = 3 * quality.N_BASE + 1
+    field = quality.Field(rng.normal(size=width), rng.normal(size=(2, 2)), rng.normal(size=width), np.abs(rng.normal(size=width)) + 0.5)
+    texts = ["".join(draw.choice(["a", "b ", "a a ", "\n", "\n\n", "X!", " "]) for _ in range(draw.randint(0, 200))).encode() for _ in range(60)] + [b"", b"\n", b"a", b"a\n", b"\na"]
+    alone = [field.evidence([t])[0] for t in texts]
+    assert np.allclose(alone, field.evidence(texts), atol=1e-12)  # a text's evidence is its own
+    for lines, size in ((1, 4), (2, 1000), (7, 30)):
+        monkeypatch.setattr(quality, "BATCH_LINES", lines)
+        monkeypatch.setattr(quality, "BATCH_BYTES", size)
+        assert np.allclose([field.long_evidence(t) for t in texts], alone, atol=1e-10)
+        assert all(b"".join(quality.line_blocks(t)) == t + b"\n" for t in texts)
+    monkeypatch.setattr(quality, "CHAIN_LINES", 3)
+    assert all(b"\n".join(quality._chains(t)) == t and max(c.count(b"\n") for c in quality._chains(t)) < 3 for t in texts)
+
+
+def test_quality_of_hostile_texts_is_bounded():
+    width = 3 * quality.N_BASE + 1
+    field = quality.Field(np.linspace(-1, 1, width), np.eye(2), np.zeros(width), np.ones(width))
+    began = time.time()
+    tracemalloc.start()
+    for text in (b"\n" * 10_000_000, b"ab " * 1_000_000):
+        assert 0 <= field.score([text])[0] <= 1
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 500_000_000 and time.time() - began < 120, (most, time.time() - began)
+
+
 def test_quality_fit_is_the_same_in_batches(monkeypatch):
     rng = random.Random(3)
     texts = ["\n".join("".join(rng.choice("abC !1") for _ in range(30)) for _ in range(rng.randint(1, 9))).encode() for _ in range(40)]
@@ -288,6 +326,19 @@ def test_url_parts_and_fixed_rules(spark):
     assert [got[i]["verdict"] for i in range(1, 9)] == [w for _, w in urls[1:]]
 
 
+def test_rules_of_tokens_that_pages_share(spark):
+    """Thirty fields that the same bad pages have, thirty that some other page has too: each is a
+    rule, and no combination of them."""
+    both, only = "&".join(f"b{i}x=1" for i in range(30)), "&".join(f"o{i}x=1" for i in range(30))
+    rows = [(i, f"https://h{i}.test/?{both}&{only}" if i < 40 else f"https://h{i}.test/?{both}" if i < 45 else f"https://h{i}.test/?z=1", i < 40) for i in range(200)]
+    pages = spark.createDataFrame([(a, b) for a, b, _ in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(a, c) for a, _, c in rows], "page_id long, bad boolean")
+    began = time.time()
+    got = {tuple(r["items"]): (round(r["confidence"], 9), round(r["support"], 9)) for r in url_rules.mine(pages, labels).collect()}
+    assert got == {(f"field:o{i}x",): (1.0, 0.2) for i in range(30)} | {(f"field:b{i}x",): (round(40 / 45, 9), 0.2) for i in range(30)}
+    assert time.time() - began < 60
+
+
 def test_mined_rules_against_brute_force(spark):
     rng = random.Random(9)
     rows = []
