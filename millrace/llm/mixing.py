@@ -15,7 +15,8 @@
 Sizes are words (runs without ASCII white space; null: 0), whole texts however long.  A null
 source is a source of its own, last in order; ties of quotients go to the first source or
 shard.  The draw hangs on seed, doc_id, source and text alone, so reruns agree; rows without
-doc_id are drawn like others, and rows that repeat in all three lie next to each other.  Extra
+doc_id are drawn like others.  Rows that repeat in all three lie next to each other: they are summed
+before the shuffle and drawn as one row of so many copies, however many there are.  Extra
 columns are ignored by :func:`mix` and kept by :func:`mixed_texts`.  An empty table gives an
 empty mix.  All of it is DataFrame functions.
 """
@@ -29,7 +30,7 @@ from .shared import materialise, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, "mix-1"
-SHARD_WORDS, LEVELS = 2_000_000, 4096
+SHARD_WORDS, LEVELS, COPIES_AT_ONCE = 2_000_000, 4096, 4096
 #: A block is this part of the smallest target, within the bounds.
 BLOCK_PART, BLOCK_BOUNDS = 200, (1, 1024)
 
@@ -90,8 +91,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     """One row a document: doc_id, size, source_size, target, taken, and how it is taken:
     ``times`` whole and ``from_word`` to ``to_word`` once more."""
     d = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size"), _draw(docs, seed).alias("draw"))
-    d = materialise(d, "mix-sizes")
-    src = materialise(targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
+    d = materialise(d.groupBy("doc_id", "source", "size", "draw").agg(F.count("*").alias("copies")), "mix-sizes")
+    src = materialise(targets(d.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")), weights, share, most), "mix-targets")
     low, high = BLOCK_BOUNDS
     dealt = src.crossJoin(
         F.broadcast(src.agg(  # one row
@@ -105,12 +106,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     d = d.join(src.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))
     d = d.withColumn("shard", F.conv(F.substring("draw", 1, 8), 16, 10).cast("bigint") % shards)
-    own = d.groupBy("s", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_seats").alias("_seats"), F.first("block").alias("block"))
+    own = d.groupBy("s", "shard").agg(F.sum(F.col("size") * F.col("copies")).alias("shard_size"), F.first("source_seats").alias("_seats"), F.first("block").alias("block"))
     own = materialise(own, "mix-shards")
     quota = seats(own, "s", "shard_size", "_seats", "shard").select(F.col("s").alias("_s"), F.col("shard").alias("_shard"), "shard_size", F.least(F.col("seats") * F.col("block"), F.col("shard_size") * most).alias("words"))
     d = d.drop("block").join(materialise(quota, "mix-quotas"), (F.col("s") == F.col("_s")) & (F.col("shard") == F.col("_shard")))
     w = Window.partitionBy("s", "shard").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("at", F.sum("size").over(w) - F.col("size"))
+    d = d.withColumn("at", F.sum(F.col("size") * F.col("copies")).over(w) - F.col("size") * F.col("copies"))
+    # copies one by one again: runs of COPIES_AT_ONCE, then what is in a run
+    end = F.col("copies") - 1
+    d = d.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), end, F.lit(COPIES_AT_ONCE).cast("bigint"))))
+    d = d.withColumn("_copy", F.explode(F.sequence("_run", F.least(end, F.col("_run") + COPIES_AT_ONCE - 1))))
+    d = d.withColumn("at", F.col("at") + F.col("_copy") * F.col("size"))
     d = d.withColumn("times", F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(F.lit(0)).cast("bigint"))
     d = d.withColumn("to_word", F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - F.col("times") * F.col("shard_size") - F.col("at"))))
     return d.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size") + F.col("to_word")).alias("taken"), "times", F.lit(0).cast("bigint").alias("from_word"), "to_word", "source", "s", "shard", "draw")

@@ -452,3 +452,15 @@ def test_mixed_texts_with_one_id_for_all(spark):
     taken = {r["source"]: r["t"] for r in mixing.mix(same).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
     out = mixing.mixed_texts(same).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("t")).collect()
     assert {r["source"]: r["t"] for r in out} == {k: v for k, v in taken.items() if v}
+
+
+def test_mixing_of_a_row_that_repeats(spark):
+    """Copies are drawn as one row: what is taken of them adds up, and none is taken over twice."""
+    hot = spark.range(10_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.lit("x y z").alias("text"))
+    other = spark.range(500).select(F.col("id") + 100, F.lit("b"), F.lit("one two"))
+    got = mixing.mix(hot.union(other), shard_words=5_000)
+    rows = got.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("taken").alias("most"), F.count_distinct("taken").alias("kinds")).collect()
+    one = next(r for r in rows if r["doc_id"] == 7)
+    target = {r["source"]: r["target"] for r in got.select("source", "target").distinct().collect()}
+    assert one["n"] == 10_000 and len(rows) == 501 and one["most"] <= 6 and one["kinds"] <= 3
+    assert abs(one["taken"] - target["a"]) <= 1024
