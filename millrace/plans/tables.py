@@ -249,7 +249,7 @@ def scored_keywords(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "doc_id")
     mode = F.col("l_suppkey") % 5
     return li.select(
-        "doc_id", (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("rank"), F.concat_ws("-", "l_partkey", "l_linenumber").alias("key"), F.col("l_partkey").cast("string").alias("display"), F.when(F.col("l_quantity") > 45, "degree").when(F.col("l_quantity") > 35, "soft").otherwise("tech").alias("kind"),
+        "doc_id", "l_linenumber", (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("rank"), F.concat_ws("-", "l_partkey", "l_linenumber").alias("key"), F.col("l_partkey").cast("string").alias("display"), F.when(F.col("l_quantity") > 45, "degree").when(F.col("l_quantity") > 35, "soft").otherwise("tech").alias("kind"),
         F.when(mode < 2, "must").when(mode < 4, "important").otherwise("nice").alias("tier"), F.when(F.col("l_returnflag") == "R", "mined").otherwise("lexicon").alias("source"), F.when(F.col("l_linestatus") == "F", "skills").otherwise("none").alias("evidence"),
         (F.col("l_tax") > 0.06).alias("added"),
     )
@@ -270,5 +270,5 @@ def o9_23_needs(spark, sf_dir):
 def o9_15_chosen(spark, sf_dir):
     """O9.15: keywords decided for, degrees never."""
     k = scored_keywords(spark, sf_dir)
-    decided = k.where("rank DIV 1000000 IN (1, 3)").groupBy("doc_id").agg(F.collect_list("key").alias("added"))  # two of an order
+    decided = k.where("l_linenumber IN (1, 3)").groupBy("doc_id").agg(F.collect_list("key").alias("added"))  # two of an order
     return pack.chosen(k, decided).where("added").select("doc_id", F.col("rank").cast("bigint").alias("rank"))
