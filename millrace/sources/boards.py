@@ -24,6 +24,7 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 JUNK = frozenset("script style nav footer header".split())
 BLOCKS = ("tr", "div", "li")
 MOST_BLURB, MOST_DETAIL = 400, 12_000
+PAGES_AT_ONCE = 256  # detail pages read to texts before they are handed on
 
 
 @dataclass
@@ -185,12 +186,16 @@ def with_details(postings: DataFrame, details: DataFrame, main: str, most: int |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("url"), pa.array([detail_text(b, main) for b in batch.column("body").to_pylist()], pa.string())], ["_url", "_text"])
+            for at in range(0, batch.num_rows, PAGES_AT_ONCE):
+                b = batch.slice(at, PAGES_AT_ONCE)
+                yield pa.RecordBatch.from_arrays([b.column("url"), pa.array([detail_text(x, main) for x in b.column("body").to_pylist()], pa.string())], ["_url", "_text"])
 
-    pages = details.select("url", "body").mapInArrow(run, "_url string, _text string").dropDuplicates(["_url"])
+    # whole texts: their plan looks small, so the join is told not to broadcast, and the parts not to be merged
+    tasks = int(details.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pages = details.select("url", "body").mapInArrow(run, "_url string, _text string").repartition(tasks, "_url").dropDuplicates(["_url"]).hint("merge")
     if most is not None:
         pages = pages.join(postings.select("url").distinct().orderBy("url").limit(most), F.col("_url") == F.col("url"), "left_semi")
-    d = postings.join(pages, F.col("url") == F.col("_url"), "left").withColumn("_pay", parse_salary(F.col("_text")))
+    d = postings.join(pages, F.col("url") == F.col("_url"), "left").withColumn("_pay", F.when(F.col("salaryMin").isNull(), parse_salary(F.col("_text"))))
     more = F.coalesce(F.length("_text") > F.length("description"), F.lit(False))
     paid = F.col("salaryMin").isNull() & F.col("_pay.lo").isNotNull()
     d = d.withColumns({"description": F.when(more, F.substring("_text", 1, most_chars) if most_chars else F.col("_text")).otherwise(F.col("description")), **{c: F.when(paid, F.col(f"_pay.{k}")).otherwise(F.col(c)) for c, k in (("salaryMin", "lo"), ("salaryMax", "hi"), ("salaryText", "text"))}})

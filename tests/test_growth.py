@@ -1,8 +1,14 @@
 """Cases that show only on larger tables, made small."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from millrace.operators import places
+from millrace.plans import composed
+from millrace.sources import boards, landed
+
+from .conftest import SF
 
 
 def against_sql(spark, tables, name):
@@ -22,3 +28,12 @@ def test_chosen_with_part_numbers_of_seven_digits(spark, tmp_path):
     got, want, cols = against_sql(spark, tmp_path, "o9_15_chosen")
     assert cols == ["doc_id", "rank"] and len(want) == 2
     assert [g.replace("Row(doc_id=", "(").replace("rank=", "") for g in got] == want
+
+
+def test_whole_detail_texts_are_not_broadcast(spark):
+    postings = spark.createDataFrame([("https://b.example/1", "t", "short", "c", None, None, "")], "url string, title string, description string, category string, salaryMin int, salaryMax int, salaryText string")
+    pages = spark.createDataFrame([("https://b.example/1", "<body><p>" + "long " * 5_000 + "</p><p>Tk 20,000</p></body>")] * 2, "url string, body string")
+    more = boards.with_details(postings, pages, "div.job", most_chars=None)
+    assert "Broadcast" not in more._jdf.queryExecution().executedPlan().toString()
+    r = more.collect()
+    assert len(r) == 1 and len(r[0]["description"]) > 24_000 and r[0]["salaryMin"] == 20_000
