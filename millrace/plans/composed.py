@@ -34,8 +34,10 @@ def said(*parts) -> Column:
 
 
 def parts(spark, sf_dir) -> DataFrame:
-    """Parts; ``k`` is 10 to 59, by size."""
-    return read(spark, sf_dir, "part").withColumn("k", F.col("p_size") + 9)
+    """Parts, dealt out to all tasks (a file of narrow rows is one split, and a text made of a row is much work);
+    ``k`` is 10 to 59, by size."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return read(spark, sf_dir, "part").repartition(tasks, "p_partkey").withColumn("k", F.col("p_size") + 9)
 
 
 _PARTS = "(SELECT *, p_size + 9 AS k FROM part)"

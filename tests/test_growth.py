@@ -37,3 +37,8 @@ def test_whole_detail_texts_are_not_broadcast(spark):
     assert "Broadcast" not in more._jdf.queryExecution().executedPlan().toString()
     r = more.collect()
     assert len(r) == 1 and len(r[0]["description"]) > 24_000 and r[0]["salaryMin"] == 20_000
+
+
+def test_parts_are_dealt_to_all_tasks(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert n > 1 and composed.parts(spark, SF).rdd.getNumPartitions() == n
