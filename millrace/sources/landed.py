@@ -204,11 +204,11 @@ def wordpress(payloads: DataFrame, as_of: Column, label: str = "Board", queries:
 ROLE_WORDS = r"(?i)\b(engineer|developer|officer|executive|analyst|manager|trainee|intern|specialist|designer|assistant|coordinator|lead|tester|administrator)\b"
 
 
-def anchors(pages: DataFrame, body: str = "html") -> DataFrame:
-    """(url, html) -> (url, n, href, text): anchors in page order."""
+def anchors(pages: DataFrame, body: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(url, html) -> (url, n, href, text): anchors in page order, with other columns to ``keep``."""
     found = F.regexp_extract_all(body, F.lit(r"(?is)<a\b[^>]*?href=[\"']([^\"']+)[\"'][^>]*>.*?</a>"), F.lit(0))
-    a = pages.select("url", F.posexplode(found).alias("n", "a"))
-    return a.select("url", "n", F.regexp_extract("a", r"(?i)href=[\"']([^\"']+)", 1).alias("href"), strip_html(F.col("a")).alias("text"))
+    a = pages.select("url", *keep, F.posexplode(found).alias("n", "a"))
+    return a.select("url", *keep, "n", F.regexp_extract("a", r"(?i)href=[\"']([^\"']+)", 1).alias("href"), strip_html(F.col("a")).alias("text"))
 
 
 def job_links(links: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def mail_alerts(mails: DataFrame, as_of: Column, pattern: str, label: str = "Mai
     if most_messages is not None:
         parts = parts.orderBy(F.desc_nulls_last(sent), F.desc("path")).limit(most_messages)
     body = parts.select(F.col("path").alias("url"), F.col("body").alias("html"), F.filter(F.split(strip_html(F.col("body")), "\n"), lambda x: ~x.rlike(noise)).alias("lines"))
-    a = anchors(body).where(F.col("href").rlike(pattern) & ~F.col("text").rlike(noise) & (F.length("text") >= 4)).join(body.select("url", "lines"), "url")
+    a = anchors(body, keep=("lines",)).where(F.col("href").rlike(pattern) & ~F.col("text").rlike(noise) & (F.length("text") >= 4))
     at = F.array_position("lines", F.col("text"))
     a = a.withColumns({"company": F.coalesce(F.get("lines", at.cast("int")), F.lit("Unknown company")), "place": F.coalesce(F.get(F.filter(F.slice("lines", at.cast("int") + 2, 2), lambda x: x.rlike(r"(?i)dhaka|bangladesh|remote|,")), F.lit(0)), F.lit(""))}).where("text <> ''")
     a = a.withColumn("link", F.regexp_replace("href", r"\?.*$", "")).dropDuplicates(["link"])

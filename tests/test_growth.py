@@ -42,3 +42,11 @@ def test_whole_detail_texts_are_not_broadcast(spark):
 def test_parts_are_dealt_to_all_tasks(spark):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert n > 1 and composed.parts(spark, SF).rdd.getNumPartitions() == n
+
+
+def test_a_mail_is_read_once(spark):
+    mail = "Subject: a\nContent-Type: text/html\n\n<p><a href='https://b.example/job/{0}'>Engineer {0}</a></p><p>Firm {0}</p><p>Banani, Dhaka</p>"
+    mails = spark.createDataFrame([("box", mail.format(k).encode()) for k in "xy"], "path string, content binary")
+    found = landed.mail_alerts(mails, F.lit("2026-10-10").cast("date"), "/job/")
+    assert {(r["title"], r["company"]) for r in found.collect()} == {("Engineer x", "Firm x"), ("Engineer y", "Firm y")}
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
