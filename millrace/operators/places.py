@@ -3,7 +3,7 @@
 Latitude is cut into bands as high as the radius, each band into cells at least as wide as the
 radius is there.  A posting lies in one cell; a home is filed under the cells its radius reaches, in
 three bands at most, few each (towards the poles a band has few cells, and one at the pole itself).
-They meet by an equality join, and the exact distance decides.
+They meet by an equality join, a crowded cell's postings in parts, and the exact distance decides.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from ..functions.parse import haversine_km
 
 #: Distances are rounded to one decimal, so that much more may still be within a radius.
 ROUNDING = 0.05
+#: Postings of a cell that one task compares with the homes there, about.
+MOST_IN_PART = 2_048
 
 
 def _band(lat: Column, height: float) -> Column:
@@ -59,5 +61,11 @@ def within_km(postings: DataFrame, homes: DataFrame, km: float, post_id: str = "
     first, last = _column(F.col("lon") - wide, cells), _column(F.col("lon") + wide, cells)
     h = h.withColumn("cell", F.explode(F.array_distinct(F.transform(F.sequence(first, F.least(last, first + cells - 1)), lambda c: F.pmod(c, cells)))))
     d = haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
-    met = p.join(h, ["band", "cell"]).withColumn("km", d).where(F.col("km") <= km)
+    # a crowded cell is cut into parts of its postings, each of which meets all homes filed there
+    tasks = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    crowd = p.groupBy("band", "cell").agg(F.ceil(F.count("*") / MOST_IN_PART).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    p = p.join(crowd, ["band", "cell"], "left").withColumn("part", F.pmod(F.xxhash64("_post"), parts).cast("int")).drop("parts").repartition(tasks, "band", "cell", "part")
+    h = h.join(crowd, ["band", "cell"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    met = p.join(h, ["band", "cell", "part"]).withColumn("km", d).where(F.col("km") <= km)
     return met.select(F.col("_home").alias(home_id), F.col("_post").alias(post_id), "km")

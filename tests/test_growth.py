@@ -50,3 +50,11 @@ def test_a_mail_is_read_once(spark):
     found = landed.mail_alerts(mails, F.lit("2026-10-10").cast("date"), "/job/")
     assert {(r["title"], r["company"]) for r in found.collect()} == {("Engineer x", "Firm x"), ("Engineer y", "Firm y")}
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_crowded_cell_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(places, "MOST_IN_PART", 2)
+    posts = spark.createDataFrame([(i, 89.0 + i / 100, i * 7.0 - 170) for i in range(50)] + [(99, 0.0, 0.0)], "seq long, lat double, lon double")
+    homes = spark.createDataFrame([(1, 89.9, 10.0), (2, 0.1, 0.1), (3, -50.0, 3.0)], "home long, lat double, lon double")
+    got = [(r["home"], r["seq"]) for r in places.within_km(posts, homes, 500).collect()]
+    assert sorted(got) == [(1, i) for i in range(50)] + [(2, 99)]
