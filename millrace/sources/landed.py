@@ -13,7 +13,7 @@ from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -160,8 +160,7 @@ def ld_location(v: Column) -> Column:
 def jsonld(payloads: DataFrame, as_of: Column, label: str = "Web", queries: list[str] | None = None, max_age_days: int | None = None, place: str = "Dhaka, Bangladesh", ignore_deadline: bool = False) -> DataFrame:
     """JobPosting items of pages; an item without url takes the page's where it is the only one."""
     items = ld_blocks(payloads)
-    single = items.groupBy(F.col("url").alias("page")).agg(F.count("*").alias("n"))
-    r = items.join(single, items["url"] == single["page"])
+    r = items.where("url IS NOT NULL").withColumnRenamed("url", "page").withColumn("n", F.count("*").over(Window.partitionBy("page")))
     j = lambda p: F.coalesce(F.get_json_object("item", p), F.lit(""))
     own = F.when(j("$.url").rlike("^https?://"), j("$.url")).when(F.col("n") == 1, F.col("page"))
     firm = F.when(j("$.hiringOrganization.name") != "", j("$.hiringOrganization.name")).otherwise(j("$.hiringOrganization"))
