@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,9 @@ BITS_EACH, MOST_BITS = 16, 1 << 27
 HOT_ROWS, HOT_RUNS = 10_000, 10_000
 WORD = "[a-z0-9+#]+"
 #: Words a task remembers the hashes of.
-MOST_WORDS = 500_000
+MOST_WORDS = 200_000
+#: Bytes of text that are cut into words, and handed on with their runs, at a time.
+MOST_BYTES = 4 << 20
 _STEP, _ALL = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
 
 
@@ -114,6 +117,15 @@ def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return hit
 
 
+def _cuts(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``most`` bytes together, of a row at least."""
+    ends, start = np.cumsum(size), 0
+    while start < len(size):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield start, end
+        start = end
+
+
 def runs_found(rows: DataFrame, text: str, phrases: DataFrame, word: str = WORD, plural: bool = False) -> DataFrame:
     """``rows`` once for each distinct run of words of ``text`` (lower case) that may be a phrase, with ``run``."""
     bits = rows.sparkSession.sparkContext.broadcast(filter_bits(phrases))
@@ -122,7 +134,7 @@ def runs_found(rows: DataFrame, text: str, phrases: DataFrame, word: str = WORD,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for batch in batches:
+        for batch in (b.slice(i, j - i) for b in batches for i, j in _cuts(sizes(b), MOST_BYTES)):
             if len(words.hashes) > MOST_WORDS:
                 words = Words()
             texts = [re.findall(word, t.lower()) if t else [] for t in batch.column(place).to_pylist()]
@@ -135,7 +147,12 @@ def runs_found(rows: DataFrame, text: str, phrases: DataFrame, word: str = WORD,
             order = np.lexsort((h, i))
             i, h = i[order], h[order]
             first = np.append(True, (i[1:] != i[:-1]) | (h[1:] != h[:-1])) if len(i) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(i[first])).columns, pa.array(h[first].view(np.int64))], names)
+            i, h = i[first], h[first].view(np.int64)
+            for m, n in _cuts(sizes(batch)[i], MOST_BYTES):  # a text goes out once a run
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(i[m:n])).columns, pa.array(h[m:n])], names)
+
+    def sizes(batch: pa.RecordBatch) -> np.ndarray:
+        return pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
 
     names = [*rows.columns, "run"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["run bigint"])

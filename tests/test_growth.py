@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from millrace.operators import places
+from millrace.operators import phrases, places
 from millrace.plans import composed
 from millrace.sources import boards, landed
 
@@ -58,3 +58,13 @@ def test_crowded_cell_in_parts(spark, monkeypatch):
     homes = spark.createDataFrame([(1, 89.9, 10.0), (2, 0.1, 0.1), (3, -50.0, 3.0)], "home long, lat double, lon double")
     got = [(r["home"], r["seq"]) for r in places.within_km(posts, homes, 500).collect()]
     assert sorted(got) == [(1, i) for i in range(50)] + [(2, 99)]
+
+
+def test_runs_of_long_texts_go_out_in_small_batches(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "amber hill " * 3_000), (2, "blue lake amber hill"), (3, None)], "id long, t string")
+    names = spark.createDataFrame([("amber hill",), ("hill amber",), ("blue lake",)], "name string")
+    p = phrases.with_hash(names, F.col("name"))
+    monkeypatch.setattr(phrases, "MOST_BYTES", 1_000)
+    got = phrases.runs_found(rows, "t", p)
+    assert sorted(r["id"] for r in got.select("id").collect()) == [1, 1, 2, 2]
+    assert list(phrases._cuts(phrases.np.array([600, 600, 5_000, 10, 20]), 1_000)) == [(0, 1), (1, 2), (2, 3), (3, 5)]
