@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import canonical_url, fingerprint, jaccard, normalize_company, normalize_title, slug, slug_tokens
+from ..functions.text import canonical_url, fingerprint, normalize_company, normalize_title, slug, slug_tokens
 from . import near
 from .graph import components, materialise
 
@@ -70,16 +70,8 @@ def title_nodes(keyed: DataFrame) -> DataFrame:
 
 
 def title_edges(titles: DataFrame, threshold: float = fixed.TITLE_JACCARD) -> DataFrame:
-    """(a, b, jaccard), all pairs of titles of one company at or over the threshold.  Such titles
-    share one of their rarest tokens (as many as may be missing, and one), so these are joined on."""
-    ranked = near.by_rarity(titles.withColumnRenamed("seq", "node")).withColumnRenamed("node", "seq")
-    need = F.size("ranked") - F.ceil(F.size("ranked") * F.lit(threshold) - 1e-9) + 1
-    t = titles.join(ranked, "seq").select("seq", "norm_company", "tokens", F.explode(F.slice("ranked", F.lit(1), need.cast("int"))).alias("key"))
-    u = t.select(*[F.col(c).alias(f"{c}2") for c in t.columns])
-    same = (F.col("norm_company") == F.col("norm_company2")) & (F.col("key") == F.col("key2")) & (F.col("seq") < F.col("seq2"))
-    fits = F.least(F.size("tokens"), F.size("tokens2")) >= F.greatest(F.size("tokens"), F.size("tokens2")) * threshold - 1e-9
-    j = jaccard(F.col("tokens"), F.col("tokens2"))
-    return t.join(u, same & fits & (j >= threshold)).select(F.col("seq").alias("a"), F.col("seq2").alias("b"), j.alias("jaccard")).distinct()
+    """(a, b, jaccard), all pairs of titles of one company at or over the threshold, each once."""
+    return near.close_pairs(titles.where("norm_company IS NOT NULL").withColumnRenamed("seq", "node"), ["norm_company"], threshold)
 
 
 def title_links(titles: DataFrame, threshold: float = fixed.TITLE_JACCARD) -> DataFrame:

@@ -20,15 +20,15 @@ from pyspark.sql import functions as F
 from .graph import materialise
 
 BLOCK = 512
-#: Tokens counted at once when sets are compared.
-STRIP = 4096
+#: Tokens counted at once when sets are compared, and when pairs of them are.
+STRIP, MOST_TOKENS = 4096, 1 << 20
 #: Keys with up to so many rows are compared pair by pair, many keys at once.
 SMALL = 16
 
 #: Which rows of a table are linked: a symmetric matrix.
 Near = Callable[[pa.Table], np.ndarray]
-#: Which of the pairs (i, j) of a batch's rows are.
-Pairs = Callable[[pa.RecordBatch, np.ndarray, np.ndarray], np.ndarray]
+#: Which of the pairs (i, j) of a batch's rows are, or how like they are (0: no link).
+Pairs = Callable[[pa.RecordBatch | pa.Table, np.ndarray, np.ndarray], np.ndarray]
 
 
 def variant_keys(signature: Column, distance: int) -> Column:
@@ -61,16 +61,30 @@ def _forest(node: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([*a, node[:0]]), np.concatenate([*b, node[:0]])
 
 
-def _edges(t: pa.Table, near: Near) -> tuple[np.ndarray, np.ndarray]:
+def _linked(t: pa.Table, near: Near) -> np.ndarray:
     linked = near(t)
     if "part" in t.column_names:  # two blocks of a hot key; within a block its rows are compared elsewhere
         part = t.column("part").to_numpy()
-        if (part != part[0]).any():
+        if part[0] != t.column("other")[0].as_py():
             linked = linked & (part[:, None] != part[None, :])
-    a, b = _forest(t.column("node").to_numpy(), linked)
+    return linked
+
+
+def _edges(t: pa.Table, near: Near, pairs: Pairs | None = None) -> tuple[np.ndarray, ...]:
+    """A spanning forest of a table's links; with ``pairs`` all of them, and how like they are."""
+    linked, node = _linked(t, near), t.column("node").to_numpy()
+    if pairs:
+        i, j = np.nonzero(np.triu(linked, 1))
+        return _scored(node, i, j, pairs(t, i, j))
+    a, b = _forest(node, linked)
     return a[a != b], b[a != b]
 
 
+def _scored(node: np.ndarray, i: np.ndarray, j: np.ndarray, like: np.ndarray) -> tuple[np.ndarray, ...]:
+    i, j, like = i[like > 0], j[like > 0], like[like > 0].astype(np.float64)
+    return np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), like
+
+
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bounds of the runs of equal keys, and which of them are small and end within the batch."""
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
@@ -79,16 +93,15 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge, small
 
 
-def _small_edges(batch: pa.RecordBatch, key: str, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the small runs of a sorted batch."""
+def _small_edges(batch: pa.RecordBatch, key: str, pairs: Pairs) -> tuple[np.ndarray, ...]:
+    """Links within the small runs of a sorted batch, and how like their ends are."""
     edge, small = _runs(batch.column(key).to_numpy())
     size, node = np.diff(edge), batch.column("node").to_numpy()
     run, small = np.repeat(np.arange(len(size)), size), np.repeat(small, size)
     both = [(at, at + k) for k in range(1, SMALL) for at in [np.flatnonzero(small[:-k] & (run[:-k] == run[k:]))]]
     i, j = (np.concatenate(x) for x in zip(*both, strict=True))
     i, j = i[node[i] != node[j]], j[node[i] != node[j]]
-    hit = pairs(batch, i, j) if len(i) else np.zeros(0, bool)
-    return node[i[hit]], node[j[hit]]
+    return _scored(node, i, j, pairs(batch, i, j) if len(i) else np.zeros(0))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str, most: int, small_too: bool = True) -> Iterator[tuple[int, int, pa.Table | None]]:
@@ -128,25 +141,27 @@ def _fresh_pairs(pairs: Pairs) -> Pairs:
     return masked
 
 
-def links(keyed: DataFrame, near: Near, pairs: Pairs, block: int | None = None) -> DataFrame:
+def links(keyed: DataFrame, near: Near, pairs: Pairs, block: int | None = None, every: bool = False) -> DataFrame:
     """(key long, node long, more columns; distinct rows) -> edges (a, b) that span what ``near``, and
     ``pairs`` alike, links among the rows of each key.
 
     With a boolean column ``fresh`` only links with a fresh row are sought: keys without one are left
-    out before the shuffle.
+    out before the shuffle.  ``every``: all links instead, as (a, b, jaccard), a < b, with what ``pairs`` gives.
     """
     block = block or BLOCK
     if "fresh" in keyed.columns:
         keyed, near, pairs = keyed.join(keyed.where("fresh").select("key").distinct(), "key", "left_semi"), _fresh_near(near), _fresh_pairs(pairs)
     tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "hot", "n")])
+    kinds = {"a": pa.int64(), "b": pa.int64(), "jaccard": pa.float64()} if every else {"a": pa.int64(), "b": pa.int64()}
+    told = "a bigint, b bigint" + ", jaccard double" * every
+    schema = pa.schema([*kinds.items(), ("hot", pa.int64()), ("n", pa.int64())])
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            none = pa.nulls(len(a), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none], schema=schema)
+        def out(*found: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(len(found[0]), pa.int64())
+            return pa.RecordBatch.from_arrays([*map(pa.array, found[: len(kinds)]), none, none], schema=schema)
 
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = []
 
         def watched() -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -156,23 +171,22 @@ def links(keyed: DataFrame, near: Near, pairs: Pairs, block: int | None = None)
 
         for key, n, t in _groups(watched(), "key", block, False):
             yield from (out(*found.pop()) for _ in range(len(found)))
-            yield pa.RecordBatch.from_pylist([{"hot": int(key), "n": n}], schema) if t is None else out(*_edges(t, near))
+            yield pa.RecordBatch.from_pylist([{"hot": int(key), "n": n}], schema) if t is None else out(*_edges(t, near, pairs if every else None))
         yield from (out(*f) for f in found)
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, t in _groups(batches, "tile", 1 << 31):  # two blocks, of about a size by hash
-            a, b = _edges(t, near)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, _edges(t, near, pairs if every else None))], list(kinds))
 
     by_key = keyed.repartition(tasks, "key").sortWithinPartitions("key")
-    found = materialise(by_key.mapInArrow(once, "a bigint, b bigint, hot bigint, n bigint"), "links")
-    edges, hot = found.where("hot is null").select("a", "b"), found.where("hot is not null").select(F.col("hot").alias("key"), "n")
+    found = materialise(by_key.mapInArrow(once, f"{told}, hot bigint, n bigint"), "links")
+    edges, hot = found.where("hot is null").select(*kinds), found.where("hot is not null").select(F.col("hot").alias("key"), "n")
     if hot.isEmpty():
         return edges
     met = keyed.join(hot, "key").withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("part", F.pmod(F.xxhash64(*keyed.columns), F.col("blocks")))
     met = met.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    met = met.withColumn("tile", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))).drop("blocks", "other", "n", "key")
-    return edges.unionByName(met.repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(tile, "a bigint, b bigint"))
+    met = met.withColumn("tile", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))).drop("blocks", "n", "key")
+    return edges.unionByName(met.repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(tile, told))
 
 
 def _fresh(rows: DataFrame) -> list[str]:
@@ -211,36 +225,53 @@ def _overlaps(tokens: pa.ListArray, rows: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)  # exact: counts stay below 2^24
 
 
-def _fits(own: tuple, at: tuple, n: tuple, threshold: float) -> np.ndarray:
-    """Whether two sets, met by a token at ``at`` of their orders, can be close by what lengths and places
-    (positional filter) say: no more can be shared than the lesser part before it and from it on."""
+def _fits(at: tuple, n: tuple, threshold: float) -> np.ndarray:
+    """Whether two sets, met by the first token they share, at ``at`` of their orders, can be close by what lengths and
+    places (positional filter) say: no more can be shared than the lesser part from it on."""
     need = np.ceil(threshold / (1 + threshold) * (n[0] + n[1]) - 1e-9)
-    most = np.minimum(n[0] - at[0], n[1] - at[1]) + np.minimum(at[0], at[1])
-    return (own[0] == own[1]) & (np.minimum(n[0], n[1]) >= threshold * np.maximum(n[0], n[1]) - 1e-9) & (most >= need)
-
-
-def close_pairs(t: pa.RecordBatch, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of the pairs (i, j) of rows have a Jaccard similarity of ``threshold`` or more."""
-    tokens, n = t.column("tokens"), t.column("tokens").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    own, at = t.column("own").to_numpy(), t.column("at").to_numpy()
-    hit = _fits((own[i], own[j]), (at[i], at[j]), (n[i], n[j]), threshold)
-    left = np.flatnonzero(hit)
-    if len(left):  # tokens of both sides by pair: those that stand twice are shared
-        sides = np.concatenate([i[left], j[left]])
-        pair = np.repeat(np.tile(np.arange(len(left)), 2), n[sides])
-        token = tokens.take(pa.array(sides)).flatten().to_numpy()
-        order = np.lexsort((token, pair))
-        token, pair = token[order], pair[order]
-        both = np.bincount(pair[1:][(token[1:] == token[:-1]) & (pair[1:] == pair[:-1])], minlength=len(left))
-        hit[left] = both / (n[i[left]] + n[j[left]] - both) >= threshold
-    return hit
+    return (np.minimum(n[0], n[1]) >= threshold * np.maximum(n[0], n[1]) - 1e-9) & (np.minimum(n[0] - at[0], n[1] - at[1]) >= need)
+
+
+def similarity(t: pa.RecordBatch | pa.Table, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """The Jaccard similarity of the pairs (i, j) of rows where it is ``threshold`` or more and they met by the first
+    token they share (so that of all keys one finds a pair), else 0."""
+    tokens = t.column("tokens")
+    tokens = tokens.combine_chunks() if isinstance(tokens, pa.ChunkedArray) else tokens
+    n, at = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), t.column("at").to_numpy()
+    out = np.zeros(len(i))
+    left = np.flatnonzero(_fits((at[i], at[j]), (n[i], n[j]), threshold))
+    ends = np.cumsum(n[i[left]] + n[j[left]])
+    for lo, hi in _strips(ends, MOST_TOKENS):
+        own = left[lo:hi]  # tokens of both sides by pair: those that stand twice are shared
+        sides, m = np.concatenate([i[own], j[own]]), len(own)
+        pair, token = np.repeat(np.tile(np.arange(m), 2), n[sides]), tokens.take(pa.array(sides)).flatten().to_numpy()
+        place = np.arange(len(token)) - np.repeat(np.cumsum(n[sides]) - n[sides], n[sides])
+        order = np.lexsort((token, pair))  # stable: of two equal tokens the first side's comes first
+        token, pair, place = token[order], pair[order], place[order]
+        twice = np.flatnonzero((token[1:] == token[:-1]) & (pair[1:] == pair[:-1]))
+        both, first = np.bincount(pair[twice], minlength=m), np.full(m, -1)
+        some = np.flatnonzero(both)
+        if len(some):
+            first[some] = np.minimum.reduceat(place[twice], (np.cumsum(both) - both)[some])
+        like = both / (n[i[own]] + n[j[own]] - both)
+        out[own] = np.where((like >= threshold) & (first == at[i[own]]), like, 0)
+    return out
+
+
+def _strips(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of items of about ``most`` in all, one at least; ``ends``: their sizes summed up."""
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
 
 
 def close_sets(t: pa.Table, threshold: float) -> np.ndarray:
-    """The same for all pairs of a table; sets that fit with nobody are not counted."""
+    """Which pairs of a table's rows are close; sets that fit with nobody are not counted."""
     tokens = t.column("tokens").combine_chunks()
-    n = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    fits = _fits(*((x[:, None], x[None, :]) for x in (t.column("own").to_numpy(), t.column("at").to_numpy(), n)), threshold)
+    n, at = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), t.column("at").to_numpy()
+    fits = _fits((at[:, None], at[None, :]), (n[:, None], n[None, :]), threshold)
     np.fill_diagonal(fits, False)
     rows = np.flatnonzero(fits.any(0))
     out = np.zeros_like(fits)
@@ -250,24 +281,40 @@ def close_sets(t: pa.Table, threshold: float) -> np.ndarray:
     return out & fits
 
 
-def by_rarity(sets: DataFrame) -> DataFrame:
-    """(node, tokens) -> (node, ranked): a set's tokens as 64-bit hashes, those that the fewest sets hold first."""
-    each = sets.select("node", F.explode("tokens").alias("token"))
+def by_rarity(sets: DataFrame, by: list[str]) -> DataFrame:
+    """(``by``..., node, tokens) -> (node, ranked): a set's tokens, those first that the fewest sets alike in ``by`` hold;
+    (n: how many, token: a 64-bit hash of ``by`` and the token)."""
+    each = sets.select("node", F.xxhash64(*by).alias("own"), F.explode("tokens").alias("t")).select("node", F.xxhash64("own", "t").alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("n"))
     # a set's own tokens
-    order = each.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("r"))
-    return order.select("node", F.transform("r", lambda x: F.xxhash64(x["token"])).alias("ranked"))
+    return each.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ranked"))
+
+
+def filed(sets: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """(``by``..., node, tokens: distinct strings; perhaps fresh) -> (node, tokens, at, key; perhaps fresh): sets under their
+    rarest tokens (prefix filter), which are at ``at`` of ``tokens``.
+
+    Of two close sets each has one of its rarest tokens (as many as may be missing, and one) in the other.
+    Tokens that no other set has are no key.
+    """
+    fresh = _fresh(sets)
+    t = by_rarity(sets, by)
+    t = t.join(sets.select("node", *fresh), "node") if fresh else t
+    prefix = F.size("ranked") - F.ceil(F.size("ranked") * F.lit(threshold) - 1e-9) + 1
+    first = F.posexplode(F.slice("ranked", F.lit(1), prefix.cast("int"))).alias("at", "k")
+    keyed = t.select("node", F.col("ranked.token").alias("tokens"), *fresh, first)
+    return keyed.where("k.n > 1").select("node", "tokens", *fresh, "at", F.col("k.token").alias("key"))
 
 
 def linked_sets(sets: DataFrame, by: list[str], threshold: float, block: int | None = None) -> DataFrame:
     """(``by``..., node, tokens: distinct strings; perhaps fresh) -> edges (a, b) that span the links of nodes alike in ``by``
     whose token sets have a Jaccard similarity of ``threshold`` or more.
 
-    Of two such sets each has one of its rarest tokens (as many as may be missing, and one) in the
-    other, so sets are filed under these (prefix filter).  Sets alike should come as one node.
-    Tokens are told apart by 64-bit hashes.
+    Sets alike should come as one node.  Tokens are told apart by 64-bit hashes.
     """
-    t = sets.join(by_rarity(sets), "node").select(F.xxhash64(*by).alias("own"), "node", F.col("ranked").alias("tokens"), *_fresh(sets))
-    prefix = F.size("tokens") - F.ceil(F.size("tokens") * F.lit(threshold) - 1e-9) + 1
-    keyed = t.select("own", "node", "tokens", *_fresh(sets), F.posexplode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("at", "key"))
-    return links(keyed.withColumn("key", F.xxhash64("own", "key")), lambda g: close_sets(g, threshold), lambda g, i, j: close_pairs(g, i, j, threshold), block)
+    return links(filed(sets, by, threshold), lambda g: close_sets(g, threshold), lambda g, i, j: similarity(g, i, j, threshold) > 0, block)
+
+
+def close_pairs(sets: DataFrame, by: list[str], threshold: float, block: int | None = None) -> DataFrame:
+    """The same, every such pair once: (a, b, jaccard), a < b.  Pairs are never shuffled."""
+    return links(filed(sets, by, threshold), lambda g: close_sets(g, threshold), lambda g, i, j: similarity(g, i, j, threshold), block, every=True)

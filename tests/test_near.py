@@ -39,6 +39,28 @@ def test_linked_sets_against_all_pairs(spark, block, threshold):
     assert roots(nodes, got) == roots(nodes, want)  # a forest's edge need not be a link
 
 
+@pytest.mark.parametrize("block", [None, 3, 40])
+def test_close_pairs_once_each(spark, monkeypatch, block):
+    monkeypatch.setattr(near, "MOST_TOKENS", 50)
+    rng = random.Random(5)
+    rows = {(rng.choice(["x", "y", None]), tuple(sorted(rng.sample([f"w{i}" for i in range(14)], rng.randint(1, 9))))) for _ in range(260)}
+    rows = [(c, i, list(t)) for i, (c, t) in enumerate(sorted(rows, key=repr))]
+    j = lambda p, q: len(set(p[2]) & set(q[2])) / len(set(p[2]) | set(q[2]))
+    want = [(p[1], q[1], j(p, q)) for p, q in itertools.combinations(rows, 2) if p[0] == q[0] and j(p, q) >= 0.5]
+    got = near.close_pairs(spark.createDataFrame(rows, SETS).withColumn("c", F.coalesce("c", F.lit("z"))), ["c"], 0.5, block)
+    assert sorted(map(tuple, got.collect())) == want
+    titles = spark.createDataFrame(rows, SETS).toDF("norm_company", "seq", "tokens")
+    edges = dedupe.title_edges(titles, 0.5)
+    assert sorted(map(tuple, edges.collect())) == [w for w in want if rows[w[0]][0]]
+    assert "Exchange" not in edges._jdf.queryExecution().executedPlan().toString()  # pairs are not shuffled
+
+
+def test_tokens_that_no_other_has_are_no_keys(spark):
+    rows = [("x", i, ["common", f"lone{i}", f"own{i}"]) for i in range(5)] + [("y", 9, ["common", "lone1"])]
+    assert near.filed(spark.createDataFrame(rows, SETS), ["c"], 0.5).count() == 0
+    assert near.filed(spark.createDataFrame([*rows, ("y", 10, ["lone1"])], SETS), ["c"], 0.5).count() == 2
+
+
 def test_sets_of_many_tokens_are_counted_by_strips(spark, monkeypatch):
     monkeypatch.setattr(near, "STRIP", 7)
     rows = [("x", i, [f"t{j}" for j in range(i, 60 + i)]) for i in range(0, 60, 5)]
