@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache, partial
@@ -104,8 +105,21 @@ def strip_accents(c: Column) -> Column:
 
 def slug(c: Column, full: bool = False) -> Column:
     """Lower case without marks (``full``: of any script); only ``a-z 0-9 + # . /`` and single spaces."""
-    bare = (strip_all_accents if full else strip_accents)(F.lower(text_or_empty(c)))
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, "[^a-z0-9+#./ ]", " "), " +", " "))
+    low = F.lower(text_or_empty(c))
+    # marks are taken off letter by letter, so only where there may be any
+    bare = strip_all_accents(low) if full else F.when(low.rlike(r"[^\x00-\x7F]"), strip_accents(low)).otherwise(low)
+    return F.trim(F.regexp_replace(bare, "[^a-z0-9+#./]+", " "))
+
+
+@lru_cache(1)
+def _bare_table() -> dict[str, str]:
+    return dict(zip(*accent_table(), strict=True)) | dict.fromkeys(map(chr, range(0x300, 0x370)), "")
+
+
+def slug_words(low: str, longer_than: int = 2) -> list[bytes]:
+    """The words of a text's slug over a length, in Python; the text is in lower case."""
+    bare = low if low.isascii() else re.sub("[^\x00-\x7f]", lambda m: _bare_table().get(m[0], " "), low)
+    return re.findall(rb"[a-z0-9+#./]{%d,}" % (longer_than + 1), bare.encode("ascii", "replace"))
 
 
 def lookup(table: dict[str, str], c: Column) -> Column:

@@ -13,17 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import canonical_url, fingerprint, normalize_company, normalize_title, slug, slug_tokens
+from ..functions.text import canonical_url, fingerprint, normalize_company, normalize_title, slug_tokens, slug_words, text_or_empty
 from . import near
 from .graph import components, materialise
 
 
-def _signature(slugged: str) -> int:
-    words = [w for w in slugged.split(" ") if len(w) > 2]
+def _signature(low: str) -> int:
+    words = slug_words(low)
     if not words:
         return 0
     n = max(1, len(words) - 2)
-    halves = b"".join([md5(" ".join(words[i : i + 3]).encode()).digest()[8:] for i in range(n)])
+    halves = b"".join([md5(b" ".join(words[i : i + 3])).digest()[8:] for i in range(n)])
     ones = np.unpackbits(np.frombuffer(halves, np.uint8).reshape(n, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
 
@@ -32,14 +32,14 @@ def simhash(text: Column) -> Column:
     """64-bit signature of three-word shingles (words over two characters), as a long.
 
     The low half of each shingle's MD5 votes on every bit; a tie is 0, no words give 0.  Votes
-    are counted in numpy, a batch of texts at a time.
+    are counted in numpy, a batch of texts at a time, and the slug is cut in the same pass.
     """
 
     @F.pandas_udf("bigint")
     def run(s):
         return s.map(_signature)
 
-    return run(slug(text))
+    return run(F.lower(text_or_empty(text)))
 
 
 def canonical(postings: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import parse, text
-from millrace.operators import keywords
+from millrace.operators import dedupe, keywords
 
 
 def each(spark, values, fn):
@@ -76,3 +76,12 @@ def test_salary_suggestion(spark):
     df = spark.createDataFrame([(25000, 50000, 30000), (40000, 50000, 30000), (20000, 25000, 30000), (None, None, 30000)], "a int, b int, e int")
     got = [tuple(r[0]) for r in df.select(keywords.suggest_salary(F.col("a"), F.col("b"), F.col("e"))).collect()]
     assert got == [("inside", 30000), ("inside", 40000), ("below", 30000), ("anchor", 30000)]
+
+
+def test_words_of_a_slug_as_the_slug_has_them(spark):
+    texts = ["Crème-brûlée  C++/C# v2.0", "été\u0301 I\u0307stanbul \u0130zmir Œuvre ße", "a/b .. 日本 x\u00a0yz naïve\tﬁn", "", " - ", None, "Straße ĲSSEL 1ª"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(text.slug(F.col("t")).alias("s"), F.lower(text.text_or_empty(F.col("t"))).alias("low"))
+    for r in df.collect():
+        assert [w.decode() for w in text.slug_words(r["low"])] == [w for w in r["s"].split(" ") if len(w) > 2]
+    plan = df.select(dedupe.simhash(F.col("low")))._jdf.queryExecution().executedPlan().toString()
+    assert "translate" not in plan  # texts are not walked letter by letter
