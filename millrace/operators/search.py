@@ -19,13 +19,46 @@ from ..functions.text import text_or_empty
 
 #: Ids of one block: so many consecutive ones, which bounds a list.
 BLOCK_IDS = 1 << 16
+#: Places (id, trigram) sorted at once, and bytes of a text read at once: tens of MB a worker.
+MOST_HELD, PIECE = 1 << 20, 1 << 20
 LISTS = "trigram int, block bigint, ids array<bigint>"
 
 
 def trigrams(text: bytes) -> np.ndarray:
-    """The distinct trigrams of a text as numbers."""
-    b = np.frombuffer(text, np.uint8).astype(np.int32)
-    return np.unique(b[:-2] << 16 | b[1:-1] << 8 | b[2:]) if len(b) > 2 else np.empty(0, np.int32)
+    """The distinct trigrams of a text as numbers, of a long one a piece at a time."""
+    b, found = np.frombuffer(text, np.uint8), np.empty(0, np.int32)
+    for lo in range(0, len(b) - 2, PIECE):
+        own = grams(b[lo : lo + PIECE + 2])
+        found = np.union1d(found, own) if len(found) else own
+    return found
+
+
+def listed(code: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
+    """Rows (LISTS) of places, ids ``of`` by trigram."""
+    order = np.lexsort((of, code))
+    code, of = code[order], of[order]
+    block = of >> 16
+    cut = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (block[1:] != block[:-1]))) if len(code) else np.empty(0, np.int64)
+    ids = pa.ListArray.from_arrays(pa.array(np.append(cut, len(code)), pa.int32()), pa.array(of)) if len(cut) else pa.array([], pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(code[cut], pa.int32()), pa.array(block[cut]), ids], ["trigram", "block", "ids"])
+
+
+def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of some rows (id, t) at a time, so that the shuffle has a row a trigram, not one a place."""
+    for batch in batches:
+        ids, texts = batch.column("id").to_numpy(), batch.column("t")
+        own, held = [], 0
+        for i in range(len(ids)):
+            own.append(trigrams(texts[i].as_py()))
+            held += len(own[-1])
+            if held >= MOST_HELD or i + 1 == len(ids):
+                yield listed(np.concatenate(own), np.repeat(ids[i + 1 - len(own) : i + 1], [len(x) for x in own]))
+                own, held = [], 0
+
+
+def grams(b: np.ndarray) -> np.ndarray:
+    b = b.astype(np.int32)
+    return np.unique(b[:-2] << 16 | b[1:-1] << 8 | b[2:])
 
 
 class TextIndex:
@@ -38,21 +71,6 @@ class TextIndex:
         """Index every row, whole texts."""
         rows = feed.select(F.col(self.key).cast("bigint").alias("id"), F.lower(text_or_empty(F.col(self.text))).cast("binary").alias("t"))
 
-        def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Lists of a batch's rows, so that the shuffle has a row a trigram, not one a place."""
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids = batch.column("id").to_numpy()
-                own = [trigrams(t) for t in batch.column("t").to_pylist()]
-                code, of = np.concatenate(own), np.repeat(ids, [len(x) for x in own])
-                order = np.lexsort((of, of >> 16, code))
-                code, of = code[order], of[order]
-                block = of >> 16
-                cut = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (block[1:] != block[:-1]))) if len(code) else np.empty(0, np.int64)
-                held = pa.ListArray.from_arrays(pa.array(np.append(cut, len(code)), pa.int32()), pa.array(of)) if len(cut) else pa.array([], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(code[cut], pa.int32()), pa.array(block[cut]), held], ["trigram", "block", "ids"])
-
         parts = rows.mapInArrow(lists, LISTS).groupBy("trigram", "block").agg(F.flatten(F.collect_list("ids")).alias("ids"))  # BLOCK_IDS at most
         parts.repartitionByRange("trigram", "block").sortWithinPartitions("trigram", "block").write.mode("overwrite").parquet(self.path)
 

@@ -1,10 +1,11 @@
 """Cases that show only on larger tables, made small."""
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from millrace.operators import phrases, places
+from millrace.operators import phrases, places, search
 from millrace.plans import composed
 from millrace.sources import boards, landed
 
@@ -68,3 +69,15 @@ def test_runs_of_long_texts_go_out_in_small_batches(spark, monkeypatch):
     got = phrases.runs_found(rows, "t", p)
     assert sorted(r["id"] for r in got.select("id").collect()) == [1, 1, 2, 2]
     assert list(phrases._cuts(phrases.np.array([600, 600, 5_000, 10, 20]), 1_000)) == [(0, 1), (1, 2), (2, 3), (3, 5)]
+
+
+def test_trigrams_of_many_texts_are_listed_some_at_a_time(monkeypatch):
+    texts = [b"some words and some more words " * 9, b"", b"ab", b"other words", b"xyz"]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([5, 1 << 17, 7, 8, 9]), "t": pa.array(texts, pa.binary())})
+    places_of = lambda out: sorted((r["trigram"], r["block"], i) for b in out for r in b.to_pylist() for i in r["ids"])
+    whole = list(search.lists(iter([batch])))
+    assert len(whole) == 1 and len(places_of(whole)) == sum(len({t[i : i + 3] for i in range(len(t) - 2)}) for t in texts)
+    monkeypatch.setattr(search, "MOST_HELD", 6)
+    monkeypatch.setattr(search, "PIECE", 4)
+    parts = list(search.lists(iter([batch])))
+    assert len(parts) == 3 and places_of(parts) == places_of(whole)
