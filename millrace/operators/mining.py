@@ -4,7 +4,7 @@ post says that they matter.
 A line is cut at punctuation; found lexicon wordings are taken out; what stands between stop
 words is a run.  Runs of up to ``MOST_WORDS`` words are counted by document and stem, in two
 grouped sums (by spelling, then by stem).  A phrase inside a longer one that was said as often
-goes: longer phrases are filed under their parts, so this is an equality join and not a
+goes: longer phrases are filed under their parts, so this is a grouped sum and not a
 comparison of all pairs.
 """
 
@@ -101,12 +101,15 @@ def accepted(terms: DataFrame, most: int = MOST_TERMS) -> DataFrame:
     be pointed at), and not part of a longer one said as often."""
     lone = (F.col("words") == 1) & ~F.col("shape")
     ok = terms.where(F.col("pointed_at") | (~lone & (F.col("count") >= 2)))
-    w = F.split("key", " ")
-    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")) for n in range(1, MOST_WORDS) for i in range(1, MOST_WORDS - n + 2)])
-    inside = ok.where("words > 1").select("doc_id", "count", w.alias("w"), F.explode(parts).alias("p"))
-    inside = inside.where((F.col("p.n") < F.size("w")) & (F.col("p.i") + F.col("p.n") - 1 <= F.size("w")))
-    inside = inside.groupBy("doc_id", F.array_join(F.slice("w", F.col("p.i"), F.col("p.n")), " ").alias("key")).agg(F.max("count").alias("longer"))
-    kept = ok.join(inside, ["doc_id", "key"], "left").where("longer IS NULL OR longer < count").drop("longer")
+    # a term and the parts of it meet at their keys in one grouped sum, so that terms are made once
+    own, w = [c for c in ok.columns if c not in ("doc_id", "key")], F.split("key", " ")
+    cuts = [(i, n) for n in range(1, MOST_WORDS) for i in range(1, MOST_WORDS - n + 2)]
+    fits = lambda i, n: F.col("doc_id").isNotNull() & (n < F.size(w)) & (i + n - 1 <= F.size(w)) & (F.col("words") > 1)
+    parts = F.array_compact(F.array(*[F.when(fits(i, n), F.array_join(F.slice(w, i, n), " ")) for i, n in cuts]))
+    met = ok.select("doc_id", "key", F.struct(*own).alias("own"), F.explode(F.concat(F.array(F.lit(None).cast("string")), parts)).alias("part"))
+    met = met.select("doc_id", F.coalesce("part", "key").alias("key"), F.when(F.col("part").isNull(), F.col("own")).alias("own"), F.when(F.col("part").isNotNull(), F.col("own.count")).alias("longer"))
+    met = met.groupBy("doc_id", "key").agg(F.max("own").alias("own"), F.max("longer").alias("longer"))
+    kept = met.where("own IS NOT NULL AND (longer IS NULL OR longer < own.count)").select("doc_id", "key", "own.*")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "ord"))
     return kept.withColumn("rank", rank).where(F.col("rank") <= most)
 

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from millrace.operators import phrases, places, search
+from millrace.operators import mining, phrases, places, search
 from millrace.plans import composed
 from millrace.sources import boards, landed
 
@@ -81,3 +81,12 @@ def test_trigrams_of_many_texts_are_listed_some_at_a_time(monkeypatch):
     monkeypatch.setattr(search, "PIECE", 4)
     parts = list(search.lists(iter([batch])))
     assert len(parts) == 3 and places_of(parts) == places_of(whole)
+
+
+def test_terms_are_made_once(spark):
+    rows = [(1, "solar panel", 2), (1, "panel", 2), (1, "solar", 3), (None, "wind farm", 2), (None, "farm", 2)]
+    row = "named_struct('doc_id', d, 'key', k, 'name', k, 'count', n, 'score', 1L, 'ord', 0, 'words', size(split(k, ' ')), 'shape', true, 'pointed_at', true)"
+    terms = spark.createDataFrame(rows, "d long, k string, n long").selectExpr(f"{row} AS r").select("r.*")
+    kept = mining.accepted(terms)
+    assert {(r["doc_id"], r["key"]) for r in kept.collect()} == {(1, "solar panel"), (1, "solar"), (None, "wind farm"), (None, "farm")}
+    assert "Join" not in kept._jdf.queryExecution().executedPlan().toString()
