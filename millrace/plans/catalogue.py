@@ -419,13 +419,15 @@ def o2_5_notified_after_commit(spark, sf_dir):
 SELECT fingerprint, status FROM p WHERE status = 'Applied' OR (coalesce(deadline >= today, true) AND d >= today - 400)""")
 def o10_2_retention_stream(spark, sf_dir):
     """O10.2, O3.5: orders as a stream of postings; what the timers have left at its end."""
-    o = spark.readStream.schema(read(spark, sf_dir, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    orders = read(spark, sf_dir, "orders")
+    buckets = max(16, orders.count() // retention.PER_BUCKET)
+    o = spark.readStream.schema(orders.schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
     status = F.when(F.col("o_orderstatus") == "F", "Applied").when(F.col("o_orderstatus") == "O", "Awaiting Review").otherwise("Rejected")
     day = F.col("o_orderdate").cast("date")
     p = o.select(F.col("o_orderkey").cast("string").alias("fingerprint"), F.col("o_orderdate").cast("timestamp").alias("at"), day.cast("string").alias("createdAt"), F.when(F.col("o_orderkey") % 3 == 0, F.date_add(day, 30)).alias("deadline"), status.alias("status"))
     out = new_path(spark, "retention")
     with retention.timed_state(spark):
-        q = retention.retention_stream(p, days=400).writeStream.format("parquet").option("path", f"{out}/changes").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+        q = retention.retention_stream(p, days=400, buckets=buckets).writeStream.format("parquet").option("path", f"{out}/changes").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
         q.awaitTermination()
     changes = spark.read.schema(retention.CHANGES).parquet(f"{out}/changes")
     return changes.groupBy("fingerprint").agg(F.max("status").alias("status"), F.bool_or(F.col("change") == "expired").alias("gone")).where("not gone").drop("gone")

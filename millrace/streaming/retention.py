@@ -1,9 +1,14 @@
 """What a feed keeps, as state with timers: postings leave it when they grow too old or their
 deadline passes, unless somebody works on them.
 
-The state of a fingerprint is its date of first sight, deadline and status.  A timer stands at the
-first day it is no longer relevant; postings and decisions move it, active statuses take it away,
-and when it fires the state is gone.  Time is the events' own, by the watermark.
+A posting's state is its date of first sight, deadline, status and the first day it is no longer
+relevant; postings and decisions move that day, active statuses take it away, and when it comes the
+posting's state is gone.  Time is the events' own, by the watermark.
+
+Postings lie in buckets by the hash of their fingerprint.  A bucket is one state with one timer, at the
+first day that one of its postings leaves, as a call of the state store costs far more than a
+posting: so many rows share the few calls of their bucket.  What a batch touches is read and written
+by bucket, so there should be about ``PER_BUCKET`` postings in each.
 """
 
 from __future__ import annotations
@@ -11,16 +16,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import date, datetime, timedelta, timezone
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions import fixed
 
-STATE = "created string, deadline string, status string, timer bigint"
+#: Postings of a bucket, a column a list; ``leaves``: milliseconds, null while it is worked on.
+STATE = "buckets int, fingerprint array<string>, created array<string>, deadline array<string>, status array<string>, leaves array<bigint>"
 CHANGES = "fingerprint string, change string, status string, day string"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Postings a bucket should hold, and buckets where the caller names no number.
+PER_BUCKET, BUCKETS = 1_000, 4_096
 
 
 @contextmanager
@@ -75,51 +85,106 @@ class _Timed(StatefulProcessor):
         pass
 
 
-class Retention(_Timed):
-    def __init__(self, days: int) -> None:
-        super().__init__(STATE)
-        self.days = days
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803  the interface's names
-        old = self.state.get() if self.state.exists() else None
-        created, deadline, status, timer = old or (None, None, None, None)
-        met = old is not None
-        for r in sorted(rows, key=lambda r: (r.at, r.kind != "posting")):
-            if r.kind == "posting":
-                # a status that was decided stays; dates of the first sight stay
-                created, deadline = created if met else r.createdAt, r.deadline
-                status = status if met else r.status
-                met = True
-            elif met:
-                status = r.status
-        if not met:  # decisions on what nobody has seen
-            return
-        last = last_day(created, deadline, status, self.days)
-        at = None if last is None else _millis(max(last, date(1970, 1, 1)) + timedelta(1))
-        self.move_timer(timer, at)
-        self.state.update((created, deadline, status, at))
-        yield Row(fingerprint=key[0], change="kept", status=status, day=None)
+@lru_cache(100_000)
+def _leaves(created: str | None, deadline: str | None, status: str | None, days: int) -> int | None:
+    last = last_day(created, deadline, status, days)
+    return None if last is None else _millis(max(last, date(1970, 1, 1)) + timedelta(1))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        status = self.state.get()[2] if self.state.exists() else None
-        self.state.clear()
-        yield Row(fingerprint=key[0], change="expired", status=status, day=datetime.fromtimestamp(at / 1000, timezone.utc).date().isoformat())
+
+def _changes(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["fingerprint", "change", "status", "day"], dtype=object)
+
+
+class Retention(StatefulProcessor):
+    """Buckets of postings, each a state with one timer, by event time."""
+
+    def __init__(self, days: int, buckets: int) -> None:
+        self.days, self.buckets = days, buckets
+
+    def init(self, handle) -> None:
+        self.handle, self.state = handle, handle.getValueState("state", STATE)
+
+    def _load(self) -> dict:
+        """fingerprint -> (created, deadline, status, leaves)"""
+        buckets, *columns = self.state.get() or (self.buckets, [], [], [], [], [])
+        if buckets != self.buckets:
+            raise ValueError(f"the state was kept in {buckets} buckets, not {self.buckets}")
+        names, *values = columns
+        return dict(zip(names, zip(*values, strict=True), strict=True))
+
+    def _keep(self, kept: dict, before: int | None) -> None:
+        if kept:
+            self.state.update((self.buckets, list(kept), *map(list, zip(*kept.values(), strict=True))))
+        else:
+            self.state.clear()
+        at = self._first(kept)
+        if before != at and before is not None:
+            self.handle.deleteTimer(before)
+        if before != at and at is not None:
+            self.handle.registerTimer(at)
+
+    def _first(self, kept: dict) -> int | None:
+        return min((k[3] for k in kept.values() if k[3] is not None), default=None)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  the interface's names
+        # of a fingerprint's rows: its first posting, its last one, its last decision
+        first, last, decided = {}, {}, {}
+        for some in rows:
+            for name, at, kind, created, deadline, status in zip(*(some[c] for c in ("fingerprint", "micros", "kind", "createdAt", "deadline", "status")), strict=True):
+                if kind == "decision":
+                    if name not in decided or decided[name][0] <= at:
+                        decided[name] = (at, status)
+                    continue
+                if name not in first or at < first[name][0]:
+                    first[name] = (at, created, status)
+                if name not in last or last[name][0] <= at:
+                    last[name] = (at, deadline)
+        kept = self._load()
+        before, out = self._first(kept), []
+        for name in first.keys() | decided.keys():
+            old = kept.get(name)
+            if old is None and name not in first:  # decisions on what nobody has seen
+                continue
+            # a status that was decided stays; dates of the first sight stay
+            seen, created, status = (None, old[0], old[2]) if old else first[name]
+            deadline = last[name][1] if name in last else old[1]
+            if name in decided and (old or decided[name][0] >= seen):
+                status = decided[name][1]
+            kept[name] = (created, deadline, status, _leaves(created, deadline, status, self.days))
+            out.append((name, "kept", status, None))
+        if out:
+            self._keep(kept, before)
+            yield _changes(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        kept, now, out = self._load(), timerValues.getCurrentWatermarkInMs(), []
+        for name, (_, _, status, at) in list(kept.items()):
+            if at is not None and at <= now:
+                del kept[name]
+                out.append((name, "expired", status, datetime.fromtimestamp(at / 1000, timezone.utc).date().isoformat()))
+        self._keep(kept, None)  # the timer that fired goes by itself
+        if out:
+            yield _changes(out)
+
+    def close(self) -> None:
+        pass
 
 
-def retention_stream(postings: DataFrame, decisions: DataFrame | None = None, days: int = fixed.RETENTION_DAYS, late: str = "0 seconds") -> DataFrame:
+def retention_stream(postings: DataFrame, decisions: DataFrame | None = None, days: int = fixed.RETENTION_DAYS, late: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """(fingerprint, at, createdAt, deadline, status) and decisions (fingerprint, at, status), as streams ->
     changes (fingerprint, change, status, day): "kept" with the status after each batch that touched a
     posting, "expired" with the first day it is irrelevant.
 
     ``createdAt`` is the date the ledger holds, which never forgets: a posting that comes again
-    after it has expired expires again.  Start it within :func:`timed_state`.
+    after it has expired expires again.  ``buckets`` holds for the life of a checkpoint; a stream started
+    again with another number is refused.  Start it within :func:`timed_state`.
     """
     p = postings.select("fingerprint", "at", F.lit("posting").alias("kind"), "createdAt", F.col("deadline").cast("string").alias("deadline"), "status")
     if decisions is not None:
         none = F.lit(None).cast("string")
         p = p.unionByName(decisions.select("fingerprint", "at", F.lit("decision").alias("kind"), none.alias("createdAt"), none.alias("deadline"), "status"))
-    return p.withWatermark("at", late).groupBy("fingerprint").transformWithState(Retention(days), CHANGES, "append", "EventTime")
+    p = p.withColumns({"bucket": F.pmod(F.xxhash64("fingerprint"), F.lit(buckets)).cast("int"), "micros": F.coalesce(F.unix_micros("at"), F.lit(-(1 << 62)))})
+    return p.withWatermark("at", late).groupBy("bucket").transformWithStateInPandas(Retention(days, buckets), CHANGES, "append", "EventTime")
 
 
 class Health(_Timed):

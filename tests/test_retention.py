@@ -122,3 +122,25 @@ def test_forced_notice_falls_back_to_the_best(spark):
     take = lambda *a, **k: [r["fingerprint"] for r in state.notice_picks(*a, **k).collect()]
     assert take(feed, new, "A") == ["f1"] and take(feed, new, "A", force=True) == ["f1"]
     assert take(feed, none, "A") == [] and sorted(take(feed, none, "A", force=True)) == [f"f{i}" for i in range(3, 8)]
+
+
+def test_many_postings_share_a_state(spark, tmp_path):
+    """3,000 postings in 8 buckets: so many states and timers, not so many as postings; each leaves on its own day."""
+    day = lambda n: (DAY0 + timedelta(n)).date().isoformat()
+    post = lambda i, d, **k: {"fingerprint": f"p{i}", "at": (DAY0 + timedelta(d)).isoformat(), "createdAt": day(d), "deadline": day(d + i % 3) if i % 2 else None, "status": "Applied" if i % 10 == 0 else "Awaiting Review"} | k
+    posts = [[post(i, 0) for i in range(3000)], [post(7, 1, deadline=day(9), createdAt=day(1)), {**post(1, 1), "fingerprint": None}], [post(3000, 2)], [post(3001, 4)], [post(3002, 6)]]
+    decided = [[{"fingerprint": "p8", "at": (DAY0 + timedelta(0)).isoformat(), "status": "Applied"}], *[[{"fingerprint": "p20", "at": (DAY0 + timedelta(d)).isoformat(), "status": "Rejected"}] for d in (1, 2, 3, 4)]]
+    build = lambda p, d: retention.retention_stream(p, d, days=4, buckets=8)
+    changes, sizes = run(spark, tmp_path, [(POSTINGS, posts), (DECISIONS, decided)], build, "shared")
+    assert max(sizes) <= 8 * 4  # a state and a timer (held both ways) of each
+    rows = changes.where("change = 'expired'").collect()
+    gone = {r["fingerprint"]: r["day"] for r in rows}
+    assert len(gone) == len(rows)
+    want = {None: day(3)} | {f"p{i}": day(min(4, i % 3) + 1 if i % 2 else 5) for i in range(3000) if i % 10 and i not in (7, 8)} | {"p7": day(5), "p20": day(5)}
+    assert {n: d for n, d in gone.items() if n not in ("p3000", "p3001", "p3002")} == want
+    with pytest.raises(Exception, match="8 buckets, not 9"):
+        source = [spark.readStream.schema(s).json(str(tmp_path / f"shared-{i}")) for i, s in enumerate((POSTINGS, DECISIONS))]
+        (tmp_path / "shared-0" / "9.json").write_text("\n".join(json.dumps(post(i, 7)) for i in range(10, 3000, 10)))
+        with retention.timed_state(spark):
+            q = retention.retention_stream(*source, days=4, buckets=9).writeStream.format("parquet").option("path", str(tmp_path / "none")).option("checkpointLocation", str(tmp_path / "shared-cp")).trigger(availableNow=True).start()
+            q.awaitTermination()
