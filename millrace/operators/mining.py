@@ -5,19 +5,26 @@ A line is cut at punctuation; found lexicon wordings are taken out; what stands
 words is a run.  Runs of up to ``MOST_WORDS`` words are counted by document and stem, in two
 grouped sums (by spelling, then by stem).  A phrase inside a longer one that was said as often
 goes: longer phrases are filed under their parts, so this is a grouped sum and not a
-comparison of all pairs.
+comparison of all pairs.  Lines are cut in Arrow batches, as lambdas on each word were most of the
+work; words are looked at once for each spelling in a batch.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import fixed
 from ..functions.text import text_or_empty
 from . import keywords
 
 MOST_WORDS, MOST_TERMS, GROUP = 4, 14, "Additional Skills"
+#: Bytes of lines that are cut at a time.
+BYTES = 4_000_000
 #: Words that end a run, where the caller names no others: grammar, and what every post says.
 STOP = (
     "a about above after all also am an and any are as at be been before being below between both but by can could did do does doing down during each either etc few for "
@@ -38,19 +45,52 @@ def stem(phrase: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(phrase, "ies$", "y"), "([^s])s$", "$1")
 
 
+def _cut(stop: frozenset[str]):
+    """Lines, cut at ``|`` -> the runs of each."""
+
+    stops = pa.array(sorted(stop), pa.string())
+
+    def some(lines: pa.Array) -> pa.Array:
+        split = pc.split_pattern(lines, " ")
+        words = split.flatten().dictionary_encode()
+        bare = pc.replace_substring_regex(pc.replace_substring_regex(words.dictionary, "^[^A-Za-z0-9+#]+|[^A-Za-z0-9+#]+$", ""), "'[sS]$", "")
+        number = pc.and_not(pc.match_substring_regex(bare, "^[0-9]"), pc.match_substring_regex(bare, "^[0-9]+[A-Za-z]{1,3}$"))
+        ends = pc.or_(pc.or_(pc.is_in(pc.utf8_lower(bare), stops), number), pc.equal(pc.utf8_length(bare), 1))
+        ends = pc.or_(ends, pc.equal(words.dictionary, "|")).to_numpy(zero_copy_only=False)
+        # 0 nothing, 1 a word, 2 the end of a run
+        kinds = np.where(ends, 2, pc.not_equal(bare, "").to_numpy(zero_copy_only=False).astype(np.int8))
+        ids, line = words.indices.to_numpy(), np.repeat(np.arange(len(lines), dtype=np.int32), pc.list_value_length(split).to_numpy())
+        left = kinds[ids] > 0
+        ids, line = ids[left], line[left]
+        said = kinds[ids] == 1
+        starts = said.copy()  # a word after none, after an end, or on a line of its own
+        starts[1:] &= ~said[:-1] | (line[1:] != line[:-1])
+        first = np.append(np.flatnonzero(starts[said]), said.sum()).astype(np.int32)
+        found = pc.binary_join(pa.ListArray.from_arrays(first, bare.take(pa.array(ids[said]))), " ")
+        ends = np.cumsum(np.bincount(line[starts], minlength=len(lines)))
+        return pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), found)
+
+    @F.arrow_udf(ArrayType(StringType()))
+    def cut(lines: pa.Array) -> pa.Array:
+        at = np.flatnonzero(np.diff(np.cumsum(pc.binary_length(lines).to_numpy(zero_copy_only=False), dtype=np.int64) // BYTES)) + 1
+        bounds = [0, *at.tolist(), len(lines)]
+        return pa.chunked_array([some(lines.slice(i, j - i)) for i, j in zip(bounds, bounds[1:])], pa.list_(pa.string())).combine_chunks()
+
+    return cut
+
+
 def runs(lines: DataFrame, stop: list[str] = STOP) -> DataFrame:
     """(doc_id, seg, segment, tier, weight[, blank]) -> one row a run: doc_id, at, run, tier,
     weight, lead_in, short.  ``blank``: a pattern of wordings that are taken out."""
     text = keywords.norm(F.col("segment"))
     if "blank" in lines.columns:
         text = F.when(F.col("blank") != "", F.regexp_replace(text, F.col("blank"), F.lit(" | "))).otherwise(text)
-    bare = lambda w: F.regexp_replace(F.regexp_replace(w, "^[^A-Za-z0-9+#]+|[^A-Za-z0-9+#]+$", ""), "(?i)'s$", "")
-    ends = lambda w: (F.length(w) < 2) | F.lower(w).isin(stop) | (w.rlike("^[0-9]") & ~w.rlike("^[0-9]+[A-Za-z]{1,3}$"))
-    words = F.flatten(F.transform(F.split(text, fixed.PHRASE_BREAK), lambda p: F.concat(F.filter(F.transform(F.split(p, r"\s+"), bare), lambda w: w != ""), F.array(F.lit("|")))))
-    marked = F.array_join(F.transform(words, lambda w: F.when(ends(w), "|").otherwise(w)), " ")
-    found = F.filter(F.transform(F.split(marked, r"\|"), lambda r: F.trim(r)), lambda r: r != "")
+    # norm leaves no blank but spaces, and a break takes every "|" that a line holds
+    found = _cut(frozenset(stop))(F.regexp_replace(text, fixed.PHRASE_BREAK, " | "))
     short = (F.size(F.split("segment", r"\s+")) <= 4) & ~F.col("segment").rlike(fixed.SENTENCE_START)
-    out = lines.select("doc_id", "seg", "tier", "weight", F.col("segment").rlike(fixed.LEAD_IN).alias("lead_in"), short.alias("short"), F.posexplode(found).alias("pos", "run"))
+    out = lines.select("doc_id", "seg", "tier", "weight", F.col("segment").rlike(fixed.LEAD_IN).alias("lead_in"), short.alias("short"), found.alias("found"))
+    # outer, as else the optimizer puts a filter on the size before it, for which lines would be cut once more
+    out = out.select("*", F.posexplode_outer("found").alias("pos", "run")).where("run IS NOT NULL").drop("found")
     return out.withColumn("at", F.shiftleft(F.col("seg").cast("bigint"), 24) + F.col("pos")).drop("seg", "pos")
 
 

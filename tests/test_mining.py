@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.functions import fixed
@@ -87,6 +88,45 @@ def test_terms_against_plain_steps(spark):
         assert by.get(d, []) == want, d
 
 
+def test_runs_of_odd_words_are_cut_without_patterns_on_words(spark, monkeypatch):
+    odd = ["It's Foo's bar'S 's 'S x's", "a|b | QA|", "C++ #1 3 24x7 24x 24xyzw 1st 2nd", "—— ** •", "", "  Kelvin \u212a's ſ's caf\u00e9\u00a0au lait's", "R & D + x.y z. End", "The THE tHe of", "Ünïcode Ünïcode's ß", "w" * 70_000 + " " + "ab cd " * 20_000, "thermal\u2028calibration\u0085 1ab\u2028's", "12ab's 12 - 13"]
+    rng = random.Random(3)
+    odd += [" ".join("".join(rng.choice("aB's+#9.,;|-é\u00a0/&") for _ in range(rng.randint(1, 5))) for _ in range(9)) for _ in range(1500)]
+    rows = [(d, 0, t, "must", 3) for d, t in enumerate(odd)]
+    d = mining.runs(spark.createDataFrame(rows, "doc_id long, seg int, segment string, tier string, weight int"))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan  # each word of each line went through five patterns, by interpreted lambdas
+    got = {}
+    for r in d.orderBy("doc_id", "at").collect():
+        got.setdefault(r["doc_id"], []).append(r["run"])
+    blank = re.compile(keywords_ascii(fixed.PHRASE_BREAK))
+    for n, text in enumerate(odd):
+        want = []
+        text = re.sub(r"[ \t\n\x0b\f\r]*/[ \t\n\x0b\f\r]*", "/", text.replace("‘", "'").replace("’", "'"))
+        text = re.sub(r"[ \t\n\x0b\f\r\-‐-―_]+", " ", text).strip(" ")
+        for part in blank.split(text):
+            run = []
+            for w in part.split(" "):
+                w = re.sub("'[sS]$", "", re.sub("^[^A-Za-z0-9+#]+|[^A-Za-z0-9+#]+$", "", w))
+                ends = w and (len(w) < 2 or w.lower() in mining.STOP or w[0] in "0123456789" and not re.fullmatch("[0-9]+[A-Za-z]{1,3}", w))
+                if ends:
+                    want, run = [*want, run], []
+                elif w:
+                    run.append(w)
+            want.append(run)
+        assert got.get(n, []) == [" ".join(r) for r in want if r], text
+    lines = pa.array([o.replace("|", " | ") for o in odd])
+    cut = lambda: mining._cut(frozenset([*mining.STOP, "24x"])).func(lines).to_pylist()
+    whole = cut()
+    monkeypatch.setattr(mining, "BYTES", 50)  # a few lines at a time
+    assert cut() == whole and whole[2] == ["C++ #1", "1st 2nd"] and whole[3] == [] and len(whole) == len(odd)
+
+
+def keywords_ascii(pattern: str) -> str:
+    """A pattern whose blanks are Java's."""
+    return pattern.replace(r"\s", r"[ \t\n\x0b\f\r]")
+
+
 def test_a_whole_post(spark):
     lex = keywords.lexicon_table(spark, keywords.parse_lexicon(["#!tech", "#!group Code", "=Go|Golang", "# a remark", "Load Testing|Load Tests", "#!soft", "Teamwork", "#!tech", "#!group Papers", "ISO 9001|ISO9001!cert"]))
     docs = spark.createDataFrame([(1, "Load testing lead", POST, "Acme Robotics"), (2, None, None, None)], "doc_id long, title string, text string, company string")
